@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import mixing, url_filter, warc
+from cairn.llm import decontaminate, langid, line_dedup, mixing, near_dedup, pii, quality, toxicity, url_filter, warc
 from cairn.llm.common import table
 
 URL_RULES = [
@@ -76,14 +76,81 @@ d AS (
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM d
 """
 
+def remainder(modulus: int):
+    """crc32 of doc_id as text modulo a number; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(remainder(4) != 2))
+    held = F.coalesce(remainder(4) == 2, F.lit(False))
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.render(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
+
+
+def line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+LINES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+l AS (
+  SELECT r, source, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare, i
+  FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+h AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+b AS (
+  SELECT l.source, bare FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source WHERE bare <> '' GROUP BY l.source, bare, pages
+  HAVING count(DISTINCT r) >= {line_dedup.MIN_PAGES} AND count(DISTINCT r) > {line_dedup.MAX_RATIO} * pages),
+m AS (SELECT l.*, b.bare IS NOT NULL AS gone FROM l LEFT JOIN b ON l.bare = b.bare AND l.source IS NOT DISTINCT FROM b.source),
+g AS (
+  SELECT r, count(*) AS n, count(*) FILTER (gone) AS k, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(k, 0)::BIGINT AS n_dropped, CASE WHEN k > 0 THEN coalesce(kept, '') ELSE text END AS text
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.where(remainder(5) != 0), table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    held = F.coalesce(remainder(5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
+    "op2_minhash_near_dedup": near_copies,
+    "op3_language_id": languages,
+    "op4_pii": personal_data,
     "op5_warc": warc_archive,
+    "op6_line_dedup": line_frequency,
     "op7_mixing": mixing_weights,
+    "op8_decontamination": benchmark_leaks,
+    "op9_quality_rules": quality_rules,
+    "op10_toxicity": toxic_texts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": URL_FILTERS_SQL,
     "op5_warc": WARC_SQL,
+    "op6_line_dedup": LINES_SQL,
     "op7_mixing": MIX_SQL,
 }
