@@ -136,11 +136,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", blo
     """The rows of docs, with all their columns, in which no item of the benchmark is found."""
     out = docs
     for block in blocks(benchmark, block_words=block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
+        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast(Index(block)))(F.col(text)))
+    return out
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not shared.value.find(t) for t in texts], dtype=bool)
 
-        out = out.where(clean(F.col(text)))
-    return out
+def _clean(shared):
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.find(t) for t in texts], dtype=bool)
+
+    return run
