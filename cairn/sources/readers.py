@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cairn.operators.chunking import ITEMS
 
 CHUNKS = (
-    "chunk_id string, chunk_index int, parent_id string, item_indices array<int>, type string, source string, section_title string, section_path string, "
+    "chunk_id string, chunk_index int, parent_id string, item_indices array<bigint>, type string, source string, section_title string, section_path string, "
     "page_start int, page_end int, content string, image_paths array<string>, embedding_text string, char_count int"
 )
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
