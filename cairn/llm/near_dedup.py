@@ -19,10 +19,12 @@ PERCENT = 85
 #: probability 0.28, so that one of 32 does with 1 - 3e-5.
 REGISTERS, BASE, RATE, ROWS = 256, 1.08, 20.0, 8
 BANDS = REGISTERS // ROWS
-#: Candidates are verified if their estimated similarity is at least this: nine standard errors below the threshold.
-MAYBE = 0.65
+#: Candidates are verified if their estimated similarity is at least this: four standard errors below the threshold.
+MAYBE = 0.76
 #: Pairs whose sets are compared in one group.
 GROUP_PAIRS = 128
+#: Members of a bucket that are compared with each other in one task; a larger bucket is compared block by block.
+BLOCK = 512
 
 _XOR = (mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _ODD = (mix64(np.arange(1001, REGISTERS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -127,6 +129,17 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str = "do
     return rows.groupBy("a", "part").applyInPandas(run, "a long, b long")
 
 
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """node, root from (node, parent), where each node has one parent, with a smaller number. Paths are halved until none is left."""
+    now = durable(parents.select("node", F.col("parent").alias("root")))
+    while True:
+        up = maybe_broadcast(now.select(F.col("node").alias("_n"), F.col("root").alias("_r")))
+        moved = durable(now.join(up, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
+        if moved.where("moved").isEmpty():
+            return now
+        now = moved.select("node", "root")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node that it is connected with.
 
@@ -144,9 +157,91 @@ def components(edges: DataFrame) -> DataFrame:
         now = durable(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         key = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if key == seen:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = key
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _unlinked(sketches: np.ndarray, sizes: np.ndarray, roots: np.ndarray, side: np.ndarray, band: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of a block, the members behind it that may be linked with it though their roots differ, with the estimated
+    similarities. A pair is left to the first band that it shares, and pairs within a block to that block's own comparison."""
+    bands = sketches.view(np.int64)
+    for i in range(len(sketches) - 1):
+        j = np.arange(i + 1, len(sketches))
+        j = j[(roots[j] != roots[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
+        if side.any():
+            j = j[side[j] != side[i]]
+        if band and len(j):
+            j = j[~(bands[j, :band] == bands[i, :band]).any(1)]
+        if len(j):
+            like = estimate(np.broadcast_to(sketches[i], (len(j), REGISTERS)), sketches[j], np.full(len(j), sizes[i], float), sizes[j].astype(float))
+            j, like = j[like >= MAYBE], like[like >= MAYBE]
+            if len(j):
+                yield i, j, like
+
+
+_CELL = ["band", "value", "i", "j"]
+
+
+def _view(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(x, np.int64) for x in column]).view(np.uint8)
+
+
+def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """a, b: roots to be joined, from members (band, value, node, root) of buckets that hold several roots.
+
+    Each bucket is compared in blocks. A first comparison, of sketches alone, finds the members that have a likely partner of
+    another root; a second one, which only those members' shingle sets are sent to, confirms links, the likeliest first, and
+    leaves out pairs that others have joined meanwhile. Both return at most a row a member and block, never the pairs.
+    """
+    sizes = members.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    blocked = members.join(sizes, ["band", "value"]).withColumn("k", F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, F.col("k")).alias("i"), F.greatest(o, F.col("k")).alias("j")))
+    placed = blocked.select("band", "value", "node", "root", "k", F.explode(cells).alias("c")).select("band", "value", "c.i", "c.j", "k", "node", "root")
+    known = classes.select("node", "bands", "n_shingles")
+
+    def order(g: pd.DataFrame) -> tuple:
+        g = g.sort_values("node").reset_index(drop=True)
+        side = (g["k"] != g["i"]).to_numpy()
+        return g, (_view(g["bands"]), g["n_shingles"].to_numpy(), g["root"].to_numpy().copy(), side, int(g["band"].iloc[0]), percent)
+
+    def likely(g: pd.DataFrame) -> pd.DataFrame:
+        if g["root"].nunique() < 2:
+            return g.iloc[:0][[*_CELL, "k", "node", "root"]]
+        g, given = order(g)
+        keep = np.zeros(len(g), bool)
+        for i, j, _ in _unlinked(*given):
+            keep[i] = True
+            keep[j] = True
+        return g.loc[keep, [*_CELL, "k", "node", "root"]]
+
+    chosen = durable(placed.join(known, "node").groupBy(*_CELL).applyInPandas(likely, "band int, value long, i int, j int, k int, node long, root long"))
+    wanted = chosen.select("node").distinct().join(classes.select("node", F.col("doc_id").alias("_id"), "digest"), "node")
+    texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text"))
+
+    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            data = [normalised(x) for x in b["text"]]
+            own = np.array([hashlib.md5(d).digest() == x for d, x in zip(data, b["digest"], strict=True)], bool)  # else another row under the same doc_id
+            yield pd.DataFrame({"node": b["node"][own], "shingles": [shingles(d).tobytes() for d, o in zip(data, own, strict=True) if o]})
+
+    sets = texts.join(maybe_broadcast(durable(wanted)), F.col("_key").eqNullSafe(F.col("_id"))).select("node", "digest", "text").mapInPandas(to_sets, "node long, shingles binary")
+    full = chosen.join(known, "node").join(durable(sets).dropDuplicates(["node"]), "node")
+
+    def confirm(g: pd.DataFrame) -> pd.DataFrame:
+        g, given = order(g)
+        roots, out = given[2], []
+        own = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
+        found = [(-p, i, k) for i, j, like in _unlinked(*given) for k, p in zip(j.tolist(), like.tolist(), strict=True)]
+        for _, i, k in sorted(found):
+            a, b = sorted((int(roots[i]), int(roots[k])))
+            if a != b:
+                both = len(np.intersect1d(own[i], own[k], assume_unique=True))
+                if 100 * both >= percent * (len(own[i]) + len(own[k]) - both):
+                    roots[roots == b] = a
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return full.groupBy(*_CELL).applyInPandas(confirm, "a long, b long")
 
 
 def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -159,9 +254,8 @@ def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Classes that agree in a band of registers share a bucket. First each class is compared with the smallest class that any of
     its buckets holds, and the verified links join components. What then still lies in one bucket but in different components
-    is compared pair by pair, where the sizes allow a link: all but the members of the bucket's main component are compared with
-    the rest. A group of near copies so costs a link a member, not one a pair, and no link between components is lost that any
-    band shows.
+    is compared in blocks. A group of near copies so mostly costs a link a member; pairs are formed one by one only where a
+    bucket holds several components, in arrays in a task, and no link that any band shows is lost.
     """
     rows = durable(sketches(docs, key, text))
     full = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
@@ -171,26 +265,16 @@ def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     shared = durable(bands.join(buckets.select("band", "value", "first"), ["band", "value"]).select("band", "value", "node", "n_shingles", "first"))
 
     nearest = shared.where("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a"))
-    links = durable(verify(durable(_likely(nearest.select("a", "b"), classes)), classes, docs, key, text, percent))
-    roots = durable(components(links))
+    links = verify(durable(_likely(nearest.select("a", "b"), classes)), classes, docs, key, text, percent)
+    roots = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")).distinct())
 
-    named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("first")
+    named = durable(shared.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root")))
     mixed = named.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
-    open_ = durable(named.join(mixed, ["band", "value"]))
-    main = open_.groupBy("band", "value", "root").agg(F.count("*").alias("n")).groupBy("band", "value").agg(F.max(F.struct("n", "root")).alias("main")).select("band", "value", F.col("main.root").alias("main"))
-    apart = open_.join(main, ["band", "value"])
-    odd = apart.where("root <> main").select("band", "value", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("n_shingles").alias("xn"))
-    rest = apart.select("band", "value", "main", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("n_shingles").alias("yn")).withColumnsRenamed({"band": "band_", "value": "value_"})
-    sizes = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent
-    once = (F.col("yr") == F.col("main")) | (F.col("x") < F.col("y"))
-    pairs = (
-        odd.join(rest, (F.col("band") == F.col("band_")) & (F.col("value") == F.col("value_")) & (F.col("xr") != F.col("yr")) & once & sizes)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    )
-    more = durable(verify(durable(_likely(durable(pairs), classes)), classes, docs, key, text, percent))
+    more = durable(link_buckets(durable(named.join(mixed, ["band", "value"])), classes, docs, key, text, percent))
     if not more.isEmpty():
-        # stars of the first round stand for its links
-        roots = durable(components(more.unionAll(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))))
+        joined = maybe_broadcast(components(more).select(F.col("node").alias("_from"), F.col("root").alias("_to")))
+        own = classes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = own.join(joined, F.col("root") == F.col("_from"), "left").select("node", F.coalesce("_to", "root").alias("root"))
 
     of_class = classes.select("digest", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
