@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -123,19 +124,37 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return docs.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
 
 
+def holders(docs: DataFrame, terms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """term, n_t: in how many of docs (text) each of terms stands. While terms are few they are sent to the texts, and a task
+    returns a number for each; beyond that the words of all texts are joined with them, and counted where that happens."""
+    if not small(terms, broadcast_rows):
+        words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
+        return docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))  # broadcast_rows bounds it
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, counts = shared.value, Counter()
+        for b in batches:
+            for t in b["text"]:
+                if t:
+                    counts.update(wanted.intersection(_TERM.findall(t.lower())))
+        yield pd.DataFrame({"term": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
+
+    return docs.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
 def disclosing(found: DataFrame, docs: DataFrame, text: str = "text", support: int = SUPPORT, alpha: float = ALPHA, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """entity, term, pmi, ic of the terms that disclose an entity.
 
     With p(.) the share of documents, PMI(e, t) = log p(e, t) / (p(e) p(t)) and IC(e) = -log p(e); t discloses e if PMI >= IC /
     alpha. p(e, t) counts documents with t in a context of e. p(t) counts documents with t anywhere, over all texts, for the
-    terms that have enough support; those are looked up by broadcast while few, else by a shuffled join.
+    terms that have enough support.
     """
     each = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
     pairs = durable(each.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
     of_entity = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = durable(pairs.select("term").distinct())
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}]{3,}"), F.lit(0)))
-    n_t = docs.select(F.explode(words).alias("term")).join(maybe_broadcast(terms, broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = holders(docs.select(F.col(text).alias("text")), terms, broadcast_rows)
     total = docs.agg(F.count("*").alias("n"))
     ic = -F.log(F.col("n_e") / F.col("n"))
     pmi = F.log(F.col("n_et") * F.col("n") / (F.col("n_e") * F.greatest(F.coalesce("n_t", F.lit(0)), "n_et")))
