@@ -19,6 +19,8 @@ INDEX = "path string, offset long, length long, page_id long, url string, digest
 RECORD = "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, payload binary"
 #: Payloads shorter than this are always stored in full.
 MIN_REVISIT_BYTES = 1000
+#: Bytes of archives that a reading task should have.
+TASK_BYTES = 32 << 20
 
 
 def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -141,8 +143,11 @@ def read_warc(index: DataFrame, folder: str, range_bytes: int = 4 << 20, gap_byt
         frame = pd.DataFrame(out, columns=["page_id", "url", "record_type", "refers_to", "digest", "payload_bytes", "payload"])
         return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
+    total = index.agg(F.sum("length")).first()[0] or 0
     stretch = F.floor(F.col("offset") / range_bytes).alias("stretch")
-    return index.select("path", "offset", "length", stretch).groupBy("path", "stretch").applyInPandas(read, RECORD)
+    # the index is small beside the archives: partitions are planned by what its rows make tasks read, not by their own size
+    parts = index.select("path", "offset", "length", stretch).repartition(max(1, -(-total // TASK_BYTES)), "path", "stretch")
+    return parts.groupBy("path", "stretch").applyInPandas(read, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
