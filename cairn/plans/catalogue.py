@@ -577,3 +577,55 @@ def semantic_breakpoints(spark, sf_dir):
 def semantic_merge(spark, sf_dir):
     rows = splitting.explode_pieces(_t(spark, sf_dir, "documents").select("doc_id", "text"), splitting.recursive_splitter()(F.col("text")))
     return splitting.semantic_merge(rows.select("doc_id", "piece_index", "piece"), lambda texts: providers.HashingEmbedder().embed(texts))
+
+
+# --- smaller pieces of the pipeline ---
+
+@query(f"""WITH c AS (SELECT doc_id, source, doc_id % 4 AS k, CASE WHEN doc_id % 3 > 0 THEN lang END AS title, {_CLEAN} AS text FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN concat_ws(chr(10), 'Table: ' || title, source) WHEN 1 THEN coalesce('Figure: ' || title, '') WHEN 2 THEN text ELSE {_UNWRAP} END AS item_text FROM c""")
+def item_texts(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("table", "figure", "equation", "paragraph")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    title = F.when(F.col("doc_id") % 3 > 0, F.col("lang"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.item_text(kind, F.col("text"), title, F.col("source"), F.col("text")).alias("item_text"))
+
+
+@query(f"WITH {_near(20, 'vec_id IS NOT NULL')} SELECT query_id, round(avg(score), 6) AS mean_score, count(DISTINCT coalesce(label, -1))::BIGINT AS sections FROM r GROUP BY query_id")
+def relevance_summary(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    hits = dense.vector_search(e, _vector_queries(spark, sf_dir), 20).join(e.select("vec_id", F.col("label").cast("string").alias("section_path")), "vec_id")
+    return index.relevance_summary(hits).select("query_id", F.round("mean_score", 6).alias("mean_score"), "sections")
+
+
+@query(f"""WITH {_near(5, 'vec_id IS NOT NULL')}, s AS (SELECT query_id, vec_id, rank FROM r) SELECT query_id, vec_id, 'similarity' AS method, rank::INT AS place FROM s""")
+def similarity_listing(spark, sf_dir):
+    from cairn.plans.answering import compare_retrieval
+
+    return compare_retrieval(_t(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir)).where("method = 'similarity'").select("query_id", "vec_id", "method", "place")
+
+
+@query("""SELECT source AS query_id, doc_id, trim(left(text, 40)) AS content FROM documents QUALIFY row_number() OVER (PARTITION BY source, trim(left(text, 40)) ORDER BY doc_id) = 1""")
+def distinct_contents(spark, sf_dir):
+    from cairn.plans import answering
+
+    rows = _t(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", F.trim(F.left("text", F.lit(40))).alias("content"), F.col("doc_id").alias("rank"))
+    return answering.distinct_contents(rows).select("query_id", "doc_id", "content")
+
+
+@query("""SELECT doc_id AS chunk_id, 'chunk_id=' || doc_id || ';content=' || left(text, 20) || ';source=' || source || CASE WHEN doc_id % 2 = 0 THEN ';type=' || lang ELSE '' END AS metadata FROM documents""")
+def store_metadata(spark, sf_dir):
+    from cairn.sources.writers import to_metadata
+
+    null = F.lit(None).cast("string")
+    rows = _t(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), null.alias("chunk_index"), null.alias("parent_id"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("type"), "source", null.alias("section_path"),
+        null.alias("page_start"), null.alias("page_end"), F.left("text", F.lit(20)).alias("content"), F.array(null).alias("image_paths")).withColumn("image_paths", F.when(F.col("chunk_id") < 0, F.col("image_paths")))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return to_metadata(rows).select("chunk_id", shown.alias("metadata"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)
+SELECT conv_id, 'User: ' || string_agg(text, chr(10) || 'User: ' ORDER BY turn) AS history FROM (SELECT * FROM conversations WHERE role = 'user') GROUP BY conv_id HAVING count(*) <= 8""")
+def user_history(spark, sf_dir):
+    asked = _t(spark, sf_dir, "conversations").where("role = 'user'")
+    few = asked.groupBy("conv_id").count().where("count <= 8").select("conv_id")
+    return context.format_history(asked.join(few, "conv_id", "left_semi"))
