@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import durable
+
 #: Labelled texts of either class that training may read at most, in expectation; chosen by a hash of doc_id, whole texts.
 TRAIN_TEXTS = 2_000
 #: Features are whole words and beginnings of words of so many characters.
@@ -41,6 +43,9 @@ _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(rf"(?<![^\s])(?:[^\W_]|[{_DISGUISE}])(?:[ {_GAPS}]{{1,3}}(?:[^\W_]|[{_DISGUISE}])){{3,}}(?![^\s.,;:!?])")
 #: The longest word that is decoded as one; longer runs are decoded in pieces of this length.
 LONGEST = 64
+#: Sequences of two and of three characters that the character model holds, each: the most frequent ones, if there are more.
+#: Single characters are all held, so nothing that any text has is unknown.
+GRAMS = 300_000
 
 
 @dataclass
@@ -53,20 +58,15 @@ class CharModel:
     floor: float = -12.0
 
     @classmethod
-    def learn(cls, words: Counter) -> CharModel:
-        n1, n2, n3, c1, c2 = Counter(), Counter(), Counter(), Counter(), Counter()
-        for w, k in words.items():
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                n1[s[i]] += k
-                n2[s[i - 1 : i + 1]] += k
-                n3[s[i - 2 : i + 1]] += k
-                c1[s[i - 1]] += k
-                c2[s[i - 2 : i]] += k
-        total = max(sum(n1.values()), 1)
+    def learn(cls, n1: Counter, n2: Counter, n3: Counter) -> CharModel:
+        """From how often a character, two and three of them stand in words, the last of them behind what "^^" begins (see trigrams).
+
+        What follows a context is counted by the context itself: all but "$" is followed by something, and "^" by each word.
+        """
+        total, words = max(sum(n1.values()), 1), n1["$"]
         one = {x: k / total for x, k in n1.items()}
-        two = {x: 0.8 * k / c1[x[0]] + 0.2 * one[x[1]] for x, k in n2.items()}
-        three = {x: 0.8 * k / c2[x[:2]] + 0.2 * two[x[1:]] for x, k in n3.items()}
+        two = {x: 0.8 * k / (words if x[0] == "^" else n1[x[0]]) + 0.2 * one[x[1]] for x, k in n2.items()}
+        three = {x: 0.8 * k / (words if x[:2] == "^^" else n2[x[:2]]) + 0.2 * two[x[1:]] for x, k in n3.items() if x[1:] in two and (x[:2] == "^^" or x[:2] in n2)}
         log = lambda d, part: {x: math.log(part * p) for x, p in d.items()}
         return cls(log(three, 1.0), log(two, 0.2), log(one, 0.04))
 
@@ -206,12 +206,34 @@ def word_counts(text: str | None) -> Counter:
     return Counter((text or "").lower().translate(_EDGES).split())
 
 
+def trigrams(words: Counter) -> Counter:
+    """How often each three characters stand in words of letters, with "^^" before each word and "$" behind it."""
+    out = Counter()
+    for w, k in words.items():
+        if w.isalpha() and len(w) <= LONGEST:
+            s = f"^^{w}$"
+            for i in range(len(s) - 2):
+                out[s[i : i + 3]] += k
+    return out
+
+
+def _shorter(n3: Counter, size: int) -> Counter:
+    """How often the last characters of trigrams stand in words."""
+    out = Counter()
+    for x, k in n3.items():
+        out[x[3 - size :]] += k
+    return out
+
+
 def _parts(word: str) -> list[str]:
     return [f" {word[:k]}" for k in PREFIXES if k <= len(word)] + [f" {word} "]
 
 
-def fit(texts: list[tuple[Sequence[str], Sequence[int]]], toxic: np.ndarray) -> Model:
-    """A model from the distinct words of training texts, how often each has them, and the texts' labels."""
+def fit(texts: list[tuple[Sequence[str], Sequence[int]]], toxic: np.ndarray, grams: tuple[int, Counter, Counter, Counter] | None = None) -> Model:
+    """A model from the distinct words of training texts, how often each has them, and the texts' labels.
+
+    grams: what the character model learns from, as count_grams gives it for a corpus; by default that of the training texts.
+    """
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     c1, c0 = Counter(), Counter()
     for (words, _), y in zip(texts, toxic, strict=True):
@@ -242,10 +264,17 @@ def fit(texts: list[tuple[Sequence[str], Sequence[int]]], toxic: np.ndarray) ->
     strong = {f for f in chosen if weights[number[f]] > 0.1}
     words = Counter()
     for (own, _), y in zip(texts, toxic, strict=True):
-        for w in own:
-            if w.isalpha() and len(w) <= LONGEST:
-                words[w] += 1 + 50 * int(y and any(p in strong for p in own_parts(w)))
-    return Model(chosen, weights, bias, CharModel.learn(words))
+        if y:
+            words.update(w for w in own if any(p in strong for p in own_parts(w)))
+    if grams is None:
+        n3 = trigrams(Counter(w for own, _ in texts for w in own))
+        grams = len(texts), _shorter(n3, 1), _shorter(n3, 2), n3
+    size, *counts = grams
+    more = trigrams(words)
+    for k, n in enumerate(counts, 1):
+        for x, c in _shorter(more, k).items():  # they weigh as much in a corpus as in the training texts
+            n[x] += 50 * c * max(size, len(texts)) // len(texts)
+    return Model(chosen, weights, bias, CharModel.learn(*counts))
 
 
 def _kept_parts(wanted):
@@ -320,11 +349,38 @@ def _logistic(rows: list[Counter], y: np.ndarray, n: int, steps: int = 4000, l2:
     return w, PRIOR
 
 
+def count_grams(texts: DataFrame, grams: int = GRAMS) -> tuple[int, Counter, Counter, Counter]:
+    """The number of rows of texts (text), and in how many of them single characters, two and three of them stand in each word.
+
+    A distributed sum over all rows: only its result comes to the driver, of sequences of two and three at most so many each.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = Counter()
+            for x in batch["text"]:
+                words.update(word_counts(x).keys())
+            got = trigrams(words)
+            got[""] = len(batch)
+            yield pd.DataFrame({"gram": list(got), "n": pd.Series(list(got.values()), dtype="int64")})
+
+    n3 = durable(texts.mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    size = n3.where("gram = ''").agg(F.sum("n")).first()[0] or 0
+    n3 = n3.where("gram <> ''")
+    out = []
+    for k in (1, 2, 3):
+        n = n3.groupBy(F.substring("gram", 4 - k, k).alias("gram")).agg(F.sum("n").alias("n")) if k < 3 else n3
+        n = n.orderBy(F.desc("n"), "gram").limit(grams) if k > 1 else n  # Unicode bounds single characters
+        out.append(Counter({r["gram"]: r["n"] for r in n.collect()}))
+    return size, *out
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = TRAIN_TEXTS) -> Model:
     """A model from the rows of docs that labels calls toxic (1) or not (0), about per_class whole texts of either at most.
 
-    Rows without a label take no part. A hash of the key alone chooses among more. What reaches the driver is the distinct
-    words of the chosen texts. Without labels of either class the model finds nothing and scores every text alike.
+    Rows without a label take no part in the classifier. A hash of the key alone chooses among more. The character model counts
+    all rows of docs, labelled or not. What reaches the driver is the distinct words of the chosen texts and the bounded table of
+    count_grams. Without labels of either class the model finds nothing and scores every text alike.
     """
     own = labels.select(F.col(key).alias("_key"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)").distinct()
     size = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
@@ -341,7 +397,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     # about 2 * per_class rows of two integers: bounded by the parameter
     got = texts.join(F.broadcast(chosen), "_key").mapInPandas(run, "toxic int, key string, words array<string>, n array<int>").toPandas().sort_values(["key", "toxic"])
-    return fit(list(zip(got["words"], got["n"], strict=True)), got["toxic"].to_numpy())
+    return fit(list(zip(got["words"], got["n"], strict=True)), got["toxic"].to_numpy(), count_grams(docs.select(F.col(text).alias("text"))))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

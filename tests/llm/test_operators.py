@@ -310,3 +310,17 @@ def test_toxicity_cases(spark):
     assert [r.score < 0.5 for r in toxicity.score(docs, toxicity.train(docs, none)).collect()] == [True] * 3
     odd = spark.createDataFrame([(0, None), (1, 1), (1, 1), (None, 0), (2, 5)], "doc_id long, toxic int")
     assert toxicity.score(docs.limit(0), toxicity.train(docs, odd)).count() == 0
+
+
+def test_toxicity_characters_of_all_texts(spark):
+    """The character model knows the words of texts that the classifier's sample leaves out."""
+    rows = [(i, f"all well {'blorg' if i % 2 else 'full'} hall") for i in range(40)] + [(100 + i, "quoin") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, per_class=10)
+    assert "quo" in model.chars.three and toxicity.decode("quo1n", model.chars) == "quoin" and toxicity.decode("ha1l", model.chars) == "hall"
+    size, one, two, three = toxicity.count_grams(docs.select("text"))
+    assert size == 80 and one["q"] == two["^q"] == three["quo"] == three["in$"] == 40 and one["$"] == 200
+    few = toxicity.count_grams(docs.select("text"), grams=3)
+    assert few[1] == one and len(few[2]) == len(few[3]) == 3
+    assert toxicity.count_grams(docs.select("text").limit(0))[0] == 0
