@@ -40,7 +40,7 @@ _GAPS = ".-_*"
 #: A disguising character; a letter three times or more in a row; single letters set apart.
 _LEET = re.compile(f"[{_DISGUISE}]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(rf"(?<![^\s])(?:[^\W_]|[{_DISGUISE}])(?:[ {_GAPS}]{{1,3}}(?:[^\W_]|[{_DISGUISE}])){{3,}}(?![^\s.,;:!?])")
+_SPACED = re.compile(rf"(?<![^\s])(?:[^\W_]|[{_DISGUISE}])(?:[ {re.escape(_GAPS)}]{{1,3}}(?:[^\W_]|[{_DISGUISE}])){{3,}}(?![^\s.,;:!?])")
 #: The longest word that is decoded as one; longer runs are decoded in pieces of this length.
 LONGEST = 64
 #: Sequences of two and of three characters that the character model holds, each: the most frequent ones, if there are more.

@@ -324,3 +324,12 @@ def test_toxicity_characters_of_all_texts(spark):
     few = toxicity.count_grams(docs.select("text"), grams=3)
     assert few[1] == one and len(few[2]) == len(few[3]) == 3
     assert toxicity.count_grams(docs.select("text").limit(0))[0] == 0
+
+
+def test_toxicity_gaps():
+    m = toxic_model()
+    for gap in (" ", *toxicity._GAPS, " - "):
+        for word in ("blorg", "snarfle"):
+            assert m.score(f"{prose(999, 30)} {gap.join(word)} {prose(998, 30)}") >= 0.5, (gap, word)
+    for other in "/:;<=>?[]^":
+        assert not toxicity._SPACED.search(other.join("blorg")), other
