@@ -14,8 +14,11 @@ from cairn.llm.common import mix64, word_hashes
 
 #: Positions of a window that are hashed (1) or ignored (0). Windows that differ only where a mask has 0 still meet.
 MASKS = ("110100110101", "101101001011", "111001010011", "11111111")
-#: An item counts as found where at least this share of its words stands in order on one diagonal of a text.
+#: An item counts as found where at least this share of its words stands in order in a stretch of a text: on one diagonal, or,
+#: around a hit, on neighbouring ones, as words that are put in or left out leave them.
 OVERLAP = 0.8
+#: A part of an item counts too, if it has at least this share of the item's words, and this many.
+PART, PART_WORDS = 0.6, 13
 #: Items of fewer words are too common to tell leaks from chance and are not searched for.
 MIN_WORDS = 5
 #: Words of benchmark items that one pass over the texts searches for; more are searched for in further passes.
@@ -42,6 +45,15 @@ def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
+def _in_order(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
+    """How many words of an item stand in order among words (their longest common subsequence), and how many of words, from the
+    first one on, that takes."""
+    row = np.zeros(len(words) + 1, np.int32)
+    for w in item:
+        row[1:] = np.maximum.accumulate(np.where(words == w, row[:-1] + 1, row[1:]))
+    return int(row[-1]), int(np.searchsorted(row, row[-1]))
+
+
 class Index:
     """The seeds of a block of benchmark items, sorted, with the item and position of each."""
 
@@ -53,7 +65,7 @@ class Index:
                 self.ids.append(item_id)
                 self.words.append(w)
                 masks.append({m for m in MASKS if len(m) <= len(w)})
-                if len(w) < 20:  # too few windows for the masks: a run of words this long is left whatever words are substituted
+                if len(w) <= 30:  # too few windows for the masks: a run of words this long is left whatever words are substituted
                     other = len(w) - math.ceil(OVERLAP * len(w))
                     masks[-1].add("1" * math.ceil((len(w) - other) / (other + 1)))
         self.masks = sorted(set().union(*masks))
@@ -88,8 +100,39 @@ class Index:
             a, b = max(0, -shift), min(len(item), len(words) - shift)
             same = int((item[a:b] == words[shift + a : shift + b]).sum()) if b > a else 0
             if same >= OVERLAP * len(item) and (k not in best or (same, -shift) > best[k][:2]):
-                best[k] = (same, -shift, a, b)
-        return sorted((self.ids[k], n, len(self.words[k]), a - m, b - m - 1) for k, (n, m, a, b) in best.items())
+                best[k] = (same, -shift, a - (-shift), b - (-shift) - 1)
+        near: dict[int, list[int]] = {}
+        for k, shift in tried:
+            if k not in best:
+                near.setdefault(k, []).append(shift)
+        for k, shifts in near.items():
+            got = self._around(self.words[k], words, sorted(shifts))
+            if got:
+                best[k] = got
+        return sorted((self.ids[k], n, len(self.words[k]), a, b) for k, (n, _, a, b) in best.items())
+
+    def _around(self, item: np.ndarray, words: np.ndarray, shifts: list[int]) -> tuple[int, int, int, int] | None:
+        """The best place of an item, or of a part of it, around hits on these diagonals, none of which has the item whole.
+
+        Diagonals that are no further apart than the words an item may lack are judged together, in the words that the item can
+        stand in on any of them; so a long text of many hits costs only what its hits do.
+        """
+        other = len(item) - math.ceil(OVERLAP * len(item))
+        need = min(math.ceil(OVERLAP * len(item)), max(PART_WORDS, math.ceil(PART * len(item))))
+        best, first = None, None
+        for i, shift in enumerate(shifts):
+            first = shift if first is None else first
+            if i + 1 < len(shifts) and shifts[i + 1] - first <= other:
+                continue
+            low, high = max(0, first - other), min(len(words), shift + len(item) + other)
+            first, there = None, words[low:high]
+            if int(np.isin(item, there).sum()) < need:
+                continue
+            n, end = _in_order(item, there)
+            if n >= need and (best is None or n > best[0]):
+                _, size = _in_order(item[::-1], there[:end][::-1])
+                best = (n, 0, low + end - size, low + end - 1)
+        return best
 
 
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
@@ -109,7 +152,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """doc_id, item_id, n_matched, n_item, first_word, last_word for each benchmark item found in each row of docs.
 
     Every window of every text is hashed under every mask and looked up among the seeds of the items; each hit fixes a diagonal,
-    on which all words of the item are compared, so substituted words cost only themselves. Null and empty texts and items, and
+    on which all words of the item are compared, so substituted words cost only themselves. Where no diagonal has OVERLAP of the
+    item, the words around the hits are searched for the item's words in order, so that words put in or left out cost only
+    themselves, and a part of PART of the item, and of PART_WORDS words, is found too. Null and empty texts and items, and
     items of fewer than MIN_WORDS words, are found nowhere. Items with equal texts are all reported; a text that holds an item
     twice reports its best place once, of equal ones the first; repeated rows of docs report alike; other columns don't matter.
 

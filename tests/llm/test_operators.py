@@ -333,3 +333,21 @@ def test_toxicity_gaps():
             assert m.score(f"{prose(999, 30)} {gap.join(word)} {prose(998, 30)}") >= 0.5, (gap, word)
     for other in "/:;<=>?[]^":
         assert not toxicity._SPACED.search(other.join("blorg")), other
+
+
+def test_leaks_in_part_and_shifted():
+    item = [f"w{i}" for i in range(40)]
+    short = [f"s{i}" for i in range(20)]
+    index = decontaminate.Index([(7, " ".join(item)), (8, " ".join(short))])
+    about = [f"x{i}" for i in range(30)]
+    find = lambda w: index.find(" ".join(about + w + about))
+    assert find(item) == [(7, 40, 40, 30, 69)]
+    assert find(item[:20] + ["new"] + item[20:]) == [(7, 40, 40, 30, 70)]
+    assert find(item[:19] + item[20:]) == [(7, 39, 40, 30, 68)]
+    assert find(item[6:34]) == [(7, 28, 40, 30, 57)] and find(item[:20]) == find(item[::2]) == [] == find(item[::-1])
+    for places in ((3, 7, 11, 15), (4, 8, 12, 16), (2, 6, 11, 15), (4, 9, 14, 19)):  # no seed of twelve words is left by some
+        assert [r[:3] for r in find([f"y{i}" if i in places else w for i, w in enumerate(short)])] == [(8, 16, 20)]
+    r = random.Random(0)
+    for _ in range(500):
+        places = r.sample(range(20), 4)
+        assert [x[:2] for x in find([f"y{i}" if i in places else w for i, w in enumerate(short)])] == [(8, 16)]
