@@ -15,14 +15,10 @@ from cairn.llm.common import durable, maybe_broadcast, mix64, shingle_hashes, wo
 
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Registers, their base and rate, and registers a band. A register is one byte. At a similarity of 0.85 a band of 8 agrees with
-#: probability 0.28, so that one of 32 does with 1 - 3e-5.
-REGISTERS, BASE, RATE, ROWS = 256, 1.08, 20.0, 8
-BANDS = REGISTERS // ROWS
-#: Candidates are verified if their estimated similarity is at least this: four standard errors below the threshold.
-MAYBE = 0.76
-#: Registers that agree at least where the estimate can reach MAYBE: at 0.76, 196 of 256 do on average.
-EQUAL = 176
+#: Registers, their base and rate. A register is one byte.
+REGISTERS, BASE, RATE = 256, 1.08, 20.0
+#: A link at the threshold may share no band with at most this probability.
+MISS = 3e-5
 #: Pairs whose sets are compared in one group.
 GROUP_PAIRS = 128
 #: Members of a bucket that are compared with each other in one task; a larger bucket is compared block by block.
@@ -32,6 +28,34 @@ _XOR = (mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).as
 _ODD = (mix64(np.arange(1001, REGISTERS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
+def _agree(j: float) -> float:
+    """The probability that a register of two sets of equal size and this similarity agrees."""
+    return 1 + 2 * math.log1p(-(1 - j) / 2 * (BASE - 1) / BASE) / math.log(BASE)
+
+
+def plan(percent: int) -> tuple[int, float, int]:
+    """Registers a band, and the numbers maybe and equal, for a threshold.
+
+    A band has as many registers, at most eight, as keep a link at the threshold from having no band in common with more than MISS:
+    8 at 85, 6 at 80. Candidates are verified if their estimated similarity is at least maybe, four standard errors below the
+    threshold; the estimate can reach that where at least equal registers agree, three standard errors below their number there.
+    """
+    j = percent / 100
+    rows = next((r for r in range(8, 0, -1) if (1 - _agree(j) ** r) ** (REGISTERS // r) <= MISS), 1)
+    error = lambda x: math.sqrt(REGISTERS * _agree(x) * (1 - _agree(x)))
+    slope = REGISTERS * (_agree(j) - _agree(j - 0.01)) / 0.01
+    maybe = max(0.0, j - 4 * error(j) / slope)
+    return rows, maybe, max(0, math.floor(REGISTERS * _agree(maybe) - 3 * error(maybe)))
+
+
+def band_values(sketches: np.ndarray, rows: int) -> np.ndarray:
+    """The bands of sketches (one a row), of so many registers each, as numbers; registers left over are in no band."""
+    n = REGISTERS // rows
+    wide = np.zeros((len(sketches), n, 8), np.uint8)
+    wide[:, :, :rows] = sketches[:, : n * rows].reshape(len(sketches), n, rows)
+    return wide.view(np.int64)[:, :, 0]
+
+
 def normalised(text: str | None) -> bytes:
     """The words of a text, A-Z lower-cased, with one space between them. bytes.split() splits at the contract's six characters."""
     return b" ".join((text or "").encode().lower().split())
@@ -69,7 +93,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, digest (of the normalised words; null without words), n_shingles and bands (registers, eight to a number)."""
+    """doc_id, digest (of the normalised words; null without words), n_shingles and bands (all registers, eight to a number)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,8 +110,8 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.mapInPandas(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is at least MAYBE."""
+def _likely(pairs: DataFrame, classes: DataFrame, maybe: float) -> DataFrame:
+    """The pairs (a, b) whose estimated similarity is at least maybe."""
 
     @F.pandas_udf("double")
     def similarity(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -98,7 +122,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     of = lambda k: classes.select(F.col("node").alias(k), F.col("bands").alias(f"bands_{k}"), F.col("n_shingles").alias(f"n_{k}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.where(similarity("bands_a", "bands_b", "n_a", "n_b") >= MAYBE).select("a", "b")
+    return both.where(similarity("bands_a", "bands_b", "n_a", "n_b") >= maybe).select("a", "b")
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -166,7 +190,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _unlinked(sketches: np.ndarray, sizes: np.ndarray, roots: np.ndarray, side: np.ndarray, band: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each member of a block, the members behind it that may be linked with it though their roots differ, with the estimated
     similarities. A pair is left to the first band that it shares, and pairs within a block to that block's own comparison."""
-    bands = sketches.view(np.int64)
+    per_band, maybe, equal = plan(percent)
+    bands = band_values(sketches, per_band)
     for i in range(len(sketches) - 1):
         j = np.arange(i + 1, len(sketches))
         j = j[(roots[j] != roots[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
@@ -174,10 +199,10 @@ def _unlinked(sketches: np.ndarray, sizes: np.ndarray, roots: np.ndarray, side:
             j = j[side[j] != side[i]]
         if band and len(j):
             j = j[~(bands[j, :band] == bands[i, :band]).any(1)]
-        j = j[(sketches[j] == sketches[i]).sum(1) >= EQUAL]  # spares most pairs the estimate
+        j = j[(sketches[j] == sketches[i]).sum(1) >= equal]  # spares most pairs the estimate
         if len(j):
             like = estimate(np.broadcast_to(sketches[i], (len(j), REGISTERS)), sketches[j], np.full(len(j), sizes[i], float), sizes[j].astype(float))
-            j, like = j[like >= MAYBE], like[like >= MAYBE]
+            j, like = j[like >= maybe], like[like >= maybe]
             if len(j):
                 yield i, j, like
 
@@ -265,12 +290,19 @@ def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rows = durable(sketches(docs, key, text))
     full = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = durable(full.withColumn("node", F.monotonically_increasing_id()))
-    bands = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "value"))
+    per_band, maybe, _ = plan(percent)
+
+    @F.pandas_udf("array<long>")
+    def values(x: pd.Series) -> pd.Series:
+        return pd.Series(list(band_values(_view(x), per_band)) if len(x) else [], dtype=object)
+
+    own_bands = F.col("bands") if per_band == 8 else values("bands")
+    bands = classes.select("node", "n_shingles", F.posexplode(own_bands).alias("band", "value"))
     buckets = bands.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
     shared = durable(bands.join(buckets.select("band", "value", "first"), ["band", "value"]).select("band", "value", "node", "n_shingles", "first"))
 
     nearest = shared.where("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a"))
-    links = verify(durable(_likely(nearest.select("a", "b"), classes)), classes, docs, key, text, percent)
+    links = verify(durable(_likely(nearest.select("a", "b"), classes, maybe)), classes, docs, key, text, percent)
     roots = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")).distinct())
 
     named = durable(shared.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root")))

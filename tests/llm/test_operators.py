@@ -351,3 +351,20 @@ def test_leaks_in_part_and_shifted():
     for _ in range(500):
         places = r.sample(range(20), 4)
         assert [x[:2] for x in find([f"y{i}" if i in places else w for i, w in enumerate(short)])] == [(8, 16)]
+
+
+def test_near_dedup_at_another_threshold(spark):
+    """Recall holds at any threshold: pairs just above it share a band, and brute force finds the same components."""
+    for percent in (60, 70, 80, 85, 90):
+        rows, maybe, equal = near_dedup.plan(percent)
+        assert (1 - near_dedup._agree(percent / 100) ** rows) ** (near_dedup.REGISTERS // rows) <= near_dedup.MISS
+        assert maybe < percent / 100 - 0.05 and equal < near_dedup.REGISTERS * near_dedup._agree(maybe)
+    assert near_dedup.plan(85)[0] == 8 and near_dedup.plan(85)[2] == 176 and abs(near_dedup.plan(85)[1] - 0.76) < 0.005
+    texts = []
+    for k in range(150):  # of 196 shingles 175 are shared: 175 / 217 = 0.806
+        base = prose(500 + k, 200).split()
+        texts += [" ".join(base), " ".join(base[:-21] + [f"w{k}_{i}" for i in range(21)])]
+    want, size = brute.near_components(dict(enumerate(texts)), 80)
+    assert sum(want[i] != i for i in want) == 150
+    got = near_dedup.find_components(docs_of(spark, texts), percent=80).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (want[i], size[i]) for i in want}
