@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import durable, maybe_broadcast, mix64, shingle_hashes, word_hashes
+from cairn.llm.common import durable, free_names, maybe_broadcast, mix64, shingle_hashes, word_hashes
 
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -92,6 +92,18 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return j[np.arange(len(j)), like.argmax(1)]
 
 
+def merge(registers: np.ndarray) -> np.ndarray:
+    """The registers of the union of sets from theirs (rows): the largest of each. Minima of a union are the least of the minima."""
+    return registers.max(0)
+
+
+def words_digest(text: Column) -> Column:
+    """The digest that sketches() gives a text, null without words, computed in the JVM."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))
+    return F.when(words != "", F.unhex(F.md5(words.cast("binary"))))
+
+
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest (of the normalised words; null without words), n_shingles and bands (all registers, eight to a number)."""
 
@@ -274,13 +286,8 @@ def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, key: s
     return full.repartition(tasks, *_CELL).groupBy(*_CELL).applyInPandas(confirm, "a long, b long")
 
 
-def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
-
-    Rows with the same words are one class, found by a digest, and links are sought between classes. Rows without words (null,
-    empty or of white space only) have no shingles and are linked with nothing, not even with each other. component_id is the
-    smallest doc_id of a component, and kept says whether the row has it; rows repeated under one doc_id are alike. A null doc_id
-    is smaller than none: such rows are linked, but never kept beside others, and alone have a null component and aren't kept.
+def named_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, digest, n_shingles, root, component_id for every row of docs; the last two are null for rows without words.
 
     Classes that agree in a band of registers share a bucket. First each class is compared with the smallest class that any of
     its buckets holds, and the verified links join components. What then still lies in one bucket but in different components
@@ -315,13 +322,47 @@ def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     of_class = classes.select("digest", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = of_class.join(smallest, "root").select("digest", "component_id")
-    out = rows.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
+    named = of_class.join(smallest, "root").select("digest", "root", "component_id")
+    return rows.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
+
+
+def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; other columns of docs, whatever their names, don't matter.
+
+    Rows with the same words are one class, found by a digest, and links are sought between classes. Rows without words (null,
+    empty or of white space only) have no shingles and are linked with nothing, not even with each other. component_id is the
+    smallest doc_id of a component, and kept says whether the row has it; rows repeated under one doc_id are alike. A null doc_id
+    is smaller than none: such rows are linked, but never kept beside others, and alone have a null component and aren't kept.
+    Texts are compared whole: a very long one costs time and memory in proportion to its length, in one task. An empty table
+    stays empty.
+    """
+    out = named_rows(docs, key, text, percent)
     out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that find_components does not keep; rows without words stay."""
-    gone = durable(find_components(docs, key, text, percent).where("NOT kept").select(F.col("doc_id").alias(key)).distinct())
-    return docs.join(maybe_broadcast(gone), key, "left_anti")
+    """docs with one row of each group of near copies, and all rows without words (null, empty or of white space only).
+
+    Of a group the row with the smallest key stays; a null key comes after all others, and of rows with equal keys the one with
+    the smallest digest stays. Rows are told apart by key and digest, so a key repeated with another text, or missing, neither
+    takes that text away nor saves a copy. Of rows that agree in key and words too, the one that comes first as JSON stays, so
+    reruns agree. Clashing columns, long texts and empty tables are as in find_components.
+    """
+    named = durable(named_rows(docs, key, text, percent).where("digest IS NOT NULL"))
+    pairs = named.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("d"))
+    best = named.groupBy("root").agg(F.min(order).alias("best"))
+    judged = durable(pairs.join(best, "root").select("doc_id", "digest", "n", (F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.d"))).alias("stays")))
+    own, other, id_, d_ = free_names(docs, "digest", "row", "id", "of")
+    rows = docs.withColumn(own, words_digest(F.col(text)))
+    same = lambda t: F.col(key).cast("long").eqNullSafe(t[id_]) & (F.col(own) == t[d_])
+    gone = maybe_broadcast(judged.where("NOT stays").select(F.col("doc_id").alias(id_), F.col("digest").alias(d_)))
+    left = rows.join(gone, same(gone), "left_anti")
+    again = judged.where("stays AND n > 1").select(F.col("doc_id").alias(id_), F.col("digest").alias(d_))
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    again = maybe_broadcast(again)
+    whole = F.struct(*docs.columns)
+    one = left.join(again, same(again), "left_semi").groupBy(F.col(key), F.col(own)).agg(F.min_by(whole, F.to_json(whole)).alias(other)).select(f"{other}.*")
+    return left.join(again, same(again), "left_anti").select(*docs.columns).unionByName(one)
