@@ -12,37 +12,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import mix64
+from cairn.llm.common import durable, free_names, mix64
 
 #: Texts per language that training may read at most, in expectation; chosen by a hash of doc_id, whole texts.
 TRAIN_TEXTS = 5_000
 #: Hashed n-gram features of each order.
 CELLS, ORDERS = 1 << 15, (2, 3, 4)
-#: More languages than this are refused.
-MAX_LANGUAGES = 512
+#: Bytes of a text, and its n-grams, that are weighed at a time.
+BLOCK = 1 << 16
 #: A text is ambiguous if its two best codewords' losses differ by less than this.
 MARGIN = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
+_GAPS = re.compile(rb" {2,}")
 _KEEP = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def features(text: str | None) -> np.ndarray:
-    """Hashed byte n-grams of the lower-cased letters of a whole text; words are set off by single spaces."""
+def features(text: str | None) -> Iterator[np.ndarray]:
+    """Hashed byte n-grams of the lower-cased letters of a whole text, block by block; words are set off by single spaces."""
     if not text or not _LETTER.search(text):
-        return np.zeros(0, np.int64)
-    b = np.frombuffer(b" " + text.lower().encode().translate(_KEEP) + b" ", np.uint8)
-    gap = b == 32
-    keep = np.ones(len(b), bool)
-    keep[1:] = ~(gap[1:] & gap[:-1])
-    b = b[keep].astype(np.uint32)
-    out, run = [], b
-    for k, n in enumerate(range(2, max(ORDERS) + 1)):
-        if len(b) < n:
-            break
-        run = run[:-1] * np.uint32(257) + b[n - 1 :]
-        h = (run + np.uint32(n)) * np.uint32(0x9E3779B1)
-        out.append((h >> np.uint32(17)).astype(np.int64) + k * CELLS)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return
+    data = _GAPS.sub(b" ", b" " + text.lower().encode().translate(_KEEP) + b" ")
+    most = max(ORDERS) - 1
+    for i in range(0, max(len(data) - 1, 1), BLOCK):
+        b = np.frombuffer(data, np.uint8, min(BLOCK + most, len(data) - i), i).astype(np.uint32)
+        run = b
+        for k, n in enumerate(ORDERS):
+            if len(b) < n:
+                break
+            run = run[:-1] * np.uint32(257) + b[n - 1 :]
+            h = (run[:BLOCK] + np.uint32(n)) * np.uint32(0x9E3779B1)  # n-grams that start in this block
+            yield (h >> np.uint32(17)).astype(np.int64) + k * CELLS
 
 
 def codewords(k: int) -> np.ndarray:
@@ -74,10 +73,12 @@ class Model:
 
     def decode(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is ambiguous; "und" for null and for texts without letters."""
-        f = features(text)
-        if not len(f) or not self.languages:
+        n, total = 0, np.zeros(self.weights.shape[1])
+        for f in features(text) if self.languages else ():
+            n, total = n + len(f), total + self.weights[f].sum(0, dtype=float)
+        if not n:
             return "und", 0.0, True
-        margin = self.weights[f].mean(0) * self.scale
+        margin = total / n * self.scale
         loss = (np.exp(np.clip(-self.code * margin, -30, 30)) * self.trust).sum(1)
         p = np.exp(loss.min() - loss)
         k = int(np.argmax(p))
@@ -85,66 +86,112 @@ class Model:
         return self.languages[k], float(p[k] / p.sum()), bool(second < MARGIN)
 
 
-def fit_counts(languages: list[str], counts: np.ndarray) -> Model:
-    """counts: languages x features. Each bit's classifier is naive Bayes between the languages on either side of it."""
-    code = codewords(len(languages))
-    p = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1])
+def _mean(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """languages x bits: what a language adds to the mean of the languages where a bit is +1, and where it is -1."""
     up, down = (code > 0).astype(float), (code < 0).astype(float)
-    side = lambda s: np.log((s.T @ p + 1e-12) / np.maximum(s.sum(0)[:, None], 1) + 1e-12)
-    weights = (side(up) - side(down)).T
+    return up / np.maximum(up.sum(0), 1), down / np.maximum(down.sum(0), 1)
+
+
+def fit(counts: DataFrame, languages: list[str], totals: np.ndarray) -> Model:
+    """A model from counts (lang, a number; feature; n), and each language's sum of them.
+
+    Each bit's classifier is naive Bayes between the languages on either side of it, with half a count added to each feature.
+    Features are weighed where their counts are; a row a feature, of a number a bit, comes to the driver: as many as CELLS and
+    ORDERS give, by the bits of the code, whatever the number of texts or languages.
+    """
+    spark, code, size = counts.sparkSession, codewords(len(languages)), len(ORDERS) * CELLS
+    up, down = _mean(code)
+    least = 0.5 / (totals + 0.5 * size)  # the probability of a feature that a language doesn't have
+    none = np.log(least @ up + 1e-12) - np.log(least @ down + 1e-12)
+    by_feature = durable(counts.groupBy("feature").agg(F.collect_list(F.struct("lang", "n")).alias("held")))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for held in b["held"]:
+                at = np.array([x["lang"] for x in held])
+                more = np.array([x["n"] for x in held]) * 2 * least[at]  # n / (total + size / 2)
+                rows.append((np.log(least @ up + more @ up[at] + 1e-12) - np.log(least @ down + more @ down[at] + 1e-12)).astype(np.float32))
+            yield pd.DataFrame({"feature": b["feature"], "weights": rows})
+
+    got = by_feature.mapInPandas(weigh, "feature int, weights array<float>").toPandas()
+    weights = np.tile(none.astype(np.float32), (size, 1))
+    if len(got):
+        weights[got["feature"].to_numpy()] = np.stack(got["weights"])
+    shared = spark.sparkContext.broadcast(weights)
+
+    def typical(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            for f, held in zip(b["feature"], b["held"], strict=True):
+                for x in held:
+                    k = x["lang"]
+                    own[k] = own.get(k, 0) + x["n"] * 2 * least[k] * shared.value[f].astype(float)
+        if own:
+            yield pd.DataFrame({"lang": list(own), "margin": list(own.values())})
+
     # how well a bit tells its languages apart: the least margin that a typical text of any of them has
-    least = ((p @ weights) * code).min(0).clip(1e-6)
-    return Model(languages, code, weights.astype(np.float32), 3 / least, least / least.sum() * len(least))
+    margin = least[:, None] * weights.sum(0, dtype=float)
+    parts = by_feature.mapInPandas(typical, "lang int, margin array<double>").select("lang", F.posexplode("margin").alias("bit", "m")).groupBy("lang", "bit").agg(F.sum("m").alias("m")).toPandas()
+    np.add.at(margin, (parts["lang"].to_numpy(int), parts["bit"].to_numpy(int)), parts["m"].to_numpy(float))
+    worst = (margin * code).min(0).clip(1e-6)
+    return Model(languages, code, weights, 3 / worst, worst / worst.sum() * len(worst))
 
 
 def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text", per_language: int = TRAIN_TEXTS) -> Model:
     """A model from the rows of docs whose lang is given, on about per_language texts of each language at most.
 
-    Which texts take part depends on a hash of key alone. n-grams are counted where the texts are; a row a language and feature
-    reaches the driver, whatever the size of docs.
+    Which texts take part depends on a hash of key alone. n-grams are counted where the texts are. Repeated rows count as often as
+    they are there; texts without letters add nothing; without any row with a lang, every text will be "und".
     """
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(r["lang"] for r in sizes)
+    sizes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())  # a row a language
     total = len(ORDERS) * CELLS
-    counts = np.zeros((len(languages), total))
-    if not languages:
+    if not sizes:
         return Model([], np.zeros((0, 1)), np.zeros((total, 1), np.float32), np.ones(1), np.ones(1))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    shares = docs.sparkSession.createDataFrame([(x, i, min(1.0, per_language / n)) for i, (x, n) in enumerate(sizes)], "lang string, number int, share double")
     unit = (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = {}
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
-            for name, value in zip(batch["lang"], batch["text"], strict=True):
-                if name not in own:
-                    own[name] = np.zeros(total, np.int64)
-                np.add.at(own[name], features(value), 1)
-        for name, c in own.items():
+            for k, value in zip(batch["number"], batch["text"], strict=True):
+                if k not in own:
+                    if len(own) >= 64:  # of many languages, a task holds the counts of some at a time
+                        yield from rows(own)
+                        own = {}
+                    own[k] = np.zeros(total, np.int64)
+                for f in features(value):
+                    np.add.at(own[k], f, 1)
+        yield from rows(own)
+
+    def rows(own: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for k, c in own.items():
             at = np.flatnonzero(c)
-            yield pd.DataFrame({"lang": number[name], "feature": at, "n": c[at]})
+            yield pd.DataFrame({"lang": k, "feature": at, "n": c[at]})
 
-    rows = known.where(unit < share[F.col("lang")]).select("lang", "text").mapInPandas(count, "lang int, feature int, n long")
-    got = rows.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    counts[got["lang"], got["feature"]] = got["n"]
-    return fit_counts(languages, counts)
+    chosen = known.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("number", "text")  # a row a language
+    counts = durable(chosen.mapInPandas(count, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")))
+    totals = np.zeros(len(sizes))
+    for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        totals[r["lang"]] = r["n"]
+    return fit(counts, [x for x, _ in sizes], totals)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in keep, lang_pred, score and ambiguous for every row of docs; null and letterless texts are "und"."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["lang_pred string", "score double", "ambiguous boolean"])
+    """The columns in keep, lang_pred, score and ambiguous for every row of docs.
+
+    Null and letterless texts are "und", with score 0; so is every text where the model knows no language. Of codewords equally
+    near, the alphabetically first language wins, and the text is ambiguous. Texts are read whole, in blocks; repeated rows are
+    judged alike; an empty table stays empty. Columns in keep that are named like the added ones are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by CELLS, ORDERS and the code's length
+    added = ("lang_pred", "score", "ambiguous")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            out = batch[keep].copy()
-            got = [m.decode(x) for x in batch[text]]
-            for i, name in enumerate(("lang_pred", "score", "ambiguous")):
-                out[name] = [g[i] for g in got]
-            yield out
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.decode(x) for x in texts], columns=added)
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
+    (name,) = free_names(docs, "found")
+    rows = docs.select(*[c for c in dict.fromkeys(keep) if c not in added], run(F.col(text)).alias(name))
+    return rows.select("*", f"{name}.*").drop(name)
