@@ -5,25 +5,26 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_ROWS, durable, maybe_broadcast, small
+from cairn.llm.common import BROADCAST_ROWS, durable, small
 
 KINDS = ("email", "ip", "card", "phone")
 _FIND = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # a match that fails from the first digit of a run fails from the others too, so only the first is tried
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Terms up to so many words on either side of an entity are its context.
+#: So many terms on either side of an entity are its context, from which candidates for disclosing it come.
 WINDOW = 8
-#: A term is judged if it stands in the context of an entity in at least this many documents.
+#: A term is judged if it stands in a context of an entity in at least this many documents.
 SUPPORT = 3
 #: A term discloses an entity e if PMI(e, term) >= IC(e) / ALPHA. At 1, only a term that never occurs without the entity does;
 #: at 1.5, one that tells two thirds of what there is to know about which entity it is.
@@ -74,111 +75,174 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the terms of at least three letters within WINDOW words of each span, outside all spans.
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """For each span a digest of its kind and lower-cased text, so that no personal data stands in intermediate tables."""
+    return [hashlib.blake2b(f"{kind}:{text[a:b].lower()}".encode(), digest_size=12).hexdigest() for kind, a, b in spans]
 
-    The entity is a digest of its kind and lower-cased text, so that no personal data stands in intermediate tables.
-    """
-    out, covered = [], []
-    for a, b in sorted((a, b) for _, a, b in spans):  # merged, to be searched by bisection
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the runs of at least three letters that no span touches, in order; terms are lower-cased."""
+    covered: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
         if covered and a <= covered[-1][1]:
             covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
         else:
             covered.append((a, b))
-    for kind, a, b in spans:
-        entity = hashlib.blake2b(f"{kind}:{text[a:b].lower()}".encode(), digest_size=12).hexdigest()
-        left, right = a, b
-        for _ in range(WINDOW):  # a word is at most 64 characters of the context, whatever its length
-            while left > 0 and left > a - 64 * WINDOW and text[left - 1].isspace():
-                left -= 1
-            while left > 0 and left > a - 64 * WINDOW and not text[left - 1].isspace():
-                left -= 1
-            while right < len(text) and right < b + 64 * WINDOW and text[right].isspace():
-                right += 1
-            while right < len(text) and right < b + 64 * WINDOW and not text[right].isspace():
-                right += 1
-        for x, y in ((left, a), (b, right)):
-            for m in _TERM.finditer(text, x, y):
-                k = bisect.bisect_left(covered, (m.end(), 0)) - 1  # the last span that starts before the term ends
-                if k < 0 or covered[k][1] <= m.start():
-                    out.append((entity, m[0].lower(), m.start(), m.end()))
+    out, k = [], 0
+    for m in _TERM.finditer(text):
+        while k < len(covered) and covered[k][1] <= m.start():
+            k += 1
+        if k == len(covered) or m.end() <= covered[k][0]:
+            out.append((m.start(), m.end(), m[0].lower()))
     return out
 
 
-FOUND = "base array<struct<kind:string,start:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>"
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
+    """The pairs of an entity and a term that is among the WINDOW terms before or behind one of its spans."""
+    terms, out = terms_of(text, spans), set()
+    starts, ends = [t[0] for t in terms], [t[1] for t in terms]
+    for (_, a, b), entity in zip(spans, entities(text, spans), strict=True):
+        before, behind = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        out.update((entity, t) for _, _, t in terms[max(0, before - WINDOW) : before] + terms[behind : behind + WINDOW])
+    return out
 
 
-def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in keep, base (spans of the patterns) and near (terms around them) of every row of docs."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [FOUND])
+def _tell(batches: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
+    """entity, term, n: how many texts of each batch give each pair; added up in the task, and handed on in parts."""
+    counts: Counter = Counter()
+    for b in batches:
+        for t in b["text"]:
+            if t:
+                counts.update(each(t))
+        if len(counts) > 100_000:
+            yield _frame(counts)
+            counts = Counter()
+    yield _frame(counts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keep].copy()
-            base = [base_spans(x) for x in batch[text]]
-            near = [contexts(x, b) if b else [] for x, b in zip(batch[text], base, strict=True)]
-            out["base"] = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in b] for b in base]
-            out["near"] = [[dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in b] for b in near]
-            yield out
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
+def _frame(counts: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"entity": pd.Series([e for e, _ in counts], dtype=object), "term": pd.Series([t for _, t in counts], dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
 
 
-def holders(docs: DataFrame, terms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """term, n_t: in how many of docs (text) each of terms stands. While terms are few they are sent to the texts, and a task
-    returns a number for each; beyond that the words of all texts are joined with them, and counted where that happens."""
-    if not small(terms, broadcast_rows):
-        words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
-        return docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))  # broadcast_rows bounds it
+_PAIRS = "entity string, term string, n long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, counts = shared.value, Counter()
-        for b in batches:
-            for t in b["text"]:
-                if t:
-                    counts.update(wanted.intersection(_TERM.findall(t.lower())))
-        yield pd.DataFrame({"term": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
 
-    return docs.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+def _by_entity(pairs: DataFrame) -> dict[str, frozenset[str]]:
+    """entity -> its terms, on the driver; only for pairs whose number is bounded."""
+    out = defaultdict(set)
+    for r in pairs.select("entity", "term").collect():
+        out[r["entity"]].add(r["term"])
+    return {e: frozenset(t) for e, t in out.items()}
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text: str = "text", support: int = SUPPORT, alpha: float = ALPHA, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """entity, term, pmi, ic of the terms that disclose an entity.
+def disclosing(docs: DataFrame, text: str = "text", support: int = SUPPORT, alpha: float = ALPHA, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """entity, term, pmi, ic of the terms that disclose an entity, from all texts of docs.
 
     With p(.) the share of documents, PMI(e, t) = log p(e, t) / (p(e) p(t)) and IC(e) = -log p(e); t discloses e if PMI >= IC /
-    alpha. p(e, t) counts documents with t in a context of e. p(t) counts documents with t anywhere, over all texts, for the
-    terms that have enough support.
+    alpha. Terms that stand in a context of e in support documents are judged; all counts are of whole documents: p(e, t) of those
+    that hold e and, anywhere outside spans, t. While the pairs to judge are few they are sent to the texts, so that only those
+    are handed on; beyond that all pairs are, and the join sorts them out. The results are the same.
     """
-    each = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    pairs = durable(each.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
-    of_entity = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = durable(pairs.select("term").distinct())
-    n_t = holders(docs.select(F.col(text).alias("text")), terms, broadcast_rows)
-    total = docs.agg(F.count("*").alias("n"))
-    ic = -F.log(F.col("n_e") / F.col("n"))
-    pmi = F.log(F.col("n_et") * F.col("n") / (F.col("n_e") * F.greatest(F.coalesce("n_t", F.lit(0)), "n_et")))
+    texts = docs.select(F.col(text).alias("text"))
+
+    def near(t: str) -> set[tuple[str, str]]:
+        spans = base_spans(t)
+        return contexts(t, spans) | {(e, "") for e in entities(t, spans)} if spans else set()
+
+    around = durable(texts.mapInPandas(lambda b: _tell(b, near), _PAIRS).groupBy("entity", "term").agg(F.sum("n").alias("n")))
+    pairs = durable(around.where((F.col("term") != "") & (F.col("n") >= support)).select("entity", "term"))
+    few = small(pairs, broadcast_rows)
+    wanted = _by_entity(pairs) if few else None
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, frozenset().union(*wanted.values())) if few else None)  # broadcast_rows bounds it
+
+    def hold(t: str) -> set[tuple[str, str]]:
+        spans, given = base_spans(t), shared.value
+        own = {x for _, _, x in terms_of(t, spans)} if spans else {x.lower() for x in set(_TERM.findall(t))}
+        if given is None:
+            return {("", x) for x in own} | {(e, x) for e in set(entities(t, spans)) for x in own}
+        by_entity, terms = given
+        own &= terms
+        return {("", x) for x in own} | {(e, x) for e in set(entities(t, spans)) if e in by_entity for x in by_entity[e] & own}
+
+    counted = texts.mapInPandas(lambda b: _tell(b, hold), _PAIRS).join(F.broadcast(_both(pairs)) if few else _both(pairs), ["entity", "term"], "left_semi")
+    counts = durable(counted.groupBy("entity", "term").agg(F.sum("n").alias("n")))
+    n_e = around.where("term = ''").select("entity", F.col("n").alias("n_e"))
+    n_t = counts.where("entity = ''").select("term", F.col("n").alias("n_t"))
+    total = texts.agg(F.count("*").alias("all"))
+    ic = -F.log(F.col("n_e") / F.col("all"))
+    pmi = F.log(F.col("n") * F.col("all") / (F.col("n_e") * F.col("n_t")))
     return (
-        pairs.join(of_entity, "entity").join(n_t, "term", "left").crossJoin(F.broadcast(total))  # total is one row
+        counts.where("entity <> ''").join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(total))  # total is one row
         .withColumn("pmi", pmi).withColumn("ic", ic).where(F.col("pmi") >= F.col("ic") / alpha - 1e-9).select("entity", "term", "pmi", "ic")
     )
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    """pairs, and each of their terms with the entity "" that stands for all documents."""
+    return pairs.unionByName(pairs.select(F.lit("").alias("entity"), "term").distinct())
+
+
+FOUND = "base array<struct<kind:string,start:int,end:int>>, terms array<struct<start:int,end:int>>"
+
+
+def _spans(base, terms) -> dict:
+    return {"base": [dict(zip(("kind", "start", "end"), x, strict=True)) for x in base], "terms": [{"start": a, "end": b} for a, b in terms]}
+
+
+def _found(docs: DataFrame, text: str, **options) -> DataFrame:
+    """mine (a struct of all columns of docs), base and terms of every row of docs."""
+    broadcast_rows = options.get("broadcast_rows", BROADCAST_ROWS)
+    strong = durable(disclosing(docs, text, **options).select("entity", "term"))
+    rows = docs.select(F.struct(*docs.columns).alias("mine"), F.col(text).alias("text"))
+    if small(strong, broadcast_rows):
+        shared = docs.sparkSession.sparkContext.broadcast(_by_entity(strong))  # broadcast_rows bounds it
+
+        @F.pandas_udf(FOUND)
+        def find(texts: pd.Series) -> pd.DataFrame:
+            out = []
+            for t in texts:
+                base = base_spans(t)
+                told = frozenset().union(*(shared.value.get(e, ()) for e in set(entities(t, base)))) if base else ()
+                out.append(_spans(base, [(a, b) for a, b, x in terms_of(t, base) if x in told] if told else ()))
+            return pd.DataFrame(out, columns=["base", "terms"])
+
+        return rows.select("mine", find("text").alias("found")).select("mine", "found.*")
+
+    @F.pandas_udf("entities array<string>, terms array<string>")
+    def held(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            base = base_spans(t)
+            out.append({"entities": sorted(set(entities(t, base))), "terms": sorted({x for _, _, x in terms_of(t, base)}) if base else []} if base else {"entities": [], "terms": []})
+        return pd.DataFrame(out, columns=["entities", "terms"])
+
+    rows = durable(rows.select("mine", "text", F.monotonically_increasing_id().alias("row"), held("text").alias("held")))
+    pairs = rows.select("row", F.explode("held.entities").alias("entity"), F.col("held.terms").alias("terms")).select("row", "entity", F.explode("terms").alias("term"))
+    told = pairs.join(strong, ["entity", "term"], "left_semi").groupBy("row").agg(F.collect_set("term").alias("told"))
+
+    @F.pandas_udf(FOUND)
+    def mark(texts: pd.Series, told: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, own in zip(texts, told, strict=True):
+            base = base_spans(t)
+            own = frozenset(own) if own is not None else ()
+            out.append(_spans(base, [(a, b) for a, b, x in terms_of(t, base) if x in own] if own else ()))
+        return pd.DataFrame(out, columns=["base", "terms"])
+
+    return rows.join(told, "row", "left").select("mine", mark("text", "told").alias("found")).select("mine", "found.*")
+
+
 def detect(docs: DataFrame, keep: list[str], text: str = "text", **options) -> DataFrame:
     """The columns in keep, base and terms (spans of kind "term") of every row of docs.
 
     Null and empty texts have no spans; every occurrence is a span, also in repeated rows; without an entity in any document, or
-    in an empty table, there are no terms. Terms are marked where they stand in the context of an entity that they disclose.
+    in an empty table, there are no terms. A term that discloses an entity is marked wherever it stands in a document that holds
+    the entity, outside base spans. Texts are searched whole, in time in proportion to their length. Columns in keep that are
+    called base or terms are replaced; other names don't matter.
     """
-    found = durable(find(docs, keep, text).withColumn("_row", F.monotonically_increasing_id()))
-    strong = durable(disclosing(found.where(F.size("near") > 0), docs, text, **options).select("entity", "term"))
-    near = found.where(F.size("near") > 0).select("_row", F.explode("near").alias("x")).select("_row", "x.*")
-    marked = (
-        near.join(F.broadcast(strong) if small(strong) else strong, ["entity", "term"], "left_semi")
-        .groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    )
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return found.drop("near").join(marked, "_row", "left").withColumn("terms", F.coalesce("terms", empty)).drop("_row")
+    mine = [c for c in dict.fromkeys(keep) if c not in ("base", "terms")]
+    found = _found(docs.select(*dict.fromkeys([*keep, text])), text, **options)
+    return found.select(*[F.col("mine")[c].alias(c) for c in mine], "base", "terms")
 
 
 def render(found: DataFrame) -> DataFrame:
@@ -196,9 +260,9 @@ def render(found: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with every base span in text generalised to its kind in brackets, and every disclosing term removed ("[term]").
 
-    Overlapping spans are replaced as one, under the first one's kind; null texts stay null; other columns stay as they are.
+    Overlapping spans are replaced as one, under the first one's kind; null texts stay null; other columns stay as they are,
+    whatever their names; repeated rows are rewritten alike, and an empty table stays empty.
     """
-    columns = docs.columns
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -215,5 +279,5 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
             out.append("".join(parts) + t[done:])
         return pd.Series(out, dtype=object)
 
-    found = render(detect(docs, columns, text, **options))
-    return found.withColumn(text, rewrite(F.col(text), F.col("spans"))).select(*columns)
+    found = render(_found(docs, text, **options))
+    return found.select(*[rewrite(F.col("mine")[c], F.col("spans")).alias(c) if c == text else F.col("mine")[c].alias(c) for c in docs.columns])
