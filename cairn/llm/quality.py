@@ -1,4 +1,8 @@
-"""Quality rules: base rules on each text, then robust multivariate outliers per language and source."""
+"""Quality rules: base rules on each text, then robust multivariate outliers per language and source.
+
+The estimates are minimum covariance determinants (Rousseeuw and Van Driessen 1999) from deterministic starts (Hubert, Rousseeuw
+and Verdonck 2012), with a fixed diagonal added to every scatter (after Boudt and others 2020).
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import durable, maybe_broadcast, mix64, word_hashes
+from cairn.llm.common import BROADCAST_ROWS, durable, mix64, small, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: The share of a group that the determinant is minimised over, and the tail of chi-square beyond which a document is an outlier.
 SHARE, TAIL = 0.75, 1e-4
-#: Groups of fewer documents are pooled with the other small sources of their language; pools of fewer aren't judged.
-MIN_GROUP = 50
-STEPS = 5
+#: A group's estimate is drawn towards that of its language as if so many documents more had been seen, and a language's towards
+#: that of all documents. So small groups are judged too, and nothing changes at any size.
+SHRINK = 50
+#: Concentration steps from every start, after which a group goes on from the one with the least determinant; steps at most; and
+#: the fall of the logarithm of the determinant that ends them.
+TRIAL_STEPS, MOST_STEPS, FALL = 2, 30, 1e-6
+#: Counts of distances are kept in so many bins for each factor of e.
+BINS = 64
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -52,19 +61,16 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
-def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in keep, the base counts, n_lines and base_failed of every row of docs, which have text."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"{c} long" for c in [*BASE, "n_lines"]])
+def measure(text: Column) -> Column:
+    """A struct of the base counts and n_lines of a whole text; all 0 for null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keep].copy()
-            out[BASE] = np.array([base_counts(x) for x in batch["text"]], np.int64).reshape(-1, 5)
-            out["n_lines"] = [x.count("\n") + 1 if x else 0 for x in batch["text"]]
-            yield out
+    @F.pandas_udf(", ".join(f"{c} long" for c in [*BASE, "n_lines"]))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame(np.array([base_counts(x) for x in texts], np.int64).reshape(-1, 5), columns=BASE)
+        out["n_lines"] = [x.count("\n") + 1 if x else 0 for x in texts]
+        return out
 
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, schema).withColumn("base_failed", failed)
+    return run(text)
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -94,75 +100,147 @@ FLOORS = (0.3, 0.1, 0.02, 0.1, 0.1)
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _distance(center: str = "center", inverse: str = "inverse"):
+_SUMS = [*[f"m{i}" for i in range(P)], *[f"q{i}{j}" for i, j in _PAIRS]]
+ESTIMATE = "cell string, start string, n long, center array<double>, scatter array<double>, inverse array<double>, logdet double"
+
+
+def _distance(center: str = "center", inverse: str = "inverse") -> Column:
     """The squared Mahalanobis distance of x0.. from the group's center."""
     d = [F.col(f"x{i}") - F.col(center)[i] for i in range(P)]
     return sum(((1 if i == j else 2) * F.col(inverse)[i * P + j] * d[i] * d[j] for i, j in _PAIRS), F.lit(0.0))
 
 
-def _invert(moments: DataFrame, factor: float) -> DataFrame:
-    """cell, center, inverse from the means and mean products of each cell's chosen half; a row a cell."""
+def _square(row, prefix: str) -> np.ndarray:
+    c = np.zeros((P, P))
+    for i, j in _PAIRS:
+        c[i, j] = c[j, i] = getattr(row, f"{prefix}{i}{j}")
+    return c
+
+
+def _estimate(cell, start, n: int, center: np.ndarray, scatter: np.ndarray) -> tuple:
+    return cell, start, int(n), center.tolist(), scatter.ravel().tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])
+
+
+_COLUMNS = ["cell", "start", "n", "center", "scatter", "inverse", "logdet"]
+
+
+def starts(rows: DataFrame, joined) -> DataFrame:
+    """ESTIMATE: four starts for each cell of rows (cell, x0..), from medians and median deviations, and sums over scaled values.
+
+    "diagonal" takes only the scales; "classical" the means and covariance of all rows; "tanh" the covariance of the scaled
+    values' hyperbolic tangents; "signs" that of their directions.
+    """
+    median = durable(rows.groupBy("cell").agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"c{i}") for i in range(P)]))
+    off = rows.join(joined(median), "cell")
+    spread = durable(off.groupBy("cell").agg(*[F.first(f"c{i}").alias(f"c{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5).alias(f"s{i}") for i in range(P)]))
+    scale = lambda i: F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2)
+    z = rows.join(joined(spread), "cell").withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"c{i}")) / scale(i) for i in range(P)})
+    z = z.withColumns({"r": sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0)), **{f"t{i}": F.tanh(f"z{i}") for i in range(P)}})
+    both = lambda a, i, j: F.col(f"{a}{i}") * F.col(f"{a}{j}")
+    sums = z.groupBy("cell").agg(
+        F.count("*").alias("n"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(P)], *[F.first(scale(i)).alias(f"s{i}") for i in range(P)],
+        *[F.avg(f"{a}{i}").alias(f"{a}{i}") for a in "zt" for i in range(P)], *[F.avg(both(a, i, j)).alias(f"{a}{a}{i}{j}") for a in "zt" for i, j in _PAIRS],
+        *[F.avg(F.when(F.col("r") > 0, both("z", i, j) / F.col("r")).otherwise(0.0)).alias(f"g{i}{j}") for i, j in _PAIRS])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                of = lambda a: np.array([getattr(r, f"{a}{i}") for i in range(P)])  # noqa: B023, E731
+                c, s, least = of("c"), of("s"), 0.05 * np.eye(P)
+                shapes = {"diagonal": np.eye(P), "classical": _square(r, "zz") - np.outer(of("z"), of("z")) + least, "tanh": _square(r, "tt") - np.outer(of("t"), of("t")) + least, "signs": P * _square(r, "g") + least}
+                out += [_estimate(r.cell, name, r.n, c + s * of("z") if name == "classical" else c, shape * np.outer(s, s)) for name, shape in shapes.items()]
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    return sums.mapInPandas(run, ESTIMATE)
+
+
+def concentrate(rows: DataFrame, now: DataFrame, share: float, joined) -> DataFrame:
+    """ESTIMATE after a concentration step: the mean and scatter of the share of each cell that is nearest to the estimate in now.
+
+    Rows are added up by bins of their distance, where they are, and the nearest bins are taken until they hold the share: one
+    pass, in which no row is moved, and a cell of any size is spread over all tasks.
+    """
+    factor = share / chi2_cdf(chi2_quantile(share, P), P + 2)  # makes the scatter of the nearest consistent for normal data
+    binned = rows.join(joined(now), "cell").withColumn("bin", F.floor(F.log(_distance() + F.lit(1e-6)) * BINS))
+    sums = binned.groupBy("cell", "start", "bin").agg(F.count("*").alias("k"), *[F.sum(f"x{i}").alias(f"m{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
+    by = W.partitionBy("cell", "start")
+    nearer = F.coalesce(F.sum("k").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    near = sums.withColumn("nearer", nearer).withColumn("n", F.sum("k").over(by)).where(F.col("nearer") < share * F.col("n"))
+    total = near.groupBy("cell", "start").agg(F.first("n").alias("n"), F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in _SUMS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            out = []
             for r in b.itertuples(index=False):
-                m = np.array([getattr(r, f"m{i}") for i in range(P)])
-                c = np.zeros((P, P))
-                for i, j in _PAIRS:
-                    c[i, j] = c[j, i] = factor * (getattr(r, f"q{i}{j}") - m[i] * m[j])
-                rows.append((r.cell, m.tolist(), np.linalg.inv(c + np.diag(np.square(FLOORS))).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["cell", "center", "inverse"])
+                m = np.array([getattr(r, f"m{i}") for i in range(P)]) / r.k
+                out.append(_estimate(r.cell, r.start, r.n, m, factor * (_square(r, "q") / r.k - np.outer(m, m)) + np.diag(np.square(FLOORS))))
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return moments.mapInPandas(run, "cell string, center array<double>, inverse array<double>")
+    return total.mapInPandas(run, ESTIMATE)
 
 
-def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """A minimum-covariance-determinant estimate for each cell of rows (cell, x0..): cell, center, inverse scatter.
+def fit(rows: DataFrame, share: float = SHARE, few: bool = False) -> DataFrame:
+    """ESTIMATE: the minimum covariance determinant of each cell of rows (cell, x0..). few: whether a row a cell may be broadcast.
 
-    The start is the medians with the floors as scatter; each concentration step takes the share of a cell that is nearest in
-    Mahalanobis distance and takes its mean and covariance, made consistent for normal data, for the next. Every row takes
-    part in every step: the cut comes from counts of distances in narrow bins, a few hundred a cell, and means and products
-    are added up where the rows are, so a cell of any size is spread over all tasks.
+    Every start makes TRIAL_STEPS concentration steps; the one with the least determinant goes on until no cell's determinant
+    falls any more. Of equal determinants the start that comes first by name is taken. All rows take part in every step.
     """
-    factor = share / chi2_cdf(chi2_quantile(share, P), P + 2)
-    start = rows.groupBy("cell").agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in range(P)])
-    spread = [F.col("cell"), F.array(*[f"m{i}" for i in range(P)]).alias("center"), F.array(*[F.lit(float(i == j) / FLOORS[i] ** 2) for i in range(P) for j in range(P)]).alias("inverse")]
-    cells = durable(start.select(*spread))
-    for _ in range(steps):
-        measured = rows.join(maybe_broadcast(cells), "cell").withColumn("bin", F.floor(F.log(_distance() + F.lit(1e-6)) * 32))
-        order = W.partitionBy("cell").orderBy("bin")
-        cut = (
-            measured.groupBy("cell", "bin").agg(F.count("*").alias("n"))
-            .withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(W.partitionBy("cell")))
-            .where(F.col("upto") >= share * F.col("all")).groupBy("cell").agg(F.min("bin").alias("cut"))
-        )
-        near = measured.join(maybe_broadcast(durable(cut)), "cell").where("bin <= cut")
-        moments = near.groupBy("cell").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(P)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
-        cells = durable(_invert(moments, factor))
-    return cells
-
-
-def judge(docs: DataFrame, keep: list[str], min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
+    joined = F.broadcast if few else (lambda t: t)
+    now = durable(starts(rows, joined))
+    for _ in range(TRIAL_STEPS):
+        now = durable(concentrate(rows, now, share, joined))
+    best = F.min_by(F.struct(*_COLUMNS[1:]), F.struct("logdet", "start")).alias("best")
+    now = durable(now.groupBy("cell").agg(best).select("cell", "best.*"))
+    for _ in range(MOST_STEPS - TRIAL_STEPS):
+        then = durable(concentrate(rows, now, share, joined))
+        both = now.join(joined(then.select("cell", F.col("logdet").alias("new"))), "cell")
+        if both.where(F.col("logdet") - F.col("new") > FALL).isEmpty():
+            break
+        now = durable(now.unionByName(then).groupBy("cell").agg(best).select("cell", "best.*"))
+    return now
+
+
+def shrunk(groups: DataFrame, found: DataFrame, shrink: int = SHRINK) -> DataFrame:
+    """cell, center, inverse: each cell of groups (cell, wider, widest) drawn towards its wider cells, from what fit() found."""
+    of = lambda k: found.select(F.col("cell").alias(k), F.struct("n", "center", "scatter").alias(f"_{k}"))
+    all3 = groups.join(of("cell"), "cell").join(of("wider"), "wider").join(of("widest"), "widest").select("cell", *[F.col(f"_{k}").alias(k) for k in ("widest", "wider")], F.col("_cell").alias("own"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                center, scatter = (np.array(r.widest[k]) for k in ("center", "scatter"))
+                for level in (r.wider, r.own):
+                    w = level["n"] / (level["n"] + shrink)
+                    center, scatter = (w * np.array(level[k]) + (1 - w) * x for k, x in (("center", center), ("scatter", scatter)))
+                out.append((r.cell, center.tolist(), np.linalg.inv(scatter.reshape(P, P)).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["cell", "center", "inverse"])
+
+    return all3.mapInPandas(run, "cell string, center array<double>, inverse array<double>")
+
+
+def judge(docs: DataFrame, keep: list[str], tail: float = TAIL, shrink: int = SHRINK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The columns in keep (of docs, which have text, lang and source), the base counts, base_failed, distance and kept.
 
-    Rows that fail the base rules are rejected and take no part in the estimates. Of the others a row is rejected if its
-    squared distance from its language and source, in distance, is beyond the chi-square quantile of 1 - tail. Null languages
-    and sources are groups of their own. distance is null, and the row kept, where its group is too small to judge. A null or
-    empty text has no words and fails the base rules; repeated rows are judged alike; an empty table stays empty.
+    Rows that fail the base rules are rejected and take no part in the estimates; their distance is null. Of the others a row is
+    rejected if its squared distance from its language and source, in distance, is beyond the chi-square quantile of 1 - tail.
+    Every language and source is estimated from all its rows, and drawn towards its language, and that towards all documents, the
+    more the fewer rows it has; none is left out. Null languages and sources are groups of their own. A null or empty text has no
+    words and fails the base rules; texts are measured whole, whatever their length; repeated rows are judged alike; an empty
+    table stays empty. Columns in keep that are named like the added ones are replaced; other names don't matter.
     """
-    need = list(dict.fromkeys([*keep, "lang", "source"]))
-    rows = durable(measure(docs, need))
-    for name, sql in STATISTICS.items():
-        rows = rows.withColumn(name, F.expr(sql))
+    added = [*BASE, "base_failed", "distance", "kept"]
+    mine = [c for c in dict.fromkeys(keep) if c not in added]
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *mine).alias("mine"), F.to_json(F.array(name("lang"), name("source"))).alias("cell"), F.to_json(F.array(name("lang"))).alias("wider"), measure(F.col("text")).alias("found"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rows = durable(rows.select("mine", "cell", "wider", "found.*").withColumn("base_failed", failed)).withColumns({k: F.expr(v) for k, v in STATISTICS.items()}).withColumn("widest", F.lit("[]"))
     fair = rows.where("NOT base_failed")
-    lang, source = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    counts = fair.groupBy(lang.alias("l"), source.alias("s")).agg(F.count("*").alias("n"))
-    pooled = F.sum(F.when(F.col("n") < min_group, F.col("n"))).over(W.partitionBy("l"))
-    cell = F.when(F.col("n") >= min_group, F.to_json(F.struct("l", "s"))).when(pooled >= min_group, F.to_json(F.struct("l")))
-    groups = maybe_broadcast(durable(counts.select("l", "s", cell.alias("cell"))))
-    named = rows.withColumn("l", lang).withColumn("s", source).join(groups, ["l", "s"], "left").drop("l", "s")
-    cells = maybe_broadcast(fit(named.where("NOT base_failed AND cell IS NOT NULL").select("cell", *STATISTICS)))
-    out = named.join(cells, "cell", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    groups = durable(fair.select("cell", "wider", "widest").distinct())
+    few = small(groups, broadcast_rows // 8)  # each has estimates from four starts, and there are at most twice as many cells
+    found = fit(fair.select(F.explode(F.array("cell", "wider", "widest")).alias("cell"), *STATISTICS), few=few)
+    cells = durable(shrunk(groups, found, shrink))
+    out = rows.join(F.broadcast(cells) if few else cells, "cell", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(1 - tail, P)))
-    return out.select(*keep, *BASE, "base_failed", "distance", "kept")
+    return out.select(*[F.col("mine")[c].alias(c) for c in mine], *added)
