@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -65,3 +67,68 @@ def quality_counts(text):
             covered |= {i, i + 1, i + 2}
     dup = sum(1 for i, x in enumerate(lines) if WORD.search(x) and x in lines[:i])
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered)
+
+
+def _statistics(text):
+    n, chars, symbols, dup, repeat = quality_counts(text)
+    lines = text.count("\n") + 1 if text else 0
+    return np.array([np.log(1 + n), np.log((1 + chars) / (1 + n)), symbols / (1 + chars), dup / (1 + lines), repeat / (1 + n)])
+
+
+def _least_determinant(x, share, factor, floors):
+    """(n, center, scatter) of the rows of x, by concentration from four starts."""
+    low = lambda v: np.sort(v, axis=0)[-(-len(v) // 2) - 1]
+    c = low(x)
+    s = np.sqrt((1.4826 * low(np.abs(x - c))) ** 2 + floors**2)
+    z, p = (x - c) / s, x.shape[1]
+    t, r = np.tanh(z), (z**2).sum(1)
+    cov = lambda v: v.T @ v / len(v) - np.outer(v.mean(0), v.mean(0))
+    unit = z[r > 0] / np.sqrt(r[r > 0])[:, None]
+    shapes = {"classical": cov(z) + 0.05 * np.eye(p), "diagonal": np.eye(p), "signs": p * (unit.T @ unit) / len(z) + 0.05 * np.eye(p), "tanh": cov(t) + 0.05 * np.eye(p)}
+
+    def step(center, scatter):
+        d = x - center
+        bins = np.floor(np.log(np.einsum("ij,jk,ik->i", d, np.linalg.inv(scatter), d) + 1e-6) * 64)
+        order = np.sort(bins)
+        near = x[bins <= order[-(-int(np.ceil(share * len(x) * 1e9)) // 10**9) - 1]]
+        return near.mean(0), factor * cov(near) + np.diag(floors**2)
+
+    trials = []
+    for name, shape in shapes.items():
+        now = (c + s * z.mean(0) if name == "classical" else c), shape * np.outer(s, s)
+        for _ in range(2):
+            now = step(*now)
+        trials.append((np.linalg.slogdet(now[1])[1], name, now))
+    det, _, now = min(trials, key=lambda e: e[:2])
+    while True:
+        then = step(*now)
+        new = np.linalg.slogdet(then[1])[1]
+        if det - new <= 1e-6:
+            return len(x), *now
+        det, now = new, then
+
+
+def quality_distances(docs):
+    """doc_id -> squared distance, None for documents that fail the base rules."""
+    from cairn.llm import quality
+
+    floors, share = np.array(quality.FLOORS), quality.SHARE
+    factor = share / quality.chi2_cdf(quality.chi2_quantile(share, quality.P), quality.P + 2)
+    counts = {d["doc_id"]: quality_counts(d["text"]) for d in docs}
+    fair = [d for d in docs if counts[d["doc_id"]][0] >= 50 and 100 * counts[d["doc_id"]][4] <= 50 * counts[d["doc_id"]][0]]
+    x = {d["doc_id"]: _statistics(d["text"]) for d in fair}
+    held = defaultdict(list)
+    for d in fair:
+        for key in ((), (d["lang"],), (d["lang"], d["source"])):
+            held[key].append(x[d["doc_id"]])
+    found = {k: _least_determinant(np.array(v), share, factor, floors) for k, v in held.items()}
+    out = dict.fromkeys(counts)
+    for d in fair:
+        _, center, scatter = found[()]
+        for key in ((d["lang"],), (d["lang"], d["source"])):
+            n, m, c = found[key]
+            w = n / (n + quality.SHRINK)
+            center, scatter = w * m + (1 - w) * center, w * c + (1 - w) * scatter
+        off = x[d["doc_id"]] - center
+        out[d["doc_id"]] = float(off @ np.linalg.inv(scatter) @ off)
+    return out

@@ -66,6 +66,25 @@ def test_warc_shuffled_lookup(spark):
     assert plan.where("record_type = 'revisit' AND refers_to = 49").count() == 49
 
 
+def test_warc_long_payloads_and_damage(spark, tmp_path):
+    """Payloads of many ranges come back whole, ids are unique, and a payload that differs from its head is an error."""
+    import gzip
+    import hashlib
+
+    texts = [prose(k, 40_000) for k in range(4)] + ["small"] * 3 + [None]
+    pages = spark.createDataFrame([(k % 5, f"u{k}", t) for k, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    index = warc.write_warc(pages, str(tmp_path))
+    got = warc.read_warc(index, str(tmp_path), range_bytes=50_000, gap_bytes=10).collect()
+    want = sorted(((t or "").encode() for t in texts))
+    assert sorted(bytes(r.payload) for r in got) == want and all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.digest and len(r.payload) == r.payload_bytes for r in got)
+    rows = index.collect()
+    raw = [open(r.path, "rb").read()[r.offset : r.offset + r.length] for r in rows]
+    ids = {x for m in raw for x in gzip.decompress(m).decode().split("\r\n") if x.startswith("WARC-Record-ID")}
+    assert len(ids) == len(texts)
+    with pytest.raises(ValueError):
+        warc._parse(gzip.compress(gzip.decompress(raw[0]).replace(texts[0][:9].encode(), b"123456789")))
+
+
 # --- line dedup ---
 
 def test_line_dedup(spark):
@@ -122,6 +141,47 @@ def test_near_dedup_repeats_and_nulls(spark):
     assert near_dedup.find_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_drop_near_copies_by_row(spark):
+    """Rows are told apart by key and words: repeated and null keys lose no text and save no copy."""
+    far = [prose(40 + k, 60) for k in range(6)]
+    rows = [(9, far[0], 1), (9, far[1], 2), (4, far[1] + " x", 3), (None, far[0], 4), (None, far[2], 5), (None, far[2], 6), (5, far[3], 7), (5, far[3], 8), (6, far[3] + " y", 9),
+            (7, None, 10), (7, "", 11), (None, " ", 12), (8, far[4], 13), (8, far[4].upper(), 14), (None, far[5], 15), (3, far[5], 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").selectExpr("*", "'c' AS _digest", "1 AS _id", "2 AS root", "map('k', n) AS m")
+    got = near_dedup.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.n for r in got.collect()))
+    groups = [{1, 4}, {2, 3}, {5, 6}, {7, 8, 9}, {13, 14}, {15, 16}]
+    assert [len(g & set(kept)) for g in groups] == [1] * 6 and {10, 11, 12} <= set(kept) and len(kept) == 9
+    assert {1, 3, 16} <= set(kept) and kept == sorted(r.n for r in near_dedup.drop_near_copies(docs.repartition(3)).collect())
+    assert near_dedup.drop_near_copies(docs.limit(0)).count() == 0
+    want = {r.n: r.d for r in docs.select("n", near_dedup.words_digest(docs.text).alias("d")).collect()}
+    assert {n: d and bytes(d) for n, d in want.items()} == {r[2]: near_dedup.hashlib.md5(near_dedup.normalised(r[1])).digest() if near_dedup.normalised(r[1]) else None for r in rows}
+
+
+def test_registers_merge():
+    import numpy as np
+
+    h = np.random.default_rng(5).integers(0, 2**63, 5000).astype(np.uint64)
+    parts = np.stack([near_dedup.sketch(h[i::3]) for i in range(3)])
+    assert (near_dedup.merge(parts) == near_dedup.sketch(h)).all()
+
+
+def test_likelihood_is_as_exact_as_its_margin_needs():
+    """The margin of four standard errors rests on the estimate's mean and deviation near the threshold."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for j, percent in ((0.85, 85), (0.8, 80)):
+        got = []
+        for _ in range(300):
+            both, own = int(1000 * j), (1000 - int(1000 * j)) // 2
+            h = r.integers(0, 2**63, both + 2 * own).astype(np.uint64)
+            a, b = h[: both + own], np.concatenate([h[:both], h[both + own :]])
+            got.append(near_dedup.estimate(near_dedup.sketch(a)[None], near_dedup.sketch(b)[None], np.array([len(a)]), np.array([len(b)]))[0])
+        error = (j - near_dedup.plan(percent)[1]) / 4
+        assert abs(np.mean(got) - j) < 0.3 * error and np.std(got) < 1.2 * error and min(got) >= near_dedup.plan(percent)[1]
+
+
 def test_likelihood_estimate():
     import numpy as np
 
@@ -158,6 +218,47 @@ def test_language_id_cases(spark):
     assert langid.predict(test.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_language_features_by_block():
+    """Blocks neither lose nor repeat an n-gram, wherever a text is cut."""
+    import numpy as np
+
+    for n in (0, 1, 2, 3, 5, langid.BLOCK - 2, langid.BLOCK - 1, langid.BLOCK, langid.BLOCK + 1, langid.BLOCK + 3, 2 * langid.BLOCK + 1):
+        text = (prose(n, 9) + "  ") * (n // 20 + 1)
+        text = text[:n]
+        data = b"".join([b" ", text.encode(), b" "])
+        data = b" ".join(data.split()).join([b" ", b" "]) if text.split() else b" "
+        want = sorted((k, sum(c * 257 ** (m - 1 - i) for i, c in enumerate(data[j : j + m]))) for k, m in enumerate((2, 3, 4)) for j in range(len(data) - m + 1))
+        got = [f for f in langid.features(text)]
+        if any(c.isalpha() for c in text):
+            flat = np.concatenate(got)
+            assert len(flat) == len(want)
+            assert sorted(flat.tolist()) == sorted((((x + m) * 0x9E3779B1 & 0xFFFFFFFF) >> 17) + k * langid.CELLS for k, x in want for m in (k + 2,))
+        else:
+            assert got == []
+
+
+def test_many_languages(spark):
+    """More languages than any list has, and the fit against a dense one."""
+    import numpy as np
+
+    names = [f"l{i:03d}" for i in range(600)]
+    rows = [(i, f"{prose(i, 12)} {prose(i, 12)}", n, "a", 0) for i, n in enumerate(names)]
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    assert model.languages == names and model.code.shape[1] == model.weights.shape[1] < 200
+    few = spark.createDataFrame([(i, t, lang, "a", 0) for i, (_, t, _, _, _) in enumerate(rows[:30]) for lang in [f"x{i % 3}"]], DOCS)
+    model = langid.train(few)
+    counts = np.zeros((3, len(langid.ORDERS) * langid.CELLS))
+    for i, (_, t, _, _, _) in enumerate(rows[:30]):
+        for f in langid.features(t):
+            np.add.at(counts[i % 3], f, 1)
+    p = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1])
+    for bit, column in enumerate(model.code.T):
+        want = np.log(p[column > 0].mean(0)) - np.log(p[column < 0].mean(0))
+        assert np.abs(model.weights[:, bit] - want).max() < 1e-5
+    least = ((p @ model.weights) * model.code).min(0)
+    assert np.allclose(model.scale, 3 / least, rtol=1e-4)
+
+
 # --- personal data ---
 
 PIECES = ["a.b@c.de", "@", "x@y", "a@b.c@d.e", "é", "1.2.3.4", "999.1.1.1", "01.002.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (650) 555-0100", "+", "+1", " ", ".", "-", "%", "😀", "9" * 5000 + ".1.1.1"]
@@ -181,6 +282,44 @@ def test_pii(spark):
     assert pii.render(pii.detect(docs_of(spark, []), ["doc_id"])).count() == 0
 
 
+def test_pii_numbers_in_time():
+    import time
+
+    began = time.time()
+    for text in ("1" * 300_000, "1." * 150_000, "1.2.3." * 50_000, "+1 " + " " * 300_000, "a@" * 100_000, "x" * 300_000 + "@", "1 " * 150_000, "k@e.io," * 20_000 + "word " * 20):
+        pii.contexts(text, pii.base_spans(text))
+    assert time.time() - began < 20
+
+
+def brute_terms(texts):
+    """The marked terms by comparing every term with every entity, in plain Python."""
+    import math
+    from collections import Counter
+
+    base = [pii.base_spans(t) for t in texts]
+    near, n_e, n_t, n_et = Counter(), Counter(), Counter(), Counter()
+    for t, b in zip(texts, base, strict=True):
+        own, all_terms = set(pii.entities(t or "", b)), {x for _, _, x in pii.terms_of(t or "", b)}
+        near.update(pii.contexts(t or "", b))
+        n_e.update(own)
+        n_t.update(all_terms)
+        n_et.update((e, x) for e in own for x in all_terms)
+    n = len(texts)
+    told = {(e, x) for (e, x), k in near.items() if k >= pii.SUPPORT and math.log(n_et[e, x] * n / (n_e[e] * n_t[x])) >= math.log(n / n_e[e]) / pii.ALPHA - 1e-9}
+    return [[(a, b) for a, b, x in pii.terms_of(t or "", s) if any((e, x) in told for e in pii.entities(t or "", s))] for t, s in zip(texts, base, strict=True)]
+
+
+def test_pii_terms_equal_brute_force(spark):
+    """The same terms, marked at the same places, whether pairs are few enough to be sent or not; also far from the entity."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    texts += [f"Ma\u00f1ana\u00b2\u00b2 snoopy boss wrote to jo@ex.org on day{i} {prose(i, 40)} and snoopy left, \u0130STANBUL stra\u00dfe" for i in range(4)]
+    want = brute_terms(texts)
+    assert sum(map(len, want)) > 8
+    for rows in (200_000, 0):
+        got = {r.doc_id: [(x.start, x.end) for x in r.terms] for r in pii.detect(docs_of(spark, texts), ["doc_id"], broadcast_rows=rows).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_pii_on_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.personal_data(spark, SF).collect():
@@ -267,6 +406,32 @@ def test_quality(spark):
     assert quality.judge(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_quality_equals_plain_estimates(spark):
+    """kept and distance of all documents of sf0.01 against the estimates in plain numpy; every language and source is judged."""
+    sf = "/root/testdata/sf0.01"
+    docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute.quality_distances(docs)
+    got = {r.doc_id: r for r in quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"]).collect()}
+    assert len(got) == len(docs) and any(d is not None for d in want.values())
+    for i, d in want.items():
+        assert (got[i].distance is None) == (d is None) == got[i].base_failed
+        if d is not None:
+            assert got[i].distance == pytest.approx(d, rel=1e-5, abs=1e-7) and got[i].kept == (d <= quality.chi2_quantile(1 - quality.TAIL, quality.P))
+
+
+def test_quality_steps_lower_the_determinant(spark):
+    """A third of a group that lies apart does not draw the estimate to it, whatever start it hides from."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(0, 1, (400, 5)), r.normal(6, 0.3, (100, 5))])
+    rows = spark.createDataFrame([("c", *map(float, v)) for v in x], "cell string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    first = {e.start: e.logdet for e in quality.starts(rows, lambda t: t).collect()}
+    assert set(first) == {"diagonal", "classical", "tanh", "signs"}
+    (found,) = quality.fit(rows).collect()
+    assert found.n == 500 and np.abs(np.array(found.center)).max() < 0.5 and found.logdet < first["classical"]
+
+
 # --- toxicity ---
 
 TOXIC = ["blorg", "snarfle", "grumbix"]
