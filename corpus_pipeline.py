@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
 from cairn.llm.common import durable, table
 
+#: Documents are near copies from this similarity of their five-word shingles on.
+PERCENT = 80
 #: SQL cannot express the first stage's model, so there is no SQL for the rows of run().
 ORACLE_SQL = None
 
@@ -23,8 +25,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies, and documents without words."""
-    return near_dedup.drop_near_copies(docs).select(*docs.columns)
+    """Keeps one document, that with the smallest doc_id, of each group that PERCENT and more of shared shingles link, and all
+    documents without words. Rows are told apart by doc_id and words, so repeated and null ids lose no text."""
+    return near_dedup.drop_near_copies(docs, percent=PERCENT)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
