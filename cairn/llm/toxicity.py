@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -35,27 +35,23 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e",
 }
-_DISGUISE = re.escape("".join(LEET))
-_GAPS = ".-_*"
-#: A disguising character; a letter three times or more in a row; single letters set apart.
-_LEET = re.compile(f"[{_DISGUISE}]")
-_REPEATED = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(rf"(?<![^\s])(?:[^\W_]|[{_DISGUISE}])(?:[ {re.escape(_GAPS)}]{{1,3}}(?:[^\W_]|[{_DISGUISE}])){{3,}}(?![^\s.,;:!?])")
-#: The longest word that is decoded as one; longer runs are decoded in pieces of this length.
-LONGEST = 64
+#: What may be put between the letters of a word.
+GAPS = " .-_*"
+#: Steps of a lattice that are decoded behind the last one that a feature reaches; what follows cannot change how that is read.
+BEHIND = 64
 #: Sequences of two and of three characters that the character model holds, each: the most frequent ones, if there are more.
 #: Single characters are all held, so nothing that any text has is unknown.
 GRAMS = 300_000
 
 
-@dataclass
 class CharModel:
-    """Log probabilities of a character after the two before it, with backing off by interpolation; "^" starts a word, "$" ends it."""
+    """Log probabilities of a character after the two before it, with backing off by interpolation; "^" starts a word, "$" ends it.
+
+    Sequences are kept as arrays, which are small to hold and to send; a worker makes its dictionary when it first needs it.
+    """
 
-    three: dict[str, float] = field(default_factory=dict)
-    two: dict[str, float] = field(default_factory=dict)
-    one: dict[str, float] = field(default_factory=dict)
-    floor: float = -12.0
+    def __init__(self, grams: Sequence[str] = (), logs: Sequence[float] = (), floor: float = -12.0):
+        self.grams, self.logs, self.floor, self._table = np.array(grams, dtype="U3"), np.array(logs, np.float32), floor, None
 
     @classmethod
     def learn(cls, n1: Counter, n2: Counter, n3: Counter) -> CharModel:
@@ -67,71 +63,79 @@ class CharModel:
         one = {x: k / total for x, k in n1.items()}
         two = {x: 0.8 * k / (words if x[0] == "^" else n1[x[0]]) + 0.2 * one[x[1]] for x, k in n2.items()}
         three = {x: 0.8 * k / (words if x[:2] == "^^" else n2[x[:2]]) + 0.2 * two[x[1:]] for x, k in n3.items() if x[1:] in two and (x[:2] == "^^" or x[:2] in n2)}
-        log = lambda d, part: {x: math.log(part * p) for x, p in d.items()}
-        return cls(log(three, 1.0), log(two, 0.2), log(one, 0.04))
+        grams = [*three, *two, *one]
+        share = np.repeat([1.0, 0.2, 0.04], [len(three), len(two), len(one)])
+        return cls(grams, np.log(share * np.array([*three.values(), *two.values(), *one.values()])) if grams else ())
+
+    def __getstate__(self):
+        return self.__dict__ | {"_table": None}
+
+    def __contains__(self, gram: str) -> bool:
+        return gram in self.table()
+
+    def table(self) -> dict[str, float]:
+        if self._table is None:
+            self._table = dict(zip(self.grams.tolist(), self.logs.tolist(), strict=True))
+        return self._table
 
     def after(self, a: str, b: str, c: str) -> float:
-        got = self.three.get(a + b + c)
+        table = self.table()
+        got = table.get(a + b + c)
         if got is None:
-            got = self.two.get(b + c)
+            got = table.get(b + c)
         if got is None:
-            got = self.one.get(c, self.floor)
+            got = table.get(c, self.floor)
         return got
 
 
-def lattice(word: str) -> list[list[str]]:
-    """What each stretch of a disguised word may have been: readings of a character, one or two for a repeated one, and nothing
-    or a space for a gap between single letters."""
+def lattice(text: str) -> list[list[str]]:
+    """What each step of a stretch of text may have been: readings of a character, one or two for a repeated one, and nothing, or
+    the end of a word and the start of the next, for a run of gaps."""
     out, i = [], 0
-    spaced = bool(_SPACED.fullmatch(word))
-    while i < len(word):
-        c, j = word[i], i + 1
-        while j < len(word) and word[j] == c:
-            j += 1
-        if spaced and (c == " " or c in _GAPS):
-            while j < len(word) and (word[j] == " " or word[j] in _GAPS):
+    while i < len(text):
+        c, j = text[i], i + 1
+        if c in GAPS:
+            while j < len(text) and text[j] in GAPS:
                 j += 1
             out.append(["", "$^"])
         else:
+            while j < len(text) and text[j] == c:
+                j += 1
             reads = [*LEET.get(c, ""), c]
-            if j - i == 1:
-                out.append(reads)
-            elif j - i == 2:
-                out.append([r + r for r in reads] + [r for r in reads])
-            else:
-                out.append([r for r in reads] + [r + r for r in reads])
+            out.append(reads if j - i == 1 else [r + r for r in reads] + reads if j - i == 2 else reads + [r + r for r in reads])
         i = j
     return out
 
 
-#: Log costs of the channel: reading a disguise as itself though it stands in a word, and a repetition as two letters.
-KEEP_COST, DOUBLE_COST = 3.0, 0.7
-
+#: Log costs of the channel: reading a disguise as itself though it stands in a word, a repetition as two letters, two letters as
+#: one, and a gap as put into a word.
+KEEP_COST, DOUBLE_COST, SINGLE_COST, GAP_COST = 3.0, 0.7, 2.0, 5.0
 
-def decode(word: str, model: CharModel) -> str:
-    """The likeliest text behind a disguised stretch of a text; more than LONGEST characters are decoded in pieces."""
-    return "".join(_viterbi(word[i : i + LONGEST], model) for i in range(0, len(word), LONGEST))
 
-
-def _viterbi(word: str, model: CharModel) -> str:
-    """The likeliest text behind a disguised word, by Viterbi's algorithm over the two characters before each place."""
+def decode(text: str, model: CharModel) -> str:
+    """The likeliest text behind a stretch, by Viterbi's algorithm over its lattice: states are the two characters before a step."""
     states: dict[tuple[str, str], tuple[float, str]] = {("^", "^"): (0.0, "")}
-    for reads in [*lattice(word), ["$"]]:
+    for reads in [*lattice(text), ["$"]]:
         new: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        pair = len(reads[0]) == 2 and reads[0] != "$^"  # two letters as written
+        for (a, b), (score, done) in states.items():
             for r in reads:
                 s, x, y = score, a, b
-                if r and r[0] in LEET:
+                if not r:
+                    s -= GAP_COST
+                elif r[0] in LEET:
                     s -= KEEP_COST
-                if len(r) == 2 and r[0] == r[1]:
+                if len(r) == 2 and r[0] == r[1] and not pair:
                     s -= DOUBLE_COST
+                elif len(r) == 1 and pair:
+                    s -= SINGLE_COST
                 for c in r:
                     if c != "^":
                         s += model.after(x, y, c)
                     x, y = (("^", "^") if c == "^" else (y, c))
                 k = (x, y)
                 if k not in new or s > new[k][0]:
-                    new[k] = (s, text + r.replace("$^", " "))
+                    new[k] = (s, done + r.replace("$^", " "))
         states = new
     return max(states.values())[1].removesuffix("$")
 
@@ -139,30 +143,106 @@ def _viterbi(word: str, model: CharModel) -> str:
 _EDGES = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c.,;:!?\"'()[]{}<>#*%&/\\=~`^|_-"})
 
 
-def _leet_words(text: str) -> Iterator[str]:
-    """Words of letters and disguising characters that hold one of each side by side; marks that end a sentence don't count."""
-    done = 0
-    for m in _LEET.finditer(text):
-        if m.start() < done:
-            continue
-        a, b = m.start(), m.end()
-        while a > done and (text[a - 1].isalpha() or text[a - 1] in LEET):
-            a -= 1
-        while b < len(text) and (text[b].isalpha() or text[b] in LEET):
-            b += 1
-        done = b
-        word = text[a:b].rstrip("!|+")
-        if any(x.isalpha() for x in word) and any(x in LEET for x in word):
-            yield word
-
-
-def disguised(text: str) -> list[str]:
-    """The distinct stretches of a lower-cased text that look disguised."""
-    found = list(_leet_words(text))
-    if _REPEATED.search(text):
-        found += [w for w in text.translate(_EDGES).split() if _REPEATED.search(w)]
-    found += [m[0] for m in _SPACED.finditer(text)]
-    return list(dict.fromkeys(found))
+@functools.cache
+def _classes() -> np.ndarray:
+    """For every character the number of the class that all its readings are in, 1 for gaps, and 0 for what no word reaches over."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
+        if chr(c).isalnum():
+            out[c] = c
+    for c, reads in LEET.items():
+        out[ord(c)] = ord(reads[0])
+    out[[ord("l"), ord("|")]] = ord("i")  # 1 is read as either
+    out[[ord(c) for c in GAPS]] = 1
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@functools.cache
+def _leet_points() -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in LEET]] = True
+    return out
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Gate:
+    """Where a text may hold a feature in disguise.
+
+    All readings of a lattice's step are in one class, gaps may be read as nothing, and a repetition as one letter or two. So the
+    classes of a text, without gaps and repetitions, are the same whatever is read, and a text can only be read as holding a
+    feature where its classes hold the feature's, from the start of a word on. Nothing else needs to be decoded.
+    """
+
+    def __init__(self, features: list[str]):
+        begin, whole = defaultdict(set), defaultdict(set)  # by number of classes: hashes of features' beginnings, and of features
+        for f in features:
+            c = _classes()[_points(f.strip())]
+            c = c[c > 1]
+            h = 1
+            own = c[np.append(True, c[1:] != c[:-1])].tolist() if len(c) else []
+            for k, x in enumerate(own, 1):
+                h = (h * int(_ODD) + x) & 0xFFFFFFFFFFFFFFFF
+                begin[k].add(h)
+            whole[len(own)].add(h)
+        array = lambda d: {k: np.array(sorted(h), np.uint64) for k, h in d.items() if k}
+        self.begin, self.whole = array(begin), array(whole)
+
+    def stretches(self, low: str) -> Iterator[str]:
+        """The distinct stretches of a lower-cased text that some path reads as holding a feature, and that hold a disguising
+        character, a repetition or a gap where it does."""
+        points = _points(low)
+        c = _classes()[points]
+        at = np.flatnonzero(c != 1)  # all but gaps
+        if not len(at) or not self.begin:
+            return
+        c = c[at]
+        run = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (c[1:] == 0)))  # where a class other than the one before begins
+        classes = np.append(c[run], np.zeros(len(self.begin), np.uint32)).astype(np.uint64)
+        begins = (c > 0) & np.append(True, (np.diff(at) > 1) | (c[:-1] == 0))  # a word begins here
+        size = np.diff(np.append(run, len(c)))
+        odd = np.append(0, np.cumsum(np.logical_or.reduceat(_leet_points()[points[at]], run) | (size > 1)))
+        gaps = np.append(0, np.cumsum(np.append(False, np.diff(at[run]) != np.diff(run))))  # a gap before a run, or in the one before
+        start = np.flatnonzero(np.logical_or.reduceat(begins, run))
+        h, seen = np.ones(len(start), np.uint64), set()
+        for k in range(1, len(self.begin) + 1):
+            h = h * _ODD + classes[start + k - 1]
+            alive = _among(h, self.begin[k])
+            start, h = start[alive], h[alive]
+            if not len(start):
+                return
+            if k in self.whole:
+                hit = start[_among(h, self.whole[k])]
+                for i in hit[(odd[hit + k] > odd[hit]) | (gaps[hit + k] > gaps[hit + 1])].tolist():
+                    first = int(run[i])
+                    a = int(at[first + int(np.argmax(begins[first : first + size[i]]))])
+                    last = int(run[i + k - 1] + size[i + k - 1]) - 1
+                    stretch = low[a : _word_end(low, int(at[last]) + 1)].rstrip("!|+" + GAPS)
+                    if stretch and stretch not in seen:
+                        seen.add(stretch)
+                        yield stretch
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of h are in known, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _word_end(text: str, at: int) -> int:
+    """The end of the word that goes on at a place, BEHIND steps of its lattice further at most."""
+    left, before = BEHIND, text[at - 1]
+    while at < len(text) and text[at] not in GAPS and _classes()[ord(text[at])]:
+        if text[at] != before:
+            left, before = left - 1, text[at]
+            if not left:
+                break
+        at += 1
+    return at
 
 
 @dataclass
@@ -172,15 +252,16 @@ class Model:
     bias: float
     chars: CharModel
     machine: object = None
+    gate: Gate | None = None
     decoded: dict[str, str] = field(default_factory=dict)
 
-    def restore(self, word: str) -> str:
-        """decode(), with the latest words kept."""
-        got = self.decoded.get(word)
+    def restore(self, stretch: str) -> str:
+        """decode(), with the latest stretches kept."""
+        got = self.decoded.get(stretch)
         if got is None:
             if len(self.decoded) > 50_000:
                 self.decoded.clear()
-            got = self.decoded[word] = decode(word, self.chars)
+            got = self.decoded[stretch] = decode(stretch, self.chars)
         return got
 
     def find(self, text: str | None) -> Counter:
@@ -192,9 +273,16 @@ class Model:
             for i, f in enumerate(self.features):
                 self.machine.add_word(f, i)
             self.machine.make_automaton()
+            self.gate = Gate(self.features)
         low = text.lower()
-        restored = [self.restore(w) for w in disguised(low)]
-        plain = f" {low} {' '.join(restored)} ".translate(_EDGES)
+        plain = f" {low} ".translate(_EDGES)
+        restored = []
+        for stretch in self.gate.stretches(low):
+            got = self.restore(stretch)
+            if got.split() != stretch.translate(_EDGES).split():  # else it is in the text as written
+                restored.append(got)
+        if restored:
+            plain += f"  {'  '.join(restored)} "
         return Counter(i for _, i in self.machine.iter(plain))
 
     def score(self, text: str | None) -> float:
@@ -206,11 +294,15 @@ def word_counts(text: str | None) -> Counter:
     return Counter((text or "").lower().translate(_EDGES).split())
 
 
+#: Longer runs of letters are no words, and the character model does not learn from them.
+LONGEST_WORD = 64
+
+
 def trigrams(words: Counter) -> Counter:
     """How often each three characters stand in words of letters, with "^^" before each word and "$" behind it."""
     out = Counter()
     for w, k in words.items():
-        if w.isalpha() and len(w) <= LONGEST:
+        if w.isalpha() and len(w) <= LONGEST_WORD:
             s = f"^^{w}$"
             for i in range(len(s) - 2):
                 out[s[i : i + 3]] += k
@@ -229,7 +321,20 @@ def _parts(word: str) -> list[str]:
     return [f" {word[:k]}" for k in PREFIXES if k <= len(word)] + [f" {word} "]
 
 
-def fit(texts: list[tuple[Sequence[str], Sequence[int]]], toxic: np.ndarray, grams: tuple[int, Counter, Counter, Counter] | None = None) -> Model:
+class Texts(Sequence):
+    """Training texts: the distinct words of each, held as one string, and how often it has them."""
+
+    def __init__(self, words: list[str], counts: list[Sequence[int]]):
+        self.words, self.counts = words, counts
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __getitem__(self, i: int) -> tuple[list[str], Sequence[int]]:
+        return self.words[i].split(), self.counts[i]
+
+
+def fit(texts: Sequence[tuple[Sequence[str], Sequence[int]]], toxic: np.ndarray, grams: tuple[int, Counter, Counter, Counter] | None = None) -> Model:
     """A model from the distinct words of training texts, how often each has them, and the texts' labels.
 
     grams: what the character model learns from, as count_grams gives it for a corpus; by default that of the training texts.
@@ -371,7 +476,8 @@ def count_grams(texts: DataFrame, grams: int = GRAMS) -> tuple[int, Counter, Cou
     for k in (1, 2, 3):
         n = n3.groupBy(F.substring("gram", 4 - k, k).alias("gram")).agg(F.sum("n").alias("n")) if k < 3 else n3
         n = n.orderBy(F.desc("n"), "gram").limit(grams) if k > 1 else n  # Unicode bounds single characters
-        out.append(Counter({r["gram"]: r["n"] for r in n.collect()}))
+        got = n.toPandas()
+        out.append(Counter(dict(zip(got["gram"].tolist(), got["n"].tolist(), strict=True))))
     return size, *out
 
 
@@ -392,16 +498,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts = [word_counts(x) for x in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "key": batch["_key"].astype(str), "words": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "key": batch["_key"].astype(str), "words": [" ".join(c) for c in counts], "n": [list(c.values()) for c in counts]})
 
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     # about 2 * per_class rows of two integers: bounded by the parameter
-    got = texts.join(F.broadcast(chosen), "_key").mapInPandas(run, "toxic int, key string, words array<string>, n array<int>").toPandas().sort_values(["key", "toxic"])
-    return fit(list(zip(got["words"], got["n"], strict=True)), got["toxic"].to_numpy(), count_grams(docs.select(F.col(text).alias("text"))))
+    got = texts.join(F.broadcast(chosen), "_key").mapInPandas(run, "toxic int, key string, words string, n array<int>").toPandas().sort_values(["key", "toxic"])
+    return fit(Texts(got["words"].tolist(), got["n"].tolist()), got["toxic"].to_numpy(), count_grams(docs.select(F.col(text).alias("text"))))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with the score, from 0 to 1, of every text (null counts as empty) in a column that replaces one of that name."""
+    """docs with the score, from 0 to 1, of every text in a column that replaces one of that name; other names don't matter.
+
+    A null text counts as empty and gets the score of a text without features. Texts are searched whole, in time in proportion to
+    their length; what is decoded is the stretches that may hold a feature. Equal texts score alike, so repeated rows do; of
+    readings equally likely the alphabetically last is taken. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES and the character model's alphabet bound its size
 
     @F.pandas_udf("double")

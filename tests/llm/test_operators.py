@@ -483,7 +483,7 @@ def test_toxicity_characters_of_all_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, per_class=10)
-    assert "quo" in model.chars.three and toxicity.decode("quo1n", model.chars) == "quoin" and toxicity.decode("ha1l", model.chars) == "hall"
+    assert "quo" in model.chars and toxicity.decode("quo1n", model.chars) == "quoin" and toxicity.decode("ha1l", model.chars) == "hall"
     size, one, two, three = toxicity.count_grams(docs.select("text"))
     assert size == 80 and one["q"] == two["^q"] == three["quo"] == three["in$"] == 40 and one["$"] == 200
     few = toxicity.count_grams(docs.select("text"), grams=3)
@@ -493,11 +493,47 @@ def test_toxicity_characters_of_all_texts(spark):
 
 def test_toxicity_gaps():
     m = toxic_model()
-    for gap in (" ", *toxicity._GAPS, " - "):
+    for gap in (*toxicity.GAPS, " - "):
         for word in ("blorg", "snarfle"):
             assert m.score(f"{prose(999, 30)} {gap.join(word)} {prose(998, 30)}") >= 0.5, (gap, word)
     for other in "/:;<=>?[]^":
-        assert not toxicity._SPACED.search(other.join("blorg")), other
+        assert m.score(f"{prose(999, 30)} {other.join('blorg')} {prose(998, 30)}") < 0.5, other
+
+
+def test_toxicity_any_disguise():
+    """Doubling, single gaps, mixed disguises, and repetitions and gaps of any length."""
+    m = toxic_model()
+    for word in ("bllorg", "bl0rrg", "blo rg", "b-lorg", "bl.org", "b lo rg", "bl00rg", "bl" + "o" * 10 + "rg", "bl" + "o" * 63 + "rg", "bl" + "0" * 5000 + "rg", "b" + " " * 500 + "lorg",
+                 "b" * 70 + "l0rg", "$n4rf1e", "s n 4 r f l e", "sn-arf-le!", "grum8ix"):
+        assert m.score(f"{prose(999, 30)} {word}, {prose(998, 30)}") >= 0.5, word
+        assert m.score(word) >= 0.5, word
+    for text in (prose(996, 3000), "to be or not to be, 100 000 l' a b" * 50, "b", "b l", "bl", "zzz " * 1000, "1" * 100_000, "l1" * 50_000, "-" * 1000, "blorb blarg"):
+        assert m.score(text) < 0.5, text[:40]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["blorg", "b", "l", "0", "o", "rg", "1", "i", "!", "$", " ", ".", "-", ",", "\n", "x", "nn", "snar", "f1e", "é"]), max_size=14).map("".join))
+def test_gate_loses_nothing(text):
+    """Every feature that some path through the lattice of the text between hard ends reads is in one of the gate's stretches,
+    unless the text holds it as written."""
+    import itertools
+    import re
+
+    features = [" blor", " snarfle ", " lil"]
+    gate = toxicity.Gate(features)
+    stretches = [p for s in gate.stretches(text) for p in read_all(s)]
+    plain = f" {text.translate(toxicity._EDGES)} "
+    for part in re.split(r"[,\n]", text):
+        for read in itertools.islice(read_all(part.strip("!|+" + toxicity.GAPS)), 3000):
+            for f in features:
+                if f in f" {read} " and f not in plain:
+                    assert any(f.strip() in x for x in stretches), (f, read)
+
+
+def read_all(text):
+    import itertools
+
+    return ("".join(p).replace("$^", " ") for p in itertools.product(*toxicity.lattice(text)))
 
 
 def test_leaks_in_part_and_shifted():

@@ -32,7 +32,7 @@ def test_pipeline_takes_effect(spark):
     assert all(out.columns == before.columns for _, before, out in kept[:-1])
     (_, a, b), (_, _, c), (_, _, d), (_, _, e), (_, _, f) = kept
     assert 0.5 * a.count() < b.count() <= a.count() and b.count() == c.count()
-    want, _ = brute.near_components({r.doc_id: r.text for r in c.collect()})
+    want, _ = brute.near_components({r.doc_id: r.text for r in c.collect()}, 80)
     assert {r.doc_id for r in d.collect()} == {i for i in want if want[i] == i}
     leaked = {r.doc_id for r in decontaminate.leaks(d, table(spark, SF, "benchmark")).collect()}
     assert {r.doc_id for r in e.collect()} == {r.doc_id for r in d.collect()} - leaked
