@@ -1,4 +1,4 @@
-"""Benchmark decontamination with spaced seeds."""
+"""Benchmark decontamination with spaced seeds: the seeds of items and of texts are joined, and the places that meet are verified."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import mix64, word_hashes
+from cairn.llm.common import BROADCAST_ROWS, durable, free_names, maybe_broadcast, mix64, small, word_hashes
 
 #: Positions of a window that are hashed (1) or ignored (0). Windows that differ only where a mask has 0 still meet.
 MASKS = ("110100110101", "101101001011", "111001010011", "11111111")
@@ -19,10 +19,13 @@ MASKS = ("110100110101", "101101001011", "111001010011", "11111111")
 OVERLAP = 0.8
 #: A part of an item counts too, if it has at least this share of the item's words, and this many.
 PART, PART_WORDS = 0.6, 13
-#: Items of fewer words are too common to tell leaks from chance and are not searched for.
+#: Items of fewer words stand in prose by chance. They are found exactly: where a line of a text has their words and no others.
 MIN_WORDS = 5
-#: Words of benchmark items that one pass over the texts searches for; more are searched for in further passes.
-BLOCK_WORDS = 250_000
+#: Items of at most so many words have too few windows for the masks alone.
+SHORT = 30
+#: The table of which seeds may be an item's has this many places for each seed, as a power of two, and at most 2 ** MOST_BITS
+#: (16 MB) in all: beyond that it lets more windows through, which the join sorts out.
+SPARE_BITS, MOST_BITS = 8, 27
 _GAP = np.zeros(256, bool)
 _GAP[[c for c in range(128) if not chr(c).isalnum()]] = True
 
@@ -54,140 +57,213 @@ def _in_order(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return int(row[-1]), int(np.searchsorted(row, row[-1]))
 
 
-class Index:
-    """The seeds of a block of benchmark items, sorted, with the item and position of each."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids, self.words, masks = [], [], []
-        for item_id, text in items:
-            w = tokens(text)
-            if len(w) >= MIN_WORDS:
-                self.ids.append(item_id)
-                self.words.append(w)
-                masks.append({m for m in MASKS if len(m) <= len(w)})
-                if len(w) <= 30:  # too few windows for the masks: a run of words this long is left whatever words are substituted
-                    other = len(w) - math.ceil(OVERLAP * len(w))
-                    masks[-1].add("1" * math.ceil((len(w) - other) / (other + 1)))
-        self.masks = sorted(set().union(*masks))
-        parts = [(_seeds(w, m), k) for k, w in enumerate(self.words) for m in sorted(masks[k])]
-        self.seed = np.concatenate([s for s, _ in parts]) if parts else np.zeros(0, np.uint64)
-        self.item = np.concatenate([np.full(len(s), k) for s, k in parts]) if parts else np.zeros(0, int)
-        self.at = np.concatenate([np.arange(len(s)) for s, _ in parts]) if parts else np.zeros(0, int)
-        order = np.argsort(self.seed, kind="stable")
-        self.seed, self.item, self.at = self.seed[order], self.item[order], self.at[order]
-        # most windows of a text meet no seed: a table of the seeds' top bits sorts those out
-        self.shift = np.uint64(64 - min(24, max(12, len(self.seed).bit_length() + 4)))
-        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.maybe[self.seed >> self.shift] = True
-
-    def find(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """item_id, words matched, words of the item, and the first and last word of the match, for each item found in a text."""
-        words = tokens(text)
-        if not len(words) or not len(self.seed):
-            return []
-        tried: set[tuple[int, int]] = set()
-        for mask in self.masks:
-            s = _seeds(words, mask)
-            at = np.flatnonzero(self.maybe[s >> self.shift])
-            if len(at):
-                low, high = (np.searchsorted(self.seed, s[at], side) for side in ("left", "right"))
-                for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                    for k in range(a, b):
-                        tried.add((int(self.item[k]), p - int(self.at[k])))
-        best: dict[int, tuple] = {}
-        for k, shift in tried:
-            item = self.words[k]
-            a, b = max(0, -shift), min(len(item), len(words) - shift)
-            same = int((item[a:b] == words[shift + a : shift + b]).sum()) if b > a else 0
-            if same >= OVERLAP * len(item) and (k not in best or (same, -shift) > best[k][:2]):
-                best[k] = (same, -shift, a - (-shift), b - (-shift) - 1)
-        near: dict[int, list[int]] = {}
-        for k, shift in tried:
-            if k not in best:
-                near.setdefault(k, []).append(shift)
-        for k, shifts in near.items():
-            got = self._around(self.words[k], words, sorted(shifts))
-            if got:
-                best[k] = got
-        return sorted((self.ids[k], n, len(self.words[k]), a, b) for k, (n, _, a, b) in best.items())
-
-    def _around(self, item: np.ndarray, words: np.ndarray, shifts: list[int]) -> tuple[int, int, int, int] | None:
-        """The best place of an item, or of a part of it, around hits on these diagonals, none of which has the item whole.
-
-        Diagonals that are no further apart than the words an item may lack are judged together, in the words that the item can
-        stand in on any of them; so a long text of many hits costs only what its hits do.
-        """
-        other = len(item) - math.ceil(OVERLAP * len(item))
-        need = min(math.ceil(OVERLAP * len(item)), max(PART_WORDS, math.ceil(PART * len(item))))
-        best, first = None, None
-        for i, shift in enumerate(shifts):
-            first = shift if first is None else first
-            if i + 1 < len(shifts) and shifts[i + 1] - first <= other:
-                continue
-            low, high = max(0, first - other), min(len(words), shift + len(item) + other)
-            first, there = None, words[low:high]
-            if int(np.isin(item, there).sum()) < need:
-                continue
-            n, end = _in_order(item, there)
-            if n >= need and (best is None or n > best[0]):
-                _, size = _in_order(item[::-1], there[:end][::-1])
-                best = (n, 0, low + end - size, low + end - 1)
-        return best
-
-
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items of the benchmark, read one after the other, in blocks of about block_words words."""
-    block, n = [], 0
-    for r in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").toLocalIterator():
-        block.append((r["i"], r["t"]))
-        n += len(r["t"].split())
-        if n >= block_words:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def masks_of(n: int) -> list[str]:
+    """The masks under which an item of n words is looked for: those of MASKS that fit, and, for a short item, ones that some window
+    of it is left whole under, whatever words are substituted, as long as OVERLAP of them are left."""
+    out = [m for m in MASKS if len(m) <= n]
+    if n == 5:
+        return ["111", "11011"]  # one word may be other: the middle one, or three in a row are left
+    if n <= SHORT:
+        other = n - math.ceil(OVERLAP * n)
+        out.append("1" * math.ceil((n - other) / (other + 1)))
+    return sorted(set(out))
+
+
+def _line_seeds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The first word's place and the hash of every line of fewer than MIN_WORDS words."""
+    at, places, seeds = 0, [], []
+    for line in text.split("\n"):
+        w = tokens(line)
+        if 0 < len(w) < MIN_WORDS:
+            places.append(at)
+            seeds.append(_whole(w))
+        at += len(w)
+    return np.array(places, np.int64), np.array(seeds, np.uint64)
+
+
+def _whole(words: np.ndarray) -> np.uint64:
+    """The hash of a short item or line."""
+    return mix64((words * _FACTORS[: len(words)]).sum(keepdims=True) + np.uint64(len(words)))[0]
+
+
+def match(item: np.ndarray, words: np.ndarray, shifts: list[int]) -> tuple[int, int, int] | None:
+    """Words matched and the first and last word of the best place of an item among words, given the diagonals of the hits; null if
+    none counts. A diagonal with OVERLAP of the item comes first, of several the fullest, then the first."""
+    if len(item) < MIN_WORDS:  # a line's hash met the item's
+        at = [s for s in sorted(shifts) if (words[s : s + len(item)] == item).all()]
+        return (len(item), at[0], at[0] + len(item) - 1) if at else None
+    best = None
+    for shift in shifts:
+        a, b = max(0, -shift), min(len(item), len(words) - shift)
+        same = int((item[a:b] == words[shift + a : shift + b]).sum()) if b > a else 0
+        if same >= OVERLAP * len(item) and (best is None or (same, -shift) > best[:2]):
+            best = (same, -shift, shift + a, shift + b - 1)
+    return best and (best[0], best[2], best[3]) or _around(item, words, sorted(shifts))
+
+
+def _around(item: np.ndarray, words: np.ndarray, shifts: list[int]) -> tuple[int, int, int] | None:
+    """The best place of an item, or of a part of it, around hits on these diagonals, none of which has the item whole.
+
+    Diagonals that are no further apart than the words an item may lack are judged together, in the words that the item can
+    stand in on any of them; so a long text of many hits costs only what its hits do.
+    """
+    other = len(item) - math.ceil(OVERLAP * len(item))
+    need = min(math.ceil(OVERLAP * len(item)), max(PART_WORDS, math.ceil(PART * len(item))))
+    best, first = None, None
+    for i, shift in enumerate(shifts):
+        first = shift if first is None else first
+        if i + 1 < len(shifts) and shifts[i + 1] - first <= other:
+            continue
+        low, high = max(0, first - other), min(len(words), shift + len(item) + other)
+        first, there = None, words[low:high]
+        if int(np.isin(item, there).sum()) < need:
+            continue
+        n, end = _in_order(item, there)
+        if n >= need and (best is None or n > best[0]):
+            _, size = _in_order(item[::-1], there[:end][::-1])
+            best = (n, low + end - size, low + end - 1)
+    return best
+
+
+def item_classes(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two durable tables: item_id, node of every item that has words; and node, words (hashes, as bytes), n of each distinct item."""
+
+    @F.pandas_udf("binary")
+    def words(texts: pd.Series) -> pd.Series:
+        return pd.Series([tokens(t).tobytes() for t in texts], dtype=object)
+
+    rows = durable(benchmark.select(F.col(item).alias("item_id"), words(F.col(text)).alias("words")).where(F.octet_length("words") > 0).withColumn("digest", F.md5("words")))
+    classes = durable(rows.groupBy("digest").agg(F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()).withColumn("n", (F.octet_length("words") / 8).cast("int")))
+    return durable(rows.select("item_id", "digest").join(classes.select("digest", "node"), "digest").select("item_id", "node")), classes.select("node", "words", "n")
+
+
+def item_seeds(classes: DataFrame) -> DataFrame:
+    """seed, node, at: the hash of each window of each item under each of its masks, and the window's place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for node, data in zip(b["node"], b["words"], strict=True):
+                w = np.frombuffer(data, np.uint64)
+                parts = [_seeds(w, m) for m in masks_of(len(w))] if len(w) >= MIN_WORDS else [np.array([_whole(w)], np.uint64)]
+                yield pd.DataFrame({"seed": np.concatenate(parts).view(np.int64), "node": node, "at": np.concatenate([np.arange(len(s)) for s in parts])})
+
+    return durable(classes.mapInPandas(run, "seed long, node long, at int"))
+
+
+def _seed_table(seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of top bits of a seed that are looked at, and a bit for each of their values that some seed has. It is made by
+    a distributed sum, and its size is bounded, whatever the benchmark's."""
+    bits = min(MOST_BITS, max(16, seeds.count().bit_length() + SPARE_BITS))
+    slots = seeds.select(F.shiftrightunsigned("seed", 64 - bits).alias("slot"))
+    got = slots.groupBy(F.expr("int(slot div 8)").alias("byte")).agg(F.expr("bit_or(shiftleft(1, int(slot % 8)))").alias("bits")).toPandas()
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    table[got["byte"].to_numpy(int)] = got["bits"].to_numpy(int)
+    return bits, table
+
+
+def stretches(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
+    """digest, first, words, at, seeds: for each distinct text of docs (text) its parts around windows whose hash may be an item's
+    seed: the digest of the text, the place of the part in it, the hashes of the part's words, and the windows' places and hashes.
+
+    sizes: the numbers of words that items have. A part reaches as far on either side of a window as the longest item could.
+    """
+    masks, short = sorted({m for n in sizes if n >= MIN_WORDS for m in masks_of(n)}), min(sizes) < MIN_WORDS
+    reach = max(sizes) + max(sizes) // 5 + 1
+    shared = docs.sparkSession.sparkContext.broadcast(_seed_table(seeds))  # MOST_BITS bounds it
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, table = shared.value
+        shift = np.uint64(64 - bits)
+        for batch in batches:
+            out = []
+            for digest, text in zip(batch["digest"], batch["text"], strict=True):
+                words = tokens(text)
+                parts = [_line_seeds(text)] if short and text else []
+                for m in masks if len(words) else ():
+                    s = _seeds(words, m)
+                    parts.append((np.arange(len(s)), s))
+                held = []
+                for at, s in parts:
+                    slot = s >> shift
+                    held.append(np.flatnonzero(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1))
+                at = np.concatenate([p[k] for (p, _), k in zip(parts, held, strict=True)]) if parts else np.zeros(0, int)
+                if not len(at):
+                    continue
+                s = np.concatenate([x[k] for (_, x), k in zip(parts, held, strict=True)])
+                order = np.argsort(at, kind="stable")
+                at, s = at[order], s[order]
+                for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
+                    first = max(0, int(at[own[0]]) - reach)
+                    out.append((digest, first, words[first : int(at[own[-1]]) + reach].tobytes(), (at[own] - first).astype(np.int32), s[own].view(np.int64)))
+            yield pd.DataFrame(out, columns=["digest", "first", "words", "at", "seeds"])
+
+    found = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text").mapInPandas(run, "digest binary, first int, words binary, at array<int>, seeds array<long>")
+    return durable(found).dropDuplicates(["digest", "first"])
+
+
+FOUND = "n_matched long, first_word long, last_word long"
+
+
+def find(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Two durable tables: digest, node, n_matched, n_item, first_word, last_word of each distinct item found in each distinct text,
+    a text being known by its MD5; and item_id, node."""
+    items, classes = item_classes(benchmark, item, text)
+    sizes = [r["n"] for r in classes.select("n").distinct().collect()]  # bounded by the longest item
+    schema = f"digest binary, node long, n_item long, {FOUND}"
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], schema), items
+    seeds = item_seeds(classes)
+    parts = durable(stretches(docs.select(F.col(text).alias("text")), seeds, sizes))
+    wanted = seeds.withColumnRenamed("at", "place")
+    wanted = F.broadcast(wanted) if small(wanted, broadcast_rows) else wanted
+    windows = parts.select("digest", "first", F.explode(F.arrays_zip("at", "seeds")).alias("w")).select("digest", "first", "w.at", F.col("w.seeds").alias("seed"))
+    pairs = windows.join(wanted, "seed").groupBy("digest", "first", "node").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
+    known = classes.select("node", F.col("words").alias("item"), "n")
+    known = F.broadcast(known) if small(known, broadcast_rows // 16) else known
+    both = pairs.join(parts.select("digest", "first", "words"), ["digest", "first"]).join(known, "node")
+
+    @F.pandas_udf(FOUND)
+    def verify(own: pd.Series, words: pd.Series, shifts: pd.Series, first: pd.Series) -> pd.DataFrame:
+        out = []
+        for i, w, s, a in zip(own, words, shifts, first, strict=True):
+            got = match(np.frombuffer(i, np.uint64), np.frombuffer(w, np.uint64), sorted(map(int, s)))
+            out.append((got[0], got[1] + a, got[2] + a) if got else (None, None, None))
+        return pd.DataFrame(out, columns=["n_matched", "first_word", "last_word"], dtype="Int64")
+
+    checked = durable(both.select("digest", "node", F.col("n").cast("long").alias("n_item"), verify("item", "words", "shifts", "first").alias("m")))
+    best = checked.where("m.n_matched IS NOT NULL").groupBy("digest", "node", "n_item").agg(F.min(F.struct((-F.col("m.n_matched")).alias("k"), F.col("m.first_word"), F.col("m.last_word"))).alias("b"))
+    return durable(best.select("digest", "node", "n_item", (-F.col("b.k")).alias("n_matched"), "b.first_word", "b.last_word")), items
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_matched, n_item, first_word, last_word for each benchmark item found in each row of docs.
 
-    Every window of every text is hashed under every mask and looked up among the seeds of the items; each hit fixes a diagonal,
-    on which all words of the item are compared, so substituted words cost only themselves. Where no diagonal has OVERLAP of the
-    item, the words around the hits are searched for the item's words in order, so that words put in or left out cost only
-    themselves, and a part of PART of the item, and of PART_WORDS words, is found too. Null and empty texts and items, and
-    items of fewer than MIN_WORDS words, are found nowhere. Items with equal texts are all reported; a text that holds an item
-    twice reports its best place once, of equal ones the first; repeated rows of docs report alike; other columns don't matter.
-
-    A block of seeds is broadcast: BLOCK_WORDS bounds it. A larger benchmark is searched for in several passes over the texts.
-    Nothing is shuffled, so a passage that a third of the texts hold is no hot key.
+    Every window of every text is hashed under every mask. A table of bits, of bounded size, sorts out most windows that no item
+    has; the others are joined with the items' seeds. Each hit fixes a diagonal, on which all words of the item are compared, so
+    substituted words cost only themselves. Where no diagonal has OVERLAP of the item, the words around the hits are searched
+    for the item's words in order, so that words put in or left out cost only themselves, and a part of PART of the item, and of
+    PART_WORDS words, is found too. An item of fewer than MIN_WORDS words is found where a line has its words and no others.
+
+    Null and empty texts and items are found nowhere. Items with equal words are all reported; a text that holds an item twice
+    reports its best place once, of equal ones the first; repeated rows of docs report alike. Texts are searched whole, and only
+    the surroundings of hits are kept of long ones. Empty tables give no rows; ids may be of any type, and other columns of any
+    name. One pass over the texts serves a benchmark of any size. Equal texts are judged once, so that copies are no hot key, and
+    what is shuffled is windows that met the table, not texts.
     """
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, item_id long, n_matched long, n_item long, first_word long, last_word long"
-    out = None
-    for block in blocks(benchmark, block_words=block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(d, *r) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for r in shared.value.find(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_matched", "n_item", "first_word", "last_word"])
+    found, items = find(docs, benchmark, item, text, broadcast_rows)
+    rows = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"))
+    out = rows.join(maybe_broadcast(found, broadcast_rows), "digest").join(maybe_broadcast(items, broadcast_rows), "node")
+    return out.select("doc_id", "item_id", "n_matched", "n_item", "first_word", "last_word")
 
-        found = narrow.mapInPandas(run, schema)
-        out = found if out is None else out.unionAll(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, whatever their names, in which leaks() finds no item of the benchmark.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, with all their columns, in which no item of the benchmark is found."""
-    out = docs
-    for block in blocks(benchmark, block_words=block_words):
-        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast(Index(block)))(F.col(text)))
-    return out
-
-
-def _clean(shared):
-    @F.pandas_udf("boolean")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([not shared.value.find(t) for t in texts], dtype=bool)
-
-    return run
+    Rows without a text stay, repeated rows go or stay alike, an empty benchmark leaves all. The texts to drop are known by their
+    digests, which are broadcast while they are few; beyond that docs are joined with them.
+    """
+    found, _ = find(docs, benchmark, item, text, broadcast_rows)
+    own, other = free_names(docs, "digest", "gone")
+    gone = maybe_broadcast(durable(found.select(F.col("digest").alias(other)).distinct()), broadcast_rows)
+    rows = docs.withColumn(own, F.unhex(F.md5(F.col(text).cast("binary"))))
+    return rows.join(gone, F.col(own) == F.col(other), "left_anti").select(*docs.columns)

@@ -132,3 +132,29 @@ def quality_distances(docs):
         off = x[d["doc_id"]] - center
         out[d["doc_id"]] = float(off @ np.linalg.inv(scatter) @ off)
     return out
+
+
+def diagonal_overlaps(docs, items):
+    """(document, item) -> most words on one diagonal, where that is 80 % of the item, or 60 % and 13 words; of word arrays."""
+    out = {}
+    for i, own in items.items():
+        for d, words in docs.items():
+            places = defaultdict(list)
+            for at in np.flatnonzero(np.isin(words, own)).tolist():
+                places[int(words[at])].append(at)
+            counts = Counter(at - k for k, w in enumerate(own.tolist()) for at in places.get(w, ()))
+            most = max(counts.values(), default=0)
+            if len(own) >= 5 and (most >= 0.8 * len(own) or most >= max(13, 0.6 * len(own))):
+                out[d, i] = most
+    return out
+
+
+def in_order(item, words):
+    """The longest common subsequence."""
+    row = [0] * (len(words) + 1)
+    for x in item:
+        new = [0]
+        for j, w in enumerate(words):
+            new.append(row[j] + 1 if w == x else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]

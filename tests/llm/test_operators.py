@@ -373,20 +373,59 @@ def test_targets_equal_water_filling(sizes):
 # --- decontamination ---
 
 def test_leaks(spark):
-    items = [(0, prose(50, 40)), (1, prose(51, 12)), (2, "only four words here"), (3, None), (4, prose(50, 40)), (5, "five words are in this")]
+    items = [(0, prose(50, 40)), (1, prose(51, 12)), (2, "only four words here"), (3, None), (4, prose(50, 40)), (5, "five words are in this"), (6, "one"), (None, "null id with five words"), (8, "...")]
     some = items[0][1].split()
     for k in range(0, 40, 6):
         some[k] = "other"
-    texts = [f"{prose(1)} {items[0][1].upper()}, {prose(2)}", " ".join(some), prose(3, 5000) + "\n" + items[1][1], None, "", items[2][1], prose(60, 100), " ".join(items[0][1].split()[:20]), "and five words are\nin this!", prose(70, 3) + " " + " ".join(items[1][1].split()[:10])]
-    docs, bench = docs_of(spark, texts).selectExpr("*", "1 AS item_id"), spark.createDataFrame(items, "item_id long, text string")
-    for words in (10**6, 30):
-        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, block_words=words).collect()}
-        assert got == {(0, 0), (0, 4), (1, 0), (1, 4), (2, 1), (8, 5), (9, 1)}
-        assert {r.doc_id for r in decontaminate.decontaminate(docs, bench, block_words=words).collect()} == {3, 4, 5, 6, 7}
+    texts = [f"{prose(1)} {items[0][1].upper()}, {prose(2)}", " ".join(some), prose(3, 5000) + "\n" + items[1][1], None, "", "so\nOnly four: words here!\nonly four words", prose(60, 100), " ".join(items[0][1].split()[:20]),
+             "and five words are\nin this!", prose(70, 3) + " " + " ".join(items[1][1].split()[:10]), "we have only four words here", "five words xx in this", "five words are xx yy", "five yy are in this", "one",
+             "null id with five words", items[2][1] + "\n" + prose(71, 20_000) + "\none"]
+    docs = docs_of(spark, texts).selectExpr("*", "1 AS item_id", "'c' AS digest", "2 AS _digest", "3 AS node", "4 AS words")
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' AS doc_id")
+    want = {(0, 0), (0, 4), (1, 0), (1, 4), (2, 1), (5, 2), (8, 5), (9, 1), (11, 5), (13, 5), (14, 6), (15, None), (16, 2), (16, 6)}
+    for rows in (200_000, 0):
+        got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, broadcast_rows=rows).collect()]
+        assert set(got) == want and len(got) == len(want)
+        kept = decontaminate.decontaminate(docs, bench, broadcast_rows=rows)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(17)) - {d for d, _ in want}
+    twice = docs.unionAll(docs)
+    assert decontaminate.leaks(twice, bench).count() == 2 * len(want) and decontaminate.decontaminate(twice, bench).count() == 2 * kept.count()
+    named = bench.selectExpr("concat('item ', item_id) AS item_id", "text")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, named).collect()} == {(d, i if i is None else f"item {i}") for d, i in want}
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 == decontaminate.leaks(docs.limit(0), bench).count()
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_leaks_equal_brute_force(spark):
+    """On sf0.01 every item that a diagonal of a text has OVERLAP or PART of is found, and whatever is found is there in order."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: decontaminate.tokens(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: decontaminate.tokens(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): r for r in queries.benchmark_leaks(spark, sf).collect()}
+    must = brute.diagonal_overlaps(docs, items)
+    assert len(must) > 10
+    for pair, n in must.items():
+        assert pair in got and got[pair].n_matched >= n, pair
+    for (d, i), r in got.items():
+        there = docs[d][r.first_word : r.last_word + 1]
+        assert brute.in_order(items[i].tolist(), there.tolist()) == r.n_matched or (items[i][: len(there)] == there).sum() <= r.n_matched
+        assert r.n_matched >= min(0.8 * r.n_item, max(13, 0.6 * r.n_item)) and r.n_item == len(items[i])
+
+
+def test_leak_recall():
+    """Items of 5 to 100 words with as many random substitutions as the check allows."""
+    r = random.Random(7)
+    for n in (5, 6, 9, 10, 12, 15, 19, 20, 22, 24, 28, 30, 31, 33, 36, 40, 50, 70, 100):
+        item = [f"w{i}" for i in range(n)]
+        seeds = {int(x) for m in decontaminate.masks_of(n) for x in decontaminate._seeds(decontaminate.tokens(" ".join(item)), m)}
+        found = 0
+        for _ in range(1000):
+            places = set(r.sample(range(n), n - -(-4 * n // 5)))
+            text = decontaminate.tokens(" ".join(f"y{i}" if i in places else w for i, w in enumerate(item)))
+            found += any(int(x) in seeds for m in decontaminate.masks_of(n) for x in decontaminate._seeds(text, m))
+        assert found == 1000 if n <= decontaminate.SHORT else found >= 990, (n, found)
+
+
 # --- quality ---
 
 @settings(max_examples=150, deadline=None)
@@ -536,12 +575,27 @@ def read_all(text):
     return ("".join(p).replace("$^", " ") for p in itertools.product(*toxicity.lattice(text)))
 
 
+def found_in(items, words):
+    """What match() says of each item, given the diagonals that its seeds meet."""
+    text, out = decontaminate.tokens(" ".join(words)), []
+    for name, own in items.items():
+        own, shifts = decontaminate.tokens(" ".join(own)), set()
+        for m in decontaminate.masks_of(len(own)):
+            at = {}
+            for i, x in enumerate(decontaminate._seeds(own, m).tolist()):
+                at.setdefault(x, []).append(i)
+            shifts |= {j - i for j, x in enumerate(decontaminate._seeds(text, m).tolist()) for i in at.get(x, ())}
+        got = decontaminate.match(own, text, sorted(shifts)) if shifts else None
+        if got:
+            out.append((name, got[0], len(own), *got[1:]))
+    return out
+
+
 def test_leaks_in_part_and_shifted():
     item = [f"w{i}" for i in range(40)]
     short = [f"s{i}" for i in range(20)]
-    index = decontaminate.Index([(7, " ".join(item)), (8, " ".join(short))])
     about = [f"x{i}" for i in range(30)]
-    find = lambda w: index.find(" ".join(about + w + about))
+    find = lambda w: found_in({7: item, 8: short}, about + w + about)
     assert find(item) == [(7, 40, 40, 30, 69)]
     assert find(item[:20] + ["new"] + item[20:]) == [(7, 40, 40, 30, 70)]
     assert find(item[:19] + item[20:]) == [(7, 39, 40, 30, 68)]
