@@ -233,7 +233,7 @@ def judge(docs: DataFrame, keep: list[str], tail: float = TAIL, shrink: int = SH
     added = [*BASE, "base_failed", "distance", "kept"]
     mine = [c for c in dict.fromkeys(keep) if c not in added]
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *mine).alias("mine"), F.to_json(F.array(name("lang"), name("source"))).alias("cell"), F.to_json(F.array(name("lang"))).alias("wider"), measure(F.col("text")).alias("found"))
+    rows = docs.select(F.struct(*(mine or [F.lit(0).alias("none")])).alias("mine"), F.to_json(F.array(name("lang"), name("source"))).alias("cell"), F.to_json(F.array(name("lang"))).alias("wider"), measure(F.col("text")).alias("found"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = durable(rows.select("mine", "cell", "wider", "found.*").withColumn("base_failed", failed)).withColumns({k: F.expr(v) for k, v in STATISTICS.items()}).withColumn("widest", F.lit("[]"))
     fair = rows.where("NOT base_failed")

@@ -623,3 +623,45 @@ def test_near_dedup_at_another_threshold(spark):
     assert sum(want[i] != i for i in want) == 150
     got = near_dedup.find_components(docs_of(spark, texts), percent=80).collect()
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (want[i], size[i]) for i in want}
+
+
+#: Names that operators use inside, add, or once crashed on.
+CLASHES = (
+    "base terms near _row row cell wider widest mine found held told l n_words n_lines n_dropped distance kept start center scatter inverse bin host path rule verdict _host _drop _kept digest _digest _id _of _gone gone "
+    "node root score lang_pred ambiguous seen _seen _rule0 short size source_size target copies taken copy words first at seeds shifts item band value component_id n_shingles doc entity term n record_type refers_to payload "
+    "page_id url html item_id key number share h v p best _best x0 _found widest_ _ m u"
+).split()
+
+APPLIED = {
+    "filter_urls": lambda d, spark: url_filter.filter_urls(d, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")),
+    "filter_urls_wide": lambda d, spark: url_filter.filter_urls(d, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string"), shapes=0, broadcast_rows=0),
+    "drop_boilerplate": lambda d, spark: line_dedup.drop_boilerplate(d),
+    "drop_near_copies": lambda d, spark: near_dedup.drop_near_copies(d),
+    "predict": lambda d, spark: langid.predict(d, langid.train(d), d.columns),
+    "detect": lambda d, spark: pii.detect(d, d.columns),
+    "detect_wide": lambda d, spark: pii.detect(d, d.columns, broadcast_rows=0),
+    "sanitise": lambda d, spark: pii.sanitise(d),
+    "mix": lambda d, spark: mixing.mix(d),
+    "decontaminate": lambda d, spark: decontaminate.decontaminate(d, spark.createDataFrame([(1, prose(50, 40))], "item_id long, text string")),
+    "judge": lambda d, spark: quality.judge(d, d.columns),
+    "score": lambda d, spark: toxicity.score(d, toxicity.train(d.where("doc_id >= 0"), d.select("doc_id", (d.doc_id % 2).cast("int").alias("toxic")))),
+}
+ADDED = {
+    "filter_urls": {"host", "path", "rule", "verdict"}, "filter_urls_wide": {"host", "path", "rule", "verdict"}, "drop_boilerplate": {"n_lines", "n_dropped"}, "predict": {"lang_pred", "score", "ambiguous"},
+    "detect": {"base", "terms"}, "detect_wide": {"base", "terms"}, "mix": {"size", "source_size", "target", "copies", "taken"}, "judge": {*quality.BASE, "base_failed", "distance", "kept"}, "score": {"score"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(APPLIED))
+def test_clashing_columns(spark, name):
+    """Columns of the caller with any inner name go through untouched; those named like an added column are replaced."""
+    texts = [f"{prose(i, 60)} write to jo@ex.org snoopy" for i in range(8)] + [None, ""]
+    docs = docs_of(spark, texts).selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES if c != "url"], "concat('http://a', doc_id, '.example.org/es/') AS url")
+    got = APPLIED[name](docs, spark)
+    added = ADDED.get(name, set())
+    assert sorted(got.columns) == sorted({*docs.columns, *added}) and len(got.columns) == len(set(got.columns))
+    rows = got.collect()
+    assert len(rows) == len(texts) and {r.doc_id for r in rows} == set(range(len(texts)))
+    for c in set(CLASHES) - added - {"url"}:
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows), c
+    assert len(APPLIED[name](docs.limit(0), spark).columns) == len(got.columns)
