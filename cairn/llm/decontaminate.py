@@ -23,9 +23,9 @@ PART, PART_WORDS = 0.6, 13
 MIN_WORDS = 5
 #: Items of at most so many words have too few windows for the masks alone.
 SHORT = 30
-#: The table of which seeds may be an item's has this many places for each seed, as a power of two, and at most 2 ** MOST_BITS
-#: (16 MB) in all: beyond that it lets more windows through, which the join sorts out.
-SPARE_BITS, MOST_BITS = 8, 27
+#: Seeds that are sent to the texts as they are (8 bytes each). Of more, a table of bits is sent, of 2 ** MOST_BITS bits at most
+#: (16 MB): it lets some windows through that no item has, which the join sorts out.
+MOST_SEEDS, SPARE_BITS, MOST_BITS = 1 << 21, 8, 27
 _GAP = np.zeros(256, bool)
 _GAP[[c for c in range(128) if not chr(c).isalnum()]] = True
 
@@ -150,18 +150,35 @@ def item_seeds(classes: DataFrame) -> DataFrame:
     return durable(classes.mapInPandas(run, "seed long, node long, at int"))
 
 
-def _seed_table(seeds: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of top bits of a seed that are looked at, and a bit for each of their values that some seed has. It is made by
-    a distributed sum, and its size is bounded, whatever the benchmark's."""
-    bits = min(MOST_BITS, max(16, seeds.count().bit_length() + SPARE_BITS))
-    slots = seeds.select(F.shiftrightunsigned("seed", 64 - bits).alias("slot"))
+def _seed_table(seeds: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray | None]:
+    """The number of top bits of a seed that are looked at, a bit for each of their values that some seed has, and all seeds, sorted,
+    if there are at most so many. What comes to the driver is bounded, whatever the size of the benchmark."""
+    each = seeds.select("seed").distinct()
+    n = each.count()
+    bits = min(MOST_BITS, max(16, n.bit_length() + SPARE_BITS))
+    if n <= most:
+        all_seeds = np.sort(each.toPandas()["seed"].to_numpy(np.int64).view(np.uint64))
+        slot = all_seeds >> np.uint64(64 - bits)
+        table = np.zeros(1 << (bits - 3), np.uint8)
+        np.bitwise_or.at(table, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
+        return bits, table, all_seeds
+    slots = each.select(F.shiftrightunsigned("seed", 64 - bits).alias("slot"))
     got = slots.groupBy(F.expr("int(slot div 8)").alias("byte")).agg(F.expr("bit_or(shiftleft(1, int(slot % 8)))").alias("bits")).toPandas()
     table = np.zeros(1 << (bits - 3), np.uint8)
     table[got["byte"].to_numpy(int)] = got["bits"].to_numpy(int)
-    return bits, table
+    return bits, table, None
 
 
-def stretches(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
+def _held(seeds: np.ndarray, bits: int, table: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """The places of the seeds that may be an item's; if known is given, of those that are."""
+    slot = seeds >> np.uint64(64 - bits)
+    at = np.flatnonzero(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+    if known is not None and len(at):
+        at = at[known[np.minimum(np.searchsorted(known, seeds[at]), len(known) - 1)] == seeds[at]]
+    return at
+
+
+def stretches(docs: DataFrame, seeds: DataFrame, sizes: list[int], most_seeds: int = MOST_SEEDS) -> DataFrame:
     """digest, first, words, at, seeds: for each distinct text of docs (text) its parts around windows whose hash may be an item's
     seed: the digest of the text, the place of the part in it, the hashes of the part's words, and the windows' places and hashes.
 
@@ -169,11 +186,9 @@ def stretches(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
     """
     masks, short = sorted({m for n in sizes if n >= MIN_WORDS for m in masks_of(n)}), min(sizes) < MIN_WORDS
     reach = max(sizes) + max(sizes) // 5 + 1
-    shared = docs.sparkSession.sparkContext.broadcast(_seed_table(seeds))  # MOST_BITS bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(_seed_table(seeds, most_seeds))  # MOST_SEEDS and MOST_BITS bound it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, table = shared.value
-        shift = np.uint64(64 - bits)
         for batch in batches:
             out = []
             for digest, text in zip(batch["digest"], batch["text"], strict=True):
@@ -182,10 +197,7 @@ def stretches(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
                 for m in masks if len(words) else ():
                     s = _seeds(words, m)
                     parts.append((np.arange(len(s)), s))
-                held = []
-                for at, s in parts:
-                    slot = s >> shift
-                    held.append(np.flatnonzero(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1))
+                held = [_held(s, *shared.value) for _, s in parts]
                 at = np.concatenate([p[k] for (p, _), k in zip(parts, held, strict=True)]) if parts else np.zeros(0, int)
                 if not len(at):
                     continue
@@ -204,7 +216,7 @@ def stretches(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
 FOUND = "n_matched long, first_word long, last_word long"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, most_seeds: int = MOST_SEEDS) -> tuple[DataFrame, DataFrame]:
     """Two durable tables: digest, node, n_matched, n_item, first_word, last_word of each distinct item found in each distinct text,
     a text being known by its MD5; and item_id, node."""
     items, classes = item_classes(benchmark, item, text)
@@ -213,7 +225,7 @@ def find(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str
     if not sizes:
         return docs.sparkSession.createDataFrame([], schema), items
     seeds = item_seeds(classes)
-    parts = durable(stretches(docs.select(F.col(text).alias("text")), seeds, sizes))
+    parts = durable(stretches(docs.select(F.col(text).alias("text")), seeds, sizes, most_seeds))
     wanted = seeds.withColumnRenamed("at", "place")
     wanted = F.broadcast(wanted) if small(wanted, broadcast_rows) else wanted
     windows = parts.select("digest", "first", F.explode(F.arrays_zip("at", "seeds")).alias("w")).select("digest", "first", "w.at", F.col("w.seeds").alias("seed"))
@@ -235,7 +247,7 @@ def find(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str
     return durable(best.select("digest", "node", "n_item", (-F.col("b.k")).alias("n_matched"), "b.first_word", "b.last_word")), items
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **options) -> DataFrame:
     """doc_id, item_id, n_matched, n_item, first_word, last_word for each benchmark item found in each row of docs.
 
     Every window of every text is hashed under every mask. A table of bits, of bounded size, sorts out most windows that no item
@@ -250,20 +262,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     name. One pass over the texts serves a benchmark of any size. Equal texts are judged once, so that copies are no hot key, and
     what is shuffled is windows that met the table, not texts.
     """
-    found, items = find(docs, benchmark, item, text, broadcast_rows)
+    found, items = find(docs, benchmark, item, text, **options)
     rows = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"))
-    out = rows.join(maybe_broadcast(found, broadcast_rows), "digest").join(maybe_broadcast(items, broadcast_rows), "node")
+    few = options.get("broadcast_rows", BROADCAST_ROWS)
+    out = rows.join(maybe_broadcast(found, few), "digest").join(maybe_broadcast(items, few), "node")
     return out.select("doc_id", "item_id", "n_matched", "n_item", "first_word", "last_word")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", **options) -> DataFrame:
     """The rows of docs, with all their columns, whatever their names, in which leaks() finds no item of the benchmark.
 
     Rows without a text stay, repeated rows go or stay alike, an empty benchmark leaves all. The texts to drop are known by their
     digests, which are broadcast while they are few; beyond that docs are joined with them.
     """
-    found, _ = find(docs, benchmark, item, text, broadcast_rows)
+    found, _ = find(docs, benchmark, item, text, **options)
     own, other = free_names(docs, "digest", "gone")
-    gone = maybe_broadcast(durable(found.select(F.col("digest").alias(other)).distinct()), broadcast_rows)
+    gone = maybe_broadcast(durable(found.select(F.col("digest").alias(other)).distinct()), options.get("broadcast_rows", BROADCAST_ROWS))
     rows = docs.withColumn(own, F.unhex(F.md5(F.col(text).cast("binary"))))
     return rows.join(gone, F.col(own) == F.col(other), "left_anti").select(*docs.columns)

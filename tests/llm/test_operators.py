@@ -383,10 +383,10 @@ def test_leaks(spark):
     docs = docs_of(spark, texts).selectExpr("*", "1 AS item_id", "'c' AS digest", "2 AS _digest", "3 AS node", "4 AS words")
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' AS doc_id")
     want = {(0, 0), (0, 4), (1, 0), (1, 4), (2, 1), (5, 2), (8, 5), (9, 1), (11, 5), (13, 5), (14, 6), (15, None), (16, 2), (16, 6)}
-    for rows in (200_000, 0):
-        got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, broadcast_rows=rows).collect()]
+    for options in ({}, {"broadcast_rows": 0}, {"most_seeds": 0}):
+        got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, **options).collect()]
         assert set(got) == want and len(got) == len(want)
-        kept = decontaminate.decontaminate(docs, bench, broadcast_rows=rows)
+        kept = decontaminate.decontaminate(docs, bench, **options)
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(17)) - {d for d, _ in want}
     twice = docs.unionAll(docs)
     assert decontaminate.leaks(twice, bench).count() == 2 * len(want) and decontaminate.decontaminate(twice, bench).count() == 2 * kept.count()
