@@ -350,10 +350,12 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     reruns agree. Clashing columns, long texts and empty tables are as in find_components.
     """
     named = durable(named_rows(docs, key, text, percent).where("digest IS NOT NULL"))
-    pairs = named.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("d"))
-    best = named.groupBy("root").agg(F.min(order).alias("best"))
-    judged = durable(pairs.join(best, "root").select("doc_id", "digest", "n", (F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.d"))).alias("stays")))
+    best = named.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.id").alias("id"), F.col("best.d").alias("d"))
+    pairs = named.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    # joined by key and digest: by root, a large group would be one task's
+    both = pairs.join(best, pairs["doc_id"].eqNullSafe(best["id"]) & (pairs["digest"] == best["d"]), "left")
+    judged = durable(both.select("doc_id", "digest", "n", F.col("d").isNotNull().alias("stays")))
     own, other, id_, d_ = free_names(docs, "digest", "row", "id", "of")
     rows = docs.withColumn(own, words_digest(F.col(text)))
     same = lambda t: F.col(key).cast("long").eqNullSafe(t[id_]) & (F.col(own) == t[d_])
