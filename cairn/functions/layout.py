@@ -30,7 +30,11 @@ def math_score(text: Column) -> Column:
 
 
 def is_likely_equation(text: Column) -> Column:
-    bare, low = strip(text), F.lower(strip(text))
+    return equation_of(strip(text), F.lower(strip(text)))
+
+
+def equation_of(bare: Column, low: Column) -> Column:
+    """is_likely_equation() of a text given without white space at its ends, and the same in lower case. Cheap tests come first."""
     starts = F.lit(False)
     for x in NOT_EQUATION_STARTS:
         starts = starts | low.startswith(x)
@@ -39,11 +43,16 @@ def is_likely_equation(text: Column) -> Column:
 
 def classify_block(text: Column, font_size: Column, is_bold: Column, y0: Column, page_height: Column, median_font: Column) -> Column:
     """title, heading, caption, equation or paragraph: the first that fits."""
-    bare = strip(text)
-    heading = (bare.rlike(HEADING[0]) | bare.rlike(HEADING[1])) & ((font_size >= median_font * 1.1) | is_bold)
+    return class_of(strip(text), F.lower(strip(text)), font_size, is_bold, y0, page_height, median_font)
+
+
+def class_of(bare: Column, low: Column, font_size: Column, is_bold: Column, y0: Column, page_height: Column, median_font: Column) -> Column:
+    """classify_block() of a text given without white space at its ends, and the same in lower case. Where these are columns of
+    their own, white space is stripped once a block and not in every pattern of every branch."""
+    heading = ((font_size >= median_font * 1.1) | is_bold) & (bare.rlike(HEADING[0]) | bare.rlike(HEADING[1]))
     return (
         F.when((y0 < page_height * 0.15) & (font_size > median_font * 1.4), "title").when(heading, "heading").when(bare.rlike(CAPTION), "caption")
-        .when(is_likely_equation(bare), "equation").otherwise("paragraph")
+        .when(equation_of(bare, low), "equation").otherwise("paragraph")
     )
 
 

@@ -1,14 +1,40 @@
-"""Size checks before broadcasts."""
+"""Size checks before broadcasts, and intermediate tables that outlive the executors that made them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many rows may be broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 100_000
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most so many rows, which are counted no further."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, which are counted no further; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it has at most so many rows; else as it is."""
+    return F.broadcast(df) if small(df, rows) else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where a local session leaves it unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = getattr(spark, "_cairn_shared", None) or tempfile.mkdtemp(prefix="cairn-")
+        spark._cairn_shared = at
+    return f"{at.rstrip('/')}/cairn-{spark.sparkContext.applicationId}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet to the shared folder and rereads it, for tables that several steps read."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 # Fixed values of the query semantics.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with")
 TOKEN = r"[a-z0-9]+(?:[._-][a-z0-9]+)*"
-BARE_NUMBER = r"\A\d+(?:\.\d+)*\z"
-NUMBERED = r"(?s)\A(\d+(?:\.\d+)*)\.?\s+(\S.*)\z"
+BARE_NUMBER = r"(?U)\A\d+(?:\.\d+)*\z"
+NUMBERED = r"(?Us)\A(\d+(?:\.\d+)*)\.?\s+(\S.*)\z"
 CAPTION_PREFIX = r"(?i)\A\s*(?:figure|fig\.?|table)\s*\d+[a-z]?\s*[:.\-]?\s*"
-PAGE_NUMBER = r"\A\d{1,4}\z"
+PAGE_NUMBER = r"(?U)\A\d{1,4}\z"
 
 _SPACE = r"[\s\x1c-\x1f]"
 
@@ -158,6 +158,6 @@ def table_to_markdown(table: Column) -> Column:
     clean = F.transform(table, lambda r: F.transform(r, cell))
     rows = F.filter(clean, lambda r, i: (i == 0) | ~r.eqNullSafe(F.get(clean, i - 1)))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(rows[0], lambda c: F.lit("---")), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(rows[0])))
     body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(rows[0]), rule), body), "\n")).otherwise(F.lit(""))

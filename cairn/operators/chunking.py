@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.text import BARE_NUMBER, NUMBERED, PAGE_NUMBER, embedding_text, item_text, stable_id, stem_of, strip
+from cairn.functions.text import BARE_NUMBER, NUMBERED, PAGE_NUMBER, clean_text, embedding_text, item_text, stable_id, stem_of, unwrap_lines
 from cairn.operators.splitting import CHUNK_OVERLAP, CHUNK_SIZE, split_table, split_text
 
-# Fixed values of the query semantics.
+# Fixed value of the query semantics.
 MIN_CHUNK_CHARS = 50
-#: Breadcrumbs are as deep as this.
-MAX_DEPTH = 8
 
 ITEMS = "source string, item_index long, type string, page int, content string, title string, table_data string, text_fallback string, image_path string"
 
@@ -26,37 +24,46 @@ def is_page_number(kind: Column, text: Column) -> Column:
     return (kind == "paragraph") & text.rlike(PAGE_NUMBER)
 
 
-def assign_sections(items: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def deepest_heading(items: DataFrame) -> int:
+    """The most levels that a number in front of a heading has; 0 without any. It reads headings only."""
+    number = F.regexp_extract(clean_text(F.col("content")), r"(?U)\A(\d+(?:\.\d+)*)", 1)
+    return items.where(F.col("type").isin("title", "heading")).agg(F.max(F.when(number != "", F.size(F.split(number, r"\."))).otherwise(0))).first()[0] or 0
+
+
+def assign_sections(items: DataFrame) -> DataFrame:
     """Items with parent_id, section_type, section_title and section_path; headings, empty items and page numbers are gone.
 
-    A heading that is only a number goes in front of the next heading, unless that has a number of its own. Every other heading
-    opens a section; items before the first one are in a preamble, section_0000, which counts as a section. A numbered heading's
-    path goes through the headings of fewer levels before it, an unnumbered one's starts anew. Sources are kept apart.
+    A heading that is only a number is held, and goes in front of the next heading, unless that has a number of its own. Every
+    other heading opens a section, also an empty one; items before the first one are in a preamble, section_0000, which counts as
+    a section. A title is the number, a space, and the name without line ends. A numbered heading's path goes through the numbered
+    headings of fewer levels before it, back to the last unnumbered one, which is in no path but its own. Sources are kept apart.
+
+    There is a column for each level that numbers have, as many as deepest_heading() finds, all over one sort of each source.
     """
     by = W.partitionBy("source").orderBy("item_index")
     heading = F.col("type").isin("title", "heading")
-    rows = prepare_items(items).withColumn("_head", F.when(heading, strip(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " "))))
-    rows = rows.withColumn("_head", F.when(F.col("_head") != "", F.col("_head")))
+    levels = range(1, deepest_heading(items) + 1)
+    rows = prepare_items(items).withColumn("_head", F.when(heading, clean_text(F.col("content"))))
     rows = rows.withColumn("_bare", F.coalesce(F.col("_head").rlike(BARE_NUMBER), F.lit(False)))
     rows = rows.withColumn("_opens", F.col("_head").isNotNull() & ~F.col("_bare"))
     # the number that waits is that of the last heading of any kind, if it is bare
     waiting = F.last(F.when(F.col("_head").isNotNull(), F.struct(F.col("_bare").alias("bare"), F.col("_head").alias("head"))), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_wait", waiting)
-    own = F.col("_head").rlike(NUMBERED)
-    full = F.when(F.coalesce(F.col("_wait.bare"), F.lit(False)) & ~own, F.concat(F.col("_wait.head"), F.lit(" "), F.col("_head"))).otherwise(F.col("_head"))
-    rows = rows.withColumn("_title", F.when(F.col("_opens"), full))
-    number = F.regexp_extract("_title", NUMBERED, 1)
-    depth = F.when(number != "", F.size(F.split(number, r"\."))).otherwise(F.lit(0))
-    rows = rows.withColumn("_depth", F.when(F.col("_opens"), F.least(depth, F.lit(max_depth))))
+    rows = rows.withColumn("_wait", F.when(waiting["bare"], waiting["head"]))
+    own = F.nullif(F.regexp_extract("_head", NUMBERED, 1), F.lit(""))
+    rows = rows.withColumn("_number", F.when(F.col("_opens"), F.coalesce(own, "_wait")))
+    name = unwrap_lines(F.when(own.isNotNull(), F.regexp_extract("_head", NUMBERED, 2)).otherwise(F.col("_head")))
+    rows = rows.withColumn("_title", F.when(F.col("_opens"), F.when(F.col("_number").isNotNull(), F.concat("_number", F.lit(" "), name)).otherwise(name)))
+    rows = rows.withColumn("_depth", F.when(F.col("_opens"), F.coalesce(F.size(F.split("_number", r"\.")), F.lit(0))).cast("int")).withColumn("_depth", F.when(F.col("_opens") & F.col("_number").isNull(), 0).otherwise(F.col("_depth")))
     # the heading that is live at each level: the last one of that level or above it, if it is of that level
-    for d in range(max_depth + 1):
+    for d in levels:
         live = F.last(F.when(F.col("_depth") <= d, F.struct(F.col("_depth").alias("d"), F.col("_title").alias("t"))), ignorenulls=True).over(by)
         rows = rows.withColumn(f"_l{d}", F.when(live["d"] == d, live["t"]))
-    level = F.last("_depth", ignorenulls=True).over(by)
-    rows = rows.withColumn("_level", level)
-    path = F.concat_ws(" > ", *[F.when(F.col("_level") >= d, F.col(f"_l{d}")) for d in range(max_depth + 1)])
+    last = F.last(F.when(F.col("_opens"), F.struct(F.col("_depth").alias("d"), F.col("_title").alias("t"))), ignorenulls=True).over(by)
+    rows = rows.withColumn("_last", last)
+    numbered = F.concat_ws(" > ", F.array(*[F.when(F.col("_last.d") >= d, F.col(f"_l{d}")) for d in levels])) if levels else F.lit("")
+    path = F.when(F.col("_last.d") == 0, F.col("_last.t")).otherwise(numbered)
     opened = F.sum(F.col("_opens").cast("int")).over(by)
-    rows = rows.withColumn("_n", opened).withColumn("_pre", F.max(F.when((F.col("_n") == 0) & F.col("_head").isNull(), 1).otherwise(0)).over(W.partitionBy("source")))
+    rows = rows.withColumn("_n", opened).withColumn("_pre", F.max(F.when((F.col("_n") == 0) & ~heading, 1).otherwise(0)).over(W.partitionBy("source")))
     rows = rows.withColumn("parent_id", F.when(F.col("_n") == 0, "section_0000").otherwise(F.format_string("section_%04d", F.col("_n") + F.col("_pre"))))
     rows = rows.withColumn("section_path", F.when(F.col("_n") == 0, "").otherwise(path))
     rows = rows.withColumn("section_title", F.coalesce(F.last("_title", ignorenulls=True).over(by), F.lit("")))
@@ -102,8 +109,8 @@ def create_chunks(items: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
     """Chunks of every source's items, numbered per source set in reading order.
 
     A chunk keeps all pages, items and images of the group that its piece comes from. A last text chunk of a section that is
-    shorter than MIN_CHUNK_CHARS joins the text chunk before it, with its pages, images and items. Chunks that get the same id
-    are one chunk, the first.
+    shorter than MIN_CHUNK_CHARS joins the text chunk before it, which takes its items, and its last page if it has one. Chunks
+    that get the same id are one chunk, the first. A source's title is that of its first section that keeps items and has one.
     """
     sectioned = assign_sections(items)
     groups = pack_sections(sectioned, size)
@@ -120,15 +127,16 @@ def create_chunks(items: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
     ranked = ranked.where(~((F.col("_i") == F.col("_n")) & short & F.coalesce(F.col("_before") == "text", F.lit(False))))
     takes = (F.col("_i") == F.col("_n") - 1) & (F.col("type") == "text") & F.coalesce((F.col("_next.type") == "text") & (F.length("_next.content") < MIN_CHUNK_CHARS), F.lit(False))
     merged = ranked.withColumn("content", F.when(takes, F.concat("content", F.lit("\n\n"), F.col("_next.content"))).otherwise(F.col("content")))
-    merged = merged.withColumn("items", F.when(takes, F.array_distinct(F.concat("items", F.col("_next.items")))).otherwise(F.col("items")))
-    first_title = items.where("type IN ('title', 'heading') AND trim(content) <> ''").groupBy("source").agg(F.min_by(strip(F.col("content")), "item_index").alias("_document"))
-    named = merged.join(first_title, "source", "left").withColumn("_document", F.coalesce("_document", stem_of(F.col("source"))))
-    pages = F.filter(F.transform("items", lambda x: x["page"]), lambda p: p.isNotNull())
-    images = F.array_distinct(F.filter(F.transform("items", lambda x: x["image_path"]), lambda p: p.isNotNull()))
+    merged = merged.withColumn("_more", F.when(takes, F.col("_next.items")).otherwise(F.slice("items", 1, 0)))
+    titles = sectioned.where("section_title <> ''").groupBy("source").agg(F.min_by("section_title", "item_index").alias("_document"))
+    named = merged.join(titles, "source", "left").withColumn("_document", F.coalesce("_document", stem_of(F.col("source"))))
+    pages = lambda of: F.filter(F.transform(of, lambda x: x["page"]), lambda p: p.isNotNull())
+    images = F.filter(F.transform("items", lambda x: x["image_path"]), lambda p: F.coalesce(p != "", F.lit(False)))
     chunks = named.select(
         stable_id(F.col("source"), F.col("section_path"), F.col("content")).alias("chunk_id"), "parent_id",
-        F.transform("items", lambda x: x["item_index"]).alias("item_indices"), "type", "source", "section_title", "section_path",
-        F.array_min(pages).alias("page_start"), F.array_max(pages).alias("page_end"), "content", F.nullif(images, F.array().cast("array<string>")).alias("image_paths"),
+        F.transform(F.concat("items", "_more"), lambda x: x["item_index"]).alias("item_indices"), "type", "source", "section_title", "section_path",
+        F.array_min(pages("items")).alias("page_start"), F.coalesce(F.nullif(F.array_max(pages("_more")), F.lit(0)), F.array_max(pages("items"))).alias("page_end"), "content",
+        F.nullif(images, F.array().cast("array<string>")).alias("image_paths"),
         embedding_text(F.col("_document"), F.col("section_path"), F.col("content")).alias("embedding_text"), F.length("content").alias("char_count"),
         F.struct("parent_id", "group", "piece_index").alias("_order"),
     )

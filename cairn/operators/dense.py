@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.vectors import cosine
-from cairn.operators.lexical import top_k
+from cairn.operators.lexical import best_keys, top_k
 
 # Fixed values of the query semantics.
 FETCH_K, MMR_K, LAMBDA = 25, 5, 0.5
@@ -31,7 +31,9 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 20, key: str =
     and batch, whatever the size of the corpus. More than QUERY_BLOCK queries take several passes. Rows without a vector are
     not found; ties go by key.
     """
-    rows = (corpus if where is None else corpus.where(where)).where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
+    rows = (corpus if where is None else corpus.where(where)).where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    kind = corpus.schema[key].dataType.simpleString()
+    schema = f"query_id long, `{key}` {kind}, score double"
     out, block = None, []
 
     def search(block: list) -> DataFrame:
@@ -42,19 +44,18 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 20, key: str =
             ids, matrix = shared.value
             for b in batches:
                 if len(b):
-                    keys = b[key].to_numpy()
-                    near = matrix @ _unit(b[vector]).T
-                    order = np.lexsort((np.broadcast_to(keys, near.shape), -near.round(9)), axis=1)[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), key: keys[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel()})
+                    near = matrix @ _unit(b["vector"]).T
+                    order = best_keys(near, b["key"].rank(method="first").to_numpy(), k)
+                    yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), key: b["key"].to_numpy()[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel()})
 
-        return rows.mapInPandas(run, f"query_id long, {key} long, score double")
+        return rows.mapInPandas(run, schema)
 
     for r in queries.select(F.col("query_id").cast("long").alias("i"), F.col("vector").alias("v")).where("v IS NOT NULL").toLocalIterator():
         block.append((r["i"], r["v"]))
         if len(block) == QUERY_BLOCK:
             out, block = (search(block) if out is None else out.unionAll(search(block))), []
     if block or out is None:
-        found = search(block) if block else corpus.sparkSession.createDataFrame([], f"query_id long, {key} long, score double")
+        found = search(block) if block else corpus.sparkSession.createDataFrame([], schema)
         out = found if out is None else out.unionAll(found)
     return top_k(out, k, key)
 
@@ -79,7 +80,8 @@ def mmr_search(corpus: DataFrame, queries: DataFrame, k: int = MMR_K, fetch_k: i
     """query_id, key, score, candidate_rank, pick_order: maximal marginal relevance over each query's fetch_k nearest rows
     (Carbonell and Goldstein 1998). A group is one query's candidates."""
     near = vector_search(corpus, queries, fetch_k, key, vector, where)
-    rows = near.join(corpus.select(F.col(key).cast("long").alias(key), F.col(vector).alias("_v")), key).join(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("_q")), "query_id")
+    kind = corpus.schema[key].dataType.simpleString()
+    rows = near.join(corpus.select(key, F.col(vector).alias("_v")), key).join(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("_q")), "query_id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank").reset_index(drop=True)
@@ -87,7 +89,7 @@ def mmr_search(corpus: DataFrame, queries: DataFrame, k: int = MMR_K, fetch_k: i
         out = group.loc[picked, ["query_id", key, "score", "rank"]].rename(columns={"rank": "candidate_rank"})
         return out.assign(pick_order=np.arange(1, len(picked) + 1, dtype=np.int32))
 
-    return rows.groupBy("query_id").applyInPandas(run, f"query_id long, {key} long, score double, candidate_rank int, pick_order int")
+    return rows.groupBy("query_id").applyInPandas(run, f"query_id long, `{key}` {kind}, score double, candidate_rank int, pick_order int")
 
 
 def redundancy(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame:

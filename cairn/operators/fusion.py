@@ -37,12 +37,12 @@ def ensemble(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, key: str =
     return fuse(vector_hits, keyword_hits, k, weights, key)
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, candidates: int = CANDIDATES, where: Column | None = None, key: str = "chunk_id", text: str = "text", vector: str = "embedding") -> DataFrame:
-    """fuse() of vector and keyword search for a batch of queries (query_id, query, vector). where limits the vector search before
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, candidates: int = CANDIDATES, where: Column | None = None, key: str = "chunk_id", text: str = "text", vector: str = "embedding", weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """fuse(), by weights, of vector and keyword search for a batch of queries (query_id, query, vector). where limits the vector search before
     its candidates are chosen, and what the keyword search scores, but not its statistics of the corpus."""
     near = vector_search(chunks, queries, candidates, key, vector, where)
     found = keyword_search(chunks, queries, candidates, key, text, where)
-    return fuse(near, found, k, key=key)
+    return fuse(near, found, k, weights, key)
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.layout import classify_block, is_likely_equation, upper_median
+from cairn.functions.layout import DEFAULT_FONT, class_of, is_likely_equation, upper_median
 from cairn.functions.text import NUMBERED, strip
 
 # Fixed values of the query semantics, in points and shares of a page.
 OVERLAP_SHARE, CAPTION_GAP, LABEL_MARGIN, LABEL_CHARACTERS = 0.45, 100.0, 80.0, 40
+#: Drawings smaller than this both ways are no figures.
+MIN_DRAWING = 3.0
 MIN_WIDTH, MIN_HEIGHT, MIN_SHARE, MAX_GAP_SHARE, MAX_WIDTH_SHARE, JOIN_GAP, PAD = 80.0, 40.0, 0.05, 0.40, 0.95, 20.0, 8.0
 TABLE_CAPTION = r"(?i)\A\s*table\s*\d+[a-z]?\s*[:.\-]?\s*(.*)\z"
 FIGURE_CAPTION = r"(?i)\A\s*(?:figure|fig\.?)\s*\d+[a-z]?\s*[:.\-]?\s*(.*)\z"
@@ -37,9 +39,15 @@ def page_fonts(blocks: DataFrame) -> DataFrame:
 
 
 def classify(blocks: DataFrame) -> DataFrame:
-    """blocks (with page_height) with their label, by the fonts of their page."""
-    fonts = blocks.join(page_fonts(blocks), PAGE)
-    return fonts.withColumn("label", classify_block(F.col("text"), F.col("font_size"), F.col("is_bold"), F.col("y0"), F.col("page_height"), F.col("median_font"))).drop("median_font")
+    """blocks (with page_height) with their label, by the fonts of their page: the upper median of its blocks' sizes. Blocks are
+    shuffled once, by page."""
+    page = W.partitionBy(*PAGE)
+    numbered = blocks.withColumn("_i", F.row_number().over(page.orderBy(F.col("font_size").asc_nulls_last()))).withColumn("_n", F.count("font_size").over(page))
+    middle = F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col("font_size"))).over(page)
+    fonts = numbered.withColumn("_median", F.coalesce(middle, F.lit(DEFAULT_FONT))).withColumn("_bare", strip(F.col("text")))
+    rows = fonts.withColumn("_low", F.lower("_bare"))
+    label = class_of(F.col("_bare"), F.col("_low"), F.col("font_size"), F.col("is_bold"), F.col("y0"), F.col("page_height"), F.col("_median"))
+    return rows.withColumn("label", label).drop("_i", "_n", "_median", "_bare", "_low")
 
 
 def equation_rects(blocks: DataFrame, pad: float = 6.0) -> DataFrame:
@@ -62,6 +70,17 @@ def exclude_covered(blocks: DataFrame, rects: DataFrame, share: float = OVERLAP_
     return blocks.join(r, same & (width > 0) & (height > 0) & (area > 0) & (width * height >= share * area), "left_anti")
 
 
+def usable_rects(rects: DataFrame, least: float = 0.0) -> DataFrame:
+    """rects that are not empty; with least, as for drawings, also not smaller than that both ways."""
+    wide, tall = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return rects.where((wide > 0) & (tall > 0) & ~((wide < least) & (tall < least)))
+
+
+def union_rects(rects: DataFrame, by: list[str]) -> DataFrame:
+    """The smallest rectangle around all of each group."""
+    return rects.groupBy(*by).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
 def caption_lines(blocks: DataFrame, pattern: str) -> DataFrame:
     """source, page, title, caption and the block's rectangle for each line that is a caption."""
     rows = blocks.select(*PAGE, "x0", "y0", "x1", "y1", F.explode(F.split("text", "\n")).alias("_line")).withColumn("caption", strip(F.col("_line")))

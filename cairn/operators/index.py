@@ -54,7 +54,8 @@ def dense_rank_of(rows: DataFrame, by: list[str], name: str, block: int = 100_00
 
 
 def count_by_type(rows: DataFrame, kind: str = "type") -> DataFrame:
-    return rows.groupBy(kind).agg(F.count("*").alias("n"))
+    """kind, n, the most frequent first, equally frequent ones by name."""
+    return rows.groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind)
 
 
 def length_stats(chunks: DataFrame, length: Column) -> DataFrame:
@@ -64,10 +65,35 @@ def length_stats(chunks: DataFrame, length: Column) -> DataFrame:
 
 
 def document_summary(chunks: DataFrame, items: DataFrame) -> DataFrame:
-    """source, chunks, pages, items, types (chunks of each type) for every source that has chunks; items of others don't count."""
-    kinds = chunks.groupBy("source", "type").agg(F.count("*").alias("n"), F.max("page_end").alias("last"))
-    by = kinds.groupBy("source").agg(F.sum("n").alias("chunks"), F.coalesce(F.max("last"), F.lit(0)).alias("pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"))
-    return by.join(items.groupBy("source").agg(F.count("*").alias("items")), "source", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+    """source, chunks, pages, items, types (items of each type) for every source that has chunks; items of others don't count."""
+    by = chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.coalesce(F.max("page_end"), F.lit(0)).alias("pages"))
+    kinds = items.groupBy("source", "type").agg(F.count("*").alias("n"))
+    held = kinds.groupBy("source").agg(F.sum("n").alias("items"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return by.join(held, "source", "left").withColumn("items", F.coalesce("items", F.lit(0))).withColumn("types", F.coalesce("types", none)).select("source", "chunks", "pages", "items", "types")
+
+
+def document_listing(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """document_summary() in the order of sources."""
+    return document_summary(chunks, items).orderBy("source")
+
+
+def document_detail(items: DataFrame, chunks: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """A source's items and chunks, each in their order; a LookupError where it has neither."""
+    own = items.where(F.col("source") == source).orderBy("item_index"), chunks.where(F.col("source") == source).orderBy("chunk_index")
+    if own[0].isEmpty() and own[1].isEmpty():
+        raise LookupError(f"document not found: {source}")
+    return own
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have the same set of rows."""
+    return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
+
+
+def zip_rows(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
+    """The rows of a and b (both with order, a number from 0) side by side by their place; the shorter one ends it."""
+    return a.join(b, order)
 
 
 def relevance_summary(results: DataFrame, by: str = "query_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,19 +27,21 @@ def windows(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) ->
     A piece ends behind the last place of the best boundary that its later part holds, or at full size. The next one starts
     overlap characters earlier, at the beginning of a word, or at the end of the piece if that would not be further on.
     """
-    n, at = len(text), 0
-    while at < n:
-        stop = min(at + size, n)
-        if stop < n:
-            low = at + int((stop - at) * MIN_SPLIT_RATIO)
-            stop = next((p + len(s) for s in BOUNDARIES if (p := text.rfind(s, low, stop)) >= 0), stop)
+    # where each kind of boundary ends, once for the whole text; what a piece needs of them is found by bisection
+    ends = [(len(b), [m.start() + len(b) for m in re.finditer(f"(?={re.escape(b)})", text)]) for b in BOUNDARIES]
+    words, at, stop = ends[-1][1], 0, 0
+    while stop < len(text):
+        full = stop = min(at + size, len(text))
+        if full < len(text):
+            least = at + int(size * MIN_SPLIT_RATIO)
+            latest = ((n, at_[k - 1]) for n, at_ in ends if (k := bisect.bisect_right(at_, full)))
+            stop = next((end for n, end in latest if end - n >= least), full)
         yield at, stop
-        if stop >= n:
-            return
-        back = max(0, stop - overlap)
-        if back and not text[back - 1].isspace():
-            back = text.find(" ", back, stop) + 1 or stop
-        at = back if back > at else stop
+        again = max(0, stop - overlap)
+        if again and not text[again - 1].isspace():
+            k = bisect.bisect_right(words, again)
+            again = words[k] if k < len(words) and words[k] <= stop else stop
+        at = again if again > at else stop
 
 
 def split_pieces(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:

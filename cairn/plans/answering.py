@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,15 +11,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.providers import TextEmbedder, TextGenerator, embed_column, lexical_pair_score, standalone_question
-from cairn.functions.text import preview
+from cairn.functions.text import preview, strip
 from cairn.operators import context, fusion, index
 from cairn.operators.chunking import create_chunks, first_of
-from cairn.operators.dense import mmr_search
+from cairn.operators.dense import mmr_search, vector_search
 from cairn.operators.lexical import keyword_search
 
 NO_ANSWER = "I don't know based on the provided documents."
 REWRITE = "Conversation so far:\n{history}\n\nPut the last question so that it can be understood without the conversation. Only write the question.\n{question}"
 ANSWER = "Answer from these numbered sources alone, and cite each as [n].\n\nSources:\n\n{context}\n\nQuestion: {question}"
+PLAIN_ANSWER = "Answer the question from these documents alone.\n\nDocuments:\n\n{context}\n\nQuestion: {question}"
+# Fixed values of the query semantics: documents of the older chat and of the one-shot answer.
+CHAT_K, ONE_SHOT_K = 3, 10
 
 
 def ingest(items: DataFrame, stored: DataFrame, embedder) -> DataFrame:
@@ -28,37 +33,56 @@ def ingest(items: DataFrame, stored: DataFrame, embedder) -> DataFrame:
     return other.unionByName(index.apply_sync(own, chunks, lambda rows: embed_column(rows, embedder)))
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, embedder, k: int = fusion.TOP_K, chunk_type: str | None = None, neighbours: int = 0) -> DataFrame:
-    """Ranked chunks with context and citation for a batch of questions (query_id, query)."""
+def retrieve(chunks: DataFrame, questions: DataFrame, embedder, k: int = fusion.TOP_K, chunk_type: str | None = None, neighbours: int = 0, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Ranked chunks with context and citation for a batch of questions (query_id, query). Ties go by chunk_id."""
     asked = embed_column(questions, embedder, "query", "vector")
     where = None if chunk_type is None else F.col("type") == chunk_type
-    numbered = chunks.withColumn("_id", F.xxhash64("chunk_id"))
-    hits = fusion.hybrid_search(numbered, asked, k, where=where, key="_id", text="_search", vector="embedding") if "_search" in chunks.columns else fusion.hybrid_search(
-        numbered.withColumn("_search", F.concat_ws(" ", "section_path", "content")), asked, k, where=where, key="_id", text="_search", vector="embedding")
-    around = context.expand_neighbours(numbered, neighbours)
-    return context.with_citations(fusion.hydrate(hits, around, "_id")).drop("_id")
+    searched = chunks if "_search" in chunks.columns else chunks.withColumn("_search", F.concat_ws(" ", "section_path", "content"))
+    hits = fusion.hybrid_search(searched, asked, k, where=where, key="chunk_id", text="_search", vector="embedding", weights=weights)
+    return context.with_citations(fusion.hydrate(hits, context.expand_neighbours(chunks, neighbours), "chunk_id"))
 
 
-def retrieve_reranked(chunks: DataFrame, questions: DataFrame, embedder, candidates: int = fusion.RERANK_FROM, top_n: int = fusion.RERANK_TO, scorer=lexical_pair_score) -> DataFrame:
-    """Hybrid candidates, by weights, and of those the best by a pair scorer."""
-    wide = retrieve(chunks, questions, embedder, candidates)
+def retrieve_reranked(chunks: DataFrame, questions: DataFrame, embedder, candidates: int = fusion.RERANK_FROM, top_n: int = fusion.RERANK_TO, scorer=lexical_pair_score, weights: tuple[float, float] = fusion.ENSEMBLE) -> DataFrame:
+    """Hybrid candidates, fused by weights, and of those the best by a pair scorer."""
+    wide = retrieve(chunks, questions, embedder, candidates, weights=weights)
     return fusion.rerank(wide.withColumn("text", F.col("content")).join(questions.select("query_id", "query"), "query_id"), scorer, top_n)
 
 
 def compare_retrieval(chunks: DataFrame, queries: DataFrame, **options) -> DataFrame:
     """Plain top k and maximal marginal relevance side by side: query_id, method, key, place."""
-    from cairn.operators.dense import vector_search
-
     plain = vector_search(chunks, queries, 5, **options).select("query_id", F.lit("similarity").alias("method"), "vec_id", F.col("rank").alias("place"))
     return plain.unionAll(mmr_search(chunks, queries, **options).select("query_id", F.lit("mmr").alias("method"), "vec_id", F.col("pick_order").alias("place")))
 
 
 def distinct_contents(hits: DataFrame) -> DataFrame:
     """Each query's hits, of equal contents only the first, up to white space at the ends."""
-    key = F.struct("query_id", F.trim("content"))
+    key = F.struct("query_id", strip(F.col("content")))
     return first_of(hits.withColumn("_key", key), "_key", "rank").drop("_key")
 
 
+def attach_contents(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """sources (with chunk_id) with the content and section_path of their chunks, both "" where a chunk is gone."""
+    known = chunks.select("chunk_id", "content", "section_path")
+    return sources.drop("content", "section_path").join(known, "chunk_id", "left").fillna("", ["content", "section_path"])
+
+
+def user_message(question: str, rows: list, read: Callable[[str], bytes | None] | None = None, most: int = context.MAX_IMAGES) -> str | list[dict]:
+    """The prompt for rows (n, citation, context, type, image_paths, in order of n). With read, which gives a file's bytes or None,
+    a list of blocks: the prompt, then each of the first few distinct images that exist, behind a line that names its source."""
+    text = ANSWER.format(context="\n\n---\n\n".join(f"[{r['n']}] ({r['citation']})\n{r['context']}" for r in rows), question=question)
+    if read is None:
+        return text
+    blocks, seen = [{"type": "text", "text": text}], set()
+    for r in rows:
+        for path in r["image_paths"] or ():
+            data = read(path) if len(seen) < most and path not in seen else None
+            if data is not None:
+                seen.add(path)
+                blocks.append({"type": "text", "text": f"Image for source [{r['n']}] ({r['type']}):"})
+                blocks.append({"type": "image_url", "image_url": {"url": f"data:image/png;base64,{base64.b64encode(data).decode()}"}})
+    return blocks
+
+
 @dataclass
 class Answerer:
     """A conversation about an index. State is the history; retrieval is one plan, models run where their providers say."""
@@ -77,18 +101,43 @@ class Answerer:
         query = standalone_question(question, tail, self.model, REWRITE)
         asked = spark.createDataFrame([(0, query)], "query_id long, query string")
         found = retrieve(self.chunks, asked, self.embedder, self.k, chunk_type, neighbours=1)
-        rows = found.select("rank", "citation", "context", "type", "chunk_id", "image_paths", "content", "section_path").orderBy("rank").collect()  # k rows
+        rows = found.select(F.col("rank").alias("n"), "citation", "context", "type", "chunk_id", "image_paths", "content", "section_path").orderBy("n").collect()  # k rows
         if not rows:
             return {"question": question, "search_query": query, "answer": NO_ANSWER, "sources": []}
-        text = "\n\n---\n\n".join(f"[{r['rank']}] ({r['citation']})\n{r['context']}" for r in rows)
-        reply = self.model.generate(ANSWER.format(context=text, question=question))
+        reply = self.model.generate(user_message(question, rows))
         self.history += [("User", question), ("Assistant", reply)]
-        return {"question": question, "search_query": query, "answer": reply, "sources": [{"n": r["rank"]} | {c: r[c] for c in ("citation", "type", "chunk_id", "image_paths", "content", "section_path")} for r in rows]}
+        return {"question": question, "search_query": query, "answer": reply, "sources": [{c: r[c] for c in ("n", "citation", "type", "chunk_id", "image_paths", "content", "section_path")} for r in rows]}
 
     def reset(self) -> None:
         self.history.clear()
 
 
+@dataclass
+class OlderChat:
+    """The older chat about plain texts (text, embedding): nearest texts only, and the whole history, which serves to rewrite the
+    question and is no evidence for the answer."""
+
+    texts: DataFrame
+    embedder: type[TextEmbedder]
+    model: TextGenerator
+    k: int = CHAT_K
+    history: list[tuple[str, str]] = field(default_factory=list)
+
+    def ask(self, question: str) -> str:
+        query = standalone_question(question, "\n".join(f"{role}: {text}" for role, text in self.history), self.model, REWRITE)
+        reply = answer_once(self.texts, query, self.embedder, self.model, self.k, distinct=False)
+        self.history += [("User", question), ("Assistant", reply)]
+        return reply
+
+
+def answer_once(texts: DataFrame, question: str, embedder, model: TextGenerator, k: int = ONE_SHOT_K, key: str = "chunk_id", text: str = "text", distinct: bool = True) -> str:
+    """An answer from the k nearest texts, of equal ones the first, without a conversation."""
+    asked = embed_column(texts.sparkSession.createDataFrame([(0, question)], "query_id long, query string"), embedder, "query", "vector")
+    hits = vector_search(texts, asked, k, key).join(texts.select(key, F.col(text).alias("content")), key)
+    rows = (distinct_contents(hits) if distinct else hits).orderBy("rank").select("content").collect()  # k rows
+    return model.generate(PLAIN_ANSWER.format(context="\n\n".join(r["content"] for r in rows), question=question)) if rows else NO_ANSWER
+
+
 def listing(hits: DataFrame, characters: int = 400) -> DataFrame:
     """Hits for reading, in order, with the beginnings of their texts."""
     return hits.withColumn("content", preview(F.col("content"), characters)).orderBy("query_id", "rank")
@@ -100,4 +149,4 @@ def demo_ids(pieces: DataFrame, prefix: str, order: str) -> DataFrame:
     return pieces.withColumn("chunk_id", F.concat(F.lit(prefix), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))).withColumn("version", F.lit(1))
 
 
-__all__ = ["Answerer", "compare_retrieval", "demo_ids", "distinct_contents", "ingest", "keyword_search", "listing", "retrieve", "retrieve_reranked"]
+__all__ = ["Answerer", "OlderChat", "answer_once", "attach_contents", "compare_retrieval", "demo_ids", "distinct_contents", "ingest", "keyword_search", "listing", "retrieve", "retrieve_reranked", "user_message"]

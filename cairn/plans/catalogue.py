@@ -3,6 +3,7 @@ DuckDB SQL with the same result where SQL can express it."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import layout, providers, text, vectors
-from cairn.operators import chunking, context, dense, fusion, geometry, index, lexical, splitting
+from cairn.functions.sizes import shared_dir
+from cairn.operators import chunking, context, conversion, dense, fusion, geometry, index, lexical, splitting
+from cairn.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -288,7 +291,14 @@ def split_recursive(spark, sf_dir):
     return splitting.explode_pieces(rows, splitting.recursive_splitter()(F.col("text"))).select("doc_id", "piece_index", "piece")
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i0 FROM documents),
+n AS (SELECT doc_id, t, length(t) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i0) AS i FROM l WHERE t <> ''),
+g AS (
+  SELECT doc_id, i, c AS size, 0 AS grp FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.doc_id, n.i, CASE WHEN g.size + 1 + c > 1000 THEN c ELSE g.size + 1 + c END, grp + (g.size + 1 + c > 1000)::INT FROM g JOIN n ON n.doc_id = g.doc_id AND n.i = g.i + 1),
+p AS (SELECT doc_id, grp, """ + _strip("string_agg(t, chr(10) ORDER BY i)") + """ AS piece FROM g JOIN n USING (doc_id, i) GROUP BY doc_id, grp)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1)::INT AS piece_index, piece FROM p WHERE piece <> ''""")
 def split_plain(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select("doc_id", "text")
     return splitting.explode_pieces(rows, splitting.plain_splitter(separator="\n")(F.col("text"))).select("doc_id", "piece_index", "piece")
@@ -300,7 +310,13 @@ def _markdown(spark, sf_dir):
     return rows.select("o_custkey", F.concat(F.lit("Table: orders\n| key | priority |\n| --- | --- |\n"), "rows").alias("text"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (
+  SELECT o_custkey, '| ' || o_orderkey || ' | ' || o_orderpriority || ' |' AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+g AS (
+  SELECT o_custkey, i, 47 + length(t) + 1 AS size, 0 AS grp FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.o_custkey, r.i, CASE WHEN g.size + length(t) + 1 > 200 THEN 47 ELSE g.size END + length(t) + 1, grp + (g.size + length(t) + 1 > 200)::INT FROM g JOIN r ON r.o_custkey = g.o_custkey AND r.i = g.i + 1)
+SELECT o_custkey, grp AS piece_index, 'Table: orders' || chr(10) || '| key | priority |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(t, chr(10) ORDER BY i) AS piece FROM g JOIN r USING (o_custkey, i) GROUP BY o_custkey, grp""")
 def split_table_rows(spark, sf_dir):
     return splitting.explode_pieces(_markdown(spark, sf_dir), splitting.split_table(F.col("text"), 200)).select("o_custkey", "piece_index", "piece")
 
@@ -319,7 +335,7 @@ def table_html(spark, sf_dir):
     return _grid(spark, sf_dir).select("n_regionkey", text.table_to_html(F.col("rows")).alias("html"))
 
 
-@query(f"""SELECT n_regionkey, len(rows) >= 2 AS valid, '| ' || array_to_string(rows[1], ' | ') || ' |' || chr(10) || '| --- | --- |' || chr(10) ||
+@query(f"""SELECT n_regionkey, len(rows) >= 2 AS valid, '| ' || array_to_string(rows[1], ' | ') || ' |' || chr(10) || '|---|---|' || chr(10) ||
   array_to_string([('| ' || array_to_string(r, ' | ') || ' |') FOR r IN rows[2:]], chr(10)) AS markdown FROM ({_GRID})""")
 def table_markdown(spark, sf_dir):
     return _grid(spark, sf_dir).select("n_regionkey", text.is_valid_table(F.col("rows")).alias("valid"), text.table_to_markdown(F.col("rows")).alias("markdown"))
@@ -336,12 +352,65 @@ def _page_items(spark, sf_dir):
     return pages.select("source", F.col("item_index").cast("long").alias("item_index"), kind.alias("type"), (F.col("item_index") / 5 + 1).cast("int").alias("page"), "content", null.alias("title"), null.alias("table_data"), null.alias("text_fallback"), null.alias("image_path"))
 
 
-@query()
+_PAGE_ITEMS = f"""parts AS (SELECT page_id::VARCHAR AS source, string_split(regexp_extract(html, '(?s)<article>(.*)', 1), '<p>') AS x FROM pages),
+raw AS (SELECT source, unnest([regexp_replace(y, '(?s)<[^>]*>', ' ', 'g') FOR y IN x]) AS text, generate_subscripts(x, 1) - 1 AS i FROM parts),
+clean AS (SELECT source, i, {_CLEAN} AS text FROM raw),
+item AS (SELECT source, i, {_UNWRAP} AS text FROM clean),
+title AS (SELECT source, text AS title FROM item WHERE i = 0),
+body AS (SELECT source, i, text, length(text) AS c, row_number() OVER (PARTITION BY source ORDER BY i) AS k FROM item WHERE i > 0 AND text <> '' AND NOT regexp_full_match(text, '\\d{{1,4}}'))"""
+
+
+@query(f"WITH {_PAGE_ITEMS} SELECT source, i AS item_index, 'section_0001' AS parent_id, 'heading' AS section_type, title AS section_title, title AS section_path FROM body JOIN title USING (source)")
 def sections_breadcrumb(spark, sf_dir):
     return chunking.assign_sections(_page_items(spark, sf_dir)).select("source", "item_index", "parent_id", "section_type", "section_title", "section_path")
 
 
-@query()
+_HEADINGS = [
+    ("a", "paragraph", "before", "section_0000", "", ""), ("a", "heading", "Abstract", None, None, None), ("a", "paragraph", "free", "section_0002", "Abstract", "Abstract"), ("a", "heading", "1", None, None, None),
+    ("a", "heading", "Intro-\nduction", None, None, None), ("a", "paragraph", "p1", "section_0003", "1 Introduction", "1 Introduction"), ("a", "heading", "1.1. Deep\nwater", None, None, None),
+    ("a", "paragraph", "p2", "section_0004", "1.1 Deep water", "1 Introduction > 1.1 Deep water"), ("a", "paragraph", "12", None, None, None), ("a", "heading", "1.1.1.1.1.1.1.1.1 Nine", None, None, None),
+    ("a", "paragraph", "p3", "section_0005", "1.1.1.1.1.1.1.1.1 Nine", "1 Introduction > 1.1 Deep water > 1.1.1.1.1.1.1.1.1 Nine"), ("a", "heading", "1.1.1.1.1.1.1.1.1.1 Ten", None, None, None),
+    ("a", "paragraph", "p4", "section_0006", "1.1.1.1.1.1.1.1.1.1 Ten", "1 Introduction > 1.1 Deep water > 1.1.1.1.1.1.1.1.1 Nine > 1.1.1.1.1.1.1.1.1.1 Ten"), ("a", "heading", "2. Next", None, None, None),
+    ("a", "paragraph", "p5", "section_0007", "2 Next", "2 Next"), ("a", "heading", "Free", None, None, None), ("a", "paragraph", "p6", "section_0008", "Free", "Free"), ("a", "heading", "3 Wait", None, None, None),
+    ("a", "paragraph", "p7", "section_0009", "3 Wait", "3 Wait"), ("a", "title", "", None, None, None), ("a", "paragraph", "p8", "section_0010", "", ""), ("b", "paragraph", "q1", "section_0000", "", ""),
+    ("b", "heading", "3", None, None, None), ("b", "heading", "4 Own", None, None, None), ("b", "paragraph", "q2", "section_0002", "4 Own", "4 Own"),
+]
+
+
+def _heading_items(spark):
+    rows = [(s, i, k, 1 + i // 4, t, None, None, None, None) for i, (s, k, t, *_) in enumerate(_HEADINGS)]
+    return spark.createDataFrame(rows, chunking.ITEMS)
+
+
+@query(f"SELECT * FROM {_values([(s, i, p, t, path) for i, (s, _, _, p, t, path) in enumerate(_HEADINGS) if p])} v(source, item_index, parent_id, section_title, section_path)")
+def sections_headings(spark, sf_dir):
+    """Numbers alone, with dots and of ten levels, wrapped names, unnumbered and empty headings, and text before any."""
+    return chunking.assign_sections(_heading_items(spark)).select("source", "item_index", "parent_id", "section_title", "section_path")
+
+
+@query(f"""SELECT source, 'Document: ' || CASE source WHEN 'a' THEN 'Abstract' ELSE '4 Own' END || chr(10) || CASE WHEN path <> '' THEN 'Section: ' || path || chr(10) ELSE '' END || chr(10) || content AS embedding_text,
+  source || '_' || left(sha1(source || chr(0) || path || chr(0) || content), 16) AS chunk_id FROM {_values([(s, t, path) for s, _, t, p, _, path in _HEADINGS if p])} v(source, content, path)""")
+def chunk_titles(spark, sf_dir):
+    """A document's title is that of the first section that keeps an item and has one."""
+    return chunking.create_chunks(_heading_items(spark)).select("source", "embedding_text", "chunk_id")
+
+
+@query(f"""WITH RECURSIVE {_PAGE_ITEMS},
+g AS (
+  SELECT source, k, c + 2 AS size, 0 AS grp FROM body WHERE k = 1
+  UNION ALL
+  SELECT b.source, b.k, CASE WHEN g.size + c > 800 THEN c + 2 ELSE g.size + c + 2 END, grp + (g.size + c > 800)::INT FROM g JOIN body b ON b.source = g.source AND b.k = g.k + 1),
+documents AS (
+  SELECT source || '/' || grp AS doc_id, source, grp, string_agg(text, chr(10) || chr(10) ORDER BY k) AS text, min(i // 5 + 1) AS a, max(i // 5 + 1) AS b FROM g JOIN body USING (source, k) GROUP BY source, grp),
+{_PIECES % (_strip('text'), _strip('text'), _CUT)},
+cut AS (SELECT doc_id, k, {_strip('substr(t, pos + 1, stop - pos)')} AS piece FROM p WHERE k > 0),
+one AS (SELECT source, grp, k, piece, a, b, row_number() OVER w AS n, count(*) OVER (PARTITION BY source) AS m, lead(piece) OVER w AS next, lead(b) OVER w AS later FROM cut JOIN documents USING (doc_id) WHERE piece <> '' WINDOW w AS (PARTITION BY source ORDER BY grp, k)),
+mended AS (
+  SELECT source, n, a, CASE WHEN n = m - 1 AND length(next) < 50 THEN coalesce(nullif(later, 0), b) ELSE b END AS b, CASE WHEN n = m - 1 AND length(next) < 50 THEN piece || chr(10) || chr(10) || next ELSE piece END AS content
+  FROM one WHERE NOT (n = m AND m > 1 AND length(piece) < 50)),
+ids AS (SELECT *, source || '_' || left(sha1(source || chr(0) || title || chr(0) || content), 16) AS chunk_id FROM mended JOIN title USING (source)),
+kept AS (SELECT * FROM ids QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY source, n) = 1)
+SELECT source, (row_number() OVER (PARTITION BY source ORDER BY n) - 1)::INT AS chunk_index, chunk_id, 'section_0001' AS parent_id, 'text' AS type, title AS section_path, a::INT AS page_start, b::INT AS page_end, length(content)::INT AS char_count, content FROM kept""")
 def chunk_pipeline(spark, sf_dir):
     return chunking.create_chunks(_page_items(spark, sf_dir)).select("source", "chunk_index", "chunk_id", "parent_id", "type", "section_path", "page_start", "page_end", "char_count", "content")
 
@@ -407,10 +476,11 @@ def citations(spark, sf_dir):
 
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM ({_CITED}) QUALIFY n <= 5)
-SELECT source, string_agg('[' || n || '] (' || citation || ')' || chr(10) || left(text, 300), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context FROM r GROUP BY source""")
+SELECT source, string_agg('[' || n || '] (' || citation || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context FROM r GROUP BY source""")
 def numbered_context(spark, sf_dir):
+    """The five first documents of a source stand for its results; their whole texts are the context."""
     rows = _cited(spark, sf_dir).withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("rank <= 5")
-    return context.prompt_context(rows.withColumn("context", text.preview(F.col("text"), 300)), "source")
+    return context.prompt_context(rows.withColumn("context", F.col("text")), "source")
 
 
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
@@ -424,13 +494,13 @@ def history_prompt(spark, sf_dir):
     return context.format_history(_t(spark, sf_dir, "conversations"))
 
 
-@query("""SELECT doc_id, list_aggregate([x::VARCHAR FOR x IN [doc_id % 9, doc_id % 4 + 3] IF x IN (1, 2, 3, 4, 5)], 'string_agg', ',') AS cited
-FROM documents WHERE doc_id % 9 <> doc_id % 4 + 3""")
+@query("""SELECT doc_id, list_aggregate([x::VARCHAR FOR x IN CASE WHEN doc_id % 9 = doc_id % 4 + 3 THEN [doc_id % 9] ELSE [doc_id % 9, doc_id % 4 + 3] END IF x IN (1, 2, 3, 4, 5)], 'string_agg', ',') AS cited
+FROM documents""")
 def answer_marker_extract(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").where("doc_id % 9 <> doc_id % 4 + 3")
+    """A marker that is repeated counts once."""
     reply = F.format_string("It is so [%d], and not [x] or [123], as in [%d].", F.col("doc_id") % 9, F.col("doc_id") % 4 + 3)
     found = F.array_join(text.answer_markers(reply, F.array(*[F.lit(i) for i in range(1, 6)])), ",")
-    return rows.select("doc_id", F.nullif(found, F.lit("")).alias("cited"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.nullif(found, F.lit("")).alias("cited"))
 
 
 @query("""WITH p AS (SELECT source, doc_id, 'img' || doc_id % 4 || '.png' AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
@@ -466,7 +536,7 @@ def reindex_numbers(spark, sf_dir):
 SELECT source, sum(n)::BIGINT AS chunks, max(p)::BIGINT AS pages, sum(n)::BIGINT AS items, string_agg(lang || '=' || n, ',' ORDER BY lang) AS types FROM c GROUP BY source""")
 def document_summary(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    rows = index.document_summary(docs.select("source", F.col("lang").alias("type"), (F.col("doc_id") % 7).alias("page_end")), docs)
+    rows = index.document_listing(docs.select("source", (F.col("doc_id") % 7).alias("page_end")), docs.select("source", F.col("lang").alias("type")))
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return rows.select("source", "chunks", "pages", "items", shown.alias("types"))
 
@@ -554,7 +624,19 @@ def figure_label_filter(spark, sf_dir):
     return geometry.drop_figure_labels(b, b.where("block % 9 = 0")).select("source", "page", "block")
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS ({_BLOCKS}), c AS (SELECT source, page, block AS caption_id, x0, y0, x1, y1 FROM b WHERE block % 7 = 0),
+r AS (SELECT source, page, x0 AS rx0, y0 AS ry0, x1 AS rx1, y0 + 45 AS ry1 FROM b WHERE block % 3 = 1 AND x1 - x0 >= 80),
+near AS (
+  SELECT c.source, c.page, caption_id, rx0, ry0, rx1, ry1, row_number() OVER (PARTITION BY c.source, c.page, caption_id ORDER BY greatest(y0 - ry1, ry0 - y1, 0), abs((ry0 + ry1) / 2 - (y0 + y1) / 2), rx0, ry0, rx1, ry1) AS n
+  FROM c JOIN r ON r.source = c.source AND r.page = c.page WHERE greatest(y0 - ry1, ry0 - y1, 0) <= 0.4 * 800),
+f AS (
+  SELECT source, page, caption_id, n, rx0 AS x0, ry0 AS y0, rx1 AS x1, ry1 AS y1 FROM near WHERE n = 1
+  UNION ALL
+  SELECT source, page, caption_id, n, CASE WHEN meets THEN least(x0, rx0) ELSE x0 END, CASE WHEN meets THEN least(y0, ry0) ELSE y0 END, CASE WHEN meets THEN greatest(x1, rx1) ELSE x1 END, CASE WHEN meets THEN greatest(y1, ry1) ELSE y1 END
+  FROM (SELECT q.*, f.x0, f.y0, f.x1, f.y1, (least(rx1, x1 + 20) > greatest(rx0, x0 - 20) AND least(ry1, y1 + 20) > greatest(ry0, y0 - 20)) OR abs(ry0 - y1) < 20 OR abs(y0 - ry1) < 20 AS meets
+    FROM f JOIN near q ON q.source = f.source AND q.page = f.page AND q.caption_id = f.caption_id AND q.n = f.n + 1)),
+l AS (SELECT source, page, caption_id, greatest(x0 - 8, 0) AS f_x0, greatest(y0 - 8, 0) AS f_y0, least(x1 + 8, 600) AS f_x1, least(y1 + 8, 800) AS f_y1 FROM f QUALIFY row_number() OVER (PARTITION BY source, page, caption_id ORDER BY n DESC) = 1)
+SELECT c.source, c.page, c.caption_id::INT AS caption_id, c.x0, c.y0, c.x1, c.y1, f_x0, f_y0, f_x1, f_y1 FROM c LEFT JOIN (SELECT * FROM l WHERE f_x1 - f_x0 <= 0.95 * 600) l ON l.source = c.source AND l.page = c.page AND l.caption_id = c.caption_id""")
 def figure_region(spark, sf_dir):
     b = _blocks(spark, sf_dir)
     captions = b.where("block % 7 = 0").select("source", "page", F.col("block").alias("caption_id"), "x0", "y0", "x1", "y1")
@@ -603,29 +685,174 @@ def similarity_listing(spark, sf_dir):
     return compare_retrieval(_t(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir)).where("method = 'similarity'").select("query_id", "vec_id", "method", "place")
 
 
-@query("""SELECT source AS query_id, doc_id, trim(left(text, 40)) AS content FROM documents QUALIFY row_number() OVER (PARTITION BY source, trim(left(text, 40)) ORDER BY doc_id) = 1""")
+@query(f"""WITH d AS (SELECT source, doc_id, text || CASE doc_id % 3 WHEN 0 THEN chr(10) WHEN 1 THEN '  ' ELSE '' END AS content FROM documents)
+SELECT source AS query_id, doc_id, content FROM d QUALIFY row_number() OVER (PARTITION BY source, {_strip('content')} ORDER BY doc_id) = 1""")
 def distinct_contents(spark, sf_dir):
     from cairn.plans import answering
 
-    rows = _t(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", F.trim(F.left("text", F.lit(40))).alias("content"), F.col("doc_id").alias("rank"))
+    end = F.when(F.col("doc_id") % 3 == 0, "\n").when(F.col("doc_id") % 3 == 1, "  ").otherwise("")
+    rows = _t(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", F.concat("text", end).alias("content"), F.col("doc_id").alias("rank"))
     return answering.distinct_contents(rows).select("query_id", "doc_id", "content")
 
 
-@query("""SELECT doc_id AS chunk_id, 'chunk_id=' || doc_id || ';content=' || left(text, 20) || ';source=' || source || CASE WHEN doc_id % 2 = 0 THEN ';type=' || lang ELSE '' END AS metadata FROM documents""")
+@query("""SELECT doc_id AS chunk_id, 'chunk_id=' || doc_id || ';content=' || text || CASE WHEN doc_id % 3 = 0 THEN ';image_paths=["img/' || doc_id || '.png"]' ELSE '' END || ';source=' || source
+  || CASE WHEN doc_id % 2 = 0 THEN ';type=' || lang ELSE '' END AS metadata FROM documents""")
 def store_metadata(spark, sf_dir):
     from cairn.sources.writers import to_metadata
 
     null = F.lit(None).cast("string")
+    images = F.when(F.col("doc_id") % 3 == 0, F.array(F.format_string("img/%d.png", F.col("doc_id"))))
     rows = _t(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), null.alias("chunk_index"), null.alias("parent_id"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("type"), "source", null.alias("section_path"),
-        null.alias("page_start"), null.alias("page_end"), F.left("text", F.lit(20)).alias("content"), F.array(null).alias("image_paths")).withColumn("image_paths", F.when(F.col("chunk_id") < 0, F.col("image_paths")))
+        null.alias("page_start"), null.alias("page_end"), F.col("text").alias("content"), images.alias("image_paths"))
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return to_metadata(rows).select("chunk_id", shown.alias("metadata"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)
-SELECT conv_id, 'User: ' || string_agg(text, chr(10) || 'User: ' ORDER BY turn) AS history FROM (SELECT * FROM conversations WHERE role = 'user') GROUP BY conv_id HAVING count(*) <= 8""")
+@query("""SELECT conv_id, 'User: ' || string_agg(text, chr(10) || 'User: ' ORDER BY turn) AS history FROM (
+  SELECT * FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2) GROUP BY conv_id""")
 def user_history(spark, sf_dir):
-    asked = _t(spark, sf_dir, "conversations").where("role = 'user'")
-    few = asked.groupBy("conv_id").count().where("count <= 8").select("conv_id")
-    return context.format_history(asked.join(few, "conv_id", "left_semi"))
+    return context.format_history(_t(spark, sf_dir, "conversations").where("role = 'user'"), 2)
+
+
+# --- sources and sinks: written to the shared folder, and read back ---
+
+def _at(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@query("SELECT string_agg(n_name || chr(10), '' ORDER BY n_nationkey) AS text FROM nation")
+def text_folder(spark, sf_dir):
+    path = _at(spark)
+    _t(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
+    return readers.read_text_folder(spark, path).select("text")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS item_index, n_nationkey::BIGINT AS key, CASE WHEN n_nationkey % 3 > 0 THEN n_name END AS name FROM nation")
+def json_array_round_trip(spark, sf_dir):
+    path = _at(spark)
+    writers.write_json_array(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_name")).alias("name")), path, "key")
+    return readers.read_json_array(spark, path, "key bigint, name string")
+
+
+@query("SELECT n_name AS text, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'unknown' END AS topic, 'chunk_' || (row_number() OVER (ORDER BY n_nationkey) - 1) AS source FROM nation")
+def json_topics(spark, sf_dir):
+    path = _at(spark)
+    rows = _t(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("text"), F.when(F.col("n_nationkey") % 2 == 0, "even").alias("topic")).orderBy("n_nationkey")
+    writers.write_json_array(rows.drop("n_nationkey"), path)
+    return readers.read_topics(spark, path)
+
+
+@query(f"SELECT t AS page_content, 'chunk_' || (i - 1) AS source FROM {_values([(i + 1, c[1]) for i, c in enumerate(_CAPTIONS)])} v(i, t)")
+def list_source(spark, sf_dir):
+    return readers.from_list(spark, [c[1] for c in _CAPTIONS])
+
+
+@query("SELECT page_id::VARCHAR AS source, count(*)::BIGINT AS items FROM (SELECT page_id, unnest(string_split(regexp_extract(html, '(?s)<article>(.*)', 1), '<p>')) FROM pages) GROUP BY page_id")
+def layout_items_json(spark, sf_dir):
+    path = _at(spark)
+    writers.write_json_array(_page_items(spark, sf_dir).drop("item_index"), path)
+    return readers.read_items(spark, path).groupBy("source").agg(F.count("*").alias("items"))
+
+
+@query("SELECT 0::BIGINT AS before, count(*)::BIGINT AS after FROM nation WHERE n_regionkey <> 2 OR n_nationkey % 2 = 0")
+def stored_table_replace(spark, sf_dir):
+    """A table that is not there yet is empty; writing it anew replaces it, also from rows that were read from it."""
+    path, schema = _at(spark), "source string, n long"
+    before = readers.read_or_empty(spark, path, schema).count()
+    rows = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("source"), F.col("n_nationkey").cast("long").alias("n"))
+    writers.write_table(rows, path)
+    writers.replace_stored_source(spark, path, schema, "2", rows.where("source = '2' AND n % 2 = 0"))
+    return readers.open_index(spark, path).agg(F.lit(before).cast("long").alias("before"), F.count("*").alias("after"))
+
+
+@query("SELECT doc_id, 64 AS dimensions, 2 AS copies FROM documents")
+def embedded_store(spark, sf_dir):
+    """Appended twice, as a store that is only added to."""
+    path, rows = _at(spark), _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("embedding_text"))
+    for _ in range(2):
+        writers.store_embedded(rows, lambda r: providers.embed_column(r, providers.HashingEmbedder), path)
+    return readers.open_index(spark, path).groupBy("doc_id").agg(F.max(F.size("embedding")).alias("dimensions"), F.count("*").cast("int").alias("copies"))
+
+
+# --- joins and listings ---
+
+@query("SELECT d.doc_id, d.source, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 100")
+def hydrate_hits(spark, sf_dir):
+    """A hit without a chunk is left out."""
+    hits = _t(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 100).alias("chunk_id"))
+    return fusion.hydrate(hits, _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")).select("doc_id", "source", "text")
+
+
+@query("SELECT d.doc_id, coalesce(b.text, '') AS content, CASE WHEN b.text IS NULL THEN '' ELSE 'p' || b.item_id END AS section_path FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 100")
+def source_contents(spark, sf_dir):
+    from cairn.plans import answering
+
+    hits = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 100).alias("chunk_id"))
+    chunks = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("content"), F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("section_path"))
+    return answering.attach_contents(hits, chunks).select("doc_id", "content", "section_path")
+
+
+@query("""SELECT c.n, c.text, b.text AS title FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, text FROM documents) c JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, text FROM benchmark) b USING (n)""")
+def positional_zip(spark, sf_dir):
+    numbered = lambda t, key: _t(spark, sf_dir, t).withColumn("k", F.col(key)).transform(lambda d: index.dense_rank_of(d.withColumn("_z", F.lit(0)), ["_z", "k"], "n"))
+    return index.zip_rows(numbered("documents", "doc_id").select("n", "text"), numbered("benchmark", "item_id").select("n", F.col("text").alias("title")), "n")
+
+
+@query("SELECT source, doc_id, (doc_id % 7 IS DISTINCT FROM lag(doc_id % 7) OVER (PARTITION BY source ORDER BY doc_id)) AS page_break FROM documents")
+def page_breaks(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("item_index"), (F.col("doc_id") % 7).alias("page"))
+    return conversion.page_breaks(rows).select("source", F.col("item_index").alias("doc_id"), "page_break")
+
+
+@query("SELECT DISTINCT ON (source) source, doc_id, lang FROM documents ORDER BY source, doc_id DESC")
+def last_wins(spark, sf_dir):
+    return chunking.last_of(_t(spark, sf_dir, "documents").select("source", "doc_id", "lang"), "source", "doc_id")
+
+
+@query(f"SELECT doc_id, {_strip("string_split(regexp_replace(" + _strip('text') + ", '\\r\\n|[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}]', chr(10), 'g'), chr(10))[1]")} AS line, left(text, 100) AS beginning, array_to_string(string_split(text, chr(10))[:10], chr(10)) AS lines, TRY_CAST(left(text, 1) AS INT) AS number FROM documents")
+def first_lines(spark, sf_dir):
+    t = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", text.first_line(t).alias("line"), text.preview(t, 100).alias("beginning"), text.first_lines(t).alias("lines"), text.to_int(F.left(t, F.lit(1))).alias("number"))
+
+
+@query("SELECT doc_id, source, 'demo_' || lpad((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::VARCHAR, greatest(3, length((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::VARCHAR))::INT, '0') AS chunk_id, 1 AS version FROM documents")
+def demo_chunk_ids(spark, sf_dir):
+    from cairn.plans import answering
+
+    return answering.demo_ids(_t(spark, sf_dir, "documents").select("doc_id", "source"), "demo_", "doc_id")
+
+
+# --- more of layouts ---
+
+@query(f"""WITH b AS ({_BLOCKS}) SELECT source, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b WHERE NOT (x1 - x0 < 3 AND y1 - y0 < 3) AND x1 > x0 AND y1 > y0 GROUP BY source, page""")
+def rect_unions(spark, sf_dir):
+    return geometry.union_rects(geometry.usable_rects(_blocks(spark, sf_dir), geometry.MIN_DRAWING), geometry.PAGE)
+
+
+@query(f"""WITH b AS ({_BLOCKS}) SELECT source, page, block::INT AS block, CASE WHEN greatest(x0 - 4, 0) < least(x1 + 4, 300) AND greatest(y0 - 4, 0) < least(y1 + 4, 400) THEN greatest(x0 - 4, 0) END AS l,
+  CASE WHEN greatest(x0 - 4, 0) < least(x1 + 4, 300) AND greatest(y0 - 4, 0) < least(y1 + 4, 400) THEN least(y1 + 4, 400) END AS b FROM b""")
+def crop_boxes(spark, sf_dir):
+    box = geometry.crop_box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], F.lit(300.0), F.lit(400.0))
+    return _blocks(spark, sf_dir).withColumn("box", box).select("source", "page", "block", F.col("box.l").alias("l"), F.col("box.b").alias("b"))
+
+
+_NODES = """SELECT source, doc_id * 1000 + i AS node_index, CASE i % 5 WHEN 0 THEN 'section_header' WHEN 1 THEN 'page_header' WHEN 2 THEN 'formula' WHEN 3 THEN 'caption' ELSE 'list_item' END AS label, (doc_id % 9)::INT AS page, t AS text
+FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"""
+
+
+@query(f"""WITH n AS ({_NODES}), k AS (SELECT *, {_strip('text')} AS t FROM n WHERE label <> 'page_header' AND NOT (label = 'caption' AND node_index % 2 = 0)),
+t AS (SELECT *, CASE label WHEN 'section_header' THEN 'heading' WHEN 'formula' THEN 'equation' WHEN 'caption' THEN 'caption' ELSE 'paragraph' END AS type FROM k WHERE t <> '')
+SELECT source, (row_number() OVER (PARTITION BY source ORDER BY node_index) - 1)::BIGINT AS item_index, type, page, CASE WHEN type <> 'equation' THEN t END AS content, CASE WHEN type = 'equation' THEN t END AS text_fallback,
+  CASE WHEN type = 'equation' THEN 'images/equations/' || source || '_p' || page || '_equation_' || (row_number() OVER (PARTITION BY source, type ORDER BY node_index) - 1) || '.png' END AS image_path FROM t""")
+def convert_document(spark, sf_dir):
+    """Every line of a document is a node; a table holds every second caption, and has no word itself."""
+    lines = _t(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    label = F.element_at(F.array(*[F.lit(x) for x in ("section_header", "page_header", "formula", "caption", "list_item")]), (F.col("i") + 1) % 5 + 1)
+    null = lambda kind: F.lit(None).cast(kind)
+    nodes = lines.select(
+        "source", (F.col("doc_id") * 1000 + F.col("i") + 1).alias("node_index"), F.lit("text").alias("kind"), label.alias("label"), (F.col("doc_id") % 9).cast("int").alias("page"), "text", null("string").alias("ref"),
+        null("array<string>").alias("captions"), null("string").alias("caption"), null("array<array<string>>").alias("cells"), *[null("double").alias(c) for c in "ltrb"])
+    nodes = nodes.withColumn("ref", F.concat(F.lit("#"), F.col("node_index").cast("string")))
+    tables = nodes.where("label = 'caption' AND node_index % 2 = 0").withColumns({"kind": F.lit("table"), "captions": F.array("ref"), "cells": F.array(F.array(F.lit("-"), F.lit(" "))), "label": F.lit("table"), "ref": F.lit("t"), "node_index": -F.col("node_index")})
+    return conversion.convert_nodes(nodes.unionByName(tables)).select("source", "item_index", "type", "page", "content", "text_fallback", "image_path")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +18,60 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def write_json_array(rows: DataFrame, path: str, *order: str) -> None:
+    """One JSON array in one file, an object a line, in the given order: what readers.read_json_array reads. One task writes it, a
+    batch at a time; large tables are for write_json() or write_table()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = "["
+        for b in batches:
+            lines = []
+            for x in b["value"]:
+                lines.append(before + x)
+                before = ","
+            yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["]" if before == "," else "[]"]})
+
+    objects = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("value")
+    (rows.orderBy(*order) if order else rows).select(objects).coalesce(1).mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def recover_table(spark: SparkSession, path: str) -> None:
+    """Puts the old table back where a writer ended between moving it away and moving the new one in."""
+    fs, where = _files(spark, path)
+    if not fs.exists(where(path)):
+        left = fs.globStatus(where(f"{path}.*.old")) or []
+        if len(left):
+            fs.rename(max(left, key=lambda s: s.getModificationTime()).getPath(), where(path))
+
+
 def write_table(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Replaces a table at once: it is written beside the old one, which may be what rows reads, and then takes its place."""
+    """Replaces a table: it is written beside the old one, which may be what rows reads, and then takes its place.
+
+    If the new one cannot be moved in, the old one is put back; if the writer itself ends in between, recover_table() does that,
+    which every reader of such tables here calls first. One writer a table at a time.
+    """
     spark = rows.sparkSession
+    recover_table(spark, path)
     stage, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     rows.write.partitionBy(*partition_by).parquet(stage)
-    jvm = spark.sparkContext._jvm
-    where = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, where = _files(spark, path)
     had = fs.exists(where(path))
-    if had:
-        fs.rename(where(path), where(old))
-    if not fs.rename(where(stage), where(path)):
+    if had and not fs.rename(where(path), where(old)):
+        raise OSError(f"could not move {path} away")
+    try:
+        moved = fs.rename(where(stage), where(path))
+    except Exception:
+        moved = False
+    if not moved:
+        if had:
+            fs.rename(where(old), where(path))
         raise OSError(f"could not move {stage} to {path}")
     if had:
         fs.delete(where(old), True)

@@ -33,7 +33,7 @@ def test_text_functions(spark):
     assert one(text.image_url(c), "\\a\\b.png") == "a/b.png" and one(text.to_int(c), "x") is None
     table = spark.sql("SELECT array(array('a|b', null), array('<', ' x  y '), array('<', 'x y')) AS t, array() AS e")
     r = table.select(text.table_to_markdown(F.col("t")), text.table_to_html(F.col("t")), text.is_valid_table(F.col("t")), text.table_to_html(F.col("e").cast("array<array<string>>"))).first()
-    assert r[0] == "| a/b |  |\n| --- | --- |\n| < | x y |" and "<td>&lt;</td>" in r[1] and r[2] and r[3] == "<table></table>"
+    assert r[0] == "| a/b |  |\n|---|---|\n| < | x y |" and "<td>&lt;</td>" in r[1] and r[2] and r[3] == "<table></table>"
 
 
 def test_upper_median(spark):
