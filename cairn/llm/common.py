@@ -34,6 +34,12 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; for its end, when no table of it is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df, which should be durable, has at most so many rows; counts no further."""
     return df.limit(rows + 1).count() <= rows
@@ -74,7 +80,9 @@ def _power(base: int, n: int) -> np.ndarray:
         size = 1 << max(12, int(n).bit_length())
         have = np.full(size, base, np.uint64)
         have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if size <= 4 * HASH_BLOCK:  # those for a word longer than a block are not kept
+            _powers[base] = have
     return have[:n]
 
 
@@ -87,14 +95,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(data: bytes, gap: np.ndarray = _SPACE) -> np.ndarray:
+#: Bytes of a text that are hashed at a time, but for a longer word.
+HASH_BLOCK = 1 << 20
+
+
+def word_hashes(data: bytes, gap: np.ndarray = _SPACE, block: int = HASH_BLOCK) -> np.ndarray:
     """A 64-bit hash of each word in UTF-8 bytes, in order. gap: which byte values separate words.
 
-    The polynomial hash of every word comes from one running sum over the whole text, so no Python loop runs per word.
+    A longer text is hashed block by block, each of which ends at a gap, so that what is held besides the hashes is bounded.
     """
-    if not data:
-        return np.zeros(0, np.uint64)
-    b = np.frombuffer(data, np.uint8)
+    b, out, start = np.frombuffer(data, np.uint8), [], 0
+    while start < len(b):
+        end = min(start + block, len(b))
+        while end < len(b) and not gap[b[end]]:
+            ends = np.flatnonzero(gap[b[end : end + 4096]])
+            end = min(end + (int(ends[0]) if len(ends) else 4096), len(b))
+        out.append(_hash_block(b[start:end], gap))
+        start = end
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _hash_block(b: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """The polynomial hash of every word comes from one running sum, so no Python loop runs per word."""
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~gap[b]
     edge = np.flatnonzero(np.diff(inside))

@@ -17,7 +17,8 @@ def source_targets(sizes: DataFrame, max_rate: int = MAX_RATE) -> DataFrame:
 
     Targets share the sum of all sizes by weight. One above max_rate times its source's size stops there, and the excess is
     shared out again. The fixed point has a closed form: in the order of max_rate * size / weight, a source is at its limit as
-    long as that ratio is not above the level that the sources from it on would get. Only one row a source is sorted here.
+    long as that ratio is not above the level that the sources from it on would get. Only one row a source is sorted here, in one
+    task: that is meant for sources, of which there are thousands, not for keys that grow with the documents.
     """
     total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
@@ -50,7 +51,9 @@ def mix(docs: DataFrame, max_rate: int = MAX_RATE, text: str = "text", source: s
     size is the number of words of the text, 0 for null. A document is taken floor(rate) times, rate being its source's target
     over its size, and once more with the rate's fraction as probability, by a number drawn from its key alone: reruns agree,
     and rows repeated under one key are all drawn alike. Sources without words have target 0 and their documents 1 copy of
-    nothing (taken 0, copies 1), so that no row is lost to a division by zero. An empty table stays empty.
+    nothing (taken 0, copies 1), so that no row is lost to a division by zero. An empty table stays empty. Whole texts are counted,
+    whatever their length. How near a source comes to its target depends on its number of documents: with n alike, of rate r and
+    fraction f, the relative deviation is sqrt(f (1 - f) / n) / r.
 
     Words are counted in the pass that adds up the sources, a row a source, and again where the rows are returned; a caller that
     only needs the numbers gives measure() instead of texts, which counts once.

@@ -158,6 +158,20 @@ def test_drop_near_copies_by_row(spark):
     assert {n: d and bytes(d) for n, d in want.items()} == {r[2]: near_dedup.hashlib.md5(near_dedup.normalised(r[1])).digest() if near_dedup.normalised(r[1]) else None for r in rows}
 
 
+def test_word_hashes_by_block():
+    import numpy as np
+
+    from cairn.llm import common
+
+    data = ("  a bc\n" * 40 + "x" * 300 + " é😀 " * 50 + "y").encode()
+    whole = common.word_hashes(data)
+    assert len(whole) == len(data.split()) and len(set(whole.tolist())) == len(set(data.split()))
+    for block in (1, 2, 7, 64, 299, 5000):
+        assert (common.word_hashes(data, block=block) == whole).all()
+    assert len(common.word_hashes(b"")) == 0 == len(common.word_hashes(b"  "))
+    assert np.array_equal(common.word_hashes(b" " * 9 + b"q", block=3), common.word_hashes(b"q"))
+
+
 def test_registers_merge():
     import numpy as np
 
@@ -506,6 +520,8 @@ def test_toxicity_held_out(spark):
     got = queries.toxic_texts(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     right = sum(r.predicted == r.toxic for r in got)
     assert right >= 0.95 * len(got) > 100 and {r.predicted for r in got} == {0, 1}
+    toxic, clean = ([r for r in got if r.toxic == y] for y in (1, 0))
+    assert sum(r.predicted for r in toxic) >= 0.92 * len(toxic) and sum(r.predicted for r in clean) <= 0.035 * len(clean)
 
 
 def test_toxicity_cases(spark):
