@@ -1,11 +1,16 @@
-"""From raw documents to a training mixture, in five stages over whole tables."""
+"""From raw documents to a training mixture, in five stages over whole tables.
+
+Every stage takes null and empty texts and null columns, texts of any length, repeated rows and ids, empty tables, and columns of
+any name beside those of documents, which go through unchanged. What it does with rows that tie is said with its operator.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from cairn.llm.common import durable, table
+from cairn.llm.common import durable, free_names, table
 
 #: Documents are near copies from this similarity of their five-word shingles on.
 PERCENT = 80
@@ -14,13 +19,15 @@ ORACLE_SQL = None
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all labelled documents and drops those that score 0.5 or more; texts that are null or empty stay."""
+    """Learns from all labelled documents and drops those that score 0.5 or more; texts that are null or empty stay. Equal texts
+    score alike, so repeated rows stay or go together; without labels of both classes nothing goes."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="_score").where("_score < 0.5").select(*docs.columns)
+    (name,) = free_names(docs, "score")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the lines that too many documents of a source share; every document stays."""
+    """Removes the lines that too many documents of a source share; every document stays, though its text may become empty."""
     return line_dedup.drop_boilerplate(docs).select(*docs.columns)
 
 
@@ -31,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
+    """Drops documents that hold an item of the benchmark; without one all stay, and so do null and empty texts."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
