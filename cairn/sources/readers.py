@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.sizes import maybe_broadcast
 from cairn.operators.chunking import ITEMS
 
 CHUNKS = (
@@ -62,7 +64,10 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, or an empty one where nothing is stored yet."""
+    """A stored table, or an empty one where nothing is stored yet. A table that a writer left moved away is put back first."""
+    from cairn.sources.writers import recover_table
+
+    recover_table(spark, path)
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
@@ -82,9 +87,13 @@ def from_list(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """source, content of the PDF files of a folder that may be ingested: by name, size and first bytes."""
+    """source, file_index, content of the PDF files of a folder that may be ingested: by name, size and first bytes. file_index
+    numbers the folder's PDF files by name, in which order they are to be read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
-    return files.where((F.col("length") <= MAX_UPLOAD_BYTES) & (F.substring("content", 1, 4) == F.lit(b"%PDF"))).select(F.element_at(F.split("path", "/"), -1).alias("source"), "content")
+    name = F.element_at(F.split("path", "/"), -1).alias("source")
+    order = files.select(name).distinct().select("source", (F.row_number().over(W.orderBy("source")) - 1).alias("file_index"))  # names only
+    right = files.where((F.col("length") <= MAX_UPLOAD_BYTES) & (F.substring("content", 1, 4) == F.lit(b"%PDF")))
+    return right.select(name, "content").join(maybe_broadcast(order), "source").select("source", "file_index", "content")
 
 
 def parse_pdfs(files: DataFrame, parser: Callable[[], Callable[[str, bytes], Iterable[dict]]], schema: str = SPANS) -> DataFrame:

@@ -226,3 +226,242 @@ def test_streaming_ingest(spark, tmp_path):
     items(spark, [("a", "paragraph", "three")]).write.mode("append").parquet(folder)
     ingest.run_ingest(spark, folder, out, mark).awaitTermination()
     assert sorted(r.content for r in spark.read.parquet(out).collect()) == ["three", "two"]
+
+
+# --- against plain versions ---
+
+def plain_sections(rows):
+    """(parent_id, title, path) of each kept item of one source, item by item, from the rules of SURVEY W1 to W3."""
+    import re
+
+    clean = lambda t: re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", (t or "").replace("\r\n", "\n").replace("\r", "\n"))).strip()
+    unwrap = lambda t: re.sub(" {2,}", " ", re.sub(r"(?<!\n)\n(?!\n)", " ", re.sub(r"(\w)-\n(\w)", r"\1\2", t))).strip()
+    opened, held, levels, now, out = 0, None, [], None, []
+    for i, (kind, content) in enumerate(rows):
+        t = clean(content)
+        if kind in ("heading", "title"):
+            if re.fullmatch(r"\d+(\.\d+)*", t):
+                held = t
+                continue
+            m = re.match(r"(\d+(?:\.\d+)*)\.?\s+(\S.*)", t, re.DOTALL)
+            number, held = (m[1] if m else held), None
+            title = f"{number} {unwrap(m[2] if m else t)}" if number else unwrap(t)
+            depth = number.count(".") + 1 if number else 0
+            levels = [(d, x) for d, x in levels if d < depth] + [(depth, title)] if number else []
+            opened += 1
+            now = (f"section_{opened:04d}", title, " > ".join(x for _, x in levels) if number else title)
+            continue
+        if now is None:
+            opened, now = 1, ("section_0000", "", "")
+        t = unwrap(t)
+        if t and not (kind == "paragraph" and re.fullmatch(r"\d{1,4}", t)):
+            out.append((i, *now))
+    return out
+
+
+def test_sections_equal_plain_loop(spark):
+    r = random.Random(11)
+    heads = ["1", "2.1", "3.", "4 Wait", "5. Next", "1.2 Deep\nwater", "1.2.3 Intro-\nduction", "Abstract", "", " ", None, "2.2.2.2.2.2.2.2.2.2.2 Eleven", "A 1", "7  Two\n\nparts", "10.1\tTab", "1.2."]
+    bodies = ["text", "12", "12345", "", None, " \n", "two\nlines", "hy-\nphen"]
+    rows, want = [], {}
+    for k in range(60):
+        own = [(r.choice(("heading", "title")), r.choice(heads)) if r.random() < 0.45 else (r.choice(("paragraph", "caption")), r.choice(bodies)) for _ in range(r.randint(1, 14))]
+        rows += [(f"s{k:02d}", i, kind, 1, t, None, None, None, None) for i, (kind, t) in enumerate(own)]
+        want |= {(f"s{k:02d}", i): rest for i, *rest in plain_sections(own)}
+    got = {(x.source, x.item_index): [x.parent_id, x.section_title, x.section_path] for x in chunking.assign_sections(spark.createDataFrame(rows, ITEM)).collect()}
+    assert got == want and any(" > " in v[2] for v in want.values())
+
+
+def test_merged_tail(spark):
+    """A short last chunk gives its items, and its last page, to the one before, but not its images."""
+    text = "x" * 798
+    rows = [("s", 0, "paragraph", 1, text, None, None, None, "a.png"), ("s", 1, "paragraph", 3, "tail", None, None, None, "b.png"), ("t", 0, "paragraph", 2, text, None, None, None, None), ("t", 1, "paragraph", None, "tail", None, None, None, None)]
+    got = {c.source: c for c in chunking.create_chunks(spark.createDataFrame(rows, ITEM)).collect()}
+    assert len(got) == 2 and got["s"].content == f"{text}\n\ntail" and got["s"].item_indices == [0, 1]
+    assert (got["s"].page_start, got["s"].page_end, got["s"].image_paths) == (1, 3, ["a.png"]) and (got["t"].page_start, got["t"].page_end) == (2, 2)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab. ?!\n", max_size=900), st.integers(10, 90), st.integers(0, 30))
+def test_windows_equal_search(value, size, overlap):
+    """The bisection against looking for the last boundary of each piece anew."""
+    text_, want, at = value.strip(), [], 0
+    while at < len(text_):
+        stop = min(at + size, len(text_))
+        if stop < len(text_):
+            low = at + int((stop - at) * splitting.MIN_SPLIT_RATIO)
+            found = [text_.rfind(b, low, stop) + len(b) for b in splitting.BOUNDARIES if text_.rfind(b, low, stop) >= 0]
+            stop = found[0] if found else stop
+        want.append((at, stop))
+        if stop >= len(text_):
+            break
+        back = max(0, stop - overlap)
+        if back and not text_[back - 1].isspace():
+            back = text_.find(" ", back, stop) + 1 or stop
+        at = back if back > at else stop
+    assert list(splitting.windows(text_, size, overlap)) == want
+
+
+def plain_recursive(text_, size, separators):
+    """Split by the first separator there is, the large parts again by the later ones; then put neighbours together while they fit."""
+    glue = next((x for x in separators if x == "" or x in text_), separators[-1])
+    later = separators[separators.index(glue) + 1 :]
+    out, run = [], ""
+    for part in (text_.split(glue) if glue else text_):
+        if not part:
+            continue
+        if len(part) > size:
+            out += [run] if run else []
+            run = ""
+            out += plain_recursive(part, size, later) if later else [part]
+        elif run and len(run) + len(glue) + len(part) <= size:
+            run += glue + part
+        else:
+            out += [run] if run else []
+            run = part
+    return [x.strip() for x in [*out, run] if x.strip()]
+
+
+def test_split_recursive_equals_plain_version(spark):
+    from cairn.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    want = {r.doc_id: plain_recursive(r.text, splitting.RECURSIVE_SIZE, list(splitting.RECURSIVE_SEPARATORS)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {}
+    for r in QUERIES["split_recursive"](spark, sf).orderBy("doc_id", "piece_index").collect():
+        got.setdefault(r.doc_id, []).append(r.piece)
+    assert got == {d: p for d, p in want.items() if p}
+
+
+def test_semantic_merge_equals_plain_version(spark):
+    from cairn.plans.catalogue import QUERIES
+
+    sf, model = "/root/testdata/sf0.001", providers.HashingEmbedder()
+    pieces, want = {}, []
+    for r in QUERIES["split_recursive"](spark, sf).orderBy("doc_id", "piece_index").collect():
+        pieces.setdefault(r.doc_id, []).append(r.piece)
+    for d, own in pieces.items():
+        done = [own[0]]
+        for t in own[1:]:
+            a, b = (np.array(model.embed([x])[0]) for x in (done[-1], t))
+            alike = a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) if a.any() and b.any() else 0
+            if alike >= 0.7 and len(done[-1]) + len(t) + 2 <= 1000:
+                done[-1] += "\n\n" + t
+            else:
+                done.append(t)
+        want += [(d, i, t) for i, t in enumerate(done)]
+    assert sorted(map(tuple, QUERIES["semantic_merge"](spark, sf).collect())) == sorted(want)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_reads_texts_once(spark):
+    """No shuffle of texts or of pairs: what is planned over the written postings is a task's best, ranked; and both ways agree."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    keep = F.col("lang") == "fr"
+    for condition in (None, keep):
+        one = lexical.keyword_search(docs, asked, 7, keep=condition)
+        two = lexical.keyword_search(docs, asked, 7, keep=condition, query_terms_at_most=0)
+        both = [sorted((r.query_id, r.doc_id, round(r.score, 7), r["rank"]) for r in x.collect()) for x in (one, two)]
+        assert both[0] == both[1] and len(both[0]) > 100
+    plan = plan_of(lexical.keyword_search(docs, asked, 7))
+    assert plan.count("FileScan") == 1 and "text" not in plan.split("FileScan")[1].split("\n")[0] and plan.count("Exchange hashpartitioning") == 1
+    named = lexical.keyword_search(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), asked, 7)
+    best = lambda x: sorted((r.query_id, round(r.score, 7), r["rank"]) for r in x.collect())
+    assert named.schema["doc_id"].dataType.simpleString() == "string" and best(named) == best(lexical.keyword_search(docs, asked, 7))
+
+
+def test_classify_strips_once(spark):
+    from cairn.plans.catalogue import QUERIES
+
+    plan = plan_of(QUERIES["classify_blocks"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange") == 1 and plan.count("regexp_replace") <= 2
+
+
+def test_weights_and_string_keys(spark):
+    rows = [("a.pdf", "title", "Cats"), ("a.pdf", "paragraph", "Cats purr when they are happy."), ("b.pdf", "title", "Dogs"), ("b.pdf", "paragraph", "Dogs bark at night.")]
+    store = providers.embed_column(chunking.create_chunks(items(spark, rows)), providers.HashingEmbedder).cache()
+    q = spark.createDataFrame([(0, "dogs bark")], "query_id long, query string")
+    one = answering.retrieve(store, q, providers.HashingEmbedder).orderBy("rank").first()
+    assert one.chunk_id.startswith("b_") and one.score == pytest.approx(2 / 61)
+    best = answering.retrieve_reranked(store, q, providers.HashingEmbedder).orderBy("rerank").first()
+    assert best.score == pytest.approx(0.7 / 61 + 0.3 / 61) and answering.distinct_contents(spark.createDataFrame([(0, "a\n", 1), (0, "\u00a0a", 2), (0, "b", 3)], "query_id long, content string, rank int")).count() == 2
+    gone = answering.attach_contents(spark.createDataFrame([(1, "no"), (2, one.chunk_id)], "n int, chunk_id string"), store).orderBy("n").collect()
+    assert (gone[0].content, gone[0].section_path) == ("", "") and gone[1].content == one.content
+
+
+def test_messages_and_older_chats(spark):
+    rows = [{"n": 1, "citation": "c", "context": "x", "type": "figure", "image_paths": ["a", "b", "a"]}, {"n": 2, "citation": "d", "context": "y", "type": "text", "image_paths": None}, {"n": 3, "citation": "e", "context": "z", "type": "table", "image_paths": ["b", "no", "c", "d"]}]
+    blocks = answering.user_message("why?", rows, lambda p: None if p == "no" else p.encode())
+    assert isinstance(answering.user_message("why?", rows), str) and blocks[0]["text"].endswith("Question: why?")
+    assert [b["text"] for b in blocks[1::2]] == ["Image for source [1] (figure):"] * 2 + ["Image for source [3] (table):"] and len(blocks) == 7
+    texts = providers.embed_column(spark.createDataFrame([("1", "cats purr"), ("2", "cats purr \n"), ("3", "dogs bark")], "chunk_id string, text string"), providers.HashingEmbedder, "text").cache()
+
+    class Model:
+        seen = []
+
+        def generate(self, prompt):
+            self.seen.append(prompt)
+            return f"reply {len(self.seen)}"
+
+    chat = answering.OlderChat(texts, providers.HashingEmbedder, Model())
+    assert chat.ask("cats purr") == "reply 1" and "cats purr\n\ncats purr" in Model.seen[0]
+    assert chat.ask("and dogs?") == "reply 3" and "reply 1" in Model.seen[1] and "reply 1" not in Model.seen[2]
+    assert answering.answer_once(texts, "cats purr", providers.HashingEmbedder, Model()) == "reply 4" and Model.seen[3].count("cats purr") == 2
+    assert answering.answer_once(texts.limit(0), "cats", providers.HashingEmbedder, Model()) == answering.NO_ANSWER
+
+
+def test_conversion(spark):
+    from cairn.operators import conversion
+
+    box = (10.0, 10.0, 50.0, 20.0)
+    node = lambda i, kind, label, text_=None, ref=None, captions=None, caption=None, cells=None, at=(None,) * 4, page=1: ("d/x.pdf", i, kind, label, page, text_, ref, captions, caption, cells, *at)
+    rows = [
+        node(0, "text", "page_header", "furniture"), node(1, "text", "title", "Name\r\nrest"), node(2, "picture", "picture", captions=["#c"], caption="Figure 2: A b/c", at=(0.0, 100.0, 100.0, 200.0)),
+        node(3, "text", "caption", "Figure 2: A b/c", "#c"), node(4, "text", "caption", "loose", "#d"), node(5, "text", "text", "axis", at=(20.0, 30.0, 60.0, 40.0)), node(6, "text", "text", "3 numbered", at=(20.0, 30.0, 60.0, 40.0)),
+        node(7, "text", "section_header", "far", at=(20.0, 900.0, 60.0, 910.0)), node(8, "table", "table", cells=[["a", " "], ["a", " "], ["b|c", None]], caption="Table 1. T"), node(9, "table", "table", cells=[["-", ""]]),
+        node(10, "text", "formula", "x = y", page=None), node(11, "text", "list_item", "  "), node(12, "text", "text", "axis too", at=box, page=2)]
+    got = conversion.convert_nodes(spark.createDataFrame(rows, conversion.NODES)).orderBy("item_index").collect()
+    assert [(r.type, r.content or r.title or r.text_fallback) for r in got] == [
+        ("title", "Name"), ("figure", "A b/c"), ("caption", "loose"), ("paragraph", "3 numbered"), ("heading", "far"), ("table", "T"), ("equation", "x = y"), ("paragraph", "axis too")]
+    assert [r.image_path for r in got if r.image_path] == ["images/x_p1_figure_0_A_b_c.png", "images/tables/x_p1_table_0_T.png", "images/equations/x_pNone_equation_0.png"]
+    assert got[5].table_data == "| a |  |\n|---|---|\n| b/c |  |" and [r.item_index for r in got] == list(range(8))
+    assert conversion.convert_nodes(spark.createDataFrame([], conversion.NODES)).count() == 0
+
+
+def test_table_recovers(spark, tmp_path):
+    """A writer that ended between its two renames loses nothing, and a move that fails puts the old table back."""
+    path, schema = str(tmp_path / "t"), "v int"
+    writers.write_table(spark.createDataFrame([(1,)], schema), path)
+    (tmp_path / "t").rename(tmp_path / "t.0.old")
+    assert [r.v for r in readers.read_or_empty(spark, path, schema).collect()] == [1]
+    (tmp_path / "t").rename(tmp_path / "t.1.old")
+    writers.write_table(readers.read_or_empty(spark, path, schema).selectExpr("v + 1 AS v"), path)
+    assert [r.v for r in spark.read.schema(schema).parquet(path).collect()] == [2]
+
+
+def test_documents_and_jobs(spark, tmp_path):
+    folder, out, mark, store, kept, log = (str(tmp_path / x) for x in ("in", "out", "mark", "index", "items", "jobs"))
+    items(spark, [("a", "heading", "H"), ("a", "paragraph", "one"), ("b", "paragraph", "two")]).write.parquet(folder)
+    run = lambda: ingest.run_ingest(spark, folder, out, mark, embedder=providers.HashingEmbedder, index_path=store, items_path=kept, jobs_path=log).awaitTermination()
+    run()
+    items(spark, [("b", "paragraph", "three")]).write.mode("append").parquet(folder)
+    run()
+    index_ = spark.read.parquet(store)
+    assert sorted(r.content for r in index_.collect()) == ["one", "three"] and all(len(r.embedding) == 64 for r in index_.collect())
+    every = ingest.jobs(spark, log).collect()
+    assert len(every) == 2 and {(r.status, r.items, r.chunks, r.sections) for r in every} == {("done", 3, 2, 2), ("done", 1, 1, 1)} and ingest.jobs(spark, log, "running").count() == 0
+    assert ingest.job_status(spark, log, every[0].job_id)["progress"] == 1.0
+    with pytest.raises(LookupError):
+        ingest.job_status(spark, log, "none")
+    stored = spark.read.parquet(kept)
+    own = index.document_detail(stored, spark.read.parquet(out), "a")
+    assert [r.type for r in own[0].collect()] == ["heading", "paragraph"] and [r.content for r in own[1].collect()] == ["one"]
+    with pytest.raises(LookupError):
+        index.document_detail(stored, spark.read.parquet(out), "zzz")
+    summary = index.document_listing(spark.read.parquet(out), stored).collect()
+    assert [r.source for r in summary] == ["a", "b"] and summary[0].types == {"heading": 1, "paragraph": 1}
+    assert index.same_rows(stored, stored.repartition(2)) and not index.same_rows(stored, stored.limit(1))
