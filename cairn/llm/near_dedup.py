@@ -219,7 +219,31 @@ def _unlinked(sketches: np.ndarray, sizes: np.ndarray, roots: np.ndarray, side:
                 yield i, j, like
 
 
-_CELL = ["band", "value", "i", "j"]
+_CELL = ["band", "value", "x", "y", "i", "j"]
+
+
+def cells(members: DataFrame, percent: int) -> DataFrame:
+    """members (band, value, node, root, n_shingles) once for each cell that they are compared in: x, y, i, j, and their own c, k.
+
+    Sets can only be linked if the smaller has percent of the larger one's shingles. So a bucket of more than BLOCK members is
+    dealt by classes c of sizes, of which only neighbours hold links, and each class into blocks k of about BLOCK members. A cell is
+    a pair of blocks, i of class x and j of class y; x is y or the class below. A smaller bucket is one cell.
+    """
+    width = -math.log(percent / 100) * (1 + 1e-9)  # no link reaches over a whole class
+    of = ["band", "value"]
+    total = members.groupBy(*of).agg(F.count("*").alias("total"))
+    classed = members.join(total, of).withColumn("c", F.when(F.col("total") <= BLOCK, 0).otherwise(F.floor(F.log("n_shingles") / width)).cast("int")).drop("total")
+    counts = classed.groupBy(*of, "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    # a bucket has few classes: the logarithm of the longest text over that of the shortest, in units of width
+    blocks = counts.groupBy(*of).agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("blocks"))
+    n = lambda c: F.coalesce(F.try_element_at("blocks", c), F.lit(0))
+    each = lambda c, cell: F.when(n(c) > 0, F.transform(F.sequence(F.lit(0), n(c) - 1), cell)).otherwise(F.array().cast("array<struct<x:int,y:int,i:int,j:int>>"))
+    pair = lambda x, y, i, j: F.struct(x.alias("x"), y.alias("y"), i.alias("i"), j.alias("j"))
+    placed = classed.join(blocks, of).withColumn("k", F.pmod(F.xxhash64("node", F.lit(5)), n(F.col("c"))).cast("int"))
+    c, k = F.col("c"), F.col("k")
+    own = each(c, lambda o: pair(c, c, F.least(o, k), F.greatest(o, k)))
+    above, below = each(c + 1, lambda o: pair(c, c + 1, k, o)), each(c - 1, lambda o: pair(c - 1, c, o, k))
+    return placed.select(*of, "c", "k", "node", "root", F.explode(F.concat(own, above, below)).alias("at")).select(*of, "at.*", "c", "k", "node", "root")
 
 
 def _view(column: pd.Series) -> np.ndarray:
@@ -227,36 +251,33 @@ def _view(column: pd.Series) -> np.ndarray:
 
 
 def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """a, b: roots to be joined, from members (band, value, node, root) of buckets that hold several roots.
+    """a, b: roots to be joined, from members (band, value, node, root, n_shingles) of buckets that hold several roots.
 
     Each bucket is compared in blocks. A first comparison, of sketches alone, finds the members that have a likely partner of
     another root; a second one, which only those members' shingle sets are sent to, confirms links, the likeliest first, and
     leaves out pairs that others have joined meanwhile. Both return at most a row a member and block, never the pairs.
     """
-    sizes = members.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    blocked = members.join(sizes, ["band", "value"]).withColumn("k", F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, F.col("k")).alias("i"), F.greatest(o, F.col("k")).alias("j")))
-    placed = blocked.select("band", "value", "node", "root", "k", F.explode(cells).alias("c")).select("band", "value", "c.i", "c.j", "k", "node", "root")
+    placed = cells(members, percent)
     known = classes.select("node", "bands", "n_shingles")
     # comparing takes longer than reading, so partitions are planned by members, not by bytes
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, members.count() // MEMBERS_A_TASK)
 
     def order(g: pd.DataFrame) -> tuple:
         g = g.sort_values("node").reset_index(drop=True)
-        side = (g["k"] != g["i"]).to_numpy()
+        side = np.where(g["x"] == g["y"], g["k"] != g["i"], g["c"] != g["x"])
         return g, (_view(g["bands"]), g["n_shingles"].to_numpy(), g["root"].to_numpy().copy(), side, int(g["band"].iloc[0]), percent)
 
     def likely(g: pd.DataFrame) -> pd.DataFrame:
         if g["root"].nunique() < 2:
-            return g.iloc[:0][[*_CELL, "k", "node", "root"]]
+            return g.iloc[:0][[*_CELL, "c", "k", "node", "root"]]
         g, given = order(g)
         keep = np.zeros(len(g), bool)
         for i, j, _ in _unlinked(*given):
             keep[i] = True
             keep[j] = True
-        return g.loc[keep, [*_CELL, "k", "node", "root"]]
+        return g.loc[keep, [*_CELL, "c", "k", "node", "root"]]
 
-    chosen = durable(placed.join(known, "node").repartition(tasks, *_CELL).groupBy(*_CELL).applyInPandas(likely, "band int, value long, i int, j int, k int, node long, root long"))
+    chosen = durable(placed.join(known, "node").repartition(tasks, *_CELL).groupBy(*_CELL).applyInPandas(likely, "band int, value long, x int, y int, i int, j int, c int, k int, node long, root long"))
     wanted = chosen.select("node").distinct().join(classes.select("node", F.col("doc_id").alias("_id"), "digest"), "node")
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text"))
 
@@ -312,7 +333,7 @@ def named_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     links = verify(durable(_likely(nearest.select("a", "b"), classes, maybe)), classes, docs, key, text, percent)
     roots = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")).distinct())
 
-    named = durable(shared.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root")))
+    named = durable(shared.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"), "n_shingles"))
     mixed = named.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
     more = durable(link_buckets(durable(named.join(mixed, ["band", "value"])), classes, docs, key, text, percent))
     if not more.isEmpty():

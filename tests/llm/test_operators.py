@@ -124,10 +124,30 @@ def test_near_dedup_equals_brute_force(spark):
     assert kept == {i for i in want if want[i] == i} and near_dedup.drop_near_copies(docs).columns == docs.columns
 
 
-def test_near_dedup_on_table(spark):
-    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+def test_near_dedup_in_small_blocks(spark, monkeypatch):
+    """Buckets of many blocks and classes of sizes lose no link, at their edges neither."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    texts = near_cases()
+    want, size = brute.near_components(dict(enumerate(texts)))
+    got = near_dedup.find_components(docs_of(spark, texts)).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (want[i], size[i]) for i in want}
+    sizes = [10, 11, 12, 85, 100, 100, 117, 118, 137, 138, 850, 1000, 1176, 1177] * 2
+    members = spark.createDataFrame([(0, 7, i, i, n) for i, n in enumerate(sizes)], "band int, value long, node long, root long, n_shingles long")
+    met = {}
+    for r in near_dedup.cells(members, 85).collect():
+        met.setdefault((r.x, r.y, r.i, r.j), set()).add((r.node, (r.c != r.x) if r.x != r.y else (r.k != r.i)))
+    pairs = set()
+    for cell in met.values():
+        sides = {s for _, s in cell}
+        pairs |= {(a, b) for a, s in cell for b, t in cell if a < b and (len(sides) == 1 or s != t)}
+    assert {(a, b) for a in range(len(sizes)) for b in range(a + 1, len(sizes)) if 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])} <= pairs
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_near_dedup_on_table(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want, size = brute.near_components({r.doc_id: r.text for r in rows})
-    got = queries.near_copies(spark, SF).collect()
+    got = queries.near_copies(spark, sf).collect()
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (want[i], size[i]) for i in want}
 
 
