@@ -96,6 +96,27 @@ def query_variations(question: str, model: TextGenerator, n: int = 3) -> list[st
     return [x for x in lines if x][:n]
 
 
+METADATA_PROMPT = "Give the title, the section and a one-sentence summary of this text as a JSON object with the keys title, section and summary, and nothing else.\n\n{text}"
+#: Generators that images may be sent to.
+IMAGE_GENERATORS: set[str] = set()
+
+
+def supports_images(name: str) -> bool:
+    return name in IMAGE_GENERATORS
+
+
+def generate_metadata(rows: DataFrame, make: Callable[[], TextGenerator], text: str = "piece", prompt: str = METADATA_PROMPT) -> DataFrame:
+    """rows with title, section and summary from a model that is asked about each text; make() runs once in each task."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["_reply string"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for b in batches:
+            yield b.assign(_reply=[model.generate(prompt.format(text=t)) for t in b[text]])
+
+    return chunk_metadata(rows.mapInPandas(run, schema), "_reply").drop("_reply")
+
+
 def chunk_metadata(rows: DataFrame, reply: str = "reply") -> DataFrame:
     """rows with title, section and summary from a model's reply, blank where it cannot be read."""
     from cairn.functions.text import repair_json

@@ -14,8 +14,8 @@ from cairn.operators.lexical import best_keys, top_k
 
 # Fixed values of the query semantics.
 FETCH_K, MMR_K, LAMBDA = 25, 5, 0.5
-#: Query vectors that one pass over the corpus is compared with.
-QUERY_BLOCK = 2_000
+#: Query vectors in one matrix product, and in one pass over the corpus, to which they are sent.
+QUERY_BLOCK, SCAN_QUERIES = 2_000, 50_000
 
 
 def _unit(rows) -> np.ndarray:
@@ -28,8 +28,8 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 20, key: str =
 
     where limits the rows that are searched, before the k are chosen, and reaches the scan. Every batch of rows is compared with
     a block of queries in one matrix product, and only its own k best a query leave it; so the shuffle carries k rows a query
-    and batch, whatever the size of the corpus. More than QUERY_BLOCK queries take several passes. Rows without a vector are
-    not found; ties go by key.
+    and batch, whatever the size of the corpus. More than SCAN_QUERIES queries take several passes. Rows without a vector are
+    not found; ties go by key, which may be of any type that has an order.
     """
     rows = (corpus if where is None else corpus.where(where)).where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
     kind = corpus.schema[key].dataType.simpleString()
@@ -38,21 +38,24 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 20, key: str =
 
     def search(block: list) -> DataFrame:
         ids, matrix = np.array([i for i, _ in block]), _unit([v for _, v in block])
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))  # QUERY_BLOCK bounds it
+        shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))  # SCAN_QUERIES bounds it
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
             for b in batches:
-                if len(b):
-                    near = matrix @ _unit(b["vector"]).T
-                    order = best_keys(near, b["key"].rank(method="first").to_numpy(), k)
-                    yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), key: b["key"].to_numpy()[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel()})
+                if not len(b):
+                    continue
+                own, rank, keys = _unit(b["vector"]).T, b["key"].rank(method="first").to_numpy(), b["key"].to_numpy()
+                for i in range(0, len(ids), QUERY_BLOCK):
+                    near = matrix[i : i + QUERY_BLOCK] @ own
+                    order = best_keys(near, rank, k)
+                    yield pd.DataFrame({"query_id": np.repeat(ids[i : i + QUERY_BLOCK], order.shape[1]), key: keys[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel()})
 
         return rows.mapInPandas(run, schema)
 
     for r in queries.select(F.col("query_id").cast("long").alias("i"), F.col("vector").alias("v")).where("v IS NOT NULL").toLocalIterator():
         block.append((r["i"], r["v"]))
-        if len(block) == QUERY_BLOCK:
+        if len(block) == SCAN_QUERIES:
             out, block = (search(block) if out is None else out.unionAll(search(block))), []
     if block or out is None:
         found = search(block) if block else corpus.sparkSession.createDataFrame([], schema)

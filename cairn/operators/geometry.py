@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.layout import DEFAULT_FONT, class_of, is_likely_equation, upper_median
+from cairn.functions.layout import DEFAULT_FONT, class_of, upper_median
 from cairn.functions.text import NUMBERED, strip
 
 # Fixed values of the query semantics, in points and shares of a page.
@@ -41,9 +41,9 @@ def page_fonts(blocks: DataFrame) -> DataFrame:
 def classify(blocks: DataFrame) -> DataFrame:
     """blocks (with page_height) with their label, by the fonts of their page: the upper median of its blocks' sizes. Blocks are
     shuffled once, by page."""
-    page = W.partitionBy(*PAGE)
-    numbered = blocks.withColumn("_i", F.row_number().over(page.orderBy(F.col("font_size").asc_nulls_last()))).withColumn("_n", F.count("font_size").over(page))
-    middle = F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col("font_size"))).over(page)
+    page, size = W.partitionBy(*PAGE), F.when(F.col("font_size") > 0, F.col("font_size"))
+    numbered = blocks.withColumn("_i", F.row_number().over(page.orderBy(size.asc_nulls_last()))).withColumn("_n", F.count(size).over(page))
+    middle = F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, size)).over(page)
     fonts = numbered.withColumn("_median", F.coalesce(middle, F.lit(DEFAULT_FONT))).withColumn("_bare", strip(F.col("text")))
     rows = fonts.withColumn("_low", F.lower("_bare"))
     label = class_of(F.col("_bare"), F.col("_low"), F.col("font_size"), F.col("is_bold"), F.col("y0"), F.col("page_height"), F.col("_median"))
@@ -51,9 +51,15 @@ def classify(blocks: DataFrame) -> DataFrame:
 
 
 def equation_rects(blocks: DataFrame, pad: float = 6.0) -> DataFrame:
-    """Padded rectangles of the blocks that look like equations and are not headings or captions."""
-    found = classify(blocks).where((F.col("label") == "equation") & is_likely_equation(F.col("text")))
-    return found.select(*PAGE, (F.col("x0") - pad).alias("x0"), (F.col("y0") - pad).alias("y0"), (F.col("x1") + pad).alias("x1"), (F.col("y1") + pad).alias("y1"))
+    """Padded rectangles of the blocks that look like equations, as equations() finds them."""
+    return equations(blocks).select(*PAGE, (F.col("x0") - pad).alias("x0"), (F.col("y0") - pad).alias("y0"), (F.col("x1") + pad).alias("x1"), (F.col("y1") + pad).alias("y1"))
+
+
+def equations(blocks: DataFrame) -> DataFrame:
+    """The blocks (with page_height) that are equations where text is of the default font, whatever their page's fonts."""
+    rows = blocks.withColumn("_bare", strip(F.col("text"))).withColumn("_low", F.lower("_bare"))
+    label = class_of(F.col("_bare"), F.col("_low"), F.col("font_size"), F.col("is_bold"), F.col("y0"), F.col("page_height"), F.lit(DEFAULT_FONT))
+    return rows.withColumn("_label", label).where("_label = 'equation'").drop("_bare", "_low", "_label")
 
 
 def _named(rects: DataFrame, p: str) -> DataFrame:
@@ -82,8 +88,10 @@ def union_rects(rects: DataFrame, by: list[str]) -> DataFrame:
 
 
 def caption_lines(blocks: DataFrame, pattern: str) -> DataFrame:
-    """source, page, title, caption and the block's rectangle for each line that is a caption."""
-    rows = blocks.select(*PAGE, "x0", "y0", "x1", "y1", F.explode(F.split("text", "\n")).alias("_line")).withColumn("caption", strip(F.col("_line")))
+    """source, page, title, caption, line (its number in the block) and the block's rectangle, and order if it has one, for each line
+    that is a caption."""
+    order = [c for c in ("block_order",) if c in blocks.columns]
+    rows = blocks.select(*PAGE, *order, "x0", "y0", "x1", "y1", F.posexplode(F.split("text", "\n")).alias("line", "_line")).withColumn("caption", strip(F.col("_line")))
     return rows.where(F.col("caption").rlike(pattern)).withColumn("title", strip(F.regexp_extract("caption", pattern, 1))).drop("_line")
 
 

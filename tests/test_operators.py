@@ -465,3 +465,46 @@ def test_documents_and_jobs(spark, tmp_path):
     summary = index.document_listing(spark.read.parquet(out), stored).collect()
     assert [r.source for r in summary] == ["a", "b"] and summary[0].types == {"heading": 1, "paragraph": 1}
     assert index.same_rows(stored, stored.repartition(2)) and not index.same_rows(stored, stored.limit(1))
+
+
+def test_extract_items(spark):
+    """A page with a table, a captioned figure, an equation and text; blocks under the table and the equation are not items."""
+    from cairn.operators import conversion
+
+    formula = "Attention(Q, K, V) = softmax(QK^T) V"
+    lines = [("Great Title", 20.0, 50.0, 300.0, 60.0), ("1 Intro", 12.0, 150.0, 300.0, 160.0), ("some plain text here", 10.0, 170.0, 300.0, 180.0), ("Table 1: Costs", 10.0, 190.0, 300.0, 200.0), ("in the table", 10.0, 215.0, 200.0, 225.0),
+             (formula, 10.0, 300.0, 300.0, 312.0), ("Figure 2. A cat/dog", 10.0, 600.0, 300.0, 610.0), ("tiny", 0.0, 700.0, 300.0, 710.0)]
+    blocks = spark.createDataFrame([("d/x.pdf", 1, t, size, size == 12.0, 50.0, y0, x1, y1, i + 1) for i, (t, size, y0, x1, y1) in enumerate(lines)], "source string, page int, text string, font_size double, is_bold boolean, x0 double, y0 double, x1 double, y1 double, block_order int")
+    cells = [["a", "b"], ["1", "2"]]
+    tables = spark.createDataFrame([("d/x.pdf", 1, 7, [["a"]], 0.0, 0.0, 9.0, 9.0), ("d/x.pdf", 1, 8, cells, 40.0, 210.0, 400.0, 260.0)], "source string, page int, table_id int, cells array<array<string>>, x0 double, y0 double, x1 double, y1 double")
+    rects = rect(spark, [(0, 60.0, 450.0, 300.0, 590.0)], "k int").withColumn("source", F.lit("d/x.pdf"))
+    pages = spark.createDataFrame([("d/x.pdf", 1, 600.0, 800.0)], "source string, page int, width double, height double")
+    got = conversion.extract_items(blocks, tables, rects, pages).orderBy("item_index").collect()
+    assert [(r.type, r.content or r.title or r.text_fallback) for r in got] == [
+        ("title", "Great Title"), ("heading", "1 Intro"), ("paragraph", "some plain text here"), ("caption", "Table 1: Costs"), ("caption", "Figure 2. A cat/dog"), ("paragraph", "tiny"), ("table", "Costs"), ("figure", "A cat/dog"), ("equation", formula)]
+    assert got[6].image_path == "images/tables/x_page_1_table_0_Costs.png" and got[7].image_path == "images/x_page_1_figure_0_A_cat_dog.png" and "<th>a</th>" in got[6].table_data and got[1].font_size == 12.0
+
+
+def test_metadata_and_command_line(spark, tmp_path, capsys, monkeypatch):
+    import json
+
+    from cairn import __main__ as line
+
+    class Model:
+        def generate(self, prompt):
+            return "```json\n{\"title\": \"T\", \"summary\": \"" + prompt.splitlines()[-1] + "\"}\n```"
+
+    r = providers.generate_metadata(spark.createDataFrame([("a text",)], "piece string"), Model).first()
+    assert (r.piece, r.title, r.section, r.summary) == ("a text", "T", "", "a text") and not providers.supports_images("echo")
+    monkeypatch.setattr(line, "_spark", lambda: spark)
+    (tmp_path / "i.json").write_text('[{"type": "title", "source": "a.pdf", "content": "Cats"}, {"type": "paragraph", "source": "a.pdf", "content": "Cats purr.", "page": 2}]')
+    run = lambda *a: (line.main([str(x) for x in a]), capsys.readouterr().out.strip().splitlines())[1]
+    assert json.loads(run("chunk", tmp_path / "i.json", tmp_path / "c.json")[0])["chunks"] == 1
+    assert [c.content for c in readers.read_chunks(spark, str(tmp_path / "c.json")).collect()] == ["Cats purr."]
+    run("sync", tmp_path / "i.json", tmp_path / "index")
+    assert json.loads(run("search", tmp_path / "index", "cats")[0])["citation"] == "a.pdf, p.2, Cats" and json.loads(run("search", tmp_path / "index", "cats", "--rerank")[0])["rank"] == 1
+    assert "purr" in json.loads(run("ask", tmp_path / "index", "do cats purr?")[0])["answer"]
+    assert json.loads(run("documents", tmp_path / "index", tmp_path / "i.json")[0])["types"] == {"paragraph": 1, "title": 1}
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/x.txt").write_text("one two")
+    assert json.loads(run("split", tmp_path / "t", "--how", "recursive")[0])["piece"] == "one two"
