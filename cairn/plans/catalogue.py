@@ -856,3 +856,52 @@ def convert_document(spark, sf_dir):
     nodes = nodes.withColumn("ref", F.concat(F.lit("#"), F.col("node_index").cast("string")))
     tables = nodes.where("label = 'caption' AND node_index % 2 = 0").withColumns({"kind": F.lit("table"), "captions": F.array("ref"), "cells": F.array(F.array(F.lit("-"), F.lit(" "))), "label": F.lit("table"), "ref": F.lit("t"), "node_index": -F.col("node_index")})
     return conversion.convert_nodes(nodes.unionByName(tables)).select("source", "item_index", "type", "page", "content", "text_fallback", "image_path")
+
+
+_SPANS = """SELECT source, doc_id AS page, block, (span - 1) // 8 AS line, span, w || ' ' AS text, 8.0 + length(w) % 5 AS size, length(w) % 7 = 6 AS bold FROM (
+  SELECT source, doc_id, block, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS span FROM (
+    SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS block FROM documents))"""
+
+
+@query(f"""WITH s AS ({_SPANS}), l AS (SELECT source, page, block, line, string_agg(text, '' ORDER BY span) AS text FROM s GROUP BY ALL),
+t AS (SELECT source, page, block, {_strip('text')} AS text FROM (SELECT source, page, block, string_agg(text, chr(10) ORDER BY line) AS text FROM l GROUP BY ALL))
+SELECT source, page, (row_number() OVER (PARTITION BY source, page ORDER BY block))::INT AS block_order, text, font_size, is_bold, 20.0::DOUBLE * block + last AS y1
+FROM t JOIN (SELECT source, page, block, round(avg(size), 6)::DOUBLE AS font_size, bool_or(bold) AS is_bold, max(line) + 10 AS last FROM s GROUP BY ALL) USING (source, page, block) WHERE text <> ''""")
+def rich_blocks(spark, sf_dir):
+    """Every line of a document is a block, and every eight words are a line of it."""
+    lines = _t(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("b", "t"))
+    words = lines.select("source", "page", (F.col("b") + 1).alias("block"), F.posexplode(F.split("t", " ")).alias("span", "w")).withColumn("line", F.floor(F.col("span") / 8).cast("int"))
+    n, x, y = F.length("w"), 50.0 + F.col("span") % 8, 20.0 * F.col("block") + F.col("line")
+    spans = words.select("source", "page", "block", "line", "span", F.concat("w", F.lit(" ")).alias("text"), (8.0 + n % 5).alias("size"), (n % 7 == 6).alias("bold"), x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 10).alias("y1"))
+    return geometry.rich_blocks(spans).select("source", "page", "block_order", "text", F.round("font_size", 6).alias("font_size"), "is_bold", "y1")
+
+
+@query("SELECT doc_id::VARCHAR AS chunk_id, source, text AS content, [doc_id, doc_id + 1] AS item_indices, CASE WHEN doc_id % 2 = 0 THEN ['a', 'b'] END AS image_paths FROM documents")
+def chunks_json(spark, sf_dir):
+    path, number = _at(spark), F.col("doc_id").cast("long")
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "source", F.col("text").alias("content"), F.array(number, number + 1).alias("item_indices"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("image_paths"))
+    writers.write_json_array(rows, path, "chunk_id")
+    return readers.read_chunks(spark, path).select("chunk_id", "source", "content", "item_indices", "image_paths")
+
+
+_FILES = [("b.PDF", b"%PDF-1.7 x"), ("a.pdf", b"%PDF-1.4 longer"), ("c.pdf", b"<html>"), ("d.txt", b"%PDF-1.4")]
+
+
+@query(f"SELECT * FROM {_values([(n, sorted(x for x, _ in _FILES if x.lower().endswith('.pdf')).index(n), len(b)) for n, b in _FILES[:2]])} v(source, file_index, length)")
+def pdf_files(spark, sf_dir):
+    """By name, in either case, and first bytes; numbered in the order of all names, of which capitals come first."""
+    path, jvm = _at(spark), spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, content in _FILES:
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(where, name))
+        out.write(bytearray(content))
+        out.close()
+    return readers.pdf_files(spark, path).select("source", "file_index", F.length("content").alias("length"))
+
+
+@query("""SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 'stored' ELSE 'new' END AS state FROM documents WHERE doc_id % 3 = 0""")
+def index_sync_apply(spark, sf_dir):
+    """What is wanted and stored stays as it was stored; of the rest, only what is new goes through the embedding."""
+    ids = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
+    return index.apply_sync(ids.where("chunk_id % 5 = 0").withColumn("state", F.lit("stored")), ids.where("chunk_id % 3 = 0"), lambda rows: rows.withColumn("state", F.lit("new")))
