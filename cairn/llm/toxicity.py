@@ -143,6 +143,19 @@ def decode(text: str, model: CharModel) -> str:
 _EDGES = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c.,;:!?\"'()[]{}<>#*%&/\\=~`^|_-"})
 
 
+@functools.cache
+def _spacing() -> np.ndarray:
+    """For every character itself, or a space for what stands at the edges of words."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    out[list(_EDGES)] = 32
+    return out
+
+
+def _spaced(points: np.ndarray) -> str:
+    """The text of points as translate(_EDGES) gives it, by a table, which is several times as fast."""
+    return _spacing()[points].tobytes().decode("utf-32-le", "surrogatepass")
+
+
 @functools.cache
 def _classes() -> np.ndarray:
     """For every character the number of the class that all its readings are in, 1 for gaps, and 0 for what no word reaches over."""
@@ -193,10 +206,10 @@ class Gate:
         array = lambda d: {k: np.array(sorted(h), np.uint64) for k, h in d.items() if k}
         self.begin, self.whole = array(begin), array(whole)
 
-    def stretches(self, low: str) -> Iterator[str]:
-        """The distinct stretches of a lower-cased text that some path reads as holding a feature, and that hold a disguising
-        character, a repetition or a gap where it does."""
-        points = _points(low)
+    def stretches(self, low: str, points: np.ndarray | None = None) -> Iterator[str]:
+        """The distinct stretches of a lower-cased text (of these points) that some path reads as holding a feature, and that hold
+        a disguising character, a repetition or a gap where it does."""
+        points = _points(low) if points is None else points
         c = _classes()[points]
         at = np.flatnonzero(c != 1)  # all but gaps
         if not len(at) or not self.begin:
@@ -275,9 +288,10 @@ class Model:
             self.machine.make_automaton()
             self.gate = Gate(self.features)
         low = text.lower()
-        plain = f" {low} ".translate(_EDGES)
+        points = _points(low)
+        plain = f" {_spaced(points)} "
         restored = []
-        for stretch in self.gate.stretches(low):
+        for stretch in self.gate.stretches(low, points):
             got = self.restore(stretch)
             if got.split() != stretch.translate(_EDGES).split():  # else it is in the text as written
                 restored.append(got)
@@ -291,7 +305,7 @@ class Model:
 
 
 def word_counts(text: str | None) -> Counter:
-    return Counter((text or "").lower().translate(_EDGES).split())
+    return Counter(_spaced(_points((text or "").lower())).split())
 
 
 #: Longer runs of letters are no words, and the character model does not learn from them.
@@ -461,13 +475,20 @@ def count_grams(texts: DataFrame, grams: int = GRAMS) -> tuple[int, Counter, Cou
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, rows = Counter(), 0  # of a task: its distinct words are far fewer than those of its texts
         for batch in batches:
-            words = Counter()
+            rows += len(batch)
             for x in batch["text"]:
-                words.update(word_counts(x).keys())
-            got = trigrams(words)
-            got[""] = len(batch)
-            yield pd.DataFrame({"gram": list(got), "n": pd.Series(list(got.values()), dtype="int64")})
+                words.update(set(_spaced(_points((x or "").lower())).split()))
+            if len(words) > 200_000:
+                yield frame(words, rows)
+                words, rows = Counter(), 0
+        yield frame(words, rows)
+
+    def frame(words: Counter, rows: int) -> pd.DataFrame:
+        got = trigrams(words)
+        got[""] = rows
+        return pd.DataFrame({"gram": list(got), "n": pd.Series(list(got.values()), dtype="int64")})
 
     n3 = durable(texts.mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     size = n3.where("gram = ''").agg(F.sum("n")).first()[0] or 0

@@ -605,6 +605,12 @@ def test_gate_loses_nothing(text):
                     assert any(f.strip() in x for x in stretches), (f, read)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_spacing_table_equals_translate(text):
+    assert toxicity._spaced(toxicity._points(text)) == text.translate(toxicity._EDGES)
+
+
 def read_all(text):
     import itertools
 
