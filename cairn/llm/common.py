@@ -26,10 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/cairn-{spark.sparkContext.applicationId}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it: lineage ends there, and any executor can be lost afterwards."""
+#: Rows of a file of an intermediate table whose size is known beforehand.
+ROWS_A_FILE = 100_000
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and rereads it: lineage ends there, and any executor can be lost afterwards.
+
+    rows: the most that df can have, where that is known. Its last step then runs in as many tasks as that needs, though at least
+    in one for each core, so that a small table is not written as a tiny file for each partition of a shuffle.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE), 1))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

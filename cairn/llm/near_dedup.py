@@ -141,9 +141,9 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str = "do
     """The pairs (a, b) whose full shingle sets are linked.
 
     Pairs are grouped by a, in groups of about GROUP_PAIRS pairs: a's text goes to each of its groups once, each b's to one, so
-    an a with very many partners is spread over as many tasks. Only texts that take part are moved.
+    an a with very many partners is spread over as many tasks. Only texts that take part are moved. pairs should be durable.
     """
-    parts = durable(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("int").alias("parts")))
+    parts = durable(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("int").alias("parts")), pairs.count())
     second = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
     first = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
     wanted = durable(first.unionAll(second).join(classes.select("node", F.col("doc_id").alias("_id"), "digest"), "node"))
@@ -167,12 +167,13 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str = "do
     return rows.groupBy("a", "part").applyInPandas(run, "a long, b long")
 
 
-def forest_roots(parents: DataFrame) -> DataFrame:
-    """node, root from (node, parent), where each node has one parent, with a smaller number. Paths are halved until none is left."""
-    now = durable(parents.select("node", F.col("parent").alias("root")))
+def forest_roots(parents: DataFrame, n: int) -> DataFrame:
+    """node, root from (node, parent), n rows at most, where each node has one parent, with a smaller number. Paths are halved
+    until none is left."""
+    now = durable(parents.select("node", F.col("parent").alias("root")), n)
     while True:
         up = maybe_broadcast(now.select(F.col("node").alias("_n"), F.col("root").alias("_r")))
-        moved = durable(now.join(up, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
+        moved = durable(now.join(up, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")), n)
         if moved.where("moved").isEmpty():
             return now
         now = moved.select("node", "root")
@@ -182,17 +183,19 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node that it is connected with.
 
     Alternating large-star and small-star steps; each step is written to the shared folder. A node of any degree is handled by
-    its minimum, which is aggregated where the edges are, and a join whose hot side Spark can split.
+    its minimum, which is aggregated where the edges are, and a join whose hot side Spark can split. No step adds edges. edges
+    should be durable, as they are counted first.
     """
-    now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    n = edges.count()
+    now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), n)
     seen = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = durable(both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = durable(both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = durable(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        now = durable(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), n)
         key = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if key == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -307,8 +310,9 @@ def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, key: s
     return full.repartition(tasks, *_CELL).groupBy(*_CELL).applyInPandas(confirm, "a long, b long")
 
 
-def named_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, digest, n_shingles, root, component_id for every row of docs; the last two are null for rows without words.
+def named_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, int]:
+    """doc_id, digest, n_shingles, root, component_id for every row of docs; the last two are null for rows without words. Behind
+    it the number of rows.
 
     Classes that agree in a band of registers share a bucket. First each class is compared with the smallest class that any of
     its buckets holds, and the verified links join components. What then still lies in one bucket but in different components
@@ -316,9 +320,11 @@ def named_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     bucket holds several components, in arrays in a task, and no link that any band shows is lost.
     """
     rows = durable(sketches(docs, key, text))
+    n = rows.count()  # classes are at most as many, and each is at most once in a band
     full = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = durable(full.withColumn("node", F.monotonically_increasing_id()))
+    classes = durable(full.withColumn("node", F.monotonically_increasing_id()), n)
     per_band, maybe, _ = plan(percent)
+    members = n * (REGISTERS // per_band)
 
     @F.pandas_udf("array<long>")
     def values(x: pd.Series) -> pd.Series:
@@ -327,15 +333,15 @@ def named_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     own_bands = F.col("bands") if per_band == 8 else values("bands")
     bands = classes.select("node", "n_shingles", F.posexplode(own_bands).alias("band", "value"))
     buckets = bands.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
-    shared = durable(bands.join(buckets.select("band", "value", "first"), ["band", "value"]).select("band", "value", "node", "n_shingles", "first"))
+    shared = durable(bands.join(buckets.select("band", "value", "first"), ["band", "value"]).select("band", "value", "node", "n_shingles", "first"), members)
 
     nearest = shared.where("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a"))
-    links = verify(durable(_likely(nearest.select("a", "b"), classes, maybe)), classes, docs, key, text, percent)
-    roots = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")).distinct())
+    links = verify(durable(_likely(nearest.select("a", "b"), classes, maybe), n), classes, docs, key, text, percent)
+    roots = forest_roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")).distinct(), n)
 
-    named = durable(shared.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"), "n_shingles"))
+    named = durable(shared.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"), "n_shingles"), members)
     mixed = named.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
-    more = durable(link_buckets(durable(named.join(mixed, ["band", "value"])), classes, docs, key, text, percent))
+    more = durable(link_buckets(durable(named.join(mixed, ["band", "value"]), members), classes, docs, key, text, percent))
     if not more.isEmpty():
         joined = maybe_broadcast(components(more).select(F.col("node").alias("_from"), F.col("root").alias("_to")))
         own = classes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -344,7 +350,7 @@ def named_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     of_class = classes.select("digest", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = of_class.join(smallest, "root").select("digest", "root", "component_id")
-    return rows.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
+    return rows.select("doc_id", "digest", "n_shingles").join(named, "digest", "left"), n
 
 
 def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -357,7 +363,7 @@ def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     Texts are compared whole: a very long one costs time and memory in proportion to its length, in one task. An empty table
     stays empty.
     """
-    out = named_rows(docs, key, text, percent)
+    out, _ = named_rows(docs, key, text, percent)
     out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
@@ -370,13 +376,14 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     takes that text away nor saves a copy. Of rows that agree in key and words too, the one that comes first as JSON stays, so
     reruns agree. Clashing columns, long texts and empty tables are as in find_components.
     """
-    named = durable(named_rows(docs, key, text, percent).where("digest IS NOT NULL"))
+    named, n = named_rows(docs, key, text, percent)
+    named = durable(named.where("digest IS NOT NULL"), n)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("d"))
     best = named.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.id").alias("id"), F.col("best.d").alias("d"))
     pairs = named.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
     # joined by key and digest: by root, a large group would be one task's
     both = pairs.join(best, pairs["doc_id"].eqNullSafe(best["id"]) & (pairs["digest"] == best["d"]), "left")
-    judged = durable(both.select("doc_id", "digest", "n", F.col("d").isNotNull().alias("stays")))
+    judged = durable(both.select("doc_id", "digest", "n", F.col("d").isNotNull().alias("stays")), n)
     own, other, id_, d_ = free_names(docs, "digest", "row", "id", "of")
     rows = docs.withColumn(own, words_digest(F.col(text)))
     same = lambda t: F.col(key).cast("long").eqNullSafe(t[id_]) & (F.col(own) == t[d_])
