@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, langid, line_dedup, mixing, near_dedup, pii, quality, toxicity, url_filter, warc
+from cairn.llm import decontaminate, divergence, langid, line_dedup, mixing, near_dedup, order_minhash, phrases, pii, quality, toxicity, url_filter, warc
 from cairn.llm.common import table
 
 URL_RULES = [
@@ -135,6 +135,71 @@ def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+PHRASES_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+runs AS (
+  SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest([{", ".join(map(str, range(1, phrases.LONGEST + 1)))}]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*)::BIGINT AS a FROM runs GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+cuts AS (SELECT lang, k, phrase, w, a, unnest(generate_series(1, k - 1)) AS cut FROM f WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a))::BIGINT AS score, cut
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1 : ], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT lang, a, unnest(flatten(list_transform(generate_series(2, k - 1), lambda m: list_transform(generate_series(1, k - m + 1), lambda i: array_to_string(w[i : i + m - 1], ' '))))) AS phrase
+  FROM f WHERE k > 2),
+most AS (SELECT lang, phrase, max(a) AS a FROM inner_ GROUP BY lang, phrase)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, encode(s.phrase)) AS rank, s.phrase, s.a, l, r, n, score
+FROM scored s JOIN total USING (lang) LEFT JOIN most m ON m.lang = s.lang AND m.phrase = s.phrase
+WHERE m.a IS NULL OR 100 * m.a < {phrases.COVERED} * s.a QUALIFY rank <= {phrases.TOP}
+"""
+
+
+def edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -@[-`{-]+') AS t FROM documents),
+each AS (SELECT r, lang, source, unnest(t) AS term FROM docs),
+vocabulary AS (SELECT lang, term, count(*) AS n FROM each GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (
+  SELECT g.lang, g.source, v.term, v.n AS in_lang, coalesce(c.n, 0) AS n
+  FROM groups g JOIN vocabulary v USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM each GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+p AS (
+  SELECT *, 1 + ({divergence.SCALE}::HUGEINT * (n + 1)) // (sum(n) OVER g + count(*) OVER g) AS p,
+    1 + ({divergence.SCALE}::HUGEINT * (in_lang + 1)) // (sum(in_lang) OVER g + count(*) OVER g) AS q
+  FROM dense WINDOW g AS (PARTITION BY lang, source)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, encode(item)))::INT AS rank
+  FROM (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' AS part FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
     "op2_minhash_near_dedup": near_copies,
@@ -146,6 +211,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": benchmark_leaks,
     "op9_quality_rules": quality_rules,
     "op10_toxicity": toxic_texts,
+    "op11_phrases": collocations,
+    "op12_order_minhash": edit_fingerprints,
+    "op13_source_divergence": source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -153,4 +221,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": WARC_SQL,
     "op6_line_dedup": LINES_SQL,
     "op7_mixing": MIX_SQL,
+    "op11_phrases": PHRASES_SQL,
+    "op13_source_divergence": DIVERGENCE_SQL,
 }
