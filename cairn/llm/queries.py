@@ -175,7 +175,7 @@ def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIVERGENCE_SQL = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -@[-`{-]+') AS t FROM documents),
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
 each AS (SELECT r, lang, source, unnest(t) AS term FROM docs),
 vocabulary AS (SELECT lang, term, count(*) AS n FROM each GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
 groups AS (SELECT DISTINCT lang, source FROM docs),
