@@ -17,12 +17,17 @@ MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def lower_ascii(text: Column) -> Column:
+    """text with A-Z in lower case and nothing else; where all of it is ASCII, lower() says the same in much less time."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, term, n occurrences, held by how many documents; nulls are ''.
 
     All terms of a document and its distinct ones are exploded in one pass, and tasks add up what they read before the shuffle.
     """
-    terms = F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _UPPER.lower()), F.lit(TERM), F.lit(0))
+    terms = F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), terms.alias("terms"))
     twice = rows.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
     each = twice.select("lang", "source", "once", F.explode("terms").alias("term"))

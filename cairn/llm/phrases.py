@@ -21,7 +21,9 @@ MIN_COUNT, LONGEST, COVERED, TOP = 30, 4, 80, 2_000
 #: Bits of the filter that is broadcast: so many for a phrase, and at most so many in all (32 MB), which bounds it at any size of the corpus.
 BITS_A_PHRASE, MOST_BITS = 32, 1 << 28
 #: Bytes of text that are looked at together, and different phrases that a task adds up before it hands them on.
-BLOCK, HELD = 1 << 20, 400_000
+BLOCK, HELD = 1 << 20, 300_000
+#: Rows of a frame that a task hands on.
+ROWS = 50_000
 _BREAK = b"\xff"  # in no UTF-8 text
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
 _COUNTS = "lang string, phrase binary, n long"
@@ -102,7 +104,8 @@ def count_phrases(texts: DataFrame, k: int, known: np.ndarray | None = None) ->
                 names, n = list(found), list(found.values())
                 if k == 1:
                     names, n = [*names, None], [*n, sum(n)]
-                yield pd.DataFrame({"lang": lang, "phrase": names, "n": n})
+                for i in range(0, len(names), ROWS):
+                    yield pd.DataFrame({"lang": lang, "phrase": names[i : i + ROWS], "n": n[i : i + ROWS]})
             counts.clear()
 
         for b in batches:
