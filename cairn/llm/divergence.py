@@ -22,22 +22,31 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, n occurrences, held by how many documents; nulls are ''.
+def number_groups(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """lang, source, group of every (lang, source) of docs; nulls are ''. The upper half of group numbers the language. A row a source is
+    sorted here, in one task."""
+    named = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
+    of = F.shiftleft(F.dense_rank().over(W.orderBy("lang")).cast("long"), 32).bitwiseOR(F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long"))
+    return named.withColumn("group", of)
+
+
+def term_counts(docs: DataFrame, groups: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """group, term, n occurrences, held by how many documents.
 
     All terms of a document and its distinct ones are exploded in one pass, and tasks add up what they read before the shuffle.
     """
     terms = F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), terms.alias("terms"))
-    twice = rows.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
-    each = twice.select("lang", "source", "once", F.explode("terms").alias("term"))
-    return each.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("held"))
+    numbered = rows.join(maybe_broadcast(groups), ["lang", "source"]).select("group", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
+    each = numbered.select("group", "once", F.explode("terms").alias("term"))
+    return each.groupBy("group", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("held"))
 
 
 def vocabulary(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, term, n, by_source of the terms that min_docs of a language's documents hold: a row a term, with an entry for each source that has it."""
-    by_term = counts.groupBy("lang", "term").agg(F.sum("held").alias("held"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("by_source"))
-    return by_term.where(F.col("held") >= min_docs).select("lang", "term", "n", "by_source")
+    """of (a language's number), term, n, by_group of the terms that min_docs of a language's documents hold: a row a term, with an entry
+    for each group that has it."""
+    by_term = counts.groupBy(F.shiftright("group", 32).alias("of"), "term").agg(F.sum("held").alias("held"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("group", "n"))).alias("by_group"))
+    return by_term.where(F.col("held") >= min_docs).select("of", "term", "n", "by_group")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -67,25 +76,26 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     term, both sides being exploded from the row that holds them. What is kept of a term has an entry a source, and the result has
     a row for each two sources of a language: sources may be thousands, not as many as documents.
     """
-    terms = durable(vocabulary(term_counts(docs, text, lang, source), min_docs))
-    sparse = terms.select("lang", "term", F.col("n").alias("in_lang"), F.explode("by_source").alias("source", "n"))
-    named = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
-    kept = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
+    named = durable(number_groups(docs, lang, source))
+    terms = durable(vocabulary(term_counts(docs, named, text, lang, source), min_docs))
+    sparse = terms.select("term", F.col("n").alias("in_lang"), F.explode("by_group").alias("group", "n"))
+    kept = terms.groupBy("of").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
+    totals = sparse.groupBy("group").agg(F.sum("n").alias("total"))
     groups = durable(
-        named.join(sparse.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(kept, "lang", "left")
-        .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
+        named.withColumn("of", F.shiftright("group", 32)).join(totals, "group", "left").join(kept, "of", "left")
+        .select("of", "group", "lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "terms", "lang_total")])
     )
-    by_lang = maybe_broadcast(groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("groups"), F.first("terms").alias("terms")))
-    dense = terms.join(by_lang, "lang").select("lang", F.transform("groups", lambda g: F.coalesce(F.try_element_at("by_source", g["source"]), F.lit(0))).alias("counts"))
-    alike = dense.groupBy("lang", "counts").agg(F.count("*").alias("times")).join(by_lang, "lang")
-    shares = alike.select("lang", "times", F.zip_with("counts", "groups", lambda n, g: share(n, g["total"], F.col("terms"))).alias("p"))
-    pairs = shares.select("lang", "times", "p", F.posexplode("p").alias("a", "pa")).select("lang", "times", "a", "pa", F.posexplode("p").alias("b", "pb")).where("a <> b")
-    sums = pairs.groupBy("lang", "a", "b").agg(F.sum(F.col("times") * divergence(F.col("pa"), F.col("pb"))).alias("value"))
-    place = by_lang.select("lang", F.posexplode("groups").alias("place", "group")).select("lang", "place", F.col("group.source").alias("source"))
-    other = place.select(F.col("lang").alias("_lang"), F.col("place").alias("b"), F.col("source").alias("item"))
-    every = place.withColumnRenamed("place", "a").join(other, (F.col("lang") == F.col("_lang")) & (F.col("a") != F.col("b"))).drop("_lang")
-    pair = every.join(sums, ["lang", "a", "b"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
-    above = sparse.join(maybe_broadcast(groups), ["lang", "source"]).where("n > 0")
+    by_lang = maybe_broadcast(groups.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("group", "total"))).alias("groups"), F.first("terms").alias("terms")))
+    dense = terms.join(by_lang, "of").select("of", F.transform("groups", lambda g: F.coalesce(F.try_element_at("by_group", g["group"]), F.lit(0))).alias("counts"))
+    alike = dense.groupBy("of", "counts").agg(F.count("*").alias("times")).join(by_lang, "of")
+    shares = alike.select("times", F.zip_with("counts", "groups", lambda n, g: F.struct(g["group"].alias("group"), share(n, g["total"], F.col("terms")).alias("p"))).alias("all"))
+    pairs = shares.select("times", "all", F.explode("all").alias("a")).select("times", "a", F.explode("all").alias("b")).where("a.group <> b.group")
+    value = F.sum(F.col("times") * divergence(F.col("a.p"), F.col("b.p"))).alias("value")
+    sums = pairs.groupBy(F.col("a.group").alias("group"), F.col("b.group").alias("other")).agg(value)
+    other = groups.select("of", F.col("group").alias("other"), F.col("source").alias("item"))
+    every = groups.select("of", "group", "lang", "source").join(other, "of").where(F.col("group") != F.col("other"))
+    pair = every.join(sums, ["group", "other"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
+    above = sparse.where("n > 0").join(maybe_broadcast(groups), "group")
     above = above.select("lang", "source", F.col("term").alias("item"), share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), share(F.col("in_lang"), F.col("lang_total"), F.col("terms")).alias("q"))
     term = above.where("p > q").select("lang", "source", "item", divergence(F.col("p"), F.col("q")).alias("value"))
     return _ranked(pair, "pair").unionAll(_ranked(term, "term").where(F.col("rank") <= top))
