@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
 import uuid
 
@@ -76,6 +78,12 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def letter_class() -> str:
+    """A class of regular expressions that takes what str.isalpha() does: \\w without digits, the underscore, and numbers like ½ and ²."""
+    numbers = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+    return rf"[^\W\d_{re.escape(numbers)}]"
+
+
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import durable, free_names, mix64
+from cairn.llm.common import durable, free_names, letter_class, mix64
 
 #: Texts per language that training may read at most, in expectation; chosen by a hash of doc_id, whole texts.
 TRAIN_TEXTS = 5_000
@@ -22,7 +22,7 @@ CELLS, ORDERS = 1 << 15, (2, 3, 4)
 BLOCK = 1 << 16
 #: A text is ambiguous if its two best codewords' losses differ by less than this.
 MARGIN = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(letter_class())
 _GAPS = re.compile(rb" {2,}")
 _KEEP = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, durable, maybe_broadcast
+from cairn.llm.common import WORD, durable, free_names, maybe_broadcast
 
 #: No source is repeated more often than this.
 MAX_RATE = 3
@@ -75,15 +75,29 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def attach(docs: DataFrame, totals: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs, which have size, with source_size, target, copies and taken from the sources' totals."""
-    totals = maybe_broadcast(totals.withColumnRenamed("source", "_source"))
+    (own,) = free_names(docs, "source")
+    totals = maybe_broadcast(totals.withColumnRenamed("source", own))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     copies = (F.floor(rate) + (draw(F.col(key)) < rate - F.floor(rate)).cast("int")).cast("long")
     return (
-        docs.join(totals, docs[source].eqNullSafe(totals["_source"]), "left").drop("_source")
+        docs.join(totals, docs[source].eqNullSafe(totals[own]), "left").drop(own)
         .withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
     )
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """Each row of mixed as often as its copies say, with the copy's number from 0 in copy."""
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).drop("copies")
+def emit(mixed: DataFrame, copies: str = "copies", copy: str = "copy") -> DataFrame:
+    """Each row of mixed as often as its column copies says, without that column, and with the copy's number from 0 in column copy, in place
+    of one of that name. Rows whose copies are 0 or null are not emitted."""
+    counted = mixed.drop(copy) if copy != copies else mixed
+    (n,) = free_names(mixed, "n")
+    return counted.withColumnRenamed(copies, n).where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))).drop(n)
+
+
+def repeat(docs: DataFrame, copy: str = "copy", **options) -> DataFrame:
+    """The mixture itself: docs' rows as often as mix() takes them, all their columns as they are, whatever their names, and the copy's
+    number from 0 in column copy, which docs must not have."""
+    added = ("size", "source_size", "target", "copies", "taken")
+    clash = dict(zip([c for c in docs.columns if c.lower() in added], free_names(docs, *[c for c in docs.columns if c.lower() in added]), strict=True))
+    mixed = mix(docs.withColumnsRenamed(clash), **{k: clash.get(v, v) for k, v in options.items()})
+    out = emit(mixed, copy=copy).drop("size", "source_size", "target", "taken").withColumnsRenamed({v: k for k, v in clash.items()})
+    return out.select(*docs.columns, copy)

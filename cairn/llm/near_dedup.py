@@ -107,19 +107,18 @@ def words_digest(text: Column) -> Column:
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest (of the normalised words; null without words), n_shingles and bands (all registers, eight to a number)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            digest, count, bands = [], [], []
-            for x in batch["text"]:
-                data = normalised(x)
-                s = shingles(data)
-                digest.append(hashlib.md5(data).digest() if len(s) else None)
-                count.append(len(s))
-                bands.append(sketch(s).view(np.int64) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digest, "n_shingles": count, "bands": bands})
+    @F.pandas_udf("digest binary, n_shingles long, bands array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        digest, count, bands = [], [], []
+        for x in texts:
+            data = normalised(x)
+            s = shingles(data)
+            digest.append(hashlib.md5(data).digest() if len(s) else None)
+            count.append(len(s))
+            bands.append(sketch(s).view(np.int64) if len(s) else None)
+        return pd.DataFrame({"digest": digest, "n_shingles": count, "bands": bands})
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
+    return docs.select(F.col(key).alias("doc_id"), run(F.col(text)).alias("s")).select("doc_id", "s.*")  # keys of any type stay what they are
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, maybe: float) -> DataFrame:
@@ -147,7 +146,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str = "do
     second = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
     first = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
     wanted = durable(first.unionAll(second).join(classes.select("node", F.col("doc_id").alias("_id"), "digest"), "node"))
-    texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     rows = texts.join(maybe_broadcast(wanted), F.col("_key").eqNullSafe(F.col("_id"))).select("a", "part", "node", "digest", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -282,7 +281,7 @@ def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, key: s
 
     chosen = durable(placed.join(known, "node").repartition(tasks, *_CELL).groupBy(*_CELL).applyInPandas(likely, "band int, value long, x int, y int, i int, j int, c int, k int, node long, root long"))
     wanted = chosen.select("node").distinct().join(classes.select("node", F.col("doc_id").alias("_id"), "digest"), "node")
-    texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -359,7 +358,8 @@ def find_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     Rows with the same words are one class, found by a digest, and links are sought between classes. Rows without words (null,
     empty or of white space only) have no shingles and are linked with nothing, not even with each other. component_id is the
     smallest doc_id of a component, and kept says whether the row has it; rows repeated under one doc_id are alike. A null doc_id
-    is smaller than none: such rows are linked, but never kept beside others, and alone have a null component and aren't kept.
+    is smaller than none: such rows are linked, but never kept beside others, and alone have a null component and aren't kept. Keys may
+    be of any type that has an order; the smallest is the smallest in that order.
     Texts are compared whole: a very long one costs time and memory in proportion to its length, in one task. An empty table
     stays empty.
     """
@@ -386,7 +386,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     judged = durable(both.select("doc_id", "digest", "n", F.col("d").isNotNull().alias("stays")), n)
     own, other, id_, d_ = free_names(docs, "digest", "row", "id", "of")
     rows = docs.withColumn(own, words_digest(F.col(text)))
-    same = lambda t: F.col(key).cast("long").eqNullSafe(t[id_]) & (F.col(own) == t[d_])
+    same = lambda t: F.col(key).eqNullSafe(t[id_]) & (F.col(own) == t[d_])
     gone = maybe_broadcast(judged.where("NOT stays").select(F.col("doc_id").alias(id_), F.col("digest").alias(d_)))
     left = rows.join(gone, same(gone), "left_anti")
     again = judged.where("stays AND n > 1").select(F.col("doc_id").alias(id_), F.col("digest").alias(d_))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_ROWS, durable, small
+from cairn.llm.common import BROADCAST_ROWS, durable, letter_class, small
 
 KINDS = ("email", "ip", "card", "phone")
 _FIND = {
@@ -24,12 +24,12 @@ _FIND = {
 }
 #: So many terms on either side of an entity are its context, from which candidates for disclosing it come.
 WINDOW = 8
-#: A term is judged if it stands in a context of an entity in at least this many documents.
-SUPPORT = 3
+#: A term is judged if it stands in a context of an entity in at least this many documents; at 1, every one is.
+SUPPORT = 1
 #: A term discloses an entity e if PMI(e, term) >= IC(e) / ALPHA. At 1, only a term that never occurs without the entity does;
 #: at 1.5, one that tells two thirds of what there is to know about which entity it is.
 ALPHA = 1.5
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(letter_class() + "{3,}")
 
 
 def _luhn(digits: str) -> bool:
@@ -216,7 +216,9 @@ def _found(docs: DataFrame, text: str, **options) -> DataFrame:
             out.append({"entities": sorted(set(entities(t, base))), "terms": sorted({x for _, _, x in terms_of(t, base)}) if base else []} if base else {"entities": [], "terms": []})
         return pd.DataFrame(out, columns=["entities", "terms"])
 
-    rows = durable(rows.select("mine", "text", F.monotonically_increasing_id().alias("row"), held("text").alias("held")))
+    rows = rows.withColumn("held", held("text"))
+    none = rows.where(F.size("held.entities") == 0).select("mine", F.from_json(F.lit('{"base": [], "terms": []}'), FOUND).alias("found"))  # without an entity there are no spans
+    rows = durable(rows.where(F.size("held.entities") > 0).withColumn("row", F.monotonically_increasing_id()))
     pairs = rows.select("row", F.explode("held.entities").alias("entity"), F.col("held.terms").alias("terms")).select("row", "entity", F.explode("terms").alias("term"))
     told = pairs.join(strong, ["entity", "term"], "left_semi").groupBy("row").agg(F.collect_set("term").alias("told"))
 
@@ -229,7 +231,7 @@ def _found(docs: DataFrame, text: str, **options) -> DataFrame:
             out.append(_spans(base, [(a, b) for a, b, x in terms_of(t, base) if x in own] if own else ()))
         return pd.DataFrame(out, columns=["base", "terms"])
 
-    return rows.join(told, "row", "left").select("mine", mark("text", "told").alias("found")).select("mine", "found.*")
+    return rows.join(told, "row", "left").select("mine", mark("text", "told").alias("found")).unionByName(none).select("mine", "found.*")
 
 
 def detect(docs: DataFrame, keep: list[str], text: str = "text", **options) -> DataFrame:

@@ -4,6 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from cairn.llm import decontaminate, langid, line_dedup, mixing, near_dedup, pii, quality, queries, toxicity, url_filter, warc
 from tests.llm import brute
 
@@ -161,6 +163,17 @@ def test_near_dedup_repeats_and_nulls(spark):
     assert near_dedup.find_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_dedup_keys_of_other_types(spark):
+    """Keys of text, and numbers that a float can't hold beside nulls."""
+    texts = [prose(1), prose(1) + " end", prose(2), None]
+    named = spark.createDataFrame([(k, t) for k, t in zip(["b", "a", "c", None], texts, strict=True)], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_dedup.find_components(named).collect()} == {("a", "a", True), ("b", "a", False), ("c", "c", True), (None, None, False)}
+    assert sorted(str(r.doc_id) for r in near_dedup.drop_near_copies(named).collect()) == ["None", "a", "c"]
+    big = 2**60 + 1
+    large = spark.createDataFrame([(big, texts[0]), (big + 1, texts[1]), (None, texts[2])], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.find_components(large).collect()} == {(big, big), (big + 1, big), (None, None)}
+
+
 def test_drop_near_copies_by_row(spark):
     """Rows are told apart by key and words: repeated and null keys lose no text and save no copy."""
     far = [prose(40 + k, 60) for k in range(6)]
@@ -316,6 +329,13 @@ def test_pii(spark):
     assert pii.render(pii.detect(docs_of(spark, []), ["doc_id"])).count() == 0
 
 
+def test_letters():
+    """Numbers that are no digits are no letters."""
+    for text in ("½", "²", "①", "12 ½ !", "Ⅷ"[:0], "_"):
+        assert not list(langid.features(text))
+    assert list(langid.features("é")) and [x for _, _, x in pii.terms_of("mañana²² ½½½ abc_def", [])] == ["mañana", "abc", "def"]
+
+
 def test_pii_numbers_in_time():
     import time
 
@@ -354,6 +374,15 @@ def test_pii_terms_equal_brute_force(spark):
         assert got == dict(enumerate(want))
 
 
+def test_pii_terms_of_the_table_itself(spark):
+    """On given rows too the method marks terms, and just those that brute force marks."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    want = dict(zip(texts, brute_terms(list(texts.values())), strict=True))
+    got = {r.doc_id: [(x.start, x.end) for x in r.terms] for r in pii.detect(rows, ["doc_id"]).collect()}
+    assert got == want and sum(map(len, want.values())) > 50
+
+
 def test_pii_on_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.personal_data(spark, SF).collect():
@@ -671,9 +700,16 @@ def test_near_dedup_at_another_threshold(spark):
 CLASHES = (
     "base terms near _row row cell wider widest mine found held told l n_words n_lines n_dropped distance kept start center scatter inverse bin host path rule verdict _host _drop _kept digest _digest _id _of _gone gone "
     "node root score lang_pred ambiguous seen _seen _rule0 short size source_size target copies taken copy words first at seeds shifts item band value component_id n_shingles doc entity term n record_type refers_to payload "
-    "page_id url html item_id key number share h v p best _best x0 _found widest_ _ m u"
+    "page_id url html item_id key number share h v p best _best x0 _found widest_ _ m u _source _copy _n _size"
 ).split()
 
+def staged(name, docs, spark):
+    """A stage of the pipeline, with the labels and the benchmark of a table of files."""
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+
+
 APPLIED = {
     "filter_urls": lambda d, spark: url_filter.filter_urls(d, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")),
     "filter_urls_wide": lambda d, spark: url_filter.filter_urls(d, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string"), shapes=0, broadcast_rows=0),
@@ -684,13 +720,19 @@ APPLIED = {
     "detect_wide": lambda d, spark: pii.detect(d, d.columns, broadcast_rows=0),
     "sanitise": lambda d, spark: pii.sanitise(d),
     "mix": lambda d, spark: mixing.mix(d),
+    "toxicity stage": lambda d, spark: staged("toxicity", d, spark),
+    "line dedup stage": lambda d, spark: staged("line dedup", d, spark),
+    "near dedup stage": lambda d, spark: staged("near dedup", d, spark),
+    "decontamination stage": lambda d, spark: staged("decontamination", d, spark),
+    "mixing stage": lambda d, spark: staged("mixing", d, spark).where("_copy_ = 0").drop("_copy_"),
+    "emit": lambda d, spark: mixing.emit(d.drop("copies").withColumn("times", F.lit(2)), "times").where("copy = 1"),
     "decontaminate": lambda d, spark: decontaminate.decontaminate(d, spark.createDataFrame([(1, prose(50, 40))], "item_id long, text string")),
     "judge": lambda d, spark: quality.judge(d, d.columns),
     "score": lambda d, spark: toxicity.score(d, toxicity.train(d.where("doc_id >= 0"), d.select("doc_id", (d.doc_id % 2).cast("int").alias("toxic")))),
 }
 ADDED = {
     "filter_urls": {"host", "path", "rule", "verdict"}, "filter_urls_wide": {"host", "path", "rule", "verdict"}, "drop_boilerplate": {"n_lines", "n_dropped"}, "predict": {"lang_pred", "score", "ambiguous"},
-    "detect": {"base", "terms"}, "detect_wide": {"base", "terms"}, "mix": {"size", "source_size", "target", "copies", "taken"}, "judge": {*quality.BASE, "base_failed", "distance", "kept"}, "score": {"score"},
+    "detect": {"base", "terms"}, "detect_wide": {"base", "terms"}, "mix": {"size", "source_size", "target", "copies", "taken"}, "emit": {"copy"}, "judge": {*quality.BASE, "base_failed", "distance", "kept"}, "score": {"score"},
 }
 
 
@@ -700,6 +742,8 @@ def test_clashing_columns(spark, name):
     texts = [f"{prose(i, 60)} write to jo@ex.org snoopy" for i in range(8)] + [None, ""]
     docs = docs_of(spark, texts).selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES if c != "url"], "concat('http://a', doc_id, '.example.org/es/') AS url")
     got = APPLIED[name](docs, spark)
+    if name == "emit":  # it takes the column of copies away
+        got = got.join(docs.select("doc_id", "copies"), "doc_id")
     added = ADDED.get(name, set())
     assert sorted(got.columns) == sorted({*docs.columns, *added}) and len(got.columns) == len(set(got.columns))
     rows = got.collect()

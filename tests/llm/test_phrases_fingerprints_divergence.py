@@ -60,8 +60,8 @@ def phrase_rows(seed, n=300):
 @pytest.mark.parametrize("bits", [phrases.MOST_BITS, 1 << 16])
 def test_phrases_equal_plain_counts(spark, bits):
     rows = phrase_rows(1)
-    got = phrases.mine(spark.createDataFrame(rows, "text string, lang string").repartition(5), most_bits=bits)
-    assert {tuple(r) for r in got.collect()} == plain_phrases(rows) and got.count() > 50
+    got = phrases.mine(spark.createDataFrame(rows, "text string, lang string").repartition(5), min_count=10, most_bits=bits)
+    assert {tuple(r) for r in got.collect()} == plain_phrases(rows, 10) and got.count() > 30
 
 
 def test_phrases_ties_and_limits(spark):
@@ -144,7 +144,7 @@ def test_shares_pass_64_bits(spark):
 def _xx(*values):
     h = 42
     for v in values:
-        h = xxhash.xxh64_intdigest(struct.pack("<q", v) if isinstance(v, int) else v.encode(), h)
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else struct.pack("<q", v) if isinstance(v, int) else v.encode(), h)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -157,7 +157,7 @@ def plain_signatures(text, k=3, m=64):
     kmers = [short(_xx(*words[i : i + k])) for i in range(max(len(words) - k + 1, 1))]
     seen, items = Counter(), []
     for i, x in enumerate(kmers):
-        items.append((short(_xx(x, seen[x])), i))
+        items.append((short(_xx(x, struct.pack("<i", seen[x]))), i))
         seen[x] += 1
     items.sort()
     out = []
@@ -227,7 +227,7 @@ def test_order_and_edits_lower_likeness(spark):
     docs = spark.createDataFrame(list(enumerate(" ".join(x) for x in (words, few, many, moved))), "i int, text string")
     s = {x.i: x.s for x in order_minhash.with_signatures(docs, F.col("text"), "s").collect()}
     near = [sum(map(int.__eq__, s[0], s[i])) / 64 for i in range(4)]
-    assert near[0] == 1 and near[1] > 0.75 and near[2] < 0.3 and 0.3 < near[3] < near[1]
+    assert near[0] == 1 and near[1] > 0.75 and near[2] < 0.3 and 0.15 < near[3] < 0.6 < near[1]
 
 
 def test_other_columns_do_not_matter(spark):
