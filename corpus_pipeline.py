@@ -43,8 +43,10 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources come near their targets; copy numbers the repetitions of a document from 0."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns, "copy")
+    """Repeats documents so that sources come near their targets; copy numbers the repetitions of a document from 0. It is called _copy
+    where the documents have a column copy."""
+    name = "copy" if "copy" not in {c.lower() for c in docs.columns} else free_names(docs, "copy")[0]
+    return mixing.repeat(docs, name)
 
 
 STAGES = [("toxicity", toxic), ("line dedup", lines), ("near dedup", near_copies), ("decontamination", leaks), ("mixing", mixture)]
