@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.text import BARE_NUMBER, NUMBERED, PAGE_NUMBER, clean_text, embedding_text, item_text, stable_id, stem_of, unwrap_lines
+from cairn.functions.text import PAGE_NUMBER, embedding_text, item_text, stable_id, stem_of
+from cairn.operators.sections import number_in_ranges, place_items
 from cairn.operators.splitting import CHUNK_OVERLAP, CHUNK_SIZE, split_table, split_text
 
 # Fixed value of the query semantics.
@@ -24,52 +25,12 @@ def is_page_number(kind: Column, text: Column) -> Column:
     return (kind == "paragraph") & text.rlike(PAGE_NUMBER)
 
 
-def deepest_heading(items: DataFrame) -> int:
-    """The most levels that a number in front of a heading has; 0 without any. It reads headings only."""
-    number = F.regexp_extract(clean_text(F.col("content")), r"(?U)\A(\d+(?:\.\d+)*)", 1)
-    return items.where(F.col("type").isin("title", "heading")).agg(F.max(F.when(number != "", F.size(F.split(number, r"\."))).otherwise(0))).first()[0] or 0
-
-
 def assign_sections(items: DataFrame) -> DataFrame:
-    """Items with parent_id, section_type, section_title and section_path; headings, empty items and page numbers are gone.
-
-    A heading that is only a number is held, and goes in front of the next heading, unless that has a number of its own. Every
-    other heading opens a section, also an empty one; items before the first one are in a preamble, section_0000, which counts as
-    a section. A title is the number, a space, and the name without line ends. A numbered heading's path goes through the numbered
-    headings of fewer levels before it, back to the last unnumbered one, which is in no path but its own. Sources are kept apart.
-
-    There is a column for each level that numbers have, as many as deepest_heading() finds, all over one sort of each source.
-    """
-    by = W.partitionBy("source").orderBy("item_index")
-    heading = F.col("type").isin("title", "heading")
-    levels = range(1, deepest_heading(items) + 1)
-    rows = prepare_items(items).withColumn("_head", F.when(heading, clean_text(F.col("content"))))
-    rows = rows.withColumn("_bare", F.coalesce(F.col("_head").rlike(BARE_NUMBER), F.lit(False)))
-    rows = rows.withColumn("_opens", F.col("_head").isNotNull() & ~F.col("_bare"))
-    # the number that waits is that of the last heading of any kind, if it is bare
-    waiting = F.last(F.when(F.col("_head").isNotNull(), F.struct(F.col("_bare").alias("bare"), F.col("_head").alias("head"))), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_wait", F.when(waiting["bare"], waiting["head"]))
-    own = F.nullif(F.regexp_extract("_head", NUMBERED, 1), F.lit(""))
-    rows = rows.withColumn("_number", F.when(F.col("_opens"), F.coalesce(own, "_wait")))
-    name = unwrap_lines(F.when(own.isNotNull(), F.regexp_extract("_head", NUMBERED, 2)).otherwise(F.col("_head")))
-    rows = rows.withColumn("_title", F.when(F.col("_opens"), F.when(F.col("_number").isNotNull(), F.concat("_number", F.lit(" "), name)).otherwise(name)))
-    rows = rows.withColumn("_depth", F.when(F.col("_opens"), F.coalesce(F.size(F.split("_number", r"\.")), F.lit(0))).cast("int")).withColumn("_depth", F.when(F.col("_opens") & F.col("_number").isNull(), 0).otherwise(F.col("_depth")))
-    # the heading that is live at each level: the last one of that level or above it, if it is of that level
-    for d in levels:
-        live = F.last(F.when(F.col("_depth") <= d, F.struct(F.col("_depth").alias("d"), F.col("_title").alias("t"))), ignorenulls=True).over(by)
-        rows = rows.withColumn(f"_l{d}", F.when(live["d"] == d, live["t"]))
-    last = F.last(F.when(F.col("_opens"), F.struct(F.col("_depth").alias("d"), F.col("_title").alias("t"))), ignorenulls=True).over(by)
-    rows = rows.withColumn("_last", last)
-    numbered = F.concat_ws(" > ", F.array(*[F.when(F.col("_last.d") >= d, F.col(f"_l{d}")) for d in levels])) if levels else F.lit("")
-    path = F.when(F.col("_last.d") == 0, F.col("_last.t")).otherwise(numbered)
-    opened = F.sum(F.col("_opens").cast("int")).over(by)
-    rows = rows.withColumn("_n", opened).withColumn("_pre", F.max(F.when((F.col("_n") == 0) & ~heading, 1).otherwise(0)).over(W.partitionBy("source")))
-    rows = rows.withColumn("parent_id", F.when(F.col("_n") == 0, "section_0000").otherwise(F.format_string("section_%04d", F.col("_n") + F.col("_pre"))))
-    rows = rows.withColumn("section_path", F.when(F.col("_n") == 0, "").otherwise(path))
-    rows = rows.withColumn("section_title", F.coalesce(F.last("_title", ignorenulls=True).over(by), F.lit("")))
-    rows = rows.withColumn("section_type", F.coalesce(F.last(F.when(F.col("_opens"), F.col("type")), ignorenulls=True).over(by), F.lit("preamble")))
-    kept = rows.where(~heading & (F.coalesce("text", F.lit("")) != "") & ~is_page_number(F.col("type"), F.col("text")))
-    return kept.drop(*[c for c in rows.columns if c.startswith("_")])
+    """Items with section_no, parent_id, section_type, section_title and section_path (see sections.place_items()); headings, empty
+    items and page numbers are gone. parent_id is section_no behind section_, of four digits at least: order by section_no."""
+    rows = place_items(prepare_items(items)).withColumn("parent_id", F.format_string("section_%04d", F.col("section_no")))
+    kept = ~F.col("type").isin("title", "heading") & (F.coalesce("text", F.lit("")) != "") & ~is_page_number(F.col("type"), F.col("text"))
+    return rows.where(kept)
 
 
 def pack(texts: Column, size: int = CHUNK_SIZE) -> Column:
@@ -89,7 +50,7 @@ def pack(texts: Column, size: int = CHUNK_SIZE) -> Column:
 
 
 def pack_sections(rows: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    """Groups of a section's items that become chunks together: source, parent_id and the section's columns, group, type, items.
+    """Groups of a section's items that become chunks together: source and the section's columns, group, type, items.
 
     Tables and figures stand alone. Runs of other items between them are packed up to size. A run of one section is one array.
     """
@@ -97,12 +58,12 @@ def pack_sections(rows: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     by = W.partitionBy("source", "parent_id").orderBy("item_index")
     runs = rows.withColumn("_alone", alone).withColumn("_run", F.sum((alone | F.coalesce(F.lag(alone).over(by), F.lit(False))).cast("int")).over(by))
     item = F.struct("item_index", "text", "page", "image_path", "type")
-    one = ["source", "parent_id", "section_type", "section_title", "section_path", "_run", "_alone"]
+    one = ["source", "section_no", "parent_id", "section_type", "section_title", "section_path", "_run", "_alone"]
     grouped = runs.groupBy(*one).agg(F.array_sort(F.collect_list(item)).alias("items"))
     packed = grouped.withColumn("_groups", pack(F.transform("items", lambda x: x["text"]), size)).select("*", F.posexplode("_groups").alias("_k", "_at"))
     picked = packed.withColumn("items", F.transform("_at", lambda i: F.get(F.col("items"), i)))
     kind = F.when(F.col("_alone"), F.col("items")[0]["type"]).otherwise(F.lit("text"))
-    return picked.select("source", "parent_id", "section_type", "section_title", "section_path", F.struct("_run", "_k").alias("group"), kind.alias("type"), "items")
+    return picked.select("source", "section_no", "parent_id", "section_type", "section_title", "section_path", F.struct("_run", "_k").alias("group"), kind.alias("type"), "items")
 
 
 def create_chunks(items: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -138,7 +99,7 @@ def create_chunks(items: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
         F.array_min(pages("items")).alias("page_start"), F.coalesce(F.nullif(F.array_max(pages("_more")), F.lit(0)), F.array_max(pages("items"))).alias("page_end"), "content",
         F.nullif(images, F.array().cast("array<string>")).alias("image_paths"),
         embedding_text(F.col("_document"), F.col("section_path"), F.col("content")).alias("embedding_text"), F.length("content").alias("char_count"),
-        F.struct("parent_id", "group", "piece_index").alias("_order"),
+        F.struct("section_no", "group", "piece_index").alias("_order"),
     )
     return number_chunks(first_of(chunks, "chunk_id", "source", "_order"), "_order").drop("_order")
 
@@ -153,11 +114,18 @@ def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def number_chunks(chunks: DataFrame, order: str) -> DataFrame:
-    """chunk_index from 0 within each source. Numbering all sources in one sequence would sort everything in one task; (source,
-    chunk_index) orders chunks as well, and index.renumber() makes one sequence where a caller needs it."""
-    return chunks.withColumn("chunk_index", F.row_number().over(W.partitionBy("source").orderBy(order)) - 1)
+    """chunk_index from 0 within each source, by a struct that begins with section_no. Chunks are counted by section, in parallel, and
+    only sections, a row each, are added up within a source. (source, chunk_index) orders chunks; index.renumber() makes one
+    sequence over all sources where a caller needs it."""
+    at = F.col(f"{order}.section_no")
+    counts = chunks.groupBy("source", at.alias("_no")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("source").alias("_source"), "_no", before.alias("_start"))
+    own = chunks.withColumn("_k", F.row_number().over(W.partitionBy("source", at).orderBy(order)) - 1)
+    joined = own.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (at == F.col("_no")))
+    return joined.withColumn("chunk_index", (F.col("_start") + F.col("_k")).cast("int")).drop("_source", "_no", "_start", "_k")
 
 
 def running_number(items: DataFrame) -> DataFrame:
-    """items with type_number: the number from 0 of each item among those of its type and source."""
-    return items.withColumn("type_number", F.row_number().over(W.partitionBy("source", "type").orderBy("item_index")) - 1)
+    """items with type_number: the number from 0 of each item among those of its type and source, counted by ranges of items."""
+    return number_in_ranges(items, ["source", "type"], "item_index", "type_number")

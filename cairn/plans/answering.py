@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.providers import TextEmbedder, TextGenerator, embed_column, lexical_pair_score, standalone_question
+from cairn.functions.sizes import durable, maybe_broadcast
 from cairn.functions.text import preview, strip
 from cairn.operators import context, fusion, index
 from cairn.operators.chunking import create_chunks, first_of
@@ -34,12 +35,17 @@ def ingest(items: DataFrame, stored: DataFrame, embedder) -> DataFrame:
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, embedder, k: int = fusion.TOP_K, chunk_type: str | None = None, neighbours: int = 0, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """Ranked chunks with context and citation for a batch of questions (query_id, query). Ties go by chunk_id."""
+    """Ranked chunks with context and citation for a batch of questions (query_id, query). Ties go by chunk_id. Neighbours are looked for in
+    the hits' sections only, which a semi-join picks where the chunks are."""
     asked = embed_column(questions, embedder, "query", "vector")
     where = None if chunk_type is None else F.col("type") == chunk_type
     searched = chunks if "_search" in chunks.columns else chunks.withColumn("_search", F.concat_ws(" ", "section_path", "content"))
     hits = fusion.hybrid_search(searched, asked, k, where=where, key="chunk_id", text="_search", vector="embedding", weights=weights)
-    return context.with_citations(fusion.hydrate(hits, context.expand_neighbours(chunks, neighbours), "chunk_id"))
+    hits = durable(hits)
+    found = chunks.join(maybe_broadcast(hits.select("chunk_id").distinct()), "chunk_id", "left_semi").select("source", "parent_id").distinct()
+    same = maybe_broadcast(found.select(F.col("source").alias("_source"), F.col("parent_id").alias("_parent")))
+    near = chunks.join(same, F.col("source").eqNullSafe(F.col("_source")) & F.col("parent_id").eqNullSafe(F.col("_parent")), "left_semi")
+    return context.with_citations(fusion.hydrate(hits, context.expand_neighbours(near, neighbours), "chunk_id"))
 
 
 def retrieve_reranked(chunks: DataFrame, questions: DataFrame, embedder, candidates: int = fusion.RERANK_FROM, top_n: int = fusion.RERANK_TO, scorer=lexical_pair_score, weights: tuple[float, float] = fusion.ENSEMBLE) -> DataFrame:

@@ -905,3 +905,6 @@ def index_sync_apply(spark, sf_dir):
     """What is wanted and stored stays as it was stored; of the rest, only what is new goes through the embedding."""
     ids = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
     return index.apply_sync(ids.where("chunk_id % 5 = 0").withColumn("state", F.lit("stored")), ids.where("chunk_id % 3 = 0"), lambda rows: rows.withColumn("state", F.lit("new")))
+
+
+from cairn.plans import catalogue_stored  # noqa: E402, F401  it uses what is above

@@ -9,18 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cairn.functions.providers import embed_column
+from cairn.functions.sizes import durable
 from cairn.operators.chunking import ITEMS, create_chunks, last_of
+from cairn.operators.index import apply_sync
 from cairn.sources.readers import CHUNKS, read_or_empty
-from cairn.sources.writers import write_table
+from cairn.sources.versions import VersionedTable
 
 INDEX = f"{CHUNKS}, embedding array<double>"
 #: A job's states are appended; the last one counts.
 JOBS = "job_id string, source string, status string, stage string, progress double, items long, chunks long, sections long, error string, at timestamp"
 
 
-def replace_sources(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """stored with the rows of every source that new has replaced by its rows."""
-    return stored.join(new.select("source").distinct(), "source", "left_anti").unionByName(new)
+def chunk_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, CHUNKS)
+
+
+def item_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, ITEMS)
+
+
+def index_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, INDEX)
+
+
+def sync_index(index: VersionedTable, chunks: DataFrame, sources: DataFrame, embedder) -> int:
+    """Brings the sources' rows of an index in step with their chunks: only the folders that may hold them are read, only chunks with
+    new ids are embedded, and only these sources' rows are written. Another writer who changes them meanwhile is a Conflict."""
+    base = index.version()
+    buckets = sorted(r["b"] for r in sources.select(index.bucket(F.col("source")).alias("b")).distinct().collect())  # at most the table's
+    stored = index.read(base, buckets).join(sources, "source", "left_semi")
+    return index.replace(apply_sync(stored.select(*chunks.columns, "embedding"), chunks, lambda rows: embed_column(rows, embedder)), sources, expect=base)
 
 
 def stream_items(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
@@ -49,35 +68,32 @@ def job_status(spark: SparkSession, path: str, job_id: str) -> dict:
 
 
 def run_ingest(spark: SparkSession, folder: str, chunks_path: str, checkpoint: str, files_per_trigger: int = 16, embedder: Callable | None = None, index_path: str | None = None, items_path: str | None = None, jobs_path: str | None = None) -> StreamingQuery:
-    """Starts a query that ingests what is there and ends. A batch that is repeated after a failure replaces the same sources by
-    the same rows, so the stored tables are right whenever it ends. One writer a table.
+    """Starts a query that ingests what is there and ends. The stored tables are versioned: a batch writes its own sources' rows, whatever
+    else is stored, and readers see each table before or after it. A batch that is repeated after a failure replaces the same sources by
+    the same rows, so the tables are right whenever it ends.
 
-    With items_path the batch's items replace their sources' too. With embedder and index_path the index is brought in step:
-    only chunks with new ids are embedded, those that are gone are dropped. With jobs_path each batch is a job, whose states are
-    recorded for every source of it.
+    With items_path the batch's items replace their sources' too. With embedder and index_path the index is brought in step. With
+    jobs_path each batch is a job, whose states are recorded for every source of it.
     """
-    from cairn.plans.answering import ingest as sync
 
     def ingest(batch: DataFrame, number: int) -> None:
-        items = last_of(batch.withColumn("_key", F.struct("source", "item_index")).withColumn("_seen", F.monotonically_increasing_id()), "_key", "_seen").drop("_key", "_seen")
+        items = durable(last_of(batch.withColumn("_key", F.struct("source", "item_index")).withColumn("_seen", F.monotonically_increasing_id()), "_key", "_seen").drop("_key", "_seen"))
         job, source = uuid.uuid4().hex, f"batch {number}"
         tell = (lambda *a, **k: record_job(spark, jobs_path, job, source, *a, **k)) if jobs_path else (lambda *a, **k: None)
         tell("running", "chunks", 0.3)
         try:
-            chunks = create_chunks(items)
-            stored = read_or_empty(spark, chunks_path, CHUNKS)
-            write_table(replace_sources(stored.select(*chunks.columns), chunks), chunks_path)
+            chunks, sources = durable(create_chunks(items)), items.select("source").distinct()
+            chunk_table(spark, chunks_path).replace(chunks, sources)
             if items_path:
-                write_table(replace_sources(read_or_empty(spark, items_path, ITEMS), items.select(*[f.split()[0] for f in ITEMS.split(", ")])), items_path)
+                item_table(spark, items_path).replace(items.select(*[f.split()[0] for f in ITEMS.split(", ")]), sources)
             if embedder is not None and index_path:
                 tell("running", "index", 0.7)
-                write_table(sync(items, read_or_empty(spark, index_path, INDEX).select(*chunks.columns, "embedding"), embedder), index_path)
+                sync_index(index_table(spark, index_path), chunks, sources, embedder)
         except Exception as e:
             tell("error", error=str(e)[:500])
             raise
         if jobs_path:
-            own = read_or_empty(spark, chunks_path, CHUNKS).join(items.select("source").distinct(), "source", "left_semi")
-            n = own.agg(F.count("*").alias("chunks"), F.count_distinct("source", "parent_id").alias("sections")).first()
+            n = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("source", "parent_id").alias("sections")).first()
             tell("done", "done", 1.0, items=items.count(), chunks=n["chunks"], sections=n["sections"])
 
     return stream_items(spark, folder, files_per_trigger).writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -222,10 +222,10 @@ def test_streaming_ingest(spark, tmp_path):
     folder, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     items(spark, [("a", "paragraph", "one"), ("b", "paragraph", "two")]).write.parquet(folder)
     ingest.run_ingest(spark, folder, out, mark).awaitTermination()
-    assert sorted(r.content for r in spark.read.parquet(out).collect()) == ["one", "two"]
+    assert sorted(r.content for r in ingest.chunk_table(spark, out).read().collect()) == ["one", "two"]
     items(spark, [("a", "paragraph", "three")]).write.mode("append").parquet(folder)
     ingest.run_ingest(spark, folder, out, mark).awaitTermination()
-    assert sorted(r.content for r in spark.read.parquet(out).collect()) == ["three", "two"]
+    assert sorted(r.content for r in ingest.chunk_table(spark, out).read().collect()) == ["three", "two"]
 
 
 # --- against plain versions ---
@@ -450,15 +450,15 @@ def test_documents_and_jobs(spark, tmp_path):
     run()
     items(spark, [("b", "paragraph", "three")]).write.mode("append").parquet(folder)
     run()
-    index_ = spark.read.parquet(store)
+    index_ = ingest.index_table(spark, store).read()
     assert sorted(r.content for r in index_.collect()) == ["one", "three"] and all(len(r.embedding) == 64 for r in index_.collect())
     every = ingest.jobs(spark, log).collect()
     assert len(every) == 2 and {(r.status, r.items, r.chunks, r.sections) for r in every} == {("done", 3, 2, 2), ("done", 1, 1, 1)} and ingest.jobs(spark, log, "running").count() == 0
     assert ingest.job_status(spark, log, every[0].job_id)["progress"] == 1.0
     with pytest.raises(LookupError):
         ingest.job_status(spark, log, "none")
-    stored = spark.read.parquet(kept)
-    own = index.document_detail(stored, spark.read.parquet(out), "a")
+    stored = ingest.item_table(spark, kept).read()
+    own = index.document_detail(stored, ingest.chunk_table(spark, out).read(), "a")
     assert [r.type for r in own[0].collect()] == ["heading", "paragraph"] and [r.content for r in own[1].collect()] == ["one"]
     with pytest.raises(LookupError):
         index.document_detail(stored, spark.read.parquet(out), "zzz")
