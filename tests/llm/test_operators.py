@@ -725,7 +725,7 @@ APPLIED = {
     "near dedup stage": lambda d, spark: staged("near dedup", d, spark),
     "decontamination stage": lambda d, spark: staged("decontamination", d, spark),
     "mixing stage": lambda d, spark: staged("mixing", d, spark).where("_copy_ = 0").drop("_copy_"),
-    "emit": lambda d, spark: mixing.emit(d.drop("copies").withColumn("times", F.lit(2)), "times").where("copy = 1"),
+    "emit": lambda d, spark: mixing.emit(d.withColumn("times", F.lit(2)), "times").where("copy = 1"),
     "decontaminate": lambda d, spark: decontaminate.decontaminate(d, spark.createDataFrame([(1, prose(50, 40))], "item_id long, text string")),
     "judge": lambda d, spark: quality.judge(d, d.columns),
     "score": lambda d, spark: toxicity.score(d, toxicity.train(d.where("doc_id >= 0"), d.select("doc_id", (d.doc_id % 2).cast("int").alias("toxic")))),
@@ -742,8 +742,6 @@ def test_clashing_columns(spark, name):
     texts = [f"{prose(i, 60)} write to jo@ex.org snoopy" for i in range(8)] + [None, ""]
     docs = docs_of(spark, texts).selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES if c != "url"], "concat('http://a', doc_id, '.example.org/es/') AS url")
     got = APPLIED[name](docs, spark)
-    if name == "emit":  # it takes the column of copies away
-        got = got.join(docs.select("doc_id", "copies"), "doc_id")
     added = ADDED.get(name, set())
     assert sorted(got.columns) == sorted({*docs.columns, *added}) and len(got.columns) == len(set(got.columns))
     rows = got.collect()
