@@ -28,7 +28,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the lines that too many documents of a source share; every document stays, though its text may become empty."""
-    return line_dedup.drop_boilerplate(docs).select(*docs.columns)
+    own = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]
+    aside = dict(zip(own, free_names(docs, *own), strict=True))  # the operator has columns of these names
+    cleaned = line_dedup.drop_boilerplate(docs.withColumnsRenamed(aside)).drop("n_lines", "n_dropped")
+    return cleaned.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
