@@ -5,14 +5,16 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_ROWS, durable, letter_class, small
+from cairn.llm.common import durable, letter_class, small
 
 KINDS = ("email", "ip", "card", "phone")
 _FIND = {
@@ -29,7 +31,12 @@ SUPPORT = 1
 #: A term discloses an entity e if PMI(e, term) >= IC(e) / ALPHA. At 1, only a term that never occurs without the entity does;
 #: at 1.5, one that tells two thirds of what there is to know about which entity it is.
 ALPHA = 1.5
-_TERM = re.compile(letter_class() + "{3,}")
+_TERM = re.compile(r"[^\W\d_]{3,}")
+_LETTERS = re.compile(letter_class() + "{3,}")
+#: Pairs of a term and an entity that it discloses that are sent to the texts as hashes of eight bytes; more are joined.
+BROADCAST_PAIRS = 4_000_000
+#: Different pairs that a task adds up before it hands them on.
+HELD = 300_000
 
 
 def _luhn(digits: str) -> bool:
@@ -89,14 +96,31 @@ def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
         else:
             covered.append((a, b))
     out, k = [], 0
-    for m in _TERM.finditer(text):
-        while k < len(covered) and covered[k][1] <= m.start():
+    for a, b, term in _words(text):
+        while k < len(covered) and covered[k][1] <= a:
             k += 1
-        if k == len(covered) or m.end() <= covered[k][0]:
-            out.append((m.start(), m.end(), m[0].lower()))
+        if k == len(covered) or b <= covered[k][0]:
+            out.append((a, b, term.lower()))
     return out
 
 
+def _words(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of the runs of three letters or more; numbers like ½ are told from letters only where a run has one."""
+    for m in _TERM.finditer(text):
+        if m[0].isalpha():
+            yield (*m.span(), m[0])
+        else:
+            for x in _LETTERS.finditer(text, *m.span()):
+                yield (*x.span(), x[0])
+
+
+def _distinct(text: str) -> set[str]:
+    """The terms of a text without spans."""
+    runs = set(_TERM.findall(text))
+    odd = {x for x in runs if not x.isalpha()}
+    return {x.lower() for x in runs - odd} | {m.lower() for x in odd for m in _LETTERS.findall(x)}
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
     """The pairs of an entity and a term that is among the WINDOW terms before or behind one of its spans."""
     terms, out = terms_of(text, spans), set()
@@ -107,81 +131,70 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str
     return out
 
 
-def _tell(batches: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
-    """entity, term, n: how many texts of each batch give each pair; added up in the task, and handed on in parts."""
-    counts: Counter = Counter()
-    for b in batches:
-        for t in b["text"]:
-            if t:
-                counts.update(each(t))
-        if len(counts) > 100_000:
-            yield _frame(counts)
-            counts = Counter()
-    yield _frame(counts)
-
-
-def _frame(counts: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"entity": pd.Series([e for e, _ in counts], dtype=object), "term": pd.Series([t for _, t in counts], dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
+def _tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """entity, term, n, near: how many texts hold both, and how many hold the term in a context of the entity; without an entity, how
+    many hold the term, and without a term, the entity. Added up in the task, and handed on in parts."""
+    terms, pairs, near = Counter(), Counter(), Counter()
 
+    def frame(names: list, n: list, close: list) -> pd.DataFrame:
+        return pd.DataFrame({"entity": pd.Series([e for e, _ in names], dtype=object), "term": pd.Series([x for _, x in names], dtype=object), "n": pd.Series(n, dtype="int64"), "near": pd.Series(close, dtype="int64")})
 
-_PAIRS = "entity string, term string, n long"
+    def flush() -> Iterator[pd.DataFrame]:
+        names = [("", x) for x in terms] + list(pairs)
+        n, close = [*terms.values(), *pairs.values()], [0] * len(terms) + [near[x] for x in pairs]
+        for i in range(0, len(names), 50_000):
+            yield frame(names[i : i + 50_000], n[i : i + 50_000], close[i : i + 50_000])
+        for c in (terms, pairs, near):
+            c.clear()
 
-
-def _by_entity(pairs: DataFrame) -> dict[str, frozenset[str]]:
-    """entity -> its terms, on the driver; only for pairs whose number is bounded."""
-    out = defaultdict(set)
-    for r in pairs.select("entity", "term").collect():
-        out[r["entity"]].add(r["term"])
-    return {e: frozenset(t) for e, t in out.items()}
-
-
-def disclosing(docs: DataFrame, text: str = "text", support: int = SUPPORT, alpha: float = ALPHA, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    for b in batches:
+        for t in b["text"]:
+            if not t:
+                continue
+            spans = base_spans(t)
+            if not spans:
+                terms.update(_distinct(t))
+                continue
+            own = {x for _, _, x in terms_of(t, spans)}
+            terms.update(own)
+            for e in set(entities(t, spans)):
+                pairs.update((e, x) for x in own)
+                pairs[e, ""] += 1
+            near.update(contexts(t, spans))
+            if len(terms) + len(pairs) > HELD:
+                yield from flush()
+        if len(terms) + len(pairs) > HELD:
+            yield from flush()
+    yield from flush()
+
+
+def pair_hashes(entity: str, terms: list[str]) -> np.ndarray:
+    """What xxhash64(entity, term) gives in a plan."""
+    seed = xxhash.xxh64_intdigest(entity.encode(), 42)
+    return np.array([xxhash.xxh64_intdigest(x.encode(), seed) for x in terms], np.uint64).view(np.int64)
+
+
+def disclosing(docs: DataFrame, text: str = "text", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """entity, term, pmi, ic of the terms that disclose an entity, from all texts of docs.
 
     With p(.) the share of documents, PMI(e, t) = log p(e, t) / (p(e) p(t)) and IC(e) = -log p(e); t discloses e if PMI >= IC /
     alpha. Terms that stand in a context of e in support documents are judged; all counts are of whole documents: p(e, t) of those
-    that hold e and, anywhere outside spans, t. While the pairs to judge are few they are sent to the texts, so that only those
-    are handed on; beyond that all pairs are, and the join sorts them out. The results are the same.
+    that hold e and, anywhere outside spans, t. One pass over the texts counts all of it, term by term and pair by pair.
     """
     texts = docs.select(F.col(text).alias("text"))
-
-    def near(t: str) -> set[tuple[str, str]]:
-        spans = base_spans(t)
-        return contexts(t, spans) | {(e, "") for e in entities(t, spans)} if spans else set()
-
-    around = durable(texts.mapInPandas(lambda b: _tell(b, near), _PAIRS).groupBy("entity", "term").agg(F.sum("n").alias("n")))
-    pairs = durable(around.where((F.col("term") != "") & (F.col("n") >= support)).select("entity", "term"))
-    few = small(pairs, broadcast_rows)
-    wanted = _by_entity(pairs) if few else None
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, frozenset().union(*wanted.values())) if few else None)  # broadcast_rows bounds it
-
-    def hold(t: str) -> set[tuple[str, str]]:
-        spans, given = base_spans(t), shared.value
-        own = {x for _, _, x in terms_of(t, spans)} if spans else {x.lower() for x in set(_TERM.findall(t))}
-        if given is None:
-            return {("", x) for x in own} | {(e, x) for e in set(entities(t, spans)) for x in own}
-        by_entity, terms = given
-        own &= terms
-        return {("", x) for x in own} | {(e, x) for e in set(entities(t, spans)) if e in by_entity for x in by_entity[e] & own}
-
-    counted = texts.mapInPandas(lambda b: _tell(b, hold), _PAIRS).join(F.broadcast(_both(pairs)) if few else _both(pairs), ["entity", "term"], "left_semi")
-    counts = durable(counted.groupBy("entity", "term").agg(F.sum("n").alias("n")))
-    n_e = around.where("term = ''").select("entity", F.col("n").alias("n_e"))
-    n_t = counts.where("entity = ''").select("term", F.col("n").alias("n_t"))
+    counts = durable(texts.mapInPandas(_tell, "entity string, term string, n long, near long").groupBy("entity", "term").agg(F.sum("n").alias("n"), F.sum("near").alias("near")))
+    pairs = counts.where((F.col("entity") != "") & (F.col("term") != "") & (F.col("near") >= support)).select("entity", "term", "n")
+    n_e = counts.where((F.col("term") == "") & (F.col("entity") != "")).select("entity", F.col("n").alias("n_e"))
+    n_t = counts.where(F.col("entity") == "").select("term", F.col("n").alias("n_t"))
     total = texts.agg(F.count("*").alias("all"))
     ic = -F.log(F.col("n_e") / F.col("all"))
     pmi = F.log(F.col("n") * F.col("all") / (F.col("n_e") * F.col("n_t")))
     return (
-        counts.where("entity <> ''").join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(total))  # total is one row
+        pairs.join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(total))  # total is one row
         .withColumn("pmi", pmi).withColumn("ic", ic).where(F.col("pmi") >= F.col("ic") / alpha - 1e-9).select("entity", "term", "pmi", "ic")
     )
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    """pairs, and each of their terms with the entity "" that stands for all documents."""
-    return pairs.unionByName(pairs.select(F.lit("").alias("entity"), "term").distinct())
-
-
 FOUND = "base array<struct<kind:string,start:int,end:int>>, terms array<struct<start:int,end:int>>"
 
 
@@ -191,19 +204,28 @@ def _spans(base, terms) -> dict:
 
 def _found(docs: DataFrame, text: str, **options) -> DataFrame:
     """mine (a struct of all columns of docs), base and terms of every row of docs."""
-    broadcast_rows = options.get("broadcast_rows", BROADCAST_ROWS)
+    broadcast_rows = options.pop("broadcast_rows", BROADCAST_PAIRS)
     strong = durable(disclosing(docs, text, **options).select("entity", "term"))
     rows = docs.select(F.struct(*docs.columns).alias("mine"), F.col(text).alias("text"))
     if small(strong, broadcast_rows):
-        shared = docs.sparkSession.sparkContext.broadcast(_by_entity(strong))  # broadcast_rows bounds it
+        told = strong.select(F.xxhash64("entity", "term").alias("h")).toPandas()["h"].to_numpy(np.int64)  # broadcast_rows bounds it
+        shared = docs.sparkSession.sparkContext.broadcast(np.unique(told))
 
         @F.pandas_udf(FOUND)
         def find(texts: pd.Series) -> pd.DataFrame:
             out = []
             for t in texts:
-                base = base_spans(t)
-                told = frozenset().union(*(shared.value.get(e, ()) for e in set(entities(t, base)))) if base else ()
-                out.append(_spans(base, [(a, b) for a, b, x in terms_of(t, base) if x in told] if told else ()))
+                base, told = base_spans(t), shared.value
+                marked = []
+                if base and len(told):
+                    terms = terms_of(t, base)
+                    names = sorted({x for _, _, x in terms})
+                    given = set()
+                    for e in set(entities(t, base)):
+                        own = pair_hashes(e, names)
+                        given.update(names[i] for i in np.flatnonzero(told[np.minimum(np.searchsorted(told, own), len(told) - 1)] == own))
+                    marked = [(a, b) for a, b, x in terms if x in given]
+                out.append(_spans(base, marked))
             return pd.DataFrame(out, columns=["base", "terms"])
 
         return rows.select("mine", find("text").alias("found")).select("mine", "found.*")
