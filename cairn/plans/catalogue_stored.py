@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.operators import chunking, dense, keyword_index, vector_index
+from cairn.operators.context import HISTORY_MESSAGES
 from cairn.plans.catalogue import _BM25, _CLEAN, _UNWRAP, _at, _bench_queries, _near, _t, _vector_queries, query
 from cairn.sources.versions import VersionedTable
+from cairn.streaming import conversations
 
 
 def _vector_index(spark, sf_dir):
@@ -107,3 +109,21 @@ def sections_nested(spark, sf_dir):
 @query(f"WITH {_ITEMS_SQL} SELECT source, no AS section_no, count(*) AS items, min(i) AS first_item FROM placed GROUP BY ALL")
 def section_sizes(spark, sf_dir):
     return chunking.assign_sections(_long_items(spark, sf_dir)).groupBy("source", "section_no").agg(F.count("*").alias("items"), F.min("item_index").alias("first_item"))
+
+
+_HISTORY_SQL = f"""WITH m AS (SELECT conv_id, turn, lower(role) IN ('user', 'human') AS u, text FROM conversations),
+h AS (SELECT *, list(CASE WHEN u THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {HISTORY_MESSAGES} PRECEDING AND 1 PRECEDING) AS before FROM m)
+SELECT conv_id, turn, text AS question, coalesce(array_to_string(before, chr(10)), '') AS history FROM h WHERE u"""
+
+
+@query(_HISTORY_SQL)
+def question_history(spark, sf_dir):
+    return conversations.questions_of(_t(spark, sf_dir, "conversations"))
+
+
+@query(_HISTORY_SQL)
+def conversation_replay(spark, sf_dir):
+    """The same from a stream, with the messages before a question as state of its conversation."""
+    path = _at(spark)
+    conversations.replay(spark, f"{sf_dir}/conversations.parque[t]", f"{path}/out", f"{path}/state", f"{path}/mark")
+    return conversations.read_questions(spark, f"{path}/out")

@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import providers
 from cairn.operators import chunking, dense, keyword_index, lexical, sections, vector_index
+from cairn.plans import answering
 from cairn.sources.versions import Conflict, VersionedTable
+from cairn.streaming import conversations
 from tests.test_operators import ITEM, plain_sections
 
 SF = "/root/testdata/sf0.001"
@@ -270,3 +273,39 @@ def test_running_number_in_ranges(spark):
         assert x.n == seen.get((x.source, x.type), 0)
         seen[x.source, x.type] = x.n + 1
     assert len(got) == 500
+
+
+# conversations
+
+
+def test_conversations_over_restarts(spark, tmp_path):
+    """Turn by turn, over several micro-batches and starts, the stream gives what windows over the whole table give; a repeated batch too."""
+    rows = [(c, t, ["user", "assistant", "Human", None][(c + t) % 4], f"m{c}.{t}" if (c * t) % 7 else None) for t in range(12) for c in range(5)]
+    source, out, state, mark = (str(tmp_path / x) for x in ("in", "out", "state", "mark"))
+    for part in range(4):
+        new = [r for r in rows if r[1] // 3 == part]
+        spark.createDataFrame(new, conversations.MESSAGES).coalesce(1).write.mode("append").parquet(source)
+        conversations.replay(spark, source, out, state, mark, n=4)
+    read = lambda: sorted(map(repr, (tuple(r) for r in conversations.read_questions(spark, out).collect())))
+    every = spark.createDataFrame(rows, conversations.MESSAGES)
+    want = sorted(map(repr, (tuple(r) for r in conversations.questions_of(every, 4).collect())))
+    assert read() == want and len(want) == 30
+    table = conversations.state_table(spark, state)
+    again = conversations.advance(table, every.where("turn DIV 3 = 2"), 2, 4)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in conversations.questions_of(every, 4).where("turn DIV 3 = 2").collect()} and table.version() == 3
+    assert table.read().groupBy("conv_id").count().agg(F.max("count")).first()[0] == 4
+
+
+def test_answers_in_a_batch(spark):
+    """Questions of several conversations are answered in one plan as one at a time."""
+    items = [("a.pdf", "title", "Cats"), ("a.pdf", "paragraph", "Cats purr when they are happy."), ("b.pdf", "title", "Dogs"), ("b.pdf", "paragraph", "Dogs bark at night.")]
+    rows = [(s, i, k, 1, t, None, None, None, None) for i, (s, k, t) in enumerate(items)]
+    store = providers.embed_column(chunking.create_chunks(spark.createDataFrame(rows, ITEM)), providers.HashingEmbedder).cache()
+    asked = [(1, "when do cats purr?", ""), (2, "dogs bark?", ""), (3, "cats?", "User: hello")]
+    got = {r.query_id: r for r in conversations.answer_batch(store, spark.createDataFrame(asked, "query_id long, question string, history string"), providers.HashingEmbedder, providers.generator).collect()}
+    for i, question, history in asked:
+        bot = answering.Answerer(store, providers.HashingEmbedder, providers.generator(), history=[("User", "hello")] if history else [])
+        one = bot.answer(question)
+        assert (got[i].answer, got[i].search_query, [s.chunk_id for s in got[i].sources]) == (one["answer"], one["search_query"], [s["chunk_id"] for s in one["sources"]])
+    none = conversations.answer_batch(store, spark.createDataFrame([(9, "cats?", "")], "query_id long, question string, history string"), providers.HashingEmbedder, providers.generator, chunk_type="table").first()
+    assert none.answer == answering.NO_ANSWER and none.sources == []
