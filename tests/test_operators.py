@@ -461,8 +461,8 @@ def test_documents_and_jobs(spark, tmp_path):
     own = index.document_detail(stored, ingest.chunk_table(spark, out).read(), "a")
     assert [r.type for r in own[0].collect()] == ["heading", "paragraph"] and [r.content for r in own[1].collect()] == ["one"]
     with pytest.raises(LookupError):
-        index.document_detail(stored, spark.read.parquet(out), "zzz")
-    summary = index.document_listing(spark.read.parquet(out), stored).collect()
+        index.document_detail(stored, ingest.chunk_table(spark, out).read(), "zzz")
+    summary = index.document_listing(ingest.chunk_table(spark, out).read(), stored).collect()
     assert [r.source for r in summary] == ["a", "b"] and summary[0].types == {"heading": 1, "paragraph": 1}
     assert index.same_rows(stored, stored.repartition(2)) and not index.same_rows(stored, stored.limit(1))
 
