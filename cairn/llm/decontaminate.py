@@ -132,9 +132,10 @@ def item_classes(benchmark: DataFrame, item: str = "item_id", text: str = "text"
     def words(texts: pd.Series) -> pd.Series:
         return pd.Series([tokens(t).tobytes() for t in texts], dtype=object)
 
-    rows = durable(benchmark.select(F.col(item).alias("item_id"), words(F.col(text)).alias("words")).where(F.octet_length("words") > 0).withColumn("digest", F.md5("words")))
-    classes = durable(rows.groupBy("digest").agg(F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()).withColumn("n", (F.octet_length("words") / 8).cast("int")))
-    return durable(rows.select("item_id", "digest").join(classes.select("digest", "node"), "digest").select("item_id", "node")), classes.select("node", "words", "n")
+    n = benchmark.count()
+    rows = durable(benchmark.select(F.col(item).alias("item_id"), words(F.col(text)).alias("words")).where(F.octet_length("words") > 0).withColumn("digest", F.md5("words")), n)
+    classes = durable(rows.groupBy("digest").agg(F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()).withColumn("n", (F.octet_length("words") / 8).cast("int")), n)
+    return durable(rows.select("item_id", "digest").join(classes.select("digest", "node"), "digest").select("item_id", "node"), n), classes.select("node", "words", "n")
 
 
 def item_seeds(classes: DataFrame) -> DataFrame:

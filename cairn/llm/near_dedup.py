@@ -142,10 +142,11 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str = "do
     Pairs are grouped by a, in groups of about GROUP_PAIRS pairs: a's text goes to each of its groups once, each b's to one, so
     an a with very many partners is spread over as many tasks. Only texts that take part are moved. pairs should be durable.
     """
-    parts = durable(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("int").alias("parts")), pairs.count())
+    n = pairs.count()
+    parts = durable(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("int").alias("parts")), n)
     second = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
     first = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
-    wanted = durable(first.unionAll(second).join(classes.select("node", F.col("doc_id").alias("_id"), "digest"), "node"))
+    wanted = durable(first.unionAll(second).join(classes.select("node", F.col("doc_id").alias("_id"), "digest"), "node"), 2 * n)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     rows = texts.join(maybe_broadcast(wanted), F.col("_key").eqNullSafe(F.col("_id"))).select("a", "part", "node", "digest", "text")
 
@@ -289,7 +290,7 @@ def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, key: s
             own = np.array([hashlib.md5(d).digest() == x for d, x in zip(data, b["digest"], strict=True)], bool)  # else another row under the same doc_id
             yield pd.DataFrame({"node": b["node"][own], "shingles": [shingles(d).tobytes() for d, o in zip(data, own, strict=True) if o]})
 
-    sets = texts.join(maybe_broadcast(durable(wanted)), F.col("_key").eqNullSafe(F.col("_id"))).select("node", "digest", "text").mapInPandas(to_sets, "node long, shingles binary")
+    sets = texts.join(maybe_broadcast(durable(wanted, classes.count())), F.col("_key").eqNullSafe(F.col("_id"))).select("node", "digest", "text").mapInPandas(to_sets, "node long, shingles binary")
     full = chosen.join(known, "node").join(durable(sets).dropDuplicates(["node"]), "node")
 
     def confirm(g: pd.DataFrame) -> pd.DataFrame:
