@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.sizes import maybe_broadcast
+from cairn.functions.sizes import durable, maybe_broadcast
 from cairn.operators.chunking import ITEMS
 
 CHUNKS = (
@@ -29,13 +29,35 @@ def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A row for each object of a JSON array, numbered from 0 in item_index; an error if the file is missing or not an array."""
+def read_json_array(spark: SparkSession, path: str, schema: str, number: bool = True) -> DataFrame:
+    """A row for each object of a JSON array, numbered from 0 in item_index unless number is False; an error if the file is missing or
+    not an array. What write_json_array() wrote is read by as many tasks as Spark makes of its lines; another array is one task's."""
+    from cairn.sources.writers import ARRAY_OPEN, _files
+
+    fs, where = _files(spark, path)
+    if fs.exists(where(f"{path}/{ARRAY_OPEN}")):
+        return _read_lines(spark, path, schema, number)
     whole = spark.read.text(path, wholetext=True)
     if whole.where(~F.ltrim("value").startswith("[")).limit(1).count():
         raise ValueError(f"{path} is not a JSON array")
     parsed = F.from_json("value", f"array<struct<{', '.join(_field(f) for f in _split(schema))}>>")
-    return whole.select(F.posexplode(parsed).alias("item_index", "_x")).select(F.col("item_index").cast("long"), "_x.*")
+    rows = whole.select(F.posexplode(parsed).alias("item_index", "_x")).select(F.col("item_index").cast("long"), "_x.*")
+    return rows if number else rows.drop("item_index")
+
+
+def _read_lines(spark: SparkSession, path: str, schema: str, number: bool) -> DataFrame:
+    """An array of a line an object. To number them, lines are written with their block of a file and their place among a task's
+    lines; blocks, a row each, are added up in the order of files."""
+    block = ["_file", "_block"]
+    lines = spark.read.text(path).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    objects = lines.where(~F.col("value").isin("[", "]", ",")).withColumn("_x", F.from_json(F.regexp_replace("value", "^,", ""), f"struct<{', '.join(_field(f) for f in _split(schema))}>"))
+    if not number:
+        return objects.select("_x.*")
+    kept = durable(objects.select("_x", *block, "_line"))
+    counts = kept.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(*block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    starts = counts.select(*block, (before - F.col("_first")).alias("_start"))
+    return kept.join(maybe_broadcast(starts), block).select((F.col("_line") + F.col("_start")).alias("item_index"), "_x.*")
 
 
 def _split(schema: str) -> list[str]:
@@ -60,7 +82,7 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_array(spark, path, CHUNKS).drop("item_index")
+    return read_json_array(spark, path, CHUNKS, number=False)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -508,3 +508,28 @@ def test_metadata_and_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "t").mkdir()
     (tmp_path / "t/x.txt").write_text("one two")
     assert json.loads(run("split", tmp_path / "t", "--how", "recursive")[0])["piece"] == "one two"
+
+
+def test_json_array_by_parts(spark, tmp_path):
+    """Every task writes and reads its own objects; files put together by name are one array, and numbers go through all of them."""
+    import glob
+    import json
+
+    path = str(tmp_path / "a.json")
+    rows = spark.range(0, 5000, 1, 7).select(F.col("id").alias("v"), F.concat(F.lit("a\n,[\u2028 "), F.col("id")).alias("s")).where("v < 700 OR v > 2000")
+    writers.write_json_array(rows, path, "v")
+    parts = sorted(glob.glob(f"{path}/part-*"))
+    assert sum("-c000" in p and not p.endswith(".comma") for p in parts) > 1
+    whole = json.loads("".join(open(p, encoding="utf-8").read() for p in parts))
+    want = [(i, r.v, r.s) for i, r in enumerate(rows.orderBy("v").collect())]
+    assert [(i, r["v"], r["s"]) for i, r in enumerate(whole)] == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.read_json_array(spark, path, "v bigint, s string")
+        assert spark.read.text(path).rdd.getNumPartitions() > 9 and sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    writers.write_json_array(rows, path)  # in the order of rows
+    assert sorted(map(tuple, readers.read_json_array(spark, path, "v bigint, s string").collect())) == want
+    writers.write_json_array(rows.where("false"), path, "v")
+    assert json.loads("".join(open(p).read() for p in sorted(glob.glob(f"{path}/part-*")))) == [] and readers.read_chunks(spark, path).count() == 0
