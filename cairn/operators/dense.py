@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.vectors import cosine
-from cairn.operators.lexical import best_keys, top_k
+from cairn.operators.lexical import top_k
 
 # Fixed values of the query semantics.
 FETCH_K, MMR_K, LAMBDA = 25, 5, 0.5
-#: Query vectors in one matrix product, and in one pass over the corpus, to which they are sent.
-QUERY_BLOCK, SCAN_QUERIES = 2_000, 50_000
+#: Query vectors in one pass over the corpus, to which they are sent, and scores of one matrix product.
+SCAN_QUERIES, SCORES = 50_000, 2_000_000
 
 
 def _unit(rows) -> np.ndarray:
@@ -23,12 +23,55 @@ def _unit(rows) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
 
 
+class Nearest:
+    """The k best rows of each query so far, as one task meets them: by rounded score, then by key. It holds k rows a query."""
+
+    def __init__(self, queries: int, k: int, digits: int = 9):
+        self.k, self.digits, self.least = k, digits, np.full(queries, -np.inf)
+        self.held, self.waiting = None, []
+
+    def offer(self, who: np.ndarray, scores: np.ndarray, keys: np.ndarray, tag: int = 0, good: np.ndarray | None = None) -> None:
+        """scores: who x keys, of which only those in good count, and no NaN; keys ascend. What cannot be among a query's k best is left
+        out at once: of scores below its k-th best so far, and of equal ones behind the k-th."""
+        rounded, k = scores.round(self.digits), self.k
+        rounded[np.isnan(rounded) if good is None else np.isnan(rounded) | ~good] = -np.inf
+        least = self.least[who]
+        if rounded.shape[1] > 4 * k and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(rounded, rounded.shape[1] - k, axis=1)[:, -k])
+        above = rounded > least[:, None]
+        for found in (above, (rounded == least[:, None]) & (rounded > -np.inf)):
+            q, c = np.nonzero(found)
+            if found is not above:
+                few = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, c = q[few], c[few]
+            self.waiting.append((who[q], scores[q, c], keys[c], np.full(len(q), tag)))
+        if sum(len(w[0]) for w in self.waiting) > SCORES:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        who, score, key, tag = (np.concatenate(x) for x in zip(*([self.held] if self.held else []), *self.waiting, strict=True))
+        rounded = score.round(self.digits)
+        order = np.lexsort((pd.Series(key).rank(method="dense").to_numpy(), -rounded, who))
+        nth = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        order, last = order[nth < self.k], order[nth == self.k - 1]
+        self.least[who[last]] = rounded[last]
+        self.held, self.waiting = (who[order], score[order], key[order], tag[order]), []
+
+    def frames(self, ids: np.ndarray, key: str, tag: str | None = None) -> Iterator[pd.DataFrame]:
+        self.settle()
+        for i in range(0, len(self.held[0]) if self.held else 0, SCORES // 10):
+            who, score, keys, tags = (x[i : i + SCORES // 10] for x in self.held)
+            yield pd.DataFrame({"query_id": ids[who], key: keys, "score": score} | ({tag: tags} if tag else {}))
+
+
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """query_id, key, score, rank: the k nearest rows of corpus by cosine for every query (query_id, vector).
 
     where limits the rows that are searched, before the k are chosen, and reaches the scan. Every batch of rows is compared with
-    a block of queries in one matrix product, and only its own k best a query leave it; so the shuffle carries k rows a query
-    and batch, whatever the size of the corpus. More than SCAN_QUERIES queries take several passes. Rows without a vector are
+    a block of queries in one matrix product of at most SCORES scores, and a task's k best a query leave it; so a task holds, and the
+    shuffle carries from it, k rows a query, whatever the size of the corpus. More than SCAN_QUERIES queries take several passes. Rows without a vector are
     not found; ties go by key, which may be of any type that has an order.
     """
     rows = (corpus if where is None else corpus.where(where)).where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
@@ -42,14 +85,17 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 20, key: str =
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
+            best = Nearest(len(ids), k)
             for b in batches:
                 if not len(b):
                     continue
-                own, rank, keys = _unit(b["vector"]).T, b["key"].rank(method="first").to_numpy(), b["key"].to_numpy()
-                for i in range(0, len(ids), QUERY_BLOCK):
-                    near = matrix[i : i + QUERY_BLOCK] @ own
-                    order = best_keys(near, rank, k)
-                    yield pd.DataFrame({"query_id": np.repeat(ids[i : i + QUERY_BLOCK], order.shape[1]), key: keys[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel()})
+                b = b.sort_values("key")
+                own, keys, step = _unit(b["vector"]).T, b["key"].to_numpy(), max(1, SCORES // len(b))
+                for i in range(0, len(ids), step):
+                    near = matrix[i : i + step] @ own
+                    best.offer(np.arange(i, i + len(near)), near, keys)
+                best.settle()
+            yield from best.frames(ids, key)
 
         return rows.mapInPandas(run, schema)
 

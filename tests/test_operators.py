@@ -533,3 +533,38 @@ def test_json_array_by_parts(spark, tmp_path):
     assert sorted(map(tuple, readers.read_json_array(spark, path, "v bigint, s string").collect())) == want
     writers.write_json_array(rows.where("false"), path, "v")
     assert json.loads("".join(open(p).read() for p in sorted(glob.glob(f"{path}/part-*")))) == [] and readers.read_chunks(spark, path).count() == 0
+
+
+def test_nearest_holds_little(monkeypatch):
+    """A task holds k rows a query, however many batches and ties it meets, and products are cut to SCORES."""
+    r = np.random.default_rng(5)
+    x, q = r.normal(size=(4000, 6)).round(1), r.normal(size=(30, 6))
+    x[::3] = x[0]  # many ties
+    best, keys, most = dense.Nearest(30, 7), r.permutation(4000), 0
+    for i in range(0, 4000, 400):
+        at = i + np.argsort(keys[i : i + 400])
+        best.offer(np.arange(30), q @ x[at].T, keys[at])
+        most = max(most, sum(len(w[0]) for w in best.waiting))
+        best.settle()
+        assert len(best.held[0]) == 210
+    near = (q @ x.T).round(9)
+    want = {(i, keys[c]) for i in range(30) for c in np.lexsort((keys, -near[i]))[:7]}
+    got = list(best.frames(np.arange(30), "key"))
+    assert {(a, b) for f in got for a, b in zip(f["query_id"], f["key"])} == want and most <= 30 * 400
+
+
+def test_vector_search_by_blocks(spark, monkeypatch):
+    """Each task returns its k best a query once, not those of every batch and block."""
+    monkeypatch.setattr(dense, "SCORES", 900)
+    r = np.random.default_rng(6)
+    corpus = spark.createDataFrame([(i, v) for i, v in enumerate(r.normal(size=(700, 4)).round(1).tolist())], "vec_id long, embedding array<double>").repartition(2)
+    queries = corpus.where("vec_id % 5 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    x = dense._unit(v["embedding"] for v in corpus.orderBy("vec_id").collect())
+    near = (x[::5] @ x.T).round(9)
+    want = {(5 * i, int(c)) for i in range(140) for c in np.lexsort((np.arange(700), -near[i]))[:3]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        hits = dense.vector_search(corpus, queries, 3)
+        assert {(h.query_id, h.vec_id) for h in hits.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
