@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.sizes import durable, maybe_broadcast
 from cairn.functions.vectors import cosine
-from cairn.operators.dense import _unit, vector_search
+from cairn.operators.dense import SCORES, Nearest, _unit, vector_search
 from cairn.operators.lexical import top_k
 
 #: Vectors that centroids and code books are fitted on, at most; they are chosen by a hash of their key. Every row is indexed.
@@ -30,8 +30,8 @@ RERANK = 8
 #: How many lists a query probes is measured when an index is built: as few as find this share of the nearest TRUE_K rows of so many
 #: of the rows, chosen by a hash of their key. Where vectors have no structure, that is most lists.
 RECALL, TRUE_K, TRIALS = 0.97, 20, 200
-#: Queries that are sent to the rows at a time, and that are scored against a list at a time.
-SCAN_QUERIES, QUERY_BLOCK = 20_000, 256
+#: Queries that are sent to the rows at a time.
+SCAN_QUERIES = 20_000
 
 
 class Model(NamedTuple):
@@ -154,66 +154,47 @@ def pruned(spark: SparkSession, path: str, lists: list[int], *columns: str) -> D
     return spark.read.parquet(f"{path}/rows").where(F.col("list").isin(lists)).select(*columns)
 
 
-class _Best:
-    """The best rows of each query so far, as one task meets them."""
-
-    def __init__(self, queries: int, keep: int):
-        self.score, self.key = np.full((queries, keep), -np.inf), np.empty((queries, keep), object)
-
-    def offer(self, who: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
-        """scores: who x keys."""
-        keep = self.score.shape[1]
-        if scores.shape[1] > keep:
-            at = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-            scores, keys = np.take_along_axis(scores, at, 1), keys[at]
-        else:
-            keys = np.broadcast_to(keys, scores.shape)
-        both, names = np.hstack([self.score[who], scores]), np.hstack([self.key[who], keys])
-        at = np.argpartition(-both, keep - 1, axis=1)[:, :keep]
-        self.score[who], self.key[who] = np.take_along_axis(both, at, 1), np.take_along_axis(names, at, 1)
-
-
 def _scan(rows: DataFrame, model: Model, ids: np.ndarray, matrix: np.ndarray, probes: dict[int, np.ndarray], keep: int, floor: np.ndarray | None) -> DataFrame:
-    """query_id, list, key of candidates among rows (list, key, code, error), by what the codes say.
+    """query_id, key, score, list of each task's keep best rows a query among rows (list, key, code, error, with floor vector too).
 
-    Without floor, each task returns the keep best a query. With floor, a score for each query, it returns all rows that may reach
-    that: a code's score is wrong by its error at most, as queries have length one.
+    Without floor, scores are what the codes say. With floor, a score for each query, all rows that may reach that are compared
+    exactly: a code's score is wrong by its error at most, as queries have length one.
     """
     shared = rows.sparkSession.sparkContext.broadcast((model, ids, matrix, probes, floor))  # SCAN_QUERIES and MOST_LISTS bound it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, ids, matrix, probes, floor = shared.value
-        edges, best = model.edges(), {}
+        edges, best = model.edges(), Nearest(len(ids), keep)
         for b in batches:
-            for number, own in b.groupby("list"):
+            for number, own in b.sort_values("key").groupby("list"):
                 asking = probes.get(number, np.zeros(0, int))
                 codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), len(model.books))
                 keys, error = own["key"].to_numpy(), own["error"].to_numpy()
-                for i in range(0, len(asking), QUERY_BLOCK):
-                    who = asking[i : i + QUERY_BLOCK]
+                exact = None if floor is None else _unit(own["vector"]).T
+                step = max(1, SCORES // len(own))
+                for i in range(0, len(asking), step):
+                    who = asking[i : i + step]
                     q = matrix[who]
                     scores = np.repeat((q @ model.centroids[number])[:, None], len(own), 1)
                     for m, book in enumerate(model.books):
                         scores += (q[:, edges[m] : edges[m + 1]] @ book.T)[:, codes[:, m]]
-                    if floor is not None:
-                        a, c = np.nonzero(scores + error >= floor[who][:, None] - 1e-9)
-                        yield pd.DataFrame({"query_id": ids[who[a]], "list": number, "key": keys[c], "score": scores[a, c]})
+                    if floor is None:
+                        best.offer(who, scores, keys, number)
                         continue
-                    if number not in best:
-                        best[number] = (asking, _Best(len(asking), keep))
-                    best[number][1].offer(np.arange(i, i + len(who)), scores, keys)
-        for number, (asking, held) in best.items():
-            a, c = np.nonzero(held.score > -np.inf)
-            yield pd.DataFrame({"query_id": ids[asking[a]], "list": number, "key": held.key[a, c], "score": held.score[a, c]})
+                    good = scores + error >= floor[who][:, None] - 1e-9
+                    some = np.flatnonzero(good.any(0))
+                    best.offer(who, q @ exact[:, some], keys[some], number, good[:, some])
+            best.settle()
+        yield from best.frames(ids, "key", "list")
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"query_id long, list int, key {kind}, score double")
+    return rows.mapInPandas(run, f"query_id long, key {kind}, score double, list int")
 
 
 def _rerank(spark: SparkSession, path: str, candidates: DataFrame, asked: DataFrame, lists: list[int], k: int) -> DataFrame:
     """query_id, key, score, rank: the k best of candidates (query_id, list, key) by exact cosine; only their vectors are compared."""
     vectors = pruned(spark, path, lists, "list", "key", "vector")
-    pairs = vectors.join(maybe_broadcast(candidates.select("query_id", "list", "key")), ["list", "key"]).join(maybe_broadcast(asked), "query_id")
+    pairs = vectors.join(maybe_broadcast(durable(candidates.select("query_id", "list", "key"))), ["list", "key"]).join(maybe_broadcast(asked), "query_id")
     return top_k(pairs.select("query_id", "key", F.coalesce(cosine(F.col("_q"), F.col("vector")), F.lit(0.0)).alias("score")), k, "key")
 
 
@@ -250,8 +231,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, key:
         reach = np.where(angle <= 0, 1.0, np.cos(np.clip(angle, 0, np.pi))) + 1e-9 >= floor[:, None]
         reach[:, [n for n in range(len(model.centroids)) if n not in widest]] = False
         wanted = by_list(np.nonzero(reach))
-        rows = pruned(spark, path, sorted(wanted), "list", "key", "code", "error")
-        return _rerank(spark, path, durable(_scan(rows, model, ids, matrix, wanted, k, floor)), asked, sorted(wanted), k)
+        rows = pruned(spark, path, sorted(wanted), "list", "key", "code", "error", "vector")
+        return top_k(_scan(rows, model, ids, matrix, wanted, k, floor).drop("list"), k, "key")
 
     for r in queries.select(F.col("query_id").cast("long").alias("i"), F.col("vector").alias("v")).where("v IS NOT NULL").toLocalIterator():
         block.append((r["i"], [float(x) for x in r["v"]]))
