@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -35,13 +36,19 @@ class HashingEmbedder:
         for t in texts:
             v = [0.0] * self.dimensions
             for w in re.findall(r"\w+", (t or "").lower()):
-                for part in (w, w[:4]):
-                    h = hashlib.blake2b(part.encode(), digest_size=8).digest()
-                    v[int.from_bytes(h[:4], "big") % self.dimensions] += 1.0 if h[4] & 1 else -1.0
+                for n, sign in _slots(w):
+                    v[n % self.dimensions] += sign
             out.append(v)
         return out
 
 
+@functools.lru_cache(1 << 17)
+def _slots(word: str) -> tuple[tuple[int, float], ...]:
+    """The hashed numbers and signs of a word and its beginning; a worker keeps those of the words it met last."""
+    hashed = (hashlib.blake2b(part.encode(), digest_size=8).digest() for part in (word, word[:4]))
+    return tuple((int.from_bytes(h[:4], "big"), 1.0 if h[4] & 1 else -1.0) for h in hashed)
+
+
 class EchoGenerator:
     """Answers with the first source of a prompt, so that everything around a real model can be tested."""
 
@@ -70,9 +77,10 @@ def embed_column(rows: DataFrame, make: Callable[[], TextEmbedder], text: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for b in batches:
-            texts = b[text].tolist()
-            vectors = [v for i in range(0, len(texts), batch) for v in model.embed(texts[i : i + batch])]
-            yield b.assign(**{name: vectors})
+            for i in range(0, len(b), 8 * batch):  # vectors leave a worker some batches at a time
+                own = b.iloc[i : i + 8 * batch]
+                texts = own[text].tolist()
+                yield own.assign(**{name: [v for j in range(0, len(texts), batch) for v in model.embed(texts[j : j + batch])]})
 
     return rows.drop(name).mapInPandas(run, schema)
 
