@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,8 @@ CHUNK_SIZE, CHUNK_OVERLAP, MIN_SPLIT_RATIO = 800, 100, 0.4
 BOUNDARIES = ("\n\n", ". ", "? ", "! ", "\n", " ")
 RECURSIVE_SEPARATORS, RECURSIVE_SIZE, PLAIN_SIZE = ("\n\n", "\n", ". ", " ", ""), 600, 1000
 MERGE_SIMILARITY, MERGE_SIZE, BREAK_PERCENTILE = 0.70, 1000, 70
+#: Texts whose pieces leave a Python worker together.
+SLICE = 500
 
 
 def windows(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[int, int]]:
@@ -50,16 +52,23 @@ def split_pieces(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_
     return [p for p in pieces if p]
 
 
-def split_text(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
-    """A Pandas UDF from texts to arrays of pieces: each cut depends on the one before, which no built-in function expresses."""
+def _splitter(split: Callable[[str | None], list[str]]):
+    """A Pandas UDF from texts to arrays of pieces: each cut depends on the one before, which no built-in function expresses. Pieces
+    leave a worker SLICE texts at a time, so that it holds one batch of texts but never all their pieces."""
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_pieces(t, size, overlap) for t in texts], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for i in range(0, max(len(texts), 1), SLICE):
+                yield pd.Series([split(t) for t in texts.iloc[i : i + SLICE]], dtype=object)
 
     return run
 
 
+def split_text(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
+    return _splitter(lambda t: split_pieces(t, size, overlap))
+
+
 def explode_pieces(rows: DataFrame, pieces: Column, name: str = "piece") -> DataFrame:
     """A row for each piece, with its number from 0 in piece_index."""
     return rows.select("*", F.posexplode(pieces).alias("piece_index", name))
@@ -123,19 +132,11 @@ def split_recursive(text: str | None, size: int = RECURSIVE_SIZE, overlap: int =
 
 
 def recursive_splitter(size: int = RECURSIVE_SIZE, overlap: int = 0):
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_recursive(t, size, overlap) for t in texts], dtype=object)
-
-    return run
+    return _splitter(lambda t: split_recursive(t, size, overlap))
 
 
 def plain_splitter(size: int = PLAIN_SIZE, separator: str = "\n\n"):
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_by(t, size, separator) for t in texts], dtype=object)
-
-    return run
+    return _splitter(lambda t: split_by(t, size, separator))
 
 
 def semantic_breakpoints(sentences: DataFrame, key: str = "doc_id", order: str = "ord", vector: str = "vector", percentile: float = BREAK_PERCENTILE) -> DataFrame:
@@ -150,23 +151,48 @@ def semantic_breakpoints(sentences: DataFrame, key: str = "doc_id", order: str =
 
 def semantic_merge(pieces: DataFrame, embed, key: str = "doc_id", order: str = "piece_index", text: str = "piece", similarity: float = MERGE_SIMILARITY, size: int = MERGE_SIZE) -> DataFrame:
     """key, merged_index, text: a piece joins the one before while their vectors are alike and the sum is not too long; what is
-    merged is embedded anew, by embed(list of texts). The pieces of a document are one group."""
+    merged is embedded anew, by embed(list of texts). The pieces of a document follow each other in one task."""
     import numpy as np
+    import pyarrow as pa
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        texts = group.sort_values(order)[text].tolist()
+    def merge(texts: list[str]) -> list[str]:
         vectors = [np.asarray(v, float) for v in embed(texts)]
         done, now, v = [], texts[0], vectors[0]
         for t, w in zip(texts[1:], vectors[1:], strict=True):
-            scale = np.linalg.norm(v) * np.linalg.norm(w)
-            if scale and v @ w / scale >= similarity and len(now) + len(t) + 2 <= size:
+            if len(now) + len(t) + 2 <= size and (scale := np.linalg.norm(v) * np.linalg.norm(w)) and v @ w / scale >= similarity:
                 now = f"{now}\n\n{t}"
                 v = np.asarray(embed([now])[0], float)
             else:
                 done.append(now)
                 now, v = t, w
-        done.append(now)
-        return pd.DataFrame({key: group[key].iloc[0], "merged_index": np.arange(len(done), dtype=np.int32), "text": done})
+        return [*done, now]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, texts, out = None, [], []  # one document's pieces so far, and merged ones that wait for their batch
+
+        def put() -> None:
+            out.extend((own, i, t) for i, t in enumerate(merge(texts)))
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "merged_index", "text"])
+
+        for b in batches:
+            kinds = (b.schema.field(0).type, pa.int32(), pa.string())
+            for i in range(0, b.num_rows, SLICE):
+                for k, t in zip(*(c.to_pylist() for c in b.slice(i, SLICE).columns), strict=True):
+                    if texts and k != own:
+                        put()
+                        texts = []
+                    own = k
+                    texts.append(t)
+                if out:
+                    yield batch()
+        if texts:
+            put()
+            yield batch()
 
     kind = pieces.schema[key].dataType.simpleString()
-    return pieces.groupBy(key).applyInPandas(run, f"`{key}` {kind}, merged_index int, text string")
+    sorted_ = pieces.select(key, text, order).repartition(key).sortWithinPartitions(key, order).select(key, text)
+    return sorted_.mapInArrow(run, f"`{key}` {kind}, merged_index int, text string")
