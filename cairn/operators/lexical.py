@@ -21,6 +21,8 @@ K1, B = 1.5, 0.75
 QUERY_TERMS = 200_000
 #: Scores that a task holds at a time, of all queries for some documents.
 SCORES = 2_000_000
+#: Texts whose counts leave a Python worker together.
+SLICE = 500
 _TOKEN = re.compile(TOKEN)
 
 
@@ -88,14 +90,17 @@ def term_counts(docs: DataFrame, terms: dict[str, int], key: str, text: str, kee
     stop = frozenset(STOPWORDS)
 
     @F.pandas_udf("length int, terms array<int>, counts array<int>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out, known = [], shared.value
-        for t in texts:
-            tokens = _TOKEN.findall(t.lower()) if t else []
-            got = Counter(map(known.get, tokens))
-            got.pop(None, None)
-            out.append((len(tokens) - sum(map(stop.__contains__, tokens)), list(got), list(got.values())))
-        return pd.DataFrame(out, columns=["length", "terms", "counts"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for texts in batches:
+            for i in range(0, max(len(texts), 1), SLICE):
+                out = []
+                for t in texts.iloc[i : i + SLICE]:
+                    tokens = _TOKEN.findall(t.lower()) if t else []
+                    got = Counter(map(known.get, tokens))
+                    got.pop(None, None)
+                    out.append((len(tokens) - sum(map(stop.__contains__, tokens)), list(got), list(got.values())))
+                yield pd.DataFrame(out, columns=["length", "terms", "counts"])
 
     rows = docs.select(F.col(key).alias("key"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("scored"), run(F.col(text)).alias("c"))
     return rows.select("key", "scored", "c.*")
@@ -140,11 +145,18 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20, key: str =
     shared = docs.sparkSession.sparkContext.broadcast((first, who, worth))
     mean, step = total["mean"] or 1.0, max(1, SCORES // max(len(ids), 1))
 
+    def cuts(b: pd.DataFrame, first: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Of at most step documents, and of no more postings, each counted for every query that asks for its term, than SCORES / 2 and one document's."""
+        load = np.cumsum([int((first[np.asarray(t) + 1] - first[np.asarray(t)]).sum()) for t in b["terms"]])
+        i = 0
+        while i < len(b):
+            n = int(np.searchsorted(load, (load[i - 1] if i else 0) + SCORES // 2, "right"))
+            yield b.iloc[i : (i := min(max(n, i + 1), i + step))]
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, who, worth = shared.value
         for b in batches:
-            for i in range(0, len(b), step):
-                part = b.iloc[i : i + step]
+            for part in cuts(b, first):
                 size = part["terms"].map(len).to_numpy()
                 t, tf = (np.concatenate(part[c].to_numpy()).astype(float) for c in ("terms", "counts"))
                 t, doc = t.astype(int), np.repeat(np.arange(len(part)), size)

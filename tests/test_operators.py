@@ -568,3 +568,44 @@ def test_vector_search_by_blocks(spark, monkeypatch):
         assert {(h.query_id, h.vec_id) for h in hits.collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def sizes_of(udf, batch):
+    return [len(x) for x in udf.func(iter([batch]))]
+
+
+def test_pieces_leave_in_slices(spark):
+    """However many texts a batch has, their pieces and counts leave a worker some hundreds of texts at a time."""
+    import pandas as pd
+
+    texts = pd.Series([f"w{i} " * 300 for i in range(1201)] + [None, ""])
+    for udf in (splitting.split_text(), splitting.recursive_splitter(), splitting.plain_splitter()):
+        assert sizes_of(udf, texts) == [500, 500, 203]
+        assert list(udf.func(iter([texts[:0]])))[0].empty
+    one = [p for x in splitting.split_text().func(iter([texts])) for p in x]
+    assert one == [splitting.split_pieces(t) for t in texts]
+
+
+def test_keyword_scores_are_cut(spark, monkeypatch):
+    """The same hits however few postings are added up at a time."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7, 30, 1 + i % 3))) for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 3} w9") for i in range(20)], "query_id long, query string")
+    want = sorted((r.query_id, r.doc_id, r["rank"], round(r.score, 9)) for r in lexical.keyword_search(docs, asked, 5).collect())
+    monkeypatch.setattr(lexical, "SCORES", 60)
+    assert sorted((r.query_id, r.doc_id, r["rank"], round(r.score, 9)) for r in lexical.keyword_search(docs, asked, 5).collect()) == want
+
+
+def test_semantic_merge_across_batches(spark):
+    """A document's pieces are merged together also where a batch ends between them; keys of any size and type, and null, stay apart."""
+    embed = lambda texts: [[1.0, 0.0] if t.startswith("a") else [0.0, 1.0] for t in texts]
+    for kind, keys in (("long", [None, 1, 2**62 + 1, 2**62 + 2]), ("string", ["x", "y", None])):
+        rows = [(k, i, f"{'ab'[i // 3 % 2]}{i}") for k in keys for i in range(12)]
+        pieces = spark.createDataFrame(rows, f"doc_id {kind}, piece_index int, piece string").repartition(5)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        try:
+            got = [tuple(r) for r in splitting.semantic_merge(pieces, embed).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        text = lambda n: "\n\n".join(f"{'ab'[n % 2]}{3 * n + j}" for j in range(3))
+        assert sorted(got, key=repr) == sorted(((k, n, text(n)) for k in keys for n in range(4)), key=repr)
+    assert splitting.semantic_merge(pieces.limit(0), embed).count() == 0
