@@ -7,7 +7,9 @@ a range, and each range is then read with what it starts from.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,13 @@ from cairn.functions.text import BARE_NUMBER, NUMBERED, clean_text, unwrap_lines
 #: Items of a range, by their numbers.
 RANGE = 10_000
 _STACK = "array<struct<depth: int, title: string>>"
+#: Rows that are read and leave a worker together.
+SLICE = 1_000
+_HEADINGS = ("source", "_range", "item_index", "type", "title", "depth")
+_ARROW_STACK = pa.list_(pa.struct([("depth", pa.int32()), ("title", pa.string())]))
+_CARRIED = {
+    "source": pa.string(), "_range": pa.int64(), "_stack": _ARROW_STACK, "_opened": pa.int64(), "_type": pa.string(), "_title": pa.string(), "_depth": pa.int32(), "_pre": pa.int32(),
+}
 
 
 def read_headings(items: DataFrame) -> DataFrame:
@@ -44,28 +53,60 @@ def push(stack: list, depth: int, title: str) -> list:
     return [*(x for x in stack if x[0] < depth), (depth, title)] if depth else []
 
 
-def _stack_range(group: pd.DataFrame) -> pd.DataFrame:
-    """Within one range, which starts from nothing: the least depth so far, and the stack behind each heading."""
-    group, low, stack, lows, stacks = group.sort_values("item_index"), 1 << 30, [], [], []
-    for depth, title in zip(group["depth"], group["title"], strict=True):
-        stack, low = push(stack, depth, title), min(low, depth)
-        lows.append(low)
-        stacks.append([{"depth": d, "title": t} for d, t in stack])
-    return group.assign(low=lows, stack=stacks, nth=range(1, len(group) + 1))
-
-
-def _carry_ranges(group: pd.DataFrame) -> pd.DataFrame:
-    """Along one source's ranges, a row each: what was there before it. _pre: whether an item stands before the first heading."""
-    group, stack, opened, last, out = group.sort_values("_range"), [], 0, None, []
-    first = group["first_item"].min(), group["first_open"].min()
-    pre = bool(pd.notna(first[0]) and not first[1] <= first[0])  # also without any heading
-    for r in group.itertuples():
-        out.append(([{"depth": d, "title": t} for d, t in stack], opened, *(last or (None, None, None)), int(pre)))
-        if pd.notna(r.low):
-            stack = [*(x for x in stack if x[0] < r.low), *((x["depth"], x["title"]) for x in r.stack)]
-            opened += int(r.opened)
-            last = (r.type, r.title, r.depth)
-    return pd.DataFrame({"source": group["source"], "_range": group["_range"]}).assign(**dict(zip(("_stack", "_opened", "_type", "_title", "_depth", "_pre"), (list(c) for c in zip(*out, strict=True)), strict=True)))
+def _stack_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within each range, which starts from nothing: the least depth so far, and the stack behind each heading. Headings come sorted,
+    many ranges in one batch, as a call for each range of a short source would cost more than its headings."""
+    own, low, stack, nth = None, 1 << 30, [], 0
+    for whole in batches:
+        for i in range(0, whole.num_rows, SLICE):
+            b = whole.slice(i, SLICE)
+            column, lows, stacks, nths = {n: b.column(n) for n in _HEADINGS}, [], [], []
+            for *key, depth, title in zip(*(column[n].to_pylist() for n in ("source", "_range", "depth", "title")), strict=True):
+                if key != own:
+                    own, low, stack, nth = key, 1 << 30, [], 0
+                stack, low, nth = push(stack, depth, title), min(low, depth), nth + 1
+                lows.append(low)
+                stacks.append([{"depth": d, "title": t} for d, t in stack])
+                nths.append(nth)
+            arrays = [*(column[n].cast(pa.int32()) if n == "depth" else column[n] for n in _HEADINGS), pa.array(lows, pa.int32()), pa.array(stacks, _ARROW_STACK), pa.array(nths, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*_HEADINGS, "low", "stack", "nth"])
+
+
+def _carry_source(rows: list[dict]) -> list[tuple]:
+    """Along one source's ranges, a row each: what was there before it. The last, _pre: whether an item stands before the first heading."""
+    items, opens = ([r[c] for r in rows if r[c] is not None] for c in ("first_item", "first_open"))
+    pre = bool(items) and not (opens and min(opens) <= min(items))  # also without any heading
+    stack, opened, last, out = [], 0, (None, None, None), []
+    for r in rows:
+        out.append((r["source"], r["_range"], [{"depth": d, "title": t} for d, t in stack], opened, *last, int(pre)))
+        if r["low"] is not None:
+            stack = [*(x for x in stack if x[0] < r["low"]), *((x["depth"], x["title"]) for x in r["stack"])]
+            opened += r["opened"]
+            last = (r["type"], r["title"], r["depth"])
+    return out
+
+
+def _carry_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_carry_source() for each source; ranges come sorted."""
+    rows, out = [], []
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True))
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CARRIED.values(), strict=True)], names=list(_CARRIED))
+
+    for whole in batches:
+        for i in range(0, whole.num_rows, SLICE):
+            for r in whole.slice(i, SLICE).to_pylist():
+                if rows and r["source"] != rows[0]["source"]:
+                    out += _carry_source(rows)
+                    rows = []
+                rows.append(r)
+            if out:
+                yield batch()
+    if rows:
+        out += _carry_source(rows)
+        yield batch()
 
 
 def _path(stack, title, depth):
@@ -83,12 +124,13 @@ def place_items(items: DataFrame, span: int = RANGE) -> DataFrame:
     rows = items.withColumn("_range", F.floor(F.col("item_index") / span)).withColumn("_head", F.when(heading, clean_text(F.col("content"))))
     opens = durable(read_headings(rows))
     kind = opens.schema
-    stacked = durable(opens.groupBy("source", "_range").applyInPandas(_stack_range, f"source string, _range long, item_index {kind['item_index'].dataType.simpleString()}, type string, title string, depth int, low int, stack {_STACK}, nth int"))
+    by_range = opens.select(*_HEADINGS).repartition("source", "_range").sortWithinPartitions("source", "_range", "item_index")
+    stacked = durable(by_range.mapInArrow(_stack_ranges, f"source string, _range long, item_index {kind['item_index'].dataType.simpleString()}, type string, title string, depth int, low int, stack {_STACK}, nth int"))
     sums = stacked.groupBy("source", "_range").agg(F.max_by(F.struct("low", "stack", "type", "title", "depth"), "item_index").alias("_s"), F.count("*").alias("opened"), F.min("item_index").alias("first_open"))
     ranges = rows.groupBy("source", "_range").agg(F.min(F.when(~heading, F.col("item_index"))).alias("first_item"))
     both = ranges.join(sums.withColumnsRenamed({"source": "_source", "_range": "_r"}), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")), "left")
     both = both.select("source", "_range", "first_item", "first_open", "opened", "_s.*")
-    carry = durable(both.groupBy("source").applyInPandas(_carry_ranges, f"source string, _range long, _stack {_STACK}, _opened long, _type string, _title string, _depth int, _pre int"))
+    carry = durable(both.repartition("source").sortWithinPartitions("source", "_range").mapInArrow(_carry_ranges, f"source string, _range long, _stack {_STACK}, _opened long, _type string, _title string, _depth int, _pre int"))
     start = carry.withColumnsRenamed({"source": "_source", "_range": "_r"})
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r"))
     above = F.filter("_stack", lambda x: x["depth"] < F.col("low"))

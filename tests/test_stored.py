@@ -309,3 +309,19 @@ def test_answers_in_a_batch(spark):
         assert (got[i].answer, got[i].search_query, [s.chunk_id for s in got[i].sources]) == (one["answer"], one["search_query"], [s["chunk_id"] for s in one["sources"]])
     none = conversations.answer_batch(store, spark.createDataFrame([(9, "cats?", "")], "query_id long, question string, history string"), providers.HashingEmbedder, providers.generator, chunk_type="table").first()
     assert none.answer == answering.NO_ANSWER and none.sources == []
+
+
+def test_sections_of_many_sources_share_batches(spark):
+    """Ranges and sources that share a task's batches, or are cut by their ends, don't mix; a null source is one of its own."""
+    one = [("paragraph", "before"), ("heading", "1 A"), ("paragraph", "x"), ("heading", "1.1 B"), ("paragraph", "y"), ("heading", "Free"), ("paragraph", "z")]
+    rows = [(s, i, k, 1, t, None, None, None, None) for s in (*(f"s{n}" for n in range(40)), None) for i, (k, t) in enumerate(one)]
+    items = spark.createDataFrame(rows, chunking.ITEMS).repartition(3)
+    want = [(0, 0, "", ""), (2, 2, "1 A", "1 A"), (4, 3, "1.1 B", "1 A > 1.1 B"), (6, 4, "Free", "Free")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for span in (2, 10_000):
+            placed = sections.place_items(items, span).where("type = 'paragraph'").select("source", "item_index", "section_no", "section_title", "section_path").collect()
+            numbers = {0: 0, 2: 2, 4: 3, 6: 4}
+            assert sorted((tuple(r) for r in placed), key=repr) == sorted(((s, i, numbers[i], t, p) for s in {r[0] for r in rows} for i, _, t, p in want), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
