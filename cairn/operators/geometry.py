@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,15 +24,47 @@ FIGURE_CAPTION = r"(?i)\A\s*(?:figure|fig\.?)\s*\d+[a-z]?\s*[:.\-]?\s*(.*)\z"
 PAGE = ["source", "page"]
 
 
+def _fragments(spans: DataFrame) -> DataFrame:
+    """spans with those of a block that meet in an Arrow batch put together in one row: lines, spans and texts as arrays, the sizes' sum and number n, bold, and
+    the rectangle. Parsers give a block's spans one behind the other, so nearly every block is one row before anything is shuffled."""
+    key = [*PAGE, "block"]
+    names = {c: spans.schema[c].dataType.simpleString() for c in (*key, "line", "span", "text")}
+    boxes = {"x0": "min", "y0": "min", "x1": "max", "y1": "max"}
+    schema = ", ".join([*(f"{c} {names[c]}" for c in key), *(f"{c}s array<{names[c]}>" for c in ("line", "span", "text")), "size double, n long, bold boolean", *(f"{c} double" for c in boxes)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            for c in boxes:
+                t = t.append_column(f"nan_{c}", pc.is_nan(t[c]))
+            # Spark takes NaN for the largest number, Arrow leaves it out
+            nan = {c: "all" if how == "min" else "any" for c, how in boxes.items()}
+            g = t.group_by(key, use_threads=False).aggregate([
+                ("line", "list"), ("span", "list"), ("text", "list"), ("size", "sum"), ("size", "count"), ("bold", "any"), *boxes.items(), *((f"nan_{c}", how) for c, how in nan.items())])
+            box = [pc.if_else(pc.fill_null(g[f"nan_{c}_{nan[c]}"], False), pa.scalar(math.nan), g[f"{c}_{how}"]) for c, how in boxes.items()]
+            out = [*(g[c] for c in key), *(g[f"{c}_list"] for c in ("line", "span", "text")), g["size_sum"], g["size_count"], g["bold_any"], *box]
+            yield from pa.table(out, [*key, "lines", "spans", "texts", "size", "n", "bold", *boxes]).combine_chunks().to_batches()
+
+    doubles = {c: F.col(c).cast("double") for c in ("size", *boxes)}
+    return spans.select(*key, "line", "span", "text", "size", "bold", *boxes).withColumns(doubles).mapInArrow(run, schema)
+
+
 def rich_blocks(spans: DataFrame) -> DataFrame:
     """Blocks from their spans (source, page, block, line, span, text, size, bold, x0, y0, x1, y1): lines joined, mean font size
-    (10 without spans of a size), bold if any span is; in reading order of rounded top and left edge, in block_order."""
-    key = ["source", "page", "block"]
-    lines = spans.groupBy(*key, "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "").alias("text"), F.sum("size").alias("size"), F.count("size").alias("n"),
-        F.bool_or("bold").alias("bold"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    text = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n"))
-    blocks = lines.groupBy(*key).agg(
+    (10 without spans of a size), bold if any span is; in reading order of rounded top and left edge, in block_order.
+
+    Spans of a block are put together where they are read, and what is shuffled, once and by page, is those pieces. Spans in any
+    order give the same blocks, though then more is shuffled.
+    """
+    pieces = _fragments(spans).repartition(*PAGE)
+    own = F.flatten(F.transform(F.collect_list(F.struct("lines", "spans", "texts")), lambda f: F.arrays_zip(f["lines"].alias("lines"), f["spans"].alias("spans"), f["texts"].alias("texts"))))
+    def joined(all_: Column) -> Column:
+        """The sorted spans' texts, a line feed where a line begins that is not the block's first."""
+        begins = lambda s, i: (i > 0) & ~F.get(all_, i - 1)["lines"].eqNullSafe(s["lines"])
+        return F.array_join(F.transform(all_, lambda s, i: F.concat(F.when(begins(s, i), "\n").otherwise(""), F.coalesce(s["texts"], F.lit("")))), "")
+
+    text = strip(F.get(F.transform(F.array(F.sort_array(own)), joined), F.lit(0)))  # bound to a variable, a block's spans are sorted once and not for each of them
+    blocks = pieces.groupBy(*PAGE, "block").agg(
         text.alias("text"), F.coalesce(F.sum("size") / F.nullif(F.sum("n"), F.lit(0)), F.lit(10.0)).alias("font_size"), F.bool_or("bold").alias("is_bold"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).where("text <> ''")
     return blocks.withColumn("block_order", F.row_number().over(W.partitionBy(*PAGE).orderBy(F.round("y0", 1), "x0")))

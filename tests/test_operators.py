@@ -156,6 +156,23 @@ def test_geometry(spark):
     assert tuple(box.b) == (0.0, 0.0, 40.0, 54.0) and box.n is None
 
 
+def test_rich_blocks_puts_spans_together_before_the_shuffle(spark):
+    nan, none = float("nan"), None
+    rows = [("s", 1, b, l, i, t, z, o, *x) for b, l, i, t, z, o, x in (
+        (0, 1, 0, "c", 12.0, False, (3.0, 7.0, 4.0, nan)), (0, 0, 1, "b", none, none, (nan, 5.0, 2.0, 1.0)), (0, 0, 0, "a", 6.0, True, (nan, none, none, 1.0)), (0, 2, 0, none, none, none, (9.0, 9.0, 1.0, 1.0)),
+        (0, 3, 5, "d", none, none, (9.0, 9.0, 1.0, 1.0)), (0, none, 0, "n", none, none, (9.0, 9.0, 1.0, 1.0)), (1, 0, 0, " ", 1.0, True, (0.0, 0.0, 0.0, 0.0)), (2, 0, 0, "z", none, none, (nan, 1.0, 1.0, 1.0)), (2, 0, 0, "y", none, none, (nan, 1.0, none, 1.0)))]
+    spans = spark.createDataFrame(rows, readers.SPANS)
+    want = [(0, "n\nab\nc\n\nd", 9.0, True, "3.0", "5.0", "4.0", "nan"), (2, "yz", 10.0, None, "nan", "1.0", "1.0", "1.0")]
+    for given in (spans.coalesce(1), spans.repartition(9, "line", "span", "text")):  # a block in one batch, and in several
+        got = geometry.rich_blocks(given).orderBy("block").collect()
+        assert [(r.block, r.text, r.font_size, r.is_bold, *(str(r[c]) for c in ("x0", "y0", "x1", "y1"))) for r in got] == want
+        assert [r.block_order for r in sorted(got, key=lambda r: r.y0)] == [1, 2]
+    # the plan shuffles pieces of blocks, once: no exchange below the place where spans are put together
+    plan = geometry.rich_blocks(spans)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+    assert geometry.rich_blocks(spans.limit(0)).count() == 0
+
+
 def test_index_sync(spark):
     ids = lambda *v: spark.createDataFrame([(x, i) for i, x in enumerate(v)], "chunk_id string, chunk_index long")
     plan = lambda *a, **k: sorted(map(tuple, index.sync_plan(*a, **k).collect()))
