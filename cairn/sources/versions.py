@@ -97,13 +97,15 @@ class VersionedTable:
         out.write.partitionBy("bucket").parquet(f"{self.path}/data/part={part}")
         return {"id": part, "buckets": sorted(int(n.split("=")[1]) for n in self._names(f"data/part={part}") if n.startswith("bucket="))}
 
-    def replace(self, rows: DataFrame, gone: DataFrame | None = None, expect: int | None = None, sort: tuple[str, ...] = ()) -> int:
+    def replace(self, rows: DataFrame, gone: DataFrame | None = None, expect: int | None = None, sort: tuple[str, ...] = (), keys: DataFrame | None = None) -> int:
         """Commits rows in place of all rows with their keys, and without any row in place of the keys in gone; the new version.
 
+        keys, where given, has the keys of rows in its one column, so that rows, which may be dear to make, are only made to be written.
         With expect, the version that rows were made from, a Conflict is raised if a later one has replaced a key that hashes like one
         of these. Without it the later commit counts. A writer that ends before its commit has changed nothing that is read.
         """
-        keys = rows.select(self.by) if gone is None else rows.select(self.by).unionAll(gone.select(self.by))
+        keys = (rows if keys is None else keys).select(self.by)
+        keys = keys if gone is None else keys.unionAll(gone.select(self.by))
         keys = keys.distinct().withColumn("bucket", self.bucket(F.col(self.by)))
         mark = uuid.uuid4().hex
         keys.write.parquet(f"{self.path}/gone/{mark}")

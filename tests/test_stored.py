@@ -217,6 +217,21 @@ def test_keyword_index_skips_segments(spark, tmp_path, monkeypatch):
     assert all(f"/bucket={bucket}/" in f for f in blocks.inputFiles()) and "keys" not in blocks._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keyword_index_is_inverted_once_and_as_arrow_lists(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "A b b", "s"), (None, "b the", "s"), (3, None, "s"), (4, "", None), (5, "the", None)], "doc_id int, text string, source string")
+    rows = keyword_index.invert(docs, size=64)
+    assert "FlatMapGroupsInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r.source, r.term): (r.n, r.most, r.least, r.words, sorted(zip(r["keys"], r.counts, r.lengths, strict=True), key=str)) for r in rows.collect()}
+    assert got == {("s", None): (3, 0, 0, 3, []), (None, None): (2, 0, 0, 0, []), ("s", "b"): (2, 2, 1, 0, [(1, 2, 2), (None, 1, 1)])}  # a and the are stopwords
+    stored = keyword_index.open_index(spark, str(tmp_path / "k"), "int")
+    written = []
+    monkeypatch.setattr(keyword_index, "durable", lambda df: written.append(df) or df)
+    keyword_index.replace_sources(stored, docs)
+    assert not written and stored.read().count() == len(got)
+    keyword_index.replace_sources(stored, docs.where("source = 's'").limit(0), docs.where("source IS NULL").select("source"))
+    assert {r.source for r in stored.read().collect()} == {"s"}
+
+
 def test_keyword_index_by_source(spark, tmp_path):
     docs, asked = corpus_of(spark), spark.createDataFrame(QUESTIONS, "query_id long, query string")
     stored = keyword_index.open_index(spark, str(tmp_path / "k"))
