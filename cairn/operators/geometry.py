@@ -58,6 +58,7 @@ def rich_blocks(spans: DataFrame) -> DataFrame:
     """
     pieces = _fragments(spans).repartition(*PAGE)
     own = F.flatten(F.transform(F.collect_list(F.struct("lines", "spans", "texts")), lambda f: F.arrays_zip(f["lines"].alias("lines"), f["spans"].alias("spans"), f["texts"].alias("texts"))))
+
     def joined(all_: Column) -> Column:
         """The sorted spans' texts, a line feed where a line begins that is not the block's first."""
         begins = lambda s, i: (i > 0) & ~F.get(all_, i - 1)["lines"].eqNullSafe(s["lines"])
